@@ -6,10 +6,11 @@ The rules are plain column expressions, repeated in SQL in ``oracle``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runledger import constants as K
+from runledger.session import spread
 
 HOSTS = ("cheyenne", "hera", "orion", "Gaea")
 RUN_MACHINES = ("cheyenne", "gaea", "hera", "jet", "orion")
@@ -17,107 +18,85 @@ BASE_URL = "https://example.org/artifacts"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
-def _pick(number: Column, *values: str) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (number + 1).cast("int"))
+def _pick(number: str, values: tuple[str, ...]) -> str:
+    listed = ", ".join(f"'{v}'" for v in values)
+    return f"element_at(array({listed}), int({number} + 1))"
 
 
-def _text(*parts) -> Column:
-    return F.concat(*[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])
+BRANCHES = ("develop", "feat_x", "layout_fix")
+_HEADER = (
+    "concat('Build for = ', compiler, '_', c_version, '_', mpi, '_', o_g, '_', {branch}, "
+    "', mpi version ', m_version, ' on ', host, ' esmf_os: ', os)"
+)
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each report says, one row per order."""
-    orders = table(spark, sf_dir, "orders")
+    """What each report says, one row per order.
+
+    Second-priority reports spell their version with other separators: a dot in a token
+    stands for any sign, so untagged tokens still match and the tagged one does not.
+    """
+    orders = table(spark, sf_dir, "orders").withColumn("k", F.expr("floor(o_orderkey / 60) % 6"))
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    joined = orders.join(customer, orders.o_custkey == customer.c_custkey)
-    key, cust = F.col("o_orderkey"), F.col("o_custkey")
-    k = F.floor(key / 60) % 6
-    tagged = k == 5
-    token = F.when(tagged, "v8.5.0").otherwise(_text("v8.", k, ".0b0", k, "-5-g60a38e", k))
-    mpi = key % 5
-    out = joined.select(
-        key.alias("seq"),
-        F.col("o_orderstatus").alias("status"),
-        F.col("o_orderpriority").alias("priority"),
-        F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("day"),
-        _pick(cust % 3, "develop", "feat_x", "layout_fix").alias("branch"),
-        _pick(F.col("c_nationkey") % 4, *HOSTS).alias("host"),
-        _pick(key % 3, "gfortran", "intel", "nag").alias("compiler"),
-        _text(8 + key % 4, ".3.0").alias("c_version"),
-        F.when(mpi == 0, "mpiuni").when(mpi == 1, "openmpi").otherwise("intelmpi").alias("mpi"),
-        _text("4.0.", key % 3, "-A").alias("m_version"),
-        F.when(key % 2 == 0, "g").otherwise("O").alias("o_g"),
-        F.when(cust % 11 == 0, "Darwin").otherwise("Linux").alias("os"),
-        token.alias("hash"),
-        (8000 + key % 997).alias("unit_pass"),
-        (cust % 7).alias("unit_fail"),
-        F.when(key % 13 != 0, F.lit(49).cast("bigint")).alias("system_pass"),
-        F.when(key % 13 != 0, cust % 3).alias("system_fail"),
-        F.when(key % 29 == 0, -1).otherwise(80).cast("bigint").alias("example_pass"),
-        F.when(key % 29 == 0, -1).otherwise(0).cast("bigint").alias("example_fail"),
-        F.lit(50).cast("bigint").alias("nuopc_pass"),
-        F.lit(0).cast("bigint").alias("nuopc_fail"),
-    )
-    line = F.when(F.col("hash").contains("-g"), F.concat("hash", F.lit("2"))).otherwise(F.col("hash"))
-    # Urgent-but-one reports spell their version with other separators: a dot in a token
-    # stands for any sign, so untagged tokens still match and the tagged one does not.
-    line = F.when(F.col("priority") == "2-HIGH", F.translate(line, ".", "_")).otherwise(line)
-    folder = _text(
-        "/r/", F.col("branch"), "/", F.col("host"), "/", F.col("compiler"), "/", F.col("c_version"),
-        "/", F.col("o_g"), "/", F.col("mpi"), "/", F.col("m_version"), "/r",
-        F.lpad(F.col("seq").cast("string"), 12, "0"), "/",
+    out = orders.join(customer, orders.o_custkey == customer.c_custkey).selectExpr(
+        "o_orderkey AS seq",
+        "o_orderstatus AS status",
+        "o_orderpriority AS priority",
+        "date_format(o_orderdate, 'yyyy-MM-dd HH:mm:ss') AS day",
+        f"{_pick('o_custkey % 3', BRANCHES)} AS branch",
+        f"{_pick('c_nationkey % 4', HOSTS)} AS host",
+        f"{_pick('o_orderkey % 3', ('gfortran', 'intel', 'nag'))} AS compiler",
+        "concat(8 + o_orderkey % 4, '.3.0') AS c_version",
+        "CASE o_orderkey % 5 WHEN 0 THEN 'mpiuni' WHEN 1 THEN 'openmpi' ELSE 'intelmpi' END AS mpi",
+        "concat('4.0.', o_orderkey % 3, '-A') AS m_version",
+        "if(o_orderkey % 2 = 0, 'g', 'O') AS o_g",
+        "if(o_custkey % 11 = 0, 'Darwin', 'Linux') AS os",
+        "if(k = 5, 'v8.5.0', concat('v8.', k, '.0b0', k, '-5-g60a38e', k)) AS hash",
+        "8000 + o_orderkey % 997 AS unit_pass",
+        "o_custkey % 7 AS unit_fail",
+        "if(o_orderkey % 13 <> 0, 49L, null) AS system_pass",
+        "if(o_orderkey % 13 <> 0, o_custkey % 3, null) AS system_fail",
+        "if(o_orderkey % 29 = 0, -1L, 80L) AS example_pass",
+        "if(o_orderkey % 29 = 0, -1L, 0L) AS example_fail",
+        "50L AS nuopc_pass",
+        "0L AS nuopc_fail",
     )
-    return out.withColumns({"version_line": line, "folder": folder})
-
-
-def _result_line(kind: str) -> Column:
-    passed, failed = F.col(f"{kind}_pass"), F.col(f"{kind}_fail")
-    return F.when(passed.isNull(), f"{kind} test results \t{kind} tests did not complete").otherwise(
-        _text(f"{kind} test results   \tPASS ", passed, "\tFAIL ", failed)
+    return out.selectExpr(
+        "*",
+        """translate(if(contains(hash, '-g'), concat(hash, '2'), hash), '.',
+          if(priority = '2-HIGH', '_', '.')) AS version_line""",
+        """concat('/r/', branch, '/', host, '/', compiler, '/', c_version, '/', o_g, '/', mpi, '/',
+          m_version, '/r', lpad(string(seq), 12, '0'), '/') AS folder""",
     )
 
 
-def _header(branch: Column) -> Column:
-    return _text(
-        "Build for = ", F.col("compiler"), "_", F.col("c_version"), "_", F.col("mpi"), "_",
-        F.col("o_g"), "_", branch, ", mpi version ", F.col("m_version"), " on ", F.col("host"),
-        " esmf_os: ", F.col("os"),
+def _result_line(kind: str) -> str:
+    return (
+        f"if({kind}_pass IS NULL, '{kind} test results \\t{kind} tests did not complete', "
+        f"concat('{kind} test results   \\tPASS ', {kind}_pass, '\\tFAIL ', {kind}_fail))"
     )
 
 
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(seq, path, text, match_text)``; urgent orders hold an earlier attempt that is void."""
-    rows = cells(spark, sf_dir)
-    attempt = F.concat_ws(
-        "\n", _header(F.lit("stale_branch")), F.lit("unit test results\tPASS 1\tFAIL 99"), F.lit("")
-    )
-    text = F.concat(
-        F.lit("\n===\n"),
-        F.when(F.col("priority") == "1-URGENT", attempt).otherwise(""),
-        F.concat_ws(
-            "\n",
-            _header(F.col("branch")),
-            _text("Build time = ", F.col("day")),
-            _text("git hash = ", F.col("hash")),
-            F.lit(""),
-            *[_result_line(kind) for kind in K.KINDS],
-            F.lit(""),
-            F.lit("Currently Loaded Modules:"),
-            F.lit("  None found."),
-            F.lit("---"),
-            F.col("version_line"),
-            F.lit("---\n"),
-        ),
-    )
-    return rows.select(
-        "seq",
-        "priority",
-        _text(F.col("folder"), K.REPORT_FILE).alias("path"),
-        text.alias("text"),
-        text.alias("match_text"),
+    """``(seq, priority, path, text, match_text)``; urgent orders hold an earlier, void attempt."""
+    stale = _HEADER.format(branch="'stale_branch'")
+    results = ", ".join(_result_line(kind) for kind in K.KINDS)
+    return (
+        cells(spark, sf_dir)
+        .selectExpr(
+            "seq",
+            "priority",
+            f"concat(folder, '{K.REPORT_FILE}') AS path",
+            f"""concat('\\n===\\n',
+              if(priority = '1-URGENT', concat({stale}, '\\nunit test results\\tPASS 1\\tFAIL 99\\n'), ''),
+              concat_ws('\\n', {_HEADER.format(branch="branch")}, concat('Build time = ', day),
+                concat('git hash = ', hash), '', {results}, '', 'Currently Loaded Modules:',
+                '  None found.', '---', version_line, '---\\n')) AS text""",
+        )
+        .withColumn("match_text", F.col("text"))
     )
 
 
@@ -141,69 +120,55 @@ def damaged_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(seq, path, text, match_text)`` of the build logs; pending orders have none."""
-    rows = cells(spark, sf_dir).where(F.col("status") != "P")
-    seq = F.col("seq")
-    fortran = F.when(seq % 5 == 0, "").otherwise(_text("4.", seq % 8, ".1"))
-    text = F.concat_ws(
-        "\n",
-        F.col("version_line"),
-        _text("netcdf LIBRARY version: netCDF 4.", seq % 9, ".2 of build"),
-        _text("NetCDF Fortran version: ", fortran),
-        F.lit("NetCDF library version: netCDF 9.9.9"),
-        F.lit("compiling"),
-        F.when(seq % 7 != 0, K.SUCCESS_MESSAGE).otherwise("error: stopped"),
-        F.repeat(F.lit("trailing line\n"), (seq % 300).cast("int")),
-    )
-    return rows.select(
-        "seq",
-        _text(F.col("folder"), K.LOG_FILE).alias("path"),
-        text.alias("text"),
-        text.alias("match_text"),
+    return (
+        cells(spark, sf_dir)
+        .where("status <> 'P'")
+        .selectExpr(
+            "seq",
+            f"concat(folder, '{K.LOG_FILE}') AS path",
+            f"""concat_ws('\\n', version_line,
+              concat('netcdf LIBRARY version: netCDF 4.', seq % 9, '.2 of build'),
+              concat('NetCDF Fortran version: ', if(seq % 5 = 0, '', concat('4.', seq % 8, '.1'))),
+              'NetCDF library version: netCDF 9.9.9', 'compiling',
+              if(seq % 7 <> 0, '{K.SUCCESS_MESSAGE}', 'error: stopped'),
+              repeat('trailing line\\n', int(seq % 300))) AS text""",
+        )
+        .withColumn("match_text", F.col("text"))
     )
 
 
 def report_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One commit per report: ``(machine, pos, commit_hash, committed_at, message, path)``."""
-    rows = cells(spark, sf_dir)
-    message = _text(
-        "update for test of ", F.col("compiler"), "_", F.col("c_version"), "_", F.col("mpi"), "_",
-        F.col("o_g"), "_", F.col("branch"), " with hash ", F.col("hash"), " on ",
-        F.lower("host"), " [ci skip]\n",
-    )
-    return rows.select(
-        F.lower("host").alias("machine"),
-        (-F.col("seq")).alias("pos"),
-        F.md5(F.col("seq").cast("string")).alias("commit_hash"),
-        _text(F.col("day"), " +0000").alias("committed_at"),
-        message.alias("message"),
-        _text(F.col("folder"), K.REPORT_FILE).alias("path"),
+    return cells(spark, sf_dir).selectExpr(
+        "lower(host) AS machine",
+        "-seq AS pos",
+        "md5(string(seq)) AS commit_hash",
+        "concat(day, ' +0000') AS committed_at",
+        """concat('update for test of ', compiler, '_', c_version, '_', mpi, '_', o_g, '_', branch,
+          ' with hash ', hash, ' on ', lower(host), ' [ci skip]\\n') AS message""",
+        f"concat(folder, '{K.REPORT_FILE}') AS path",
     )
 
 
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One commit per event, newest first by ``pos``; cheap events name no version."""
-    events = table(spark, sf_dir, "events")
-    n = F.col("user_id") % 20
-    token = F.when(n % 2 == 0, _text("v8.3.0b", n, "-5-g64eb", n)).otherwise(
-        _text(f"{K.SNAPSHOT_PREFIX}8_3_0_beta_snapshot_", n, "-5-g64eb", n)
-    )
-    branch = _pick(F.col("user_id") % 3, "develop", "feat_x", "layout_fix")
-    message = F.when(
-        F.col("value") < 1.0, _text("merge of main on ", F.col("event_type"))
-    ).otherwise(
-        _text(
-            "  update for test of gfortran_8.3.0_mpiuni_O_", branch, " with hash ", token, " on ",
-            F.col("event_type"), " [ci skip]",
+    return (
+        table(spark, sf_dir, "events")
+        .withColumn("n", F.expr("user_id % 20"))
+        .selectExpr(
+            "event_type AS machine",
+            "-event_id AS pos",
+            "md5(string(event_id)) AS commit_hash",
+            "concat(date_format(ts, 'yyyy-MM-dd HH:mm:ss'), ' +0000') AS committed_at",
+            f"""concat(if(value < 1.0, concat('merge of main on ', event_type),
+              concat('  update for test of gfortran_8.3.0_mpiuni_O_', {_pick('user_id % 3', BRANCHES)},
+                ' with hash ', if(n % 2 = 0, concat('v8.3.0b', n, '-5-g64eb', n),
+                  concat('{K.SNAPSHOT_PREFIX}8_3_0_beta_snapshot_', n, '-5-g64eb', n)),
+                ' on ', event_type, ' [ci skip]')),
+              '\\n\\nrecorded by the nightly job\\n') AS message""",
+            f"concat('/r/file', user_id, '/{K.REPORT_FILE}') AS path",
         )
     )
-    return events.select(
-        F.col("event_type").alias("machine"),
-        (-F.col("event_id")).alias("pos"),
-        F.md5(F.col("event_id").cast("string")).alias("commit_hash"),
-        _text(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), " +0000").alias("committed_at"),
-        F.concat(message, F.lit("\n\nrecorded by the nightly job\n")).alias("message"),
-        _text("/r/file", F.col("user_id"), "/", K.REPORT_FILE).alias("path"),
-    )
 
 
 def branches(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,37 +10,49 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runledger import constants as K
-from runledger.functions.text import split_lines, strip
-
-# "Build for = c_v_m_o_branch, mpi version V on H esmf_os: O". The possessive blanks and
-# the closing non-blank keep a surrounding blank from passing as an eighth, empty word.
-_HEADER = (
-    r"\A[^=]*=\s*+([^_,]*)_([^_,]*)_([^_,]*)_([^_,]*)_([^,]*?)\s*"
-    r",\s*+[^ ]* [^ ]* ([^ ]*) [^ ]* ([^ ]*) [^ ]* ([^ ]*[^ \s])\s*\z"
-)
-_HEADER_GROUP = {
-    "branch": 5,
-    "host": 7,
-    "compiler": 1,
-    "c_version": 2,
-    "mpi": 3,
-    "m_version": 6,
-    "o_g": 4,
-    "os": 8,
-}
+from runledger.functions.text import after_first, split_lines, strip
+
 _RESULT_KIND = r"\A[^\S\t]*(\S+)[^\t]*\t"
 _TWO_NUMBERS = r"\A([+-]?[0-9]+)\s+([+-]?[0-9]+)\z"
 
 
-def header_fields(line: Column) -> dict[str, Column]:
-    """The eight attributes of a header line; only ``m_version`` is lower-cased."""
-    out = {name: F.regexp_extract(line, _HEADER, group) for name, group in _HEADER_GROUP.items()}
-    out["m_version"] = F.lower(out["m_version"])
-    return out
+def header_parts(line: Column) -> Column:
+    """A header line cut up, and whether it has the parts it must have.
+
+    "Build for = c_v_m_o_branch, mpi version V on H esmf_os: O": five parts left of the
+    comma, the last of which keeps its underscores, and seven words right of it.
+    """
+    rest = after_first(line, "=")
+    left = F.split(strip(F.substring_index(rest, ",", 1)), "_", 5)
+    right = F.split(strip(after_first(rest, ",")), " ")
+    return F.struct(
+        left.alias("left"),
+        right.alias("right"),
+        (
+            line.contains("=") & rest.contains(",") & (F.size(left) == 5) & (F.size(right) == 7)
+        ).alias("valid"),
+    )
 
 
-def header_valid(line: Column) -> Column:
-    return F.regexp_like(line, F.lit(_HEADER))
+def header_fields(parts: Column) -> dict[str, Column]:
+    """The eight attributes; only ``m_version`` is lower-cased."""
+
+    def left(place: int) -> Column:
+        return F.try_element_at(parts["left"], F.lit(place))
+
+    def right(place: int) -> Column:
+        return F.try_element_at(parts["right"], F.lit(place))
+
+    return {
+        "branch": left(5),
+        "host": right(5),
+        "compiler": left(1),
+        "c_version": left(2),
+        "mpi": left(3),
+        "m_version": F.lower(right(3)),
+        "o_g": left(4),
+        "os": right(7),
+    }
 
 
 def result_kind(line: Column) -> Column:
@@ -50,21 +62,27 @@ def result_kind(line: Column) -> Column:
 
 def result_value(line: Column) -> Column:
     """Text after the first tab without its PASS and FAIL words."""
-    value = F.regexp_extract(line, r"\A[^\t]*\t(.*)\z", 1)
-    value = F.replace(F.replace(value, F.lit("PASS"), F.lit("")), F.lit("FAIL"), F.lit(""))
-    return strip(value)
+    value = F.replace(after_first(line, "\t"), F.lit("PASS"), F.lit(""))
+    return strip(F.replace(value, F.lit("FAIL"), F.lit("")))
 
 
 def result_number(value: Column, group: int) -> Column:
     """One of the two numbers of a cleaned result, null when it is not two numbers."""
-    number = F.nullif(F.regexp_extract(value, _TWO_NUMBERS, group), F.lit(""))
-    return number.try_cast("bigint")
+    return F.regexp_extract(value, _TWO_NUMBERS, group).try_cast("bigint")
 
 
 def _last_of_kind(results: Column, kind: str) -> Column:
     return F.try_element_at(F.filter(results, lambda r: r["kind"] == kind), F.lit(-1))
 
 
+def _bad_header(line: Column) -> Column:
+    return line.contains(K.HEADER_MARK) & ~header_parts(line)["valid"]
+
+
+def _bad_result(line: Column) -> Column:
+    return line.contains(K.RESULT_MARK) & (result_kind(line) == "")
+
+
 def _last_holding(lines: Column, mark: str) -> Column:
     return F.try_element_at(F.filter(lines, lambda s: s.contains(mark)), F.lit(-1))
 
@@ -76,60 +94,53 @@ def parse_reports(df: DataFrame, text: str = "text") -> DataFrame:
     result that is not two numbers is a failed one, with null numbers and status ``fail``.
     """
     marked = F.filter(
-        F.transform(
-            split_lines(F.col(text)),
-            lambda line, at: F.struct(at.alias("at"), line.alias("line")),
-        ),
-        lambda m: m["line"].contains(K.HEADER_MARK) | m["line"].contains(K.RESULT_MARK),
+        split_lines(F.col(text)),
+        lambda line: line.contains(K.HEADER_MARK) | line.contains(K.RESULT_MARK),
     )
     df = df.withColumn("_marked", marked)
-    df = df.withColumn(
-        "_headers", F.filter("_marked", lambda m: m["line"].contains(K.HEADER_MARK))
-    ).withColumn("_header", F.try_element_at("_headers", F.lit(-1)))
-    results = F.filter("_marked", lambda m: m["line"].contains(K.RESULT_MARK))
-    df = df.withColumn(
-        "_results",
-        F.transform(
-            results,
-            lambda m: F.struct(
-                m["at"].alias("at"),
-                result_kind(m["line"]).alias("kind"),
-                result_value(m["line"]).alias("value"),
-            ),
-        ),
+    # Found by position, not by comparing inside a lambda: what a lambda captures may be
+    # inlined into it and run once per line.
+    is_header = F.transform("_marked", lambda line: line.contains(K.HEADER_MARK))
+    from_end = F.array_position(F.reverse(is_header), True)
+    df = df.withColumn("_from_end", from_end.cast("int"))
+    headed = F.col("_from_end") > 0
+    kept = F.when(headed, F.col("_from_end")).otherwise(F.size("_marked"))
+    current = F.slice("_marked", F.greatest(F.size("_marked") - kept + 1, F.lit(1)), kept)
+    df = df.withColumn("_current", current)
+    header = F.when(headed, F.try_element_at("_current", F.lit(1)))
+    results = F.transform(
+        F.filter("_current", lambda line: line.contains(K.RESULT_MARK)),
+        lambda line: F.struct(result_kind(line).alias("kind"), result_value(line).alias("value")),
     )
-    df = df.withColumn(
-        "_current",
-        F.filter("_results", lambda r: r["at"] >= F.coalesce(F.col("_header.at"), F.lit(0))),
+    results = F.transform(
+        results,
+        lambda r: F.struct(
+            r["kind"].alias("kind"),
+            result_number(r["value"], 1).alias("passed"),
+            result_number(r["value"], 2).alias("failed"),
+        ),
     )
-    attributes = {
-        name: F.when(F.col("_header").isNotNull(), value)
-        for name, value in header_fields(F.col("_header.line")).items()
-    }
-    df = df.withColumns(attributes)
-    entries = {f"_{kind}": _last_of_kind(F.col("_current"), kind) for kind in K.KINDS}
-    df = df.withColumns(entries)
-    numbers = {}
-    for kind in K.KINDS:
-        value = F.col(f"_{kind}.value")
-        passed, failed = result_number(value, 1), result_number(value, 2)
-        ok = passed.isNotNull() & failed.isNotNull()
-        numbers[f"{kind}_pass"] = F.when(ok, passed)
-        numbers[f"{kind}_fail"] = F.when(ok, failed)
-        numbers[f"{kind}_status"] = F.when(value.isNotNull(), F.when(ok, "ok").otherwise("fail"))
-    known = list(K.KINDS)
+    df = df.withColumns({"_parts": header_parts(header), "_results": results})
+    df = df.withColumns({f"_{kind}": _last_of_kind(F.col("_results"), kind) for kind in K.KINDS})
+    columns = header_fields(F.col("_parts"))
     missing = F.lit(False)
     for kind in K.KINDS:
-        missing = missing | F.col(f"_{kind}").isNull()
-    reason = (
-        F.when(F.exists("_headers", lambda m: ~header_valid(m["line"])), "bad_header")
-        .when(F.exists("_results", lambda r: r["kind"] == ""), "bad_result")
-        .when(F.col("_header").isNull(), "no_header")
-        .when(F.exists("_current", lambda r: ~r["kind"].isin(known)), "unknown_kind")
+        last = F.col(f"_{kind}")
+        ok = last["passed"].isNotNull() & last["failed"].isNotNull()
+        columns[f"{kind}_pass"] = F.when(ok, last["passed"])
+        columns[f"{kind}_fail"] = F.when(ok, last["failed"])
+        columns[f"{kind}_status"] = F.when(last.isNotNull(), F.when(ok, "ok").otherwise("fail"))
+        missing = missing | last.isNull()
+    known = list(K.KINDS)
+    columns["reject_reason"] = (
+        F.when(F.exists("_marked", _bad_header), "bad_header")
+        .when(F.exists("_marked", _bad_result), "bad_result")
+        .when(~headed, "no_header")
+        .when(F.exists("_results", lambda r: ~r["kind"].isin(known)), "unknown_kind")
         .when(missing, "missing_kind")
     )
-    scratch = ["_marked", "_headers", "_header", "_results", "_current", *entries]
-    return df.withColumns({**numbers, "reject_reason": reason}).drop(*scratch)
+    scratch = ["_marked", "_from_end", "_current", "_parts", "_results"]
+    return df.withColumns(columns).drop(*scratch, *[f"_{kind}" for kind in K.KINDS])
 
 
 def _topmost_version(text: Column, mark: str) -> Column:

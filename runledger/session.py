@@ -54,3 +54,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = scratch_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out to all cores when the scan has fewer splits than there are cores.
+
+    A few small files would otherwise be parsed by a few tasks. A large table has splits
+    enough and is left alone, so nothing is shuffled for it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
