@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runledger import constants as K
-from runledger.functions.text import after_first, split_lines, strip
+from runledger.functions.text import after_first, bind, split_lines, strip
 
 _RESULT_KIND = r"\A[^\S\t]*(\S+)[^\t]*\t"
 _TWO_NUMBERS = r"\A([+-]?[0-9]+)\s+([+-]?[0-9]+)\z"
@@ -22,16 +22,30 @@ def header_parts(line: Column) -> Column:
     "Build for = c_v_m_o_branch, mpi version V on H esmf_os: O": five parts left of the
     comma, the last of which keeps its underscores, and seven words right of it.
     """
-    rest = after_first(line, "=")
-    left = F.split(strip(F.substring_index(rest, ",", 1)), "_", 5)
-    right = F.split(strip(after_first(rest, ",")), " ")
-    return F.struct(
-        left.alias("left"),
-        right.alias("right"),
-        (
-            line.contains("=") & rest.contains(",") & (F.size(left) == 5) & (F.size(right) == 7)
-        ).alias("valid"),
-    )
+
+    def cut(rest: Column) -> Column:
+        return F.struct(
+            F.split(strip(F.substring_index(rest, ",", 1)), "_", 5).alias("left"),
+            F.split(strip(after_first(rest, ",")), " ").alias("right"),
+            rest.contains(",").alias("comma"),
+        )
+
+    def checked(line: Column) -> Column:
+        return bind(
+            bind(after_first(line, "="), cut),
+            lambda p: F.struct(
+                p["left"].alias("left"),
+                p["right"].alias("right"),
+                (
+                    line.contains("=")
+                    & p["comma"]
+                    & (F.size(p["left"]) == 5)
+                    & (F.size(p["right"]) == 7)
+                ).alias("valid"),
+            ),
+        )
+
+    return bind(line, checked)
 
 
 def header_fields(parts: Column) -> dict[str, Column]:
@@ -75,6 +89,20 @@ def _last_of_kind(results: Column, kind: str) -> Column:
     return F.try_element_at(F.filter(results, lambda r: r["kind"] == kind), F.lit(-1))
 
 
+def _from_last_header(marked: Column) -> Column:
+    """The marked lines from the last header on, all of them when there is no header.
+
+    Found by position, not by comparing inside a lambda: what a lambda captures from
+    another column may be inlined into it and run once per line.
+    """
+    is_header = F.transform(marked, lambda line: line.contains(K.HEADER_MARK))
+    from_end = F.array_position(F.reverse(is_header), True).cast("int")
+    return bind(
+        from_end,
+        lambda n: F.when(n > 0, F.slice(marked, F.size(marked) - n + 1, n)).otherwise(marked),
+    )
+
+
 def _bad_header(line: Column) -> Column:
     return line.contains(K.HEADER_MARK) & ~header_parts(line)["valid"]
 
@@ -98,16 +126,9 @@ def parse_reports(df: DataFrame, text: str = "text") -> DataFrame:
         lambda line: line.contains(K.HEADER_MARK) | line.contains(K.RESULT_MARK),
     )
     df = df.withColumn("_marked", marked)
-    # Found by position, not by comparing inside a lambda: what a lambda captures may be
-    # inlined into it and run once per line.
-    is_header = F.transform("_marked", lambda line: line.contains(K.HEADER_MARK))
-    from_end = F.array_position(F.reverse(is_header), True)
-    df = df.withColumn("_from_end", from_end.cast("int"))
-    headed = F.col("_from_end") > 0
-    kept = F.when(headed, F.col("_from_end")).otherwise(F.size("_marked"))
-    current = F.slice("_marked", F.greatest(F.size("_marked") - kept + 1, F.lit(1)), kept)
-    df = df.withColumn("_current", current)
-    header = F.when(headed, F.try_element_at("_current", F.lit(1)))
+    df = df.withColumn("_current", bind(F.col("_marked"), _from_last_header))
+    header = F.filter(F.slice("_current", 1, 1), lambda line: line.contains(K.HEADER_MARK))
+    header = F.try_element_at(header, F.lit(1))
     results = F.transform(
         F.filter("_current", lambda line: line.contains(K.RESULT_MARK)),
         lambda line: F.struct(result_kind(line).alias("kind"), result_value(line).alias("value")),
@@ -135,11 +156,11 @@ def parse_reports(df: DataFrame, text: str = "text") -> DataFrame:
     columns["reject_reason"] = (
         F.when(F.exists("_marked", _bad_header), "bad_header")
         .when(F.exists("_marked", _bad_result), "bad_result")
-        .when(~headed, "no_header")
+        .when(F.col("_parts.valid").isNull(), "no_header")
         .when(F.exists("_results", lambda r: ~r["kind"].isin(known)), "unknown_kind")
         .when(missing, "missing_kind")
     )
-    scratch = ["_marked", "_from_end", "_current", "_parts", "_results"]
+    scratch = ["_marked", "_current", "_parts", "_results"]
     return df.withColumns(columns).drop(*scratch, *[f"_{kind}" for kind in K.KINDS])
 
 

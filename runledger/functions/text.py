@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -30,24 +30,44 @@ def valid_utf8(content: Column) -> Column:
     return F.is_valid_utf8(content.cast("string"))
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` named once, however often ``body`` uses it.
+
+    Repeating a column expression repeats its whole tree, and trees that repeat each other
+    grow exponentially in the optimizer, whose rules trace join keys down to the scan.
+    """
+    return F.try_element_at(F.transform(F.array(value), body), F.lit(1))
+
+
+def _lines(text: Column) -> Column:
+    def cut(body: Column) -> Column:
+        ended = F.endswith(body, F.lit("\n"))
+        body = F.when(ended, F.substring(body, F.lit(1), F.length(body) - 1)).otherwise(body)
+        return F.split(body, "\n")
+
+    newlined = F.when(
+        text.contains("\r"), F.regexp_replace(text, r"\r\n?", "\n")
+    ).otherwise(text)
+    lines = bind(newlined, cut)
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(lines)
+
+
 def split_lines(text: Column) -> Column:
     """Lines under universal newlines; the end of the last line opens no further one.
 
     Only texts that hold a carriage return pay for a regular expression, and splitting on
     one plain letter avoids it too.
     """
-    text = F.when(text.contains("\r"), F.regexp_replace(text, r"\r\n?", "\n")).otherwise(text)
-    ended = F.endswith(text, F.lit("\n"))
-    body = F.when(ended, F.substring(text, F.lit(1), F.length(text) - 1)).otherwise(text)
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(body, "\n"))
+    return bind(text, _lines)
 
 
 def after_first(value: Column, mark: str) -> Column:
     """Text after the first ``mark``, the whole text when there is none."""
-    start = F.instr(value, mark)
-    return F.when(
-        start > 0, F.substring(value, start + len(mark), F.length(value))
-    ).otherwise(value)
+    return bind(value, lambda v: F.substring(v, _behind(v, mark), F.length(v)))
+
+
+def _behind(value: Column, mark: str) -> Column:
+    return F.when(value.contains(mark), F.instr(value, mark) + len(mark)).otherwise(1)
 
 
 def strip(value: Column) -> Column:
