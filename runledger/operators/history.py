@@ -13,9 +13,12 @@ from runledger.functions.versions import branch_from_log_line, hash_token, sanit
 from runledger.sources.commits import commit_lines
 
 MAX_MACHINES = 10_000
+_PLAIN = r"\A[A-Za-z0-9_-]*\z"
 
 
-def ordered_distinct(df: DataFrame, value: str, at: str | Column, keys: Sequence[str] = ()) -> DataFrame:
+def ordered_distinct(
+    df: DataFrame, value: str, at: str | Column, keys: Sequence[str] = ()
+) -> DataFrame:
     """Each value once per key, with the place of its first occurrence as ``first_at``."""
     at = F.col(at) if isinstance(at, str) else at
     return df.groupBy(*keys, value).agg(F.min(at).alias("first_at"))
@@ -77,10 +80,13 @@ def recent_hashes(
     else:
         folded = lines.groupBy("machine", "line", "branch_hash").agg(F.min("at").alias("at"))
         jobs = jobs.withColumnRenamed("machine", "job_machine")
-        joined = folded.join(
-            jobs,
-            (F.col("machine") == F.col("job_machine")) & F.regexp_like(F.col("line"), token),
+        # A branch without regular-expression signs is looked for as text, which saves
+        # compiling a pattern for every pair.
+        jobs = jobs.withColumns({"_token": token, "_plain": F.regexp_like(token, F.lit(_PLAIN))})
+        named = F.when(F.col("_plain"), F.col("line").contains(F.col("_token"))).otherwise(
+            F.regexp_like(F.col("line"), F.col("_token"))
         )
+        joined = folded.join(jobs, (F.col("machine") == F.col("job_machine")) & named)
     first = joined.groupBy(*keys, *carried, "branch_hash").agg(F.min("at").alias("first_at"))
     rank = F.row_number().over(W.partitionBy(*keys).orderBy("first_at", "branch_hash"))
     return first.withColumn("hash_rank", rank).where(F.col("hash_rank") <= max(qty, 0))

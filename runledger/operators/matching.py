@@ -205,28 +205,20 @@ def containing_mark(
 ) -> DataFrame:
     """Files whose text holds ``mark`` followed by a requested ``branch_hash``, each pair once.
 
-    The text behind each mark is cut to the sizes the tokens have, so that this too is an
-    equi-join; tokens above 256 letters meet on their first 256 and are checked in full.
+    What follows each mark is cut to the lengths the tokens have, no more numbers than the
+    longest token has letters, so this too is an equi-join; the text itself is dropped
+    before it.
     """
-    wanted = requests.withColumn("_head", F.substring("branch_hash", 1, _MAX_HEAD))
-    sizes = [r[0] for r in wanted.select(F.length("_head")).distinct().collect()]
-    if not sizes:
-        sizes = [0]
-    pieces = F.split(F.col(text), _quoted(mark), -1)
+    sizes = [r[0] for r in requests.select(F.length("branch_hash")).distinct().collect()]
+    wanted = requests.withColumn("_head", F.col("branch_hash"))
+    pieces = F.split(F.col(text), rf"\Q{mark}\E", -1)
     behind = F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
+    lengths = F.array(*[F.lit(n) for n in sorted(sizes)]).cast("array<int>")
     heads = F.flatten(
         F.transform(
             behind,
-            lambda rest: F.transform(
-                F.array(*[F.lit(n) for n in sorted(sizes)]), lambda n: F.substring(rest, F.lit(1), n)
-            ),
+            lambda rest: F.transform(lengths, lambda n: F.substring(rest, F.lit(1), n)),
         )
     )
-    offered = files.withColumn("_offer", F.explode(F.array_distinct(heads)))
-    joined = offered.join(wanted, F.col("_offer") == F.col("_head"))
-    hit = F.col(text).contains(F.concat(F.lit(mark), F.col("branch_hash")))
-    return joined.where(hit).drop("_offer", "_head")
-
-
-def _quoted(text: str) -> str:
-    return rf"\Q{text}\E"
+    offered = files.withColumn("_offer", F.explode(F.array_distinct(heads))).drop(text)
+    return offered.join(wanted, F.col("_offer") == F.col("_head")).drop("_offer", "_head")

@@ -94,7 +94,9 @@ def summarize(
         "path", *SCOPE, "reject_reason"
     )
     whole = found.where(F.col("reject_reason").isNull()).drop("reject_reason")
-    builds = build_map(built, SCOPE, strip_token, key_value)
+    # Far smaller than the reports. Read back, it has a known size for the choice of join, and
+    # where it is too large to broadcast both sides are plain shuffles, which AQE can split.
+    builds = stage(build_map(built, SCOPE, strip_token, key_value), "builds")
     results = with_latest_commit(with_build_outcome(whole, builds, SCOPE), latest)
     results = results.withColumns({ARRIVAL: arrival_seq(run_id), "source_path": F.col("path")})
     jobs = ("machine", "machine_pos", "job_branch", "branch_pos", "hash_rank")

@@ -12,6 +12,7 @@ from runledger.functions.versions import message_hash
 from runledger.operators.lookup import least_by
 from runledger.operators.matching import containing_mark
 from runledger.operators.ordering import ordered_positions
+from runledger.session import stage
 from runledger.sinks.reports import aligned_lines
 from runledger.sources.commits import commit_lines
 from runledger.sources.files import named_files
@@ -45,21 +46,21 @@ def text_report_rows(reports: DataFrame, hashes: DataFrame, branch: str) -> Data
     """
     parts = path_parts(F.col("path"))
     inside = named_files(reports).where(F.try_element_at(parts, F.lit(2)) == branch)
-    wanted = hashes.select("branch_hash").distinct()
-    hits = containing_mark(inside, wanted, K.HASH_MARK)
     place = {"host": 3, "compiler": 4, "c_version": 5, "o_g": 6, "mpi": 7, "m_version": 8}
     columns = {name: F.try_element_at(parts, F.lit(at)) for name, at in place.items()}
     columns["m_version"] = F.when(columns["mpi"] == "mpiuni", K.NO_ATTRIBUTE).otherwise(
         columns["m_version"]
     )
     columns.update(text_report_fields(F.col("text")))
-    return hits.select("branch_hash", "path", *[columns[c].alias(c) for c in _COLUMNS])
+    rows = inside.select("path", "text", *[columns[c].alias(c) for c in _COLUMNS])
+    wanted = hashes.select("branch_hash").distinct()
+    return containing_mark(rows, wanted, K.HASH_MARK).select("branch_hash", "path", *_COLUMNS)
 
 
 def text_report(reports: DataFrame, commits: DataFrame, branch: str) -> DataFrame:
     """``(branch_hash, line_no, line)`` of each report, header sorted along with the rows."""
     hashes = newest_hashes(commits, branch)
-    rows = text_report_rows(reports, hashes, branch)
+    rows = stage(text_report_rows(reports, hashes, branch), "text_rows")
     header = rows.select("branch_hash").distinct()
     header = header.select(
         "branch_hash",

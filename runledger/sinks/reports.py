@@ -12,6 +12,7 @@ from runledger.functions.formatting import report_rows
 from runledger.functions.versions import sanitize_branch
 from runledger.operators.lookup import greatest_by
 from runledger.operators.ordering import ordered_positions, shuffle_partitions
+from runledger.session import stage
 
 _MIN_PADDING = 2
 _INTEGER = r"\A[+-]?[0-9]+\z"
@@ -51,7 +52,7 @@ def markdown_lines(
     Columns of integers only are set to the right, all others to the left; a column is at
     least two wider than its heading.
     """
-    sizes = column_widths(rows, groups, columns)
+    sizes = stage(column_widths(rows, groups, columns), "widths")
     index_width = F.greatest(F.lit(_MIN_PADDING), F.length((F.col("_rows") - 1).cast("string")))
     widths = [index_width] + [
         F.greatest(F.lit(len(c) + _MIN_PADDING), F.col(f"_w{i}")) for i, c in enumerate(columns)
@@ -139,13 +140,14 @@ def write_reports(ledger: DataFrame, results: DataFrame, base_url: str, target:
     ``results`` has one row per report and job. A version without ledger rows gets no
     file. Folder names carry the shown branch, so CSV keeps its own ``branch`` column.
     """
-    rows = numbered_rows(ledger, base_url)
+    rows = stage(numbered_rows(ledger, base_url), "report_rows")
     lines = markdown_lines(rows)
     targets = report_targets(results)
     folders = ["report_branch", "report_hash"]
     named = targets.select(
         F.col("branch_dir").alias("report_branch"), F.col("branch_hash").alias("report_hash")
     )
+    named = stage(named, "targets")
     write_text(
         lines.join(named, F.col("branch_hash") == F.col("report_hash")),
         folders,
@@ -165,7 +167,7 @@ def write_reports(ledger: DataFrame, results: DataFrame, base_url: str, target:
 
 def aligned_lines(rows: DataFrame, columns: Sequence[str], groups: Sequence[str]) -> DataFrame:
     """Space-aligned lines: columns two blanks apart, the last one not padded."""
-    sizes = column_widths(rows, groups, columns)
+    sizes = stage(column_widths(rows, groups, columns), "widths")
     padded = [
         F.rpad(F.col(c), F.col(f"_w{i}"), F.lit(" ")) for i, c in enumerate(columns[:-1])
     ] + [F.col(columns[-1])]
