@@ -403,4 +403,23 @@ SELECT job_branch AS branch_dir, arg_max(branch_hash, machine_pos) AS branch_has
 FROM run_found WHERE hash_rank = 1 GROUP BY job_branch""",
     "report_targets": f"""{WITH_RUN}
 SELECT DISTINCT job_branch AS branch_dir, branch_hash FROM run_found""",
+    "reports_as_written": f"""WITH {CELLS}, {LOGS}, {BUILT}, {ROWS.replace("rows_ AS", "stored_rows AS")},
+{_last(KEY, source="stored_rows", name="stored")}, {RUN_JOBS}, {RUN_RESULTS},
+merged AS (
+  SELECT {FLAT}, row(machine_pos, job_branch, hash_rank) AS at FROM (
+    SELECT *, row_number() OVER (PARTITION BY {KEY}, machine_pos, job_branch, hash_rank
+      ORDER BY source_path DESC) AS rn FROM rows_) WHERE rn = 1
+  UNION ALL SELECT {FLAT}, row(-1, '', 0) FROM stored
+),
+targets AS (
+  SELECT 'each' AS kind, job_branch AS report_branch, branch_hash AS report_hash,
+    max(row(machine_pos, job_branch, hash_rank)) AS written FROM run_found GROUP BY ALL
+  UNION ALL
+  SELECT 'latest', job_branch, arg_max(branch_hash, machine_pos),
+    max(row(machine_pos, job_branch, hash_rank)) FROM run_found WHERE hash_rank = 1 GROUP BY job_branch
+)
+SELECT kind, report_branch, report_hash, {FLAT}
+FROM targets t JOIN merged m ON m.branch_hash = t.report_hash AND m.at <= t.written
+WHERE NOT EXISTS (SELECT 1 FROM merged n WHERE n.at > m.at AND n.at <= t.written
+  AND {" AND ".join(f"n.{k} = m.{k}" for k in K.LEDGER_KEY)})""",
 }

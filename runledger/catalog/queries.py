@@ -346,7 +346,7 @@ def _archive(df: DataFrame) -> DataFrame:
 
 
 def _flat(df: DataFrame) -> DataFrame:
-    return df.select(*plan.RECORD_COLUMNS)
+    return df.select(*formatting.RECORD_COLUMNS)
 
 
 @query
@@ -505,7 +505,7 @@ def _full_run(spark: SparkSession, d: str) -> plan.Run:
 @query
 def run_results(spark: SparkSession, d: str) -> DataFrame:
     results, _ = plan.summarize(*_run_inputs(spark, d))
-    return results.select("machine", "job_branch", "source_path", *plan.RECORD_COLUMNS)
+    return results.select("machine", "job_branch", "source_path", *formatting.RECORD_COLUMNS)
 
 
 @query
@@ -525,4 +525,16 @@ def latest_pointer(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def report_targets(spark: SparkSession, d: str) -> DataFrame:
-    return R.report_targets(_full_run(spark, d).results)
+    return R.report_targets(_full_run(spark, d).results).drop("at")
+
+
+@query
+def reports_as_written(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of every report and latest report, with the run merged over an older ledger."""
+    older = _stored_ledger(spark, d).read()
+    results = _full_run(spark, d).results
+    versions = stage(R.row_versions(results, older, K.LEDGER_KEY), "versions")
+    shown = R.report_contents(versions, R.report_targets(results)).withColumn("kind", F.lit("each"))
+    latest = R.report_contents(versions, R.latest_targets(results))
+    both = shown.unionByName(latest.withColumn("kind", F.lit("latest")))
+    return both.select("kind", "report_branch", "report_hash", *formatting.RECORD_COLUMNS)

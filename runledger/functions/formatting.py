@@ -8,6 +8,18 @@ from pyspark.sql import functions as F
 from runledger import constants as K
 from runledger.functions.versions import sanitize_branch
 
+# What a ledger row says, lineage left out.
+RECORD_COLUMNS = (
+    *K.LEDGER_KEY,
+    *[f"{kind}_{part}" for kind in K.KINDS for part in ("pass", "fail", "status")],
+    "build_passed",
+    "netcdf_c",
+    "netcdf_f",
+    "artifacts_hash",
+    "branch_hash",
+    "modified",
+)
+
 
 def count_text(number: Column, status: Column) -> Column:
     """A result as the archive keeps it: the number, or the word ``fail``."""

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runledger import constants as K
+from runledger.functions.formatting import RECORD_COLUMNS
 from runledger.functions.parsing import parse_logs, parse_reports
 from runledger.operators.history import jobs_without
 from runledger.operators.lookup import build_map, with_build_outcome, with_latest_commit
@@ -18,16 +19,6 @@ from runledger.sinks.ledger import Ledger
 from runledger.sinks.reports import write_reports
 
 SCOPE = ("machine", "job_branch", "branch_hash")
-RECORD_COLUMNS = (
-    *K.LEDGER_KEY,
-    *[f"{kind}_{part}" for kind in K.KINDS for part in ("pass", "fail", "status")],
-    "build_passed",
-    "netcdf_c",
-    "netcdf_f",
-    "artifacts_hash",
-    "branch_hash",
-    "modified",
-)
 LEDGER_COLUMNS = (*RECORD_COLUMNS, "source_path", ARRIVAL)
 
 
@@ -117,9 +108,10 @@ def run(
     """Summarise, merge into the ledger and write the reports below ``target``."""
     results, rejects = summarize(reports, logs, hashes, latest, run_id, **options)
     results = stage(results, "results")
-    ledger.merge(results.select(*LEDGER_COLUMNS), run_id)
     if target:
-        write_reports(ledger.read(), results, base_url, target)
+        stored = ledger.read() if ledger.exists() else None
+        write_reports(results, stored, base_url, target, ledger.keys)
+    ledger.merge(results.select(*LEDGER_COLUMNS), run_id)
     missing = jobs_without(requests_of(hashes), results, SCOPE)
     return Run(results, rejects, missing, ledger)
 

@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from runledger import constants as K
-from runledger.functions.formatting import report_rows
+from runledger.functions.formatting import RECORD_COLUMNS, report_rows
 from runledger.functions.versions import sanitize_branch
 from runledger.operators.lookup import greatest_by
+from runledger.operators.merge import latest_per_key
 from runledger.operators.ordering import ordered_positions, shuffle_partitions
 from runledger.session import stage
 
@@ -18,13 +20,15 @@ _MIN_PADDING = 2
 _INTEGER = r"\A[+-]?[0-9]+\z"
 
 
-def numbered_rows(ledger: DataFrame, base_url: str) -> DataFrame:
-    """Report rows of every version with ``position`` in report order."""
+def numbered_rows(
+    ledger: DataFrame, base_url: str, groups: Sequence[str] = ("branch_hash",)
+) -> DataFrame:
+    """Report rows of every group with ``position`` in report order."""
     order = [*K.REPORT_ORDER, "os"]
     keyed = ledger.withColumns({f"_o{i}": F.col(c) for i, c in enumerate(order)})
     names = [f"_o{i}" for i in range(len(order))]
-    rows = report_rows(keyed, base_url, ("branch_hash", *names))
-    return ordered_positions(rows, ["branch_hash"], names).drop(*names)
+    rows = report_rows(keyed, base_url, (*groups, *names))
+    return ordered_positions(rows, list(groups), names).drop(*names)
 
 
 def column_widths(rows: DataFrame, groups: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -80,26 +84,67 @@ def markdown_lines(
     return head.unionByName(body)
 
 
-def csv_rows(rows: DataFrame) -> DataFrame:
-    return rows.select("branch_hash", "position", *K.REPORT_COLUMNS)
+def batch_at() -> Column:
+    """When a job's version was merged: job by job, newest version first."""
+    return F.struct("machine_pos", "branch_pos", "hash_rank")
 
 
 def report_targets(results: DataFrame) -> DataFrame:
-    """Folders that get a report of a version: each branch that processed it."""
-    return results.select(
-        sanitize_branch(F.col("job_branch")).alias("branch_dir"), "branch_hash"
-    ).distinct()
+    """Reports a run writes, with the batch ``at`` which each is written last.
+
+    Every branch that processed a version has a report of it.
+    """
+    branch_dir = sanitize_branch(F.col("job_branch")).alias("branch_dir")
+    return results.groupBy(branch_dir, "branch_hash").agg(F.max(batch_at()).alias("at"))
 
 
 def latest_targets(results: DataFrame) -> DataFrame:
-    """The version each folder's latest report shows.
+    """The version each folder's latest report shows, and the batch it is written after.
 
     Only a job's newest version counts; of several machines the last one decides.
     """
-    newest = results.where(F.col("hash_rank") == 1).withColumn(
-        "branch_dir", sanitize_branch(F.col("job_branch"))
+    newest = results.where(F.col("hash_rank") == 1).withColumns(
+        {"branch_dir": sanitize_branch(F.col("job_branch")), "at": batch_at()}
+    )
+    return greatest_by(newest, ["branch_dir"], ["at", "branch_hash"], ["branch_hash", "at"])
+
+
+def row_versions(
+    results: DataFrame, stored: DataFrame | None, keys: Sequence[str]
+) -> DataFrame:
+    """Every row a run merged with its batch ``at`` and the batch ``until`` which it stood.
+
+    Rows stored before the run have no ``at``. A batch keeps the last row of a key, so a
+    key has no more versions than there are batches that touch it, and the window over
+    them stays short however many reports share the key.
+    """
+    merged = latest_per_key(results.withColumn("at", batch_at()), [*keys, "at"])
+    columns = [*dict.fromkeys([*keys, *RECORD_COLUMNS]), "at"]
+    merged = merged.select(*columns)
+    if stored is not None:
+        wanted = results.select("branch_hash").distinct()
+        before = stored.join(wanted, "branch_hash", "left_semi")
+        at = F.lit(None).cast(merged.schema["at"].dataType)
+        merged = merged.unionByName(before.withColumn("at", at).select(*columns))
+    following = F.lead("at").over(W.partitionBy(*keys).orderBy("at"))
+    return merged.withColumn("until", following)
+
+
+def report_contents(versions: DataFrame, targets: DataFrame) -> DataFrame:
+    """The rows each report shows: those of its version that stood when it was written.
+
+    With several versions per run an older one may later take a row's place in the
+    ledger; the report of the newer one keeps the row.
+    """
+    named = targets.select(
+        F.col("branch_dir").alias("report_branch"),
+        F.col("branch_hash").alias("report_hash"),
+        F.col("at").alias("_written"),
     )
-    return greatest_by(newest, ["branch_dir"], ["machine_pos", "branch_hash"], ["branch_hash"])
+    merged = F.col("at").isNull() | (F.col("at") <= F.col("_written"))
+    stands = F.col("until").isNull() | (F.col("until") > F.col("_written"))
+    on = F.col("branch_hash") == F.col("report_hash")
+    return versions.join(named, on).where(merged & stands).drop("at", "until", "_written")
 
 
 def write_text(lines: DataFrame, folders: Sequence[str], target: str) -> None:
@@ -134,34 +179,30 @@ def _placed(df: DataFrame, folders: Sequence[str], place: str) -> DataFrame:
     return df.repartitionByRange(shuffle_partitions(df), *columns).sortWithinPartitions(*columns)
 
 
-def write_reports(ledger: DataFrame, results: DataFrame, base_url: str, target: str) -> None:
+def write_reports(
+    results: DataFrame,
+    stored: DataFrame | None,
+    base_url: str,
+    target: str,
+    keys: Sequence[str] = K.LEDGER_KEY,
+) -> None:
     """Markdown, CSV and latest reports below ``target`` for everything ``results`` covers.
 
-    ``results`` has one row per report and job. A version without ledger rows gets no
-    file. Folder names carry the shown branch, so CSV keeps its own ``branch`` column.
+    ``results`` has one row per report and job, ``stored`` the ledger before the run. A
+    version without rows gets no file. Folders carry their own column names, so that CSV
+    keeps its ``branch`` column.
     """
-    rows = stage(numbered_rows(ledger, base_url), "report_rows")
-    lines = markdown_lines(rows)
-    targets = report_targets(results)
+    versions = stage(row_versions(results, stored, keys), "versions")
     folders = ["report_branch", "report_hash"]
-    named = targets.select(
-        F.col("branch_dir").alias("report_branch"), F.col("branch_hash").alias("report_hash")
-    )
-    named = stage(named, "targets")
-    write_text(
-        lines.join(named, F.col("branch_hash") == F.col("report_hash")),
-        folders,
-        f"{target}/markdown",
-    )
-    csv = rows.join(named, F.col("branch_hash") == F.col("report_hash")).drop("branch_hash")
-    write_csv(csv.select(*folders, "position", *K.REPORT_COLUMNS), folders, f"{target}/csv")
-    latest = latest_targets(results).select(
-        F.col("branch_dir").alias("report_branch"), F.col("branch_hash").alias("report_hash")
-    )
+    contents = report_contents(versions, stage(report_targets(results), "targets"))
+    rows = stage(numbered_rows(contents, base_url, folders), "report_rows")
+    write_text(markdown_lines(rows, groups=folders), folders, f"{target}/markdown")
+    csv = rows.select(*folders, "position", *K.REPORT_COLUMNS)
+    write_csv(csv, folders, f"{target}/csv")
+    newest = report_contents(versions, stage(latest_targets(results), "targets"))
+    rows = stage(numbered_rows(newest, base_url, folders), "latest_rows")
     write_text(
-        lines.join(latest, F.col("branch_hash") == F.col("report_hash")),
-        ["report_branch"],
-        f"{target}/latest",
+        markdown_lines(rows, groups=folders), ["report_branch"], f"{target}/latest"
     )
 
 

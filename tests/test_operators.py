@@ -1,0 +1,177 @@
+import random
+
+from pyspark.sql import functions as F
+
+from runledger import constants as K
+from runledger.operators import history, lookup, merge, ordering
+
+
+def test_ordered_distinct(spark):
+    items = [1, 2, 3, 3, 2, 1, 9, 8, 7, 7, 8, 9]
+    df = spark.createDataFrame(list(enumerate(items)), "at int, v int")
+    rows = history.ordered_distinct(df, "v", "at").orderBy("first_at").collect()
+    assert [r.v for r in rows] == [1, 2, 3, 9, 8, 7]
+
+
+def test_job_grid_is_machine_major(spark):
+    branches = spark.createDataFrame([("develop", 0), ("feat", 1)], "branch string, branch_pos int")
+    rows = history.job_grid(branches, ["b", "a"], 2).orderBy("machine_pos", "branch_pos").collect()
+    assert [(r.machine, r.branch, r.qty) for r in rows] == [
+        ("b", "develop", 2), ("b", "feat", 2), ("a", "develop", 2), ("a", "feat", 2),
+    ]
+    assert list(K.MACHINES) == sorted(K.MACHINES) and len(K.MACHINES) == 13
+
+
+def _log(spark):
+    hashes = ["06-10-gce27d44", "06-9-gd3f8b21", "06-9-gd3f8b21", "06-7-gdaedd10", "06-10-gce27d44",
+              "06-1-ga2344ba", "05-30-gf84ebe0", "05-12-g1111111"]
+    rows = []
+    for i, h in enumerate(hashes):
+        token = f"ESMF_8_3_0_beta_snapshot_{h}"
+        rows.append(("cheyenne", 3 * i, f" update of intel_g_develop with hash {token} on cheyenne\n\nnote"))
+        rows.append(("cheyenne", 3 * i + 1, f"update of intel_g_other with hash {token} on cheyenne"))
+        rows.append(("cheyenne", 3 * i + 2, f"update of intel_g_develop with hash v9.{i}.0 on hera"))
+    rows.append(("cheyenne", -1, "merge develop on cheyenne"))
+    return spark.createDataFrame(rows, "machine string, pos int, message string")
+
+
+def test_recent_hashes(spark):
+    branches = spark.createDataFrame([("develop", 0), ("de.elop", 1)], "branch string, branch_pos int")
+    jobs = history.job_grid(branches, ["cheyenne", "hera"], 5)
+    rows = history.recent_hashes(_log(spark), jobs, 5).orderBy("branch", "hash_rank").collect()
+    expected = [f"ESMF_8_3_0_beta_snapshot_{h}" for h in
+                ("06-10-gce27d44", "06-9-gd3f8b21", "06-7-gdaedd10", "06-1-ga2344ba", "05-30-gf84ebe0")]
+    for branch in ("de.elop", "develop"):
+        assert [r.branch_hash for r in rows if r.branch == branch] == expected
+        assert [r.hash_rank for r in rows if r.branch == branch] == [1, 2, 3, 4, 5]
+    exact = history.recent_hashes(_log(spark), jobs, 5, exact=True).collect()
+    assert {r.branch for r in exact} == {"develop"} and len(exact) == 5
+    assert history.recent_hashes(_log(spark), jobs, 0).count() == 0
+    assert history.recent_hashes(_log(spark), jobs, -1).count() == 0
+
+
+def test_recent_hashes_limits_groups_in_the_map_tasks(spark):
+    branches = spark.createDataFrame([("develop", 0)], "branch string, branch_pos int")
+    jobs = history.job_grid(branches, ["cheyenne"], 5)
+    plan = history.recent_hashes(_log(spark), jobs, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
+
+
+def test_log_branches_and_missing(spark):
+    named = history.log_branches(_log(spark)).collect()
+    assert {r.branch for r in named} == {"develop", "other"}
+    jobs = spark.createDataFrame([("a", "x"), ("b", "x")], "machine string, branch string")
+    found = spark.createDataFrame([("a", "x"), ("a", "x")], "machine string, branch string")
+    assert [r.machine for r in history.jobs_without(jobs, found, ["machine", "branch"]).collect()] == ["b"]
+
+
+def _attributes(**changed):
+    values = dict(branch="develop", host="Hera", compiler="intel", c_version="18", o_g="O", mpi="mpi", m_version="1")
+    values.update(changed)
+    return tuple(values[k] for k in K.LOOKUP_KEY)
+
+
+def test_lookup_defaults(spark):
+    schema = ", ".join(f"{k} string" for k in K.LOOKUP_KEY)
+    reports = spark.createDataFrame(
+        [(1, *_attributes()), (2, *_attributes(host="orion")), (3, *_attributes(host=None)),
+         (4, *_attributes(compiler="nag"))],
+        f"i int, {schema}",
+    )
+    paths = [
+        ("/r/develop/hera/intel/18/O/mpi/1/a/build.log", False, "4.7.1", ""),
+        ("/r/develop/hera/intel/18/O/mpi/1/b/build.log", True, "4.7.2", ""),
+        ("/r/develop/none/intel/18/o/mpi/1/a/build.log", False, "", "4.5.2"),
+    ]
+    logs = spark.createDataFrame(paths, "path string, build_passed boolean, netcdf_c string, netcdf_f string")
+    builds = lookup.build_map(logs)
+    rows = lookup.with_build_outcome(reports, builds).orderBy("i").collect()
+    got = [(r.build_passed, r.netcdf_c, r.netcdf_f) for r in rows]
+    assert got == [
+        (True, "4.7.2", "N/A"),
+        (False, "unknown", "unknown"),
+        (False, "N/A", "4.5.2"),
+        (False, "unknown", "unknown"),
+    ]
+    assert rows[0].host == "Hera"
+
+
+def test_branch_with_the_dropped_token_never_joins(spark):
+    schema = ", ".join(f"{k} string" for k in K.LOOKUP_KEY)
+    reports = spark.createDataFrame([_attributes(branch="layout_fix")], schema)
+    logs = spark.createDataFrame(
+        [("/r/layout_fix/hera/intel/18/O/mpi/1/a/build.log", True, "4.7.1", "4.5.1")],
+        "path string, build_passed boolean, netcdf_c string, netcdf_f string",
+    )
+    assert not lookup.with_build_outcome(reports, lookup.build_map(logs)).first().build_passed
+    kept = lookup.build_map(logs, strip_token=None)
+    assert lookup.with_build_outcome(reports, kept).first().build_passed
+
+
+def test_latest_commit(spark):
+    commits = spark.createDataFrame(
+        [("c1", 0, " 2022-01-02 10:00:00 +0100 "), ("c2", 1, "2022-01-01 10:00:00 +0000")],
+        "commit_hash string, pos int, committed_at string",
+    )
+    touched = spark.createDataFrame(
+        [("c2", "/a"), ("c1", "/a"), ("c2", "/b")], "commit_hash string, path string"
+    )
+    latest = lookup.latest_commits(touched, commits)
+    files = spark.createDataFrame([("/a",), ("/b",), ("/c",)], "path string")
+    rows = lookup.with_latest_commit(files, latest).orderBy("path").collect()
+    assert [r.artifacts_hash for r in rows] == ["c1", "c2", ""]
+    at = lookup.with_latest_commit(files, latest).select(
+        F.unix_seconds(lookup.modified_time(F.col("modified"))).alias("t"), "path"
+    )
+    assert [r.t for r in at.orderBy("path").collect()] == [1641114000, 1641031200, None]
+
+
+def test_first_matching(spark):
+    df = spark.createDataFrame([("cheyenne3",), ("hfe03",), ("xhfe",), ("chey",)], "h string")
+    patterns = [("cheyenne", "cheyenne*"), ("hera", "hfe*"), ("late", "c")]
+    rows = df.select(lookup.first_matching(F.col("h"), patterns).alias("m")).collect()
+    assert [r.m for r in rows] == ["cheyenne", "hera", None, "late"]
+
+
+def _rows(spark, values):
+    return spark.createDataFrame(values, "k string, v int, s int")
+
+
+def test_upsert_is_idempotent_and_whole_row(spark):
+    x = _rows(spark, [("a", 1, 1), ("b", None, 1)])
+    y = _rows(spark, [("a", None, 2), ("a", 5, 1), ("c", 3, 1)])
+    once = merge.upsert(x, y, ["k"], ["s"])
+    twice = merge.upsert(once, y, ["k"], ["s"])
+    expected = {("a", None, 2), ("b", None, 1), ("c", 3, 1)}
+    assert {tuple(r) for r in once.collect()} == expected
+    assert sorted(map(tuple, twice.collect()), key=repr) == sorted(expected, key=repr)
+
+
+def test_latest_per_key_any_order(spark):
+    rng = random.Random(5)
+    values = [(rng.choice("aaaabc"), i, s) for i, s in enumerate(rng.sample(range(1000), 400))]
+    best = {}
+    for row in values:
+        if row[0] not in best or row[2] > best[row[0]][2]:
+            best[row[0]] = row
+    for _ in range(2):
+        rng.shuffle(values)
+        got = merge.latest_per_key(_rows(spark, values), ["k"], ["s"]).collect()
+        assert {tuple(r) for r in got} == set(best.values())
+
+
+def test_positions_with_a_hot_group(spark):
+    rng = random.Random(6)
+    rows = [("hot" if i % 3 else f"g{i % 7}", rng.random(), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, x double, i int").repartition(6)
+    got = {(r.g, r.i): r.place for r in ordering.ordered_positions(df, ["g"], ["x", "i"], "place").collect()}
+    groups = {}
+    for g, x, i in rows:
+        groups.setdefault(g, []).append((x, i))
+    expected = {(g, i): at for g, items in groups.items() for at, (_, i) in enumerate(sorted(items))}
+    assert got == expected
+
+
+def test_report_order(spark):
+    df = spark.createDataFrame([("b", "1"), (None, "1"), ("B", "1")], "k string, os string")
+    assert [r.k for r in ordering.report_order(df, ["k"]).collect()] == [None, "B", "b"]
