@@ -141,7 +141,10 @@ def parse_reports(df: DataFrame, text: str = "text") -> DataFrame:
             result_number(r["value"], 2).alias("failed"),
         ),
     )
-    df = df.withColumns({"_parts": header_parts(header), "_results": results})
+    earlier = F.slice("_marked", 1, F.size("_marked") - F.size("_current"))
+    df = df.withColumns(
+        {"_parts": header_parts(header), "_results": results, "_earlier": earlier}
+    )
     df = df.withColumns({f"_{kind}": _last_of_kind(F.col("_results"), kind) for kind in K.KINDS})
     columns = header_fields(F.col("_parts"))
     missing = F.lit(False)
@@ -154,13 +157,16 @@ def parse_reports(df: DataFrame, text: str = "text") -> DataFrame:
         missing = missing | last.isNull()
     known = list(K.KINDS)
     columns["reject_reason"] = (
-        F.when(F.exists("_marked", _bad_header), "bad_header")
-        .when(F.exists("_marked", _bad_result), "bad_result")
+        F.when(F.exists("_earlier", _bad_header) | ~F.col("_parts.valid"), "bad_header")
+        .when(
+            F.exists("_earlier", _bad_result) | F.exists("_results", lambda r: r["kind"] == ""),
+            "bad_result",
+        )
         .when(F.col("_parts.valid").isNull(), "no_header")
         .when(F.exists("_results", lambda r: ~r["kind"].isin(known)), "unknown_kind")
         .when(missing, "missing_kind")
     )
-    scratch = ["_marked", "_current", "_parts", "_results"]
+    scratch = ["_marked", "_current", "_parts", "_results", "_earlier"]
     return df.withColumns(columns).drop(*scratch, *[f"_{kind}" for kind in K.KINDS])
 
 

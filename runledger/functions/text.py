@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from runledger import constants as K
 
+BLANKS = " \t\n\x0b\x0c\r"
+
 
 def latin1_text(content: Column) -> Column:
     """Report bytes as text."""
@@ -72,7 +74,7 @@ def _behind(value: Column, mark: str) -> Column:
 
 def strip(value: Column) -> Column:
     """Remove white space of every kind at both ends (``trim`` removes blanks only)."""
-    return F.regexp_replace(value, r"\A\s+|\s+\z", "")
+    return F.btrim(value, F.lit(BLANKS))
 
 
 def contains_all(value: Column, needles: Iterable[str]) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runledger.functions.paths import inner_components
-from runledger.functions.text import split_lines, strip
+from runledger.functions.text import BLANKS, split_lines, strip
 from runledger.functions.versions import is_tagged, sanitize_branch, version_match
 
 # Block keys are cut to these lengths; the full rule is checked after the join, so the
@@ -17,7 +17,6 @@ _MAX_HEAD = 256
 _MAX_TAIL = 32
 _MAX_PATTERNS = 1000
 _PLAIN = r"\A[A-Za-z0-9_.-]+\z"
-_BLANKS = " \t\n\x0b\x0c\r"
 
 
 def _block(token: Column, literal: bool) -> Column:
@@ -60,7 +59,7 @@ def _block(token: Column, literal: bool) -> Column:
 
 
 def _first_letter(line: Column) -> Column:
-    return F.substring(F.ltrim(line, F.lit(_BLANKS)), 1, 1)
+    return F.substring(F.ltrim(line, F.lit(BLANKS)), 1, 1)
 
 
 def _offered_keys(shapes: Sequence[tuple[str, int, int]], patterns: Sequence[str]) -> Column:
@@ -162,13 +161,6 @@ def match_texts(
     return match_lines(lined, requests, "_lines", literal=literal)
 
 
-def belongs_to_job(path: Column, branch: Column, machine: Column) -> Column:
-    """The path has the sanitised branch as an inner component and the machine anywhere."""
-    return F.array_contains(inner_components(path), sanitize_branch(branch)) & path.contains(
-        machine
-    )
-
-
 def paths_of_jobs(paths: DataFrame, jobs: DataFrame) -> DataFrame:
     """Pairs of ``paths(path, ...)`` and ``jobs(machine, branch, ...)``, each pair once.
 
@@ -188,9 +180,10 @@ def matches_of_jobs(matches: DataFrame, requests: DataFrame) -> DataFrame:
     ``requests`` has ``machine``, ``job_branch`` and ``branch_hash``. A version held by
     most files is a hot key on the file side, which AQE splits.
     """
-    return matches.join(requests, "branch_hash").where(
-        belongs_to_job(F.col("path"), F.col("job_branch"), F.col("machine"))
-    )
+    parts = matches.withColumn("_inner", inner_components(F.col("path")))
+    owned = F.array_contains("_inner", sanitize_branch(F.col("job_branch")))
+    joined = parts.join(requests, "branch_hash")
+    return joined.where(owned & F.col("path").contains(F.col("machine"))).drop("_inner")
 
 
 def lines_matching(df: DataFrame, text: str, pattern: str) -> DataFrame:
