@@ -29,7 +29,7 @@ def _pick(number: str, values: tuple[str, ...]) -> str:
 BRANCHES = ("develop", "feat_x", "layout_fix")
 _HEADER = (
     "concat('Build for = ', compiler, '_', c_version, '_', mpi, '_', o_g, '_', {branch}, "
-    "', mpi version ', m_version, ' on ', host, ' esmf_os: ', os)"
+    f"', mpi version ', m_version, ' on ', host, ' {K.OS_MARK}: ', os)"
 )
 
 

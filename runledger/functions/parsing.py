@@ -19,7 +19,7 @@ _TWO_NUMBERS = r"\A([+-]?[0-9]+)\s+([+-]?[0-9]+)\z"
 def header_parts(line: Column) -> Column:
     """A header line cut up, and whether it has the parts it must have.
 
-    "Build for = c_v_m_o_branch, mpi version V on H esmf_os: O": five parts left of the
+    "Build for = c_v_m_o_branch, mpi version V on H <mark>: O": five parts left of the
     comma, the last of which keeps its underscores, and seven words right of it.
     """
 

@@ -98,7 +98,7 @@ RESULT = "{k} test results\tPASS {p}\tFAIL 0\n"
 def write_report(root, branch, host, compiler, folder, token, passed, log=True, kinds=tuple(K.KINDS)):
     leaf = root / branch / host / compiler / "18" / "g" / "mpi" / "1" / folder
     leaf.mkdir(parents=True)
-    text = f"Build for = {compiler}_18_mpi_g_{branch}, mpi version 1 on {host} esmf_os: Linux\n"
+    text = f"Build for = {compiler}_18_mpi_g_{branch}, mpi version 1 on {host} {K.OS_MARK}: Linux\n"
     text += "".join(RESULT.format(k=k, p=passed) for k in kinds) + f"---\n{token}\n"
     (leaf / "summary.dat").write_text(text)
     if log:

@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from test_text import rule
+from test_text import SNAP, rule
 
 from runledger.functions.text import split_lines
 from runledger.operators import matching
@@ -40,8 +40,8 @@ def random_files(seed, tokens, count=150):
 
 
 TOKENS = [
-    "v8.5.0", "v8.5.1", "ESMF_8_3_0", "v8.3.0b07-12-g8913088", "v8.3.0b07-12-g89130",
-    "ESMF_8_3_0_beta_snapshot_04-8-g60a38ef", "v9..-g1.", "a-g", ".-g5", "v" * 300 + ".1.2",
+    "v8.5.0", "v8.5.1", f"{SNAP}8_3_0", "v8.3.0b07-12-g8913088", "v8.3.0b07-12-g89130",
+    f"{SNAP}8_3_0_beta_snapshot_04-8-g60a38ef", "v9..-g1.", "a-g", ".-g5", "v" * 300 + ".1.2",
 ]
 
 

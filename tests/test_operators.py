@@ -27,7 +27,7 @@ def _log(spark):
               "06-1-ga2344ba", "05-30-gf84ebe0", "05-12-g1111111"]
     rows = []
     for i, h in enumerate(hashes):
-        token = f"ESMF_8_3_0_beta_snapshot_{h}"
+        token = f"{K.SNAPSHOT_PREFIX}8_3_0_beta_snapshot_{h}"
         rows.append(("cheyenne", 3 * i, f" update of intel_g_develop with hash {token} on cheyenne\n\nnote"))
         rows.append(("cheyenne", 3 * i + 1, f"update of intel_g_other with hash {token} on cheyenne"))
         rows.append(("cheyenne", 3 * i + 2, f"update of intel_g_develop with hash v9.{i}.0 on hera"))
@@ -39,7 +39,7 @@ def test_recent_hashes(spark):
     branches = spark.createDataFrame([("develop", 0), ("de.elop", 1)], "branch string, branch_pos int")
     jobs = history.job_grid(branches, ["cheyenne", "hera"], 5)
     rows = history.recent_hashes(_log(spark), jobs, 5).orderBy("branch", "hash_rank").collect()
-    expected = [f"ESMF_8_3_0_beta_snapshot_{h}" for h in
+    expected = [f"{K.SNAPSHOT_PREFIX}8_3_0_beta_snapshot_{h}" for h in
                 ("06-10-gce27d44", "06-9-gd3f8b21", "06-7-gdaedd10", "06-1-ga2344ba", "05-30-gf84ebe0")]
     for branch in ("de.elop", "develop"):
         assert [r.branch_hash for r in rows if r.branch == branch] == expected

@@ -2,9 +2,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from runledger import constants as K
 from runledger.functions import parsing
 
-HEAD = "Build for = intel_18.0.5_intelmpi_g_feat_x_y, mpi version 2018.4.274-A on Cheyenne esmf_os: Linux"
+HEAD = f"Build for = intel_18.0.5_intelmpi_g_feat_x_y, mpi version 2018.4.274-A on Cheyenne {K.OS_MARK}: Linux"
 TAIL = (
     "unit test results   \tPASS 8926\tFAIL 0\nsystem test results \tPASS 49 \tFAIL 1\n"
     "example test results \tNo examples ran\nnuopc test results \tPASS -1 \tFAIL -1\n"
@@ -74,7 +75,7 @@ def test_render_then_parse(spark):
     def check(reports):
         texts = []
         for c, v, m, o, b, mv, h, os_, p, f in reports:
-            head = f"Build for = {c}_{v}_{m}_{o}_{b}, mpi version {mv} on {h} esmf_os: {os_}\n"
+            head = f"Build for = {c}_{v}_{m}_{o}_{b}, mpi version {mv} on {h} {K.OS_MARK}: {os_}\n"
             texts.append(head + TAIL + f"unit test results\tPASS {p}\tFAIL {f}\n")
         for row, (c, v, m, o, b, mv, h, os_, p, f) in zip(parse(spark, *texts), reports):
             assert row["reject_reason"] is None
@@ -88,8 +89,8 @@ def test_render_then_parse(spark):
 def test_build_log(spark):
     texts = [
         "x\nNETCDF library VERSION: 4.7.2\nnetcdf library version: 9.9.9\n"
-        "NetCDF Fortran version: netCDF-Fortran 4.5.2\nESMF library built successfully\n",
-        "NetCDF library version:\nNetCDF library version: 4.7.2\nesmf library built successfully\n",
+        f"NetCDF Fortran version: netCDF-Fortran 4.5.2\n{K.SUCCESS_MESSAGE}\n",
+        f"NetCDF library version:\nNetCDF library version: 4.7.2\n{K.SUCCESS_MESSAGE.lower()}\n",
         "",
     ]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
@@ -99,7 +100,7 @@ def test_build_log(spark):
 
 
 def test_tail_limit(spark):
-    texts = ["ESMF library built successfully\n" + "x\n" * n for n in (0, 201, 202)]
+    texts = [f"{K.SUCCESS_MESSAGE}\n" + "x\n" * n for n in (0, 201, 202)]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
     rows = df.orderBy("i").select(parsing.tail_build_passed(F.col("text")).alias("r")).collect()
     assert [r["r"] for r in rows] == [True, True, False]

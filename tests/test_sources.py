@@ -4,10 +4,11 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from runledger import constants as K
 from runledger.functions.parsing import parse_logs, parse_reports
 from runledger.sources import commits, config, files
 
-HEAD = "Build for = intel_18_mpi_g_develop, mpi version 1 on hera esmf_os: Linux\n"
+HEAD = f"Build for = intel_18_mpi_g_develop, mpi version 1 on hera {K.OS_MARK}: Linux\n"
 RESULTS = "".join(f"{k} test results\tPASS 1\tFAIL 0\n" for k in ("unit", "system", "example", "nuopc"))
 
 
@@ -17,7 +18,7 @@ def tree(tmp_path_factory):
     leaf = root / "develop/hera/intel/18/g/mpi/1/lay out"
     leaf.mkdir(parents=True)
     (leaf / "summary.dat").write_bytes((HEAD + RESULTS).encode() + b"caf\xe9\r\nv8.5.0\r\n")
-    (leaf / "build.log").write_bytes(b"v8.5.0\nbad \xff\xfe byte\nESMF library built successfully\n")
+    (leaf / "build.log").write_bytes(b"v8.5.0\nbad \xff\xfe byte\n" + K.SUCCESS_MESSAGE.encode())
     (leaf / ".summary.dat.swp").write_bytes(b"x")
     (leaf / "summary.dat.swp").write_bytes(b"x")
     (leaf / "module-build.log").write_bytes(b"x")

@@ -5,8 +5,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from runledger import constants as K
 from runledger.functions import paths, text, versions
 
+SNAP = K.SNAPSHOT_PREFIX
+
 
 def column(spark, values, expr):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
@@ -58,9 +61,9 @@ def test_path_predicates(spark):
 @pytest.mark.parametrize(
     ("value", "token"),
     [
-        ("ESMF_8_3_0_beta_snapshot_07-g8913088", "ESMF_8_3_0_beta_snapshot_07-g8913088"),
+        (f"{SNAP}8_3_0_beta_snapshot_07-g8913088", f"{SNAP}8_3_0_beta_snapshot_07-g8913088"),
         ("v8.3.0b07-12-g8913088", "v8.3.0b07-12-g8913088"),
-        ("hash v8.3.0b08-5-g64 and ESMF_8 ESMF_9", "ESMF_8"),
+        (f"hash v8.3.0b08-5-g64 and {SNAP}8 {SNAP}9", f"{SNAP}8"),
         ("have v1.2 only", ""),
         ("nothing", ""),
     ],
@@ -116,9 +119,9 @@ def rule(line, token):
 
 
 def test_version_match_against_rule(spark):
-    tokens = ["v8.5.0", "v8.3.0b1-5-g64", "ESMF_8_3_0-8-g60a38ef"]
+    tokens = ["v8.5.0", "v8.3.0b1-5-g64", f"{SNAP}8_3_0-8-g60a38ef"]
     lines = [*tokens, " v8.5.0", "v8.5.0 ", "v8x5x0", "v8.5.01", "v8x3x0b1-5-g64", "v8.3.0b1-5-g6"]
-    lines += ["ESMF_8_3_0-8-g60a38ef462", "ESMF_8_3_0-8-g60a38ef and more", "git hash = v8.5.0"]
+    lines += [f"{SNAP}8_3_0-8-g60a38ef462", f"{SNAP}8_3_0-8-g60a38ef and more", "git hash = v8.5.0"]
     pairs = [(line, t) for line in lines for t in tokens]
     df = spark.createDataFrame(pairs, "line string, t string")
     hit = versions.version_match(F.col("line"), F.col("t"))
