@@ -161,20 +161,25 @@ def match_texts(
     return match_lines(lined, requests, "_lines", literal=literal)
 
 
-def paths_of_jobs(paths: DataFrame, jobs: DataFrame) -> DataFrame:
+def _of_machine(inner: Column, exact: bool) -> Column:
+    if exact:
+        return F.array_contains(inner, F.col("machine"))
+    return F.col("path").contains(F.col("machine"))
+
+
+def paths_of_jobs(paths: DataFrame, jobs: DataFrame, exact: bool = False) -> DataFrame:
     """Pairs of ``paths(path, ...)`` and ``jobs(machine, branch, ...)``, each pair once.
 
-    Joins on the branch component; the machine is tested on the pairs that leaves.
+    Joins on the branch component; the machine is tested on the pairs that leaves. It may
+    stand anywhere in the path, with ``exact`` it must be a component too.
     """
-    parts = paths.withColumn("_part", F.explode(inner_components(F.col("path"))))
-    return (
-        parts.join(jobs, F.col("_part") == sanitize_branch(F.col("branch")))
-        .where(F.col("path").contains(F.col("machine")))
-        .drop("_part")
-    )
+    parts = paths.withColumn("_inner", inner_components(F.col("path")))
+    parts = parts.withColumn("_part", F.explode("_inner"))
+    joined = parts.join(jobs, F.col("_part") == sanitize_branch(F.col("branch")))
+    return joined.where(_of_machine(F.col("_inner"), exact)).drop("_part", "_inner")
 
 
-def matches_of_jobs(matches: DataFrame, requests: DataFrame) -> DataFrame:
+def matches_of_jobs(matches: DataFrame, requests: DataFrame, exact: bool = False) -> DataFrame:
     """Files matched to a version, with every job that requests it and owns the path.
 
     ``requests`` has ``machine``, ``job_branch`` and ``branch_hash``. A version held by
@@ -183,7 +188,7 @@ def matches_of_jobs(matches: DataFrame, requests: DataFrame) -> DataFrame:
     parts = matches.withColumn("_inner", inner_components(F.col("path")))
     owned = F.array_contains("_inner", sanitize_branch(F.col("job_branch")))
     joined = parts.join(requests, "branch_hash")
-    return joined.where(owned & F.col("path").contains(F.col("machine"))).drop("_inner")
+    return joined.where(owned & _of_machine(F.col("_inner"), exact)).drop("_inner")
 
 
 def lines_matching(df: DataFrame, text: str, pattern: str) -> DataFrame:

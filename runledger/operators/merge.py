@@ -47,9 +47,9 @@ def upsert(
     ``stored`` has one row per key. It is not shuffled when the incoming keys are few
     enough to broadcast, which Spark decides by their measured size.
     """
-    fresh = latest_per_key(incoming, keys, order)
-    kept = stored.join(fresh.select(*keys), list(keys), "left_anti")
-    return kept.unionByName(fresh)
+    replaced = incoming.select(*keys).distinct()
+    kept = stored.join(replaced, list(keys), "left_anti")
+    return kept.unionByName(latest_per_key(incoming, keys, order))
 
 
 def history_key(keys: Sequence[str] = K.LEDGER_KEY) -> tuple[str, ...]:

@@ -51,6 +51,7 @@ def summarize(
     latest: DataFrame,
     run_id: int = 0,
     literal: bool = False,
+    exact_machine: bool = False,
     on_incomplete: str = "reject",
     strip_token: str | None = K.STRIPPED_PATH_TOKEN,
     key_value: bool = False,
@@ -60,7 +61,8 @@ def summarize(
     ``reports`` and ``logs`` are ``(path, text, match_text)``, ``hashes`` comes from
     ``recent_hashes``, ``latest`` from ``latest_commits``. Texts are reduced to records
     and version lines where they are read; only those reach a shuffle. A build log counts
-    for the job and version it matched itself. ``on_incomplete`` sets aside reports that
+    for the job and version it matched itself. ``exact_machine`` wants the machine as a path
+    component instead of anywhere in the path. ``on_incomplete`` sets aside reports that
     lack a header or a result (``reject``) or fails on them (``fail``).
     """
     requests = stage(requests_of(hashes), "requests")
@@ -73,8 +75,9 @@ def summarize(
         requests,
         literal=literal,
     ).select("path", "branch_hash", "record.*")
-    found = matches_of_jobs(found, requests)
-    built = matches_of_jobs(match_texts(outcomes, requests, literal=literal), requests)
+    found = matches_of_jobs(found, requests, exact_machine)
+    built = match_texts(outcomes, requests, literal=literal)
+    built = matches_of_jobs(built, requests, exact_machine)
     if on_incomplete == "fail":
         message = F.concat_ws(" ", F.lit("incomplete report:"), "reject_reason", "path")
         found = found.withColumn(

@@ -13,7 +13,7 @@ from runledger.operators.lookup import least_by
 from runledger.operators.matching import containing_mark
 from runledger.operators.ordering import ordered_positions
 from runledger.session import stage
-from runledger.sinks.reports import aligned_lines
+from runledger.sinks.reports import aligned_lines, write_text
 from runledger.sources.commits import commit_lines
 from runledger.sources.files import named_files
 
@@ -70,3 +70,10 @@ def text_report(reports: DataFrame, commits: DataFrame, branch: str) -> DataFram
     rows = rows.unionByName(header).withColumn("_line", F.concat_ws(" ", *_COLUMNS))
     placed = ordered_positions(rows, ["branch_hash"], ["host", "_line", "path"])
     return aligned_lines(placed, _COLUMNS, ["branch_hash"])
+
+
+def write_text_report(
+    reports: DataFrame, commits: DataFrame, branch: str, target: str
+) -> None:
+    """One folder per version below ``target``."""
+    write_text(text_report(reports, commits, branch), ["branch_hash"], target)

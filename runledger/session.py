@@ -57,7 +57,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out to all cores when the scan has fewer splits than there are cores.
+    """Deal the rows of a scan out to all cores when it has fewer splits than there are cores.
 
     A few small files would otherwise be parsed by a few tasks. A large table has splits
     enough and is left alone, so nothing is shuffled for it.

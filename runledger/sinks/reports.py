@@ -206,6 +206,19 @@ def write_reports(
     )
 
 
+def write_branch_reports(ledger: DataFrame, branch: str, base_url: str, target: str) -> None:
+    """Write the report of every version stored for ``branch`` anew, from the ledger alone."""
+    hashes = ledger.where(F.col("branch") == branch).select("branch_hash").distinct()
+    shown = ledger.join(hashes, "branch_hash", "left_semi")
+    rows = stage(
+        numbered_rows(shown, base_url).withColumnRenamed("branch_hash", "report_hash"), "rows"
+    )
+    write_text(markdown_lines(rows, groups=["report_hash"]), ["report_hash"], f"{target}/markdown")
+    write_csv(
+        rows.select("report_hash", "position", *K.REPORT_COLUMNS), ["report_hash"], f"{target}/csv"
+    )
+
+
 def aligned_lines(rows: DataFrame, columns: Sequence[str], groups: Sequence[str]) -> DataFrame:
     """Space-aligned lines: columns two blanks apart, the last one not padded."""
     sizes = stage(column_widths(rows, groups, columns), "widths")

@@ -71,6 +71,11 @@ def log_tree(spark: SparkSession, root: str) -> DataFrame:
     return logs_of(scan_tree(spark, root, glob=f"*{K.LOG_FILE}*"))
 
 
+def in_path_order(files: DataFrame) -> DataFrame:
+    """Each path once, sorted."""
+    return files.dropDuplicates(["path"]).orderBy("path")
+
+
 def oversized(files: DataFrame, limit: int = MAX_FILE_BYTES) -> DataFrame:
     """Files too long to be one row; reads no content."""
     return files.where(F.col("length") > limit).select("path", "length")

@@ -195,6 +195,45 @@ def test_run_over_a_tree(spark, world, tmp_path):
     assert not os.path.exists(os.path.join(target, "markdown", "report_branch=develop", "report_hash=v8.0.0"))
 
 
+def test_reports_of_a_branch_from_the_ledger(spark, world, tmp_path):
+    out = do_run(spark, world, keep_history=True)
+    R.write_branch_reports(out.ledger.read(), "develop", "https://example.org/x", str(tmp_path))
+    found = {os.path.basename(p) for p in glob.glob(f"{tmp_path}/markdown/report_hash=*")}
+    assert found == {"report_hash=v8.1.0b2-5-gaaaa", "report_hash=v8.1.0b1-5-gbbbb"}
+    parts = sorted(glob.glob(f"{tmp_path}/markdown/report_hash=v8.1.0b2-5-gaaaa/*.txt"))
+    assert len("".join(open(p).read() for p in parts).splitlines()) == 2 + 4
+
+
+def test_older_text_report(spark, tmp_path):
+    from runledger.plans.textreport import write_text_report
+
+    text = f"Build for = x, mpi version 1 on h {K.OS_MARK}: Linux\ngit hash = v8-g1\n"
+    text += "".join(RESULT.format(k=k, p=5) for k in K.KINDS)
+    reports = spark.createDataFrame(
+        [("/develop/Gaea/nag/7/O/mpiuni/Summary.dat", text),
+         ("/develop/hera/intel/18/g/mpi/1/summary.dat", text),
+         ("/develop/hera/intel/18/g/mpi/2/summary.dat", text.replace("v8-g1", "v7-g1")),
+         ("/feat/hera/intel/18/g/mpi/1/summary.dat", text)],
+        "path string, text string",
+    )
+    commits = spark.createDataFrame(
+        [("hera", 1, "update for test of a_develop with hash v7-g1 on hera"),
+         ("hera", 0, "update for test of a_develop with hash v8-g1 on hera"),
+         ("jet", 0, "develop merged")],
+        "machine string, pos int, message string",
+    )
+    write_text_report(reports, commits, "develop", str(tmp_path / "out"))
+    assert os.listdir(tmp_path / "out").count("branch_hash=v8-g1") == 1
+    parts = sorted(glob.glob(str(tmp_path / "out/branch_hash=*/*.txt")))
+    lines = [line.split() for p in parts for line in open(p).read().splitlines()]
+    assert [line[:6] for line in lines] == [
+        ["Linux", "Gaea", "nag", "7", "mpiuni", "none"],
+        ["OS", "HOST", "compilier", "version", "mpi-type", "mpi-ver"],
+        ["Linux", "hera", "intel", "18", "mpi", "1"],
+    ]
+    assert lines[0][7:9] == ["5", "0"]
+
+
 def test_first_machine_report_keeps_replaced_rows(spark, world, tmp_path):
     root, _, hashes, latest = world
     target = str(tmp_path / "out")

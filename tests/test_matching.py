@@ -95,6 +95,14 @@ def test_paths_of_jobs(spark):
     assert got == [("/develop/hera/x/develop/f", "hera", "develop"), ("/r/feat_x/jet/f", "jet", "feat/x")]
 
 
+def test_exact_machine(spark):
+    paths = spark.createDataFrame([("/r/develop/xhera/f",), ("/r/develop/hera/f",)], "path string")
+    jobs = spark.createDataFrame([("hera", "develop")], "machine string, branch string")
+    assert matching.paths_of_jobs(paths, jobs).count() == 2
+    exact = matching.paths_of_jobs(paths, jobs, exact=True).collect()
+    assert [r.path for r in exact] == ["/r/develop/hera/f"]
+
+
 def test_lines_and_marks(spark):
     files = spark.createDataFrame(
         [("/a", "hash = v8-g1\nother hash = v9-g22x"), ("/b", "hash= v8-g1")], "path string, text string"

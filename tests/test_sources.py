@@ -57,6 +57,8 @@ def test_path_predicates_and_names(spark, tree):
     assert files.scan_tree(spark, tree, ["jet"]).count() == 0
     named = files.named_files(files.scan_tree(spark, tree)).select("path").collect()
     assert len(named) == 5
+    twice = found.unionByName(found)
+    assert files.in_path_order(twice).count() == 1
     assert files.oversized(files.scan_tree(spark, tree), 50).count() > 0
 
 
