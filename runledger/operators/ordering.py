@@ -11,14 +11,13 @@ from pyspark.sql import functions as F
 from runledger.session import stage
 
 
-def shuffle_partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def cluster_by_range(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Range-partition and sort by ``columns``, with the range's number as ``range_id``.
 
-
-def cluster_by_range(df: DataFrame, columns: Sequence[str], partitions: int | None = None) -> DataFrame:
-    """Range-partition and sort by ``columns``, with the range's number as ``range_id``."""
-    count = partitions or shuffle_partitions(df)
-    ranged = df.repartitionByRange(count, *columns).sortWithinPartitions(*columns)
+    The number of ranges is the session's number of shuffle partitions; AQE joins
+    neighbouring ones that turn out small, which keeps their order.
+    """
+    ranged = df.repartitionByRange(*columns).sortWithinPartitions(*columns)
     return ranged.withColumn("range_id", F.spark_partition_id())
 
 

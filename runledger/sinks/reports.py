@@ -13,7 +13,7 @@ from runledger.functions.formatting import RECORD_COLUMNS, report_rows
 from runledger.functions.versions import sanitize_branch
 from runledger.operators.lookup import greatest_by
 from runledger.operators.merge import latest_per_key
-from runledger.operators.ordering import ordered_positions, shuffle_partitions
+from runledger.operators.ordering import ordered_positions
 from runledger.session import stage
 
 _MIN_PADDING = 2
@@ -176,7 +176,7 @@ def _placed(df: DataFrame, folders: Sequence[str], place: str) -> DataFrame:
     # Folder columns that cannot be null keep the writer from sorting again.
     df = df.withColumns({f: F.coalesce(F.col(f), F.lit("")) for f in folders})
     columns = [*folders, place]
-    return df.repartitionByRange(shuffle_partitions(df), *columns).sortWithinPartitions(*columns)
+    return df.repartitionByRange(*columns).sortWithinPartitions(*columns)
 
 
 def write_reports(
