@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from runledger.llm.mixing import mix_sources
+from runledger.llm.neardup import near_duplicates
 from runledger.llm.sharding import shard_documents
 
 
@@ -19,12 +20,17 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_superminhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), 3, (17, 20))
+
+
 def op9_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), 40)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op4_superminhash_groups": op4_superminhash_groups,
     "op9_hilbert_shards": op9_hilbert_shards,
 }
 
@@ -77,4 +83,45 @@ SELECT d.doc_id, d.size, w.source_size::BIGINT AS source_size, w.target,
 FROM docs d JOIN drawn w ON d.src = w.src AND d.draw = w.draw
 """
 
-ORACLE: dict[str, str] = {"op1_mix_sources": OP1_SQL}
+OP4_SQL = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+), shingled AS (
+    SELECT doc_id, unnest(
+        CASE WHEN len(w) >= 3
+        THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+        WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle
+    FROM words
+), shingles AS MATERIALIZED (
+    SELECT DISTINCT doc_id, shingle FROM shingled
+), sizes AS (
+    SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), common AS (
+    SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared
+    FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id < b.doc_id
+    GROUP BY 1, 2
+), links AS MATERIALIZED (
+    SELECT x, y FROM common
+    JOIN sizes s ON s.doc_id = x JOIN sizes t ON t.doc_id = y
+    WHERE 100 * shared >= 85 * (s.n + t.n - shared)
+), edges AS MATERIALIZED (
+    SELECT x, y FROM links UNION SELECT y, x FROM links
+), reach(doc_id, seen) AS (
+    SELECT doc_id, doc_id FROM documents
+    UNION
+    SELECT r.doc_id, e.y FROM reach r JOIN edges e ON r.seen = e.x
+), lowest AS (
+    SELECT doc_id, min(seen) AS component_id FROM reach GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, l.component_id,
+    d.doc_id = l.component_id AS kept
+FROM documents d JOIN lowest l ON d.doc_id = l.doc_id LEFT JOIN sizes s ON d.doc_id = s.doc_id
+"""
+
+ORACLE: dict[str, str] = {
+    "op1_mix_sources": OP1_SQL,
+    "op4_superminhash_groups": OP4_SQL,
+}
