@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from runledger.llm.langid import languages_of
 from runledger.llm.mixing import mix_sources
 from runledger.llm.neardup import near_duplicates
 from runledger.llm.sharding import shard_documents
@@ -24,6 +25,13 @@ def op4_superminhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), 3, (17, 20))
 
 
+def op5_kneser_ney_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return languages_of(docs).select(
+        "doc_id", "held_out", "lang_pred", "score", "cross_entropy", "n_signs", "rejected"
+    )
+
+
 def op9_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), 40)
 
@@ -31,6 +39,7 @@ def op9_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op4_superminhash_groups": op4_superminhash_groups,
+    "op5_kneser_ney_languages": op5_kneser_ney_languages,
     "op9_hilbert_shards": op9_hilbert_shards,
 }
 

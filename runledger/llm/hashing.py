@@ -47,8 +47,10 @@ class _Powers:
                 setattr(cls, name, np.multiply.accumulate(steps))
 
 
-def chunks(batch: pa.RecordBatch, text: str = "text") -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Runs of rows whose texts together stay near a few megabytes, with those texts."""
+def chunks(
+    batch: pa.RecordBatch, text: str = "text", limit: int = _CHUNK
+) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Runs of rows whose texts together stay near ``limit`` bytes, with those texts."""
     column = batch.column(text)
     sizes = np.cumsum(
         np.asarray(pa.compute.binary_length(column).fill_null(0), dtype=np.int64), dtype=np.int64
@@ -56,7 +58,7 @@ def chunks(batch: pa.RecordBatch, text: str = "text") -> Iterator[tuple[pa.Recor
     start = 0
     while start < batch.num_rows:
         done = sizes[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(sizes, done + _CHUNK, side="right")))
+        stop = max(start + 1, int(np.searchsorted(sizes, done + limit, side="right")))
         part = batch.slice(start, stop - start)
         yield part, part.column(text).to_pylist()
         start = stop
