@@ -10,6 +10,7 @@ from runledger.llm.langid import languages_of
 from runledger.llm.mixing import mix_sources
 from runledger.llm.neardup import near_duplicates
 from runledger.llm.sharding import shard_documents
+from runledger.llm.toxicity import score_toxicity, trained_on
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +22,14 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_toxicity(docs, table(spark, sf_dir, "labels"))
+    return scored.select(
+        "doc_id", (~trained_on()).alias("held_out"), "score", "predicted"
+    )
+
+
 def op4_superminhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), 3, (17, 20))
 
@@ -38,6 +47,7 @@ def op9_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op3_toxicity": op3_toxicity,
     "op4_superminhash_groups": op4_superminhash_groups,
     "op5_kneser_ney_languages": op5_kneser_ney_languages,
     "op9_hilbert_shards": op9_hilbert_shards,
