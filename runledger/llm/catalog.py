@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from runledger.llm.contamination import contained_items
 from runledger.llm.langid import languages_of
 from runledger.llm.mixing import mix_sources
 from runledger.llm.neardup import near_duplicates
+from runledger.llm.neighbours import nearest_neighbours
 from runledger.llm.sharding import shard_documents
 from runledger.llm.toxicity import score_toxicity, trained_on
 
@@ -41,16 +44,26 @@ def op5_kneser_ney_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), 40)
 
 
+def op10_permutation_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op3_toxicity": op3_toxicity,
     "op4_superminhash_groups": op4_superminhash_groups,
     "op5_kneser_ney_languages": op5_kneser_ney_languages,
+    "op7_benchmark_containment": op7_benchmark_containment,
     "op9_hilbert_shards": op9_hilbert_shards,
+    "op10_permutation_neighbours": op10_permutation_neighbours,
 }
 
 OP1_SQL = r"""
@@ -140,7 +153,35 @@ SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, l.component_id,
 FROM documents d JOIN lowest l ON d.doc_id = l.doc_id LEFT JOIN sizes s ON d.doc_id = s.doc_id
 """
 
+OP7_SQL = r"""
+WITH texts AS (
+    SELECT 'd' AS kind, doc_id AS id, text FROM documents
+    UNION ALL SELECT 'i', item_id, text FROM benchmark
+), words AS (
+    SELECT kind, id, regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') AS w
+    FROM texts
+), shingles AS MATERIALIZED (
+    SELECT DISTINCT kind, id, shingle FROM (
+        SELECT kind, id, unnest(
+            CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3),
+                lambda i: array_to_string(w[i:i + 4], ' '))
+            WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle
+        FROM words)
+), sizes AS (
+    SELECT id, count(*) AS n FROM shingles WHERE kind = 'i' GROUP BY id
+), shared AS (
+    SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_shared
+    FROM shingles d JOIN shingles i ON d.shingle = i.shingle AND d.kind = 'd' AND i.kind = 'i'
+    GROUP BY 1, 2
+)
+SELECT doc_id, item_id, n AS n_shingles, n_shared
+FROM shared JOIN sizes ON sizes.id = item_id WHERE 5 * n_shared >= 4 * n
+"""
+
 ORACLE: dict[str, str] = {
     "op1_mix_sources": OP1_SQL,
     "op4_superminhash_groups": OP4_SQL,
+    "op7_benchmark_containment": OP7_SQL,
 }
