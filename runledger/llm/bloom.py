@@ -19,9 +19,9 @@ def bloom_bits(df: DataFrame, number: Column, log_bits: int = 22) -> np.ndarray:
     """
     mask = (1 << log_bits) - 1
     places = F.explode(
-        F.array(*[F.shiftrightunsigned(number, p).bitwiseAND(F.lit(mask)) for p in PROBES])
+        F.array(*[F.shiftrightunsigned("__n", p).bitwiseAND(F.lit(mask)) for p in PROBES])
     )
-    bits = df.select(places.alias("at")).groupBy(F.shiftright("at", 6).alias("word"))
+    bits = df.select(number.alias("__n")).distinct().select(places.alias("at")).groupBy(F.shiftright("at", 6).alias("word"))
     folded = bits.agg(F.expr("bit_or(shiftleft(1L, int(at & 63)))").alias("b"))
     bitmap = np.zeros(1 << (log_bits - 6), dtype=np.int64)
     table = folded.toPandas()

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -93,15 +92,119 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, part: tuple[int, int]) -
     return stage(met.mapInArrow(similar, "a long, b long").distinct(), "links")
 
 
+def _small_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """Sorted 32-bit hashes of the shingles of the documents in ``ids(a, b)``."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in chunks(batch):
+                sets = [np.unique(s.astype(np.uint32)).tobytes() for s in shingle_hashes(texts, k)]
+                yield pa.record_batch(
+                    [part.column("doc_id"), pa.array(sets, pa.binary())], names=["id", "members"]
+                )
+
+    return stage(texts_of(docs, ids).mapInArrow(build, "id long, members binary"), "members")
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Consecutive rows with equal ``keys``, whole, however batches cut them."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = pa.concat_tables([rest, table]) if rest is not None else table
+        columns = [table.column(c).to_numpy() for c in keys]
+        change = np.zeros(max(table.num_rows - 1, 0), dtype=bool)
+        for c in columns:
+            change |= c[1:] != c[:-1]
+        cuts = [0, *(np.flatnonzero(change) + 1).tolist()]
+        for start, stop in zip(cuts, cuts[1:], strict=False):
+            yield table.slice(start, stop - start)
+        rest = table.slice(cuts[-1]) if table.num_rows else None
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
+def _agreement(signs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For all pairs of rows: how many values agree, and the first band that does."""
+    n = len(signs)
+    agree = np.zeros((n, n), dtype=np.int16)
+    first = np.full((n, n), BANDS, dtype=np.int16)
+    if n * n * signs.shape[1] <= 1 << 18:
+        same = signs[:, None, :] == signs[None, :, :]
+        bands = same.reshape(n, n, BANDS, ROWS).all(axis=3)
+        found = bands.any(axis=2)
+        first[found] = bands.argmax(axis=2)[found]
+        return same.sum(axis=2, dtype=np.int16), first
+    columns = np.ascontiguousarray(signs.T)
+    for band in range(BANDS):
+        whole = np.ones((n, n), dtype=bool)
+        for row in range(ROWS):
+            values = columns[band * ROWS + row]
+            same = values[:, None] == values[None, :]
+            agree += same
+            whole &= same
+        first[whole & (first == BANDS)] = band
+    return agree, first
+
+
+def _meet(rows: pa.Table, part: tuple[int, int]) -> list[tuple[int, int]]:
+    """Links within one pair of blocks that join components, found on 32-bit sets.
+
+    A pair counts as linked with two shingles to spare for colliding hashes; only pairs
+    linked beyond doubt join components for the pairs after them.
+    """
+    num, den = part
+    ids = rows.column("id").to_numpy()
+    group = rows.column("component").to_numpy()
+    own = rows.column("own").to_numpy()
+    band = rows.column("band")[0].as_py()
+    blobs = rows.column("signature").to_pylist()
+    signs = np.frombuffer(b"".join(blobs), dtype=np.uint16).reshape(len(ids), -1)
+    members = [np.frombuffer(x, dtype=np.uint32) for x in rows.column("members").to_pylist()]
+    size = np.array([len(x) for x in members])
+    agree, first = _agreement(signs)
+    least = int((num / den - _SLACK) * signs.shape[1])
+    near = (agree >= least) & (first == band) & (group[:, None] != group[None, :])
+    near &= den * (np.minimum.outer(size, size) + 2) >= num * np.maximum.outer(size, size)
+    if rows.column("i")[0].as_py() != rows.column("j")[0].as_py():
+        near &= own[:, None] != own[None, :]
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    found = []
+    for x, y in zip(*(v.tolist() for v in np.nonzero(np.triu(near, 1))), strict=True):
+        a, b = top(int(group[x])), top(int(group[y]))
+        if a == b:
+            continue
+        at = np.searchsorted(members[x], members[y])
+        at[at == size[x]] = 0
+        shared = int((members[x][at] == members[y]).sum())
+        if den * (shared + 2) >= num * (size[x] + size[y] - shared - 2):
+            found.append((int(min(ids[x], ids[y])), int(max(ids[x], ids[y]))))
+        if den * (shared - 2) >= num * (size[x] + size[y] - shared + 2):
+            root[max(a, b)] = min(a, b)
+    return found
+
+
 def _rest(
-    banded: DataFrame, sets: DataFrame, groups: DataFrame, tested: DataFrame, least: float
+    banded: DataFrame,
+    sets: DataFrame,
+    groups: DataFrame,
+    docs: DataFrame,
+    k: int,
+    part: tuple[int, int],
 ) -> DataFrame:
-    """Pairs that share a band, lie in different components and have not been compared.
+    """Pairs that share a band and link different components.
 
     Only buckets that still span components are looked at. Their members are dealt into
-    blocks and blocks meet in pairs, so a task holds two blocks however large the bucket;
-    of the pairs only those come out whose signatures agree enough and whose first common
-    band is this one.
+    blocks and blocks meet in pairs, so a task holds two blocks however large the bucket,
+    and compares a pair in the first band it shares. Pairs are compared where they meet;
+    only links come out.
     """
     placed = banded.join(groups.withColumnRenamed("node", "id"), "id", "left")
     placed = stage(placed.withColumn("component", F.coalesce("component", "id")), "placed")
@@ -110,10 +213,14 @@ def _rest(
     )
     spans = spans.where("low < high").withColumn("blocks", F.ceil(F.col("n") / _BLOCK).cast("int"))
     open_rows = placed.join(spans.select("band", "key", "blocks"), ["band", "key"])
+    open_rows = stage(open_rows, "open")
+    ids = open_rows.select(F.col("id").alias("a"), F.col("id").alias("b")).distinct()
+    members = sets.select("id", "signature").join(_small_sets(docs, ids, k), "id")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    open_rows = open_rows.withColumn("own", own).join(sets.select("id", "signature"), "id")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = open_rows.withColumn("other", other).select(
+    dealt = open_rows.withColumn("own", own).withColumn("other", other)
+    keys = ["band", "key", "i", "j"]
+    dealt = dealt.select(
         "band",
         "key",
         F.least("own", "other").alias("i"),
@@ -121,30 +228,20 @@ def _rest(
         "own",
         "id",
         "component",
-        "signature",
     )
+    met = dealt.join(members, "id").repartition(*keys).sortWithinPartitions(*keys)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches, keys):
+            if rows.num_rows > 1:
+                found = _meet(rows, part)
+                if found:
+                    yield pa.record_batch(
+                        [pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)],
+                        names=["a", "b"],
+                    )
 
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        ids, groups_, own_ = (rows[c].to_numpy() for c in ("id", "component", "own"))
-        signs = np.frombuffer(b"".join(rows["signature"]), dtype=np.uint16).reshape(len(rows), -1)
-        same_block = rows["i"].iat[0] == rows["j"].iat[0]
-        band, found = int(rows["band"].iat[0]), []
-        for at in range(len(rows) - 1):
-            rest = slice(at + 1, None)
-            agree = signs[rest] == signs[at]
-            near = (agree.mean(axis=1) >= least) & (groups_[rest] != groups_[at])
-            if not same_block:
-                near &= own_[rest] != own_[at]
-            if near.any():
-                bands = agree[near].reshape(-1, BANDS, ROWS).all(axis=2)
-                first = bands.argmax(axis=1) == band
-                found += [(ids[at], other_) for other_ in ids[rest][near][first]]
-        low = [min(x) for x in found]
-        return pd.DataFrame({"a": low, "b": [max(x) for x in found]}, dtype="int64")
-
-    pairs = dealt.groupBy("band", "key", "i", "j").applyInPandas(compare, "a long, b long")
-    fresh = pairs.where("a < b").distinct().join(tested, ["a", "b"], "left_anti")
-    return stage(fresh, "rest")
+    return stage(met.mapInArrow(meet, "a long, b long").distinct(), "rest")
 
 
 def near_duplicates(
@@ -159,7 +256,7 @@ def near_duplicates(
 
     Documents with equal sets are folded to the least id first. Signatures of 120 values
     are cut into 24 bands of 5; each member of a bucket is verified against the bucket's
-    least id, and where a bucket still spans components its other pairs follow, so no
+    least id, and where a bucket still spans components its members meet in blocks, so no
     link that shares a band is lost: one at 0.85 is missed with probability 8e-7, one at
     0.8 with 8e-5. Verification compares full sets.
 
@@ -193,8 +290,7 @@ def near_duplicates(
     star = stage(star, "pairs")
     links = verified(star, docs, k, part)
     groups = stage(connected_components(links), "groups")
-    least = part[0] / part[1] - _SLACK
-    rest = _rest(shared.drop("a"), sets, groups, star, least)
+    rest = _rest(shared.drop("a"), sets, groups, docs, k, part)
     if rest.limit(1).count():
         links = links.union(verified(rest, docs, k, part))
         groups = stage(connected_components(links), "groups")
