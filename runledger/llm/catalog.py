@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runledger.llm.chat import rotate_perspectives
 from runledger.llm.contamination import contained_items
 from runledger.llm.langid import languages_of
+from runledger.llm.linedup import without_repeated_lines
 from runledger.llm.mixing import mix_sources
 from runledger.llm.neardup import near_duplicates
 from runledger.llm.neighbours import nearest_neighbours
+from runledger.llm.secrets import scan_secrets
 from runledger.llm.sharding import shard_documents
 from runledger.llm.toxicity import score_toxicity, trained_on
 
@@ -25,6 +28,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score_toxicity(docs, table(spark, sf_dir, "labels"))
@@ -44,10 +51,20 @@ def op5_kneser_ney_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rotate_perspectives(table(spark, sf_dir, "conversations"))
+
+
 def op7_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    short = without_repeated_lines(docs)
+    return short.select("doc_id", "n_lines", "n_removed", F.md5("text").alias("text_md5"))
+
+
 def op9_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), 40)
 
@@ -58,10 +75,13 @@ def op10_permutation_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_secrets": op2_secrets,
     "op3_toxicity": op3_toxicity,
     "op4_superminhash_groups": op4_superminhash_groups,
     "op5_kneser_ney_languages": op5_kneser_ney_languages,
+    "op6_perspectives": op6_perspectives,
     "op7_benchmark_containment": op7_benchmark_containment,
+    "op8_line_runs": op8_line_runs,
     "op9_hilbert_shards": op9_hilbert_shards,
     "op10_permutation_neighbours": op10_permutation_neighbours,
 }
@@ -180,8 +200,80 @@ SELECT doc_id, item_id, n AS n_shingles, n_shared
 FROM shared JOIN sizes ON sizes.id = item_id WHERE 5 * n_shared >= 4 * n
 """
 
+OP6_SQL = r"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(nullif(role, ''), 'unknown') AS speaker,
+        coalesce(text, '') AS text
+    FROM conversations WHERE conv_id IS NOT NULL
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id
+        ORDER BY turn NULLS FIRST, speaker, md5(text)) - 1 AS place
+    FROM turns
+), people AS (
+    SELECT DISTINCT conv_id, speaker AS perspective FROM placed WHERE speaker <> 'system'
+), seen AS (
+    SELECT t.*, p.perspective,
+        CASE WHEN speaker = 'system' THEN 'system'
+        WHEN speaker = perspective THEN 'assistant' ELSE 'user' END AS role
+    FROM placed t JOIN people p ON t.conv_id = p.conv_id
+), headed AS (
+    SELECT *, CASE WHEN role = 'user' THEN speaker END AS name,
+        '<|im_start|>' || role || CASE WHEN role = 'user' THEN ' name=' || speaker ELSE '' END
+        || chr(10) AS head
+    FROM seen
+), rendered AS (
+    SELECT *, head || text || '<|im_end|>' || chr(10) AS rendered FROM headed
+), spans AS (
+    SELECT *, (sum(length(rendered)) OVER (PARTITION BY conv_id, perspective ORDER BY place)
+        - length(rendered))::BIGINT AS start
+    FROM rendered
+)
+SELECT conv_id, perspective, place, turn, speaker, role, name, rendered, start,
+    start + length(rendered) AS stop,
+    CASE WHEN role = 'assistant' AND text <> '' THEN start + length(head) END AS train_start,
+    CASE WHEN role = 'assistant' AND text <> ''
+    THEN start + length(head) + length(text) + 10 END AS train_stop
+FROM spans
+"""
+
+OP8_SQL = r"""
+WITH lines AS MATERIALIZED (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+        generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no
+    FROM documents WHERE text IS NOT NULL
+), full_lines AS (
+    SELECT doc_id, line_no, line,
+        row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS spot
+    FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), runs AS (
+    SELECT doc_id, spot, line || chr(10) || lead(line) OVER doc || chr(10)
+        || lead(line, 2) OVER doc AS run
+    FROM full_lines WINDOW doc AS (PARTITION BY doc_id ORDER BY spot)
+), later AS (
+    SELECT doc_id, spot FROM (
+        SELECT doc_id, spot, row_number() OVER (PARTITION BY run ORDER BY doc_id, spot) AS n
+        FROM runs WHERE run IS NOT NULL)
+    WHERE n > 1
+), gone AS (
+    SELECT DISTINCT f.doc_id, f.line_no
+    FROM (SELECT doc_id, unnest([spot, spot + 1, spot + 2]) AS spot FROM later) l
+    JOIN full_lines f ON f.doc_id = l.doc_id AND f.spot = l.spot
+), cut AS (
+    SELECT l.doc_id, count(*) AS n_lines, count(g.line_no) AS n_removed,
+        coalesce(string_agg(l.line, chr(10) ORDER BY l.line_no)
+            FILTER (g.line_no IS NULL), '') AS text
+    FROM lines l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.line_no = l.line_no
+    GROUP BY l.doc_id
+)
+SELECT d.doc_id, coalesce(n_lines, 0)::INT AS n_lines, coalesce(n_removed, 0)::INT AS n_removed,
+    md5(c.text) AS text_md5
+FROM documents d LEFT JOIN cut c ON d.doc_id = c.doc_id
+"""
+
 ORACLE: dict[str, str] = {
     "op1_mix_sources": OP1_SQL,
     "op4_superminhash_groups": OP4_SQL,
+    "op6_perspectives": OP6_SQL,
     "op7_benchmark_containment": OP7_SQL,
+    "op8_line_runs": OP8_SQL,
 }
