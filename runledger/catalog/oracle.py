@@ -351,11 +351,11 @@ SELECT machine, branch FROM run_jobs ANTI JOIN run_hashes USING (machine, branch
     "build_map": f"WITH {CELLS}, {LOGS}, {BUILT} SELECT * FROM built",
     "lookup_default": f"""{WITH_ROWS} SELECT seq, build_passed, netcdf_c, netcdf_f FROM rows_""",
     "latest_commit_per_file": """
-SELECT '/r/file' || user_id || '/summary.dat' AS path,
+SELECT event_type AS machine, '/r/file' || user_id || '/summary.dat' AS path,
   md5(CAST(max(event_id) AS VARCHAR)) AS artifacts_hash,
   strftime(arg_max(ts, event_id), '%Y-%m-%d %H:%M:%S') || ' +0000' AS modified,
   CAST(epoch(date_trunc('second', arg_max(ts, event_id))) AS BIGINT) AS epoch
-FROM events GROUP BY user_id""",
+FROM events GROUP BY event_type, user_id""",
     "regex_lookup": f"""
 SELECT page_id, host, {_host_case()} AS machine
 FROM (SELECT page_id, regexp_extract(url, 'https?://([^/]+)', 1) AS host FROM pages)""",
@@ -422,4 +422,33 @@ SELECT kind, report_branch, report_hash, {FLAT}
 FROM targets t JOIN merged m ON m.branch_hash = t.report_hash AND m.at <= t.written
 WHERE NOT EXISTS (SELECT 1 FROM merged n WHERE n.at > m.at AND n.at <= t.written
   AND {" AND ".join(f"n.{k} = m.{k}" for k in K.LEDGER_KEY)})""",
+    "two_runs_ledger": f"""{WITH_RUN}, {_last(KEY + ", branch_hash", "hash_rank DESC, source_path")}
+SELECT {FLAT} FROM ledger""",
+    "two_runs_reports": f"""{WITH_RUN},
+first_run AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY {KEY} ORDER BY machine_pos DESC, hash_rank DESC,
+      source_path DESC) AS rn FROM rows_ WHERE job_branch = 'develop') WHERE rn = 1
+),
+batches AS (
+  SELECT job_branch = 'develop' AS early, row(machine_pos, job_branch, hash_rank) AS at, job_branch,
+    {FLAT} FROM (
+    SELECT *, row_number() OVER (PARTITION BY {KEY}, machine_pos, job_branch, hash_rank
+      ORDER BY source_path DESC) AS rn FROM rows_) WHERE rn = 1
+),
+merged AS (
+  SELECT * EXCLUDE (job_branch) FROM batches
+  UNION ALL SELECT false, row(-1, '', 0), {FLAT} FROM first_run
+),
+targets AS (
+  SELECT job_branch = 'develop' AS early, job_branch AS report_branch, branch_hash AS report_hash,
+    max(row(machine_pos, job_branch, hash_rank)) AS written FROM run_found GROUP BY ALL
+),
+ledger AS (
+  SELECT t.report_branch, t.report_hash, m.* FROM targets t
+  JOIN merged m ON m.early = t.early AND m.branch_hash = t.report_hash AND m.at <= t.written
+  WHERE NOT EXISTS (SELECT 1 FROM merged n WHERE n.early = m.early AND n.at > m.at
+    AND n.at <= t.written AND {" AND ".join(f"n.{k} = m.{k}" for k in K.LEDGER_KEY)})
+)
+SELECT report_branch, report_hash, {REPORT} FROM ledger""",
 }

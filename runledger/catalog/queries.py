@@ -296,10 +296,12 @@ def lookup_default(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def latest_commit_per_file(spark: SparkSession, d: str) -> DataFrame:
-    commits = S.commits(spark, d)
+    """Places rise from machine to machine, against the order of time between machines."""
+    contrary = F.col("pos") + F.length("machine") * 1_000_003
+    commits = S.commits(spark, d).withColumn("pos", contrary)
     latest = lookup.latest_commits(commits.select("commit_hash", "path"), commits)
-    at = lookup.modified_time(F.col("modified"))
-    return latest.select("path", "artifacts_hash", "modified", F.unix_seconds(at).alias("epoch"))
+    epoch = F.unix_seconds(lookup.modified_time(F.col("modified")))
+    return latest.withColumn("epoch", epoch)
 
 
 @query
@@ -314,21 +316,20 @@ def regex_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 def _ledger_rows(spark: SparkSession, d: str) -> DataFrame:
     """One ledger row per report, all of one job, arriving in order of ``seq``."""
-    records = parsing.parse_reports(S.reports(spark, d))
+    token = F.regexp_extract("text", r"git hash = (\S+)", 1)
+    machine = {"branch_hash": token, "machine": F.lower("host")}
+    records = parsing.parse_reports(S.reports(spark, d)).withColumns(machine)
     builds = lookup.build_map(parsing.parse_logs(S.logs(spark, d)))
-    rows = lookup.with_build_outcome(records, builds)
+    rows = lookup.with_build_outcome(records.drop("text", "match_text"), builds)
     commits = S.report_commits(spark, d)
     rows = lookup.with_latest_commit(
         rows, lookup.latest_commits(commits.select("commit_hash", "path"), commits)
     )
-    token = F.regexp_extract("text", r"git hash = (\S+)", 1)
     return rows.withColumns(
         {
-            "branch_hash": token,
             "source_path": F.col("path"),
             "hash_rank": F.lit(1),
             "job_branch": F.col("branch"),
-            "machine": F.lower("host"),
             "machine_pos": F.lit(0),
             "branch_pos": F.lit(0),
         }
@@ -409,10 +410,10 @@ def incremental_equals_batch(spark: SparkSession, d: str) -> DataFrame:
         run = F.lit(batch_id).cast("bigint")
         return batch.withColumn(merge.ARRIVAL, F.col(merge.ARRIVAL).withField("run_id", run))
 
-    for arrived in ("F", "O", "P"):
+    for (arrived,) in status.select("status").distinct().orderBy("status").collect():
         rows.where(F.col("status") == arrived).drop("status").write.mode("append").parquet(source)
         stream = stream_packed(spark, source, rows.drop("status").schema)
-        ingest(stream, with_run, ledger, offsets, compact_every=2)
+        ingest(stream, with_run, ledger, offsets, fan=2)
     return _flat(ledger.read())
 
 
@@ -468,9 +469,20 @@ def csv_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     R.write_csv(
         named.select("report_hash", "position", *K.REPORT_COLUMNS), ["report_hash"], root
     )
-    schema = ", ".join(f"{c} string" for c in (*K.REPORT_COLUMNS, "report_hash"))
-    back = spark.read.schema(schema).option("header", True).option("escape", '"')
-    return back.option("encoding", K.REPORT_ENCODING).csv(root)
+    return _csv_back(spark, root, ["report_hash"])
+
+
+def _csv_back(spark: SparkSession, root: str, folders: list[str]) -> DataFrame:
+    """Rows of CSV reports read from their files, parts joined, one heading each."""
+    schema = ", ".join(f"{c} string" for c in ("value", *folders))
+    lines = spark.read.schema(schema).text(root)
+    heading = ",".join(K.REPORT_COLUMNS)
+    columns = ", ".join(f"{c} string" for c in K.REPORT_COLUMNS)
+    body = lines.where(F.col("value") != heading)
+    row = F.from_csv("value", F.lit(columns), {"escape": '"'}).alias("row")
+    headings = lines.where(F.col("value") == heading).groupBy(*folders).agg(F.count("*").alias("n"))
+    once = headings.where("n = 1").drop("n")
+    return body.select(*folders, row).join(once, folders, "left_semi").select("row.*", *folders)
 
 
 @query
@@ -538,3 +550,26 @@ def reports_as_written(spark: SparkSession, d: str) -> DataFrame:
     latest = R.report_contents(versions, R.latest_targets(results))
     both = shown.unionByName(latest.withColumn("kind", F.lit("latest")))
     return both.select("kind", "report_branch", "report_hash", *formatting.RECORD_COLUMNS)
+
+
+@query
+def two_runs_ledger(spark: SparkSession, d: str) -> DataFrame:
+    """Two runs with default arguments over different machines, kept by one ledger."""
+    reports, logs, hashes, latest = _run_inputs(spark, d)
+    ledger = Ledger(spark, scratch_dir(spark, "ledger"), keep_history=True)
+    hashes = stage(hashes, "hashes")
+    for half in ("machine < 'gb'", "machine >= 'gb'"):
+        plan.run(reports, logs, hashes.where(half), latest, ledger, S.BASE_URL)
+    return _flat(ledger.read())
+
+
+@query
+def two_runs_reports(spark: SparkSession, d: str) -> DataFrame:
+    """CSV rows read from the files that two runs of different branches left in one folder."""
+    reports, logs, hashes, latest = _run_inputs(spark, d)
+    ledger = Ledger(spark, scratch_dir(spark, "ledger"))
+    target = scratch_dir(spark, "reports")
+    hashes = stage(hashes, "hashes")
+    for half in ("branch = 'develop'", "branch <> 'develop'"):
+        plan.run(reports, logs, hashes.where(half), latest, ledger, S.BASE_URL, target)
+    return _csv_back(spark, f"{target}/csv", ["report_branch", "report_hash"])

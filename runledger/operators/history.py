@@ -12,7 +12,6 @@ from runledger import constants as K
 from runledger.functions.versions import branch_from_log_line, hash_token, sanitize_branch
 from runledger.sources.commits import commit_lines
 
-MAX_MACHINES = 10_000
 _PLAIN = r"\A[A-Za-z0-9_-]*\z"
 
 
@@ -30,8 +29,6 @@ def job_grid(branches: DataFrame, machines: Sequence[str] = K.MACHINES, qty: int
     The machines are run configuration, a short list, so the product is an explode of a
     literal array inside each branch row and moves no data.
     """
-    if len(machines) > MAX_MACHINES:
-        raise ValueError(f"more than {MAX_MACHINES} machines")
     names = F.array(*[F.lit(m) for m in machines])
     return branches.select(
         F.posexplode(names).alias("machine_pos", "machine"),

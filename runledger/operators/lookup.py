@@ -82,19 +82,25 @@ def with_build_outcome(
 
 
 def latest_commits(commit_files: DataFrame, commits: DataFrame) -> DataFrame:
-    """The newest commit that touched each path: ``(path, artifacts_hash, modified)``."""
-    touched = commit_files.join(commits.select("commit_hash", "pos", "committed_at"), "commit_hash")
-    newest = least_by(touched, ["path"], ["pos", "commit_hash"], ["commit_hash", "committed_at"])
+    """The newest commit that touched each path in each machine's log.
+
+    ``(machine, path, artifacts_hash, modified)``. Places in two machines' logs are not
+    compared, and a commit that stands in several logs counts in each.
+    """
+    placed = commits.select("machine", "commit_hash", "pos", "committed_at")
+    touched = commit_files.select("commit_hash", "path").distinct().join(placed, "commit_hash")
+    keys = ["machine", "path"]
+    newest = least_by(touched, keys, ["pos", "commit_hash"], ["commit_hash", "committed_at"])
     return newest.select(
-        "path",
+        *keys,
         F.trim("commit_hash").alias("artifacts_hash"),
         F.trim("committed_at").alias("modified"),
     )
 
 
 def with_latest_commit(records: DataFrame, latest: DataFrame) -> DataFrame:
-    """Attach commit and time; a file no commit names gets empty texts."""
-    joined = records.join(latest, "path", "left")
+    """Attach commit and time by machine and path; a file no commit names gets empty texts."""
+    joined = records.join(latest, ["machine", "path"], "left")
     return joined.withColumns(
         {c: F.coalesce(F.col(c), F.lit("")) for c in ("artifacts_hash", "modified")}
     )

@@ -55,6 +55,7 @@ def summarize(
     on_incomplete: str = "reject",
     strip_token: str | None = K.STRIPPED_PATH_TOKEN,
     key_value: bool = False,
+    requests: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """``(results, rejects)`` of every job and version at once.
 
@@ -65,7 +66,7 @@ def summarize(
     component instead of anywhere in the path. ``on_incomplete`` sets aside reports that
     lack a header or a result (``reject``) or fails on them (``fail``).
     """
-    requests = stage(requests_of(hashes), "requests")
+    requests = stage(requests_of(hashes), "requests") if requests is None else requests
     records = parse_reports(reports.select("path", "text", "match_text")).drop("text")
     outcomes = parse_logs(logs.select("path", "text", "match_text")).drop("text")
     # A record travels as one column, so that dropping duplicates compares path and version only.
@@ -75,7 +76,7 @@ def summarize(
         requests,
         literal=literal,
     ).select("path", "branch_hash", "record.*")
-    found = matches_of_jobs(found, requests, exact_machine)
+    found = stage(matches_of_jobs(found, requests, exact_machine), "found")
     built = match_texts(outcomes, requests, literal=literal)
     built = matches_of_jobs(built, requests, exact_machine)
     if on_incomplete == "fail":
@@ -105,17 +106,26 @@ def run(
     ledger: Ledger,
     base_url: str,
     target: str | None = None,
-    run_id: int = 0,
+    run_id: int | None = None,
+    source: str = "run",
     **options,
 ) -> Run:
-    """Summarise, merge into the ledger and write the reports below ``target``."""
-    results, rejects = summarize(reports, logs, hashes, latest, run_id, **options)
+    """Summarise, merge into the ledger and write the reports below ``target``.
+
+    Without ``run_id`` the run comes after all earlier ones of its ``source``; with the
+    number of an earlier one it takes that run's place.
+    """
+    run_id = ledger.next_id(source) if run_id is None else run_id
+    requests = stage(requests_of(hashes), "requests")
+    results, rejects = summarize(
+        reports, logs, hashes, latest, run_id, requests=requests, **options
+    )
     results = stage(results, "results")
     if target:
         stored = ledger.read() if ledger.exists() else None
         write_reports(results, stored, base_url, target, ledger.keys)
-    ledger.merge(results.select(*LEDGER_COLUMNS), run_id)
-    missing = jobs_without(requests_of(hashes), results, SCOPE)
+    ledger.merge(results.select(*LEDGER_COLUMNS), run_id, source)
+    missing = jobs_without(requests, results, SCOPE)
     return Run(results, rejects, missing, ledger)
 
 

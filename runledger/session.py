@@ -34,15 +34,23 @@ def _local_scratch(application_id: str) -> str:
     return tempfile.mkdtemp(prefix="run-", dir="/tmp")
 
 
-def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``, the folder all executors share.
+def scratch_base(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where the session names none (tests on one machine) is a local one made.
+    Only a local master may leave it unset and gets a folder of its own; on a cluster
+    executors would write to disks nobody else reads, so there it is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or _local_scratch(
-        spark.sparkContext.applicationId
-    )
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    if not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return _local_scratch(spark.sparkContext.applicationId)
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder name below the shared scratch folder."""
+    return f"{scratch_base(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -54,13 +62,3 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = scratch_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of a scan out to all cores when it has fewer splits than there are cores.
-
-    A few small files would otherwise be parsed by a few tasks. A large table has splits
-    enough and is left alone, so nothing is shuffled for it.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from runledger import constants as K
 from runledger.operators.merge import ARRIVAL, history_key, latest_per_key
@@ -18,11 +20,16 @@ _POINTER = "_CURRENT.json"
 class Ledger:
     """Runs below one folder, and a pointer that says which folders make up the table.
 
-    A merge writes the run's own rows, last per key, to a new folder; it never reads or
-    rewrites what is stored, so its cost follows the run and not the ledger. Readers lay
-    later folders over earlier ones. ``compact`` folds them into one base folder. Folders
-    are complete before the pointer names them, and the pointer is replaced by a rename,
-    so a lost job leaves the table as it was; repeating a run replaces only its folder.
+    A merge writes the run's own rows, last per key, to a folder no other run has; it
+    never reads or rewrites what is stored, so its cost follows the run and not the
+    ledger. Readers lay later folders over earlier ones. ``fold`` joins many small runs,
+    ``compact`` folds all into one base folder. Folders are complete before the pointer
+    names them, and the pointer is replaced by a rename, so a lost job leaves the table as
+    it was.
+
+    A run is known by its source and number. Without a number it gets the next one of
+    its source; with the number of an earlier run of that source it takes that run's
+    place, so a job that is repeated after a failure changes nothing.
     """
 
     def __init__(
@@ -52,7 +59,7 @@ class Ledger:
         path = self._path(_POINTER)
         fs = self._file_system(path)
         if not fs.exists(path):
-            return {"base": None, "runs": [], "compactions": 0}
+            return {"base": None, "runs": [], "last": {}}
         stream = fs.open(path)
         try:
             raw = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
@@ -83,17 +90,35 @@ class Ledger:
         state = self._pointer()
         return bool(state["base"] or state["runs"])
 
-    def merge(self, incoming: DataFrame, run_id: int) -> None:
-        """Upsert: later runs win over earlier ones, within a run the last arrival wins."""
-        state = self._pointer()
-        name = f"run={run_id}"
-        fresh = latest_per_key(incoming, self.keys, self.order)
-        cluster_by_range(fresh, self.cluster).drop("range_id").write.mode("overwrite").parquet(
-            f"{self.root}/{name}"
+    def next_id(self, source: str = "run") -> int:
+        return self._pointer()["last"].get(source, -1) + 1
+
+    def _write(self, df: DataFrame, name: str) -> dict:
+        folder = f"{name}-{uuid.uuid4().hex}"
+        ranged = cluster_by_range(df, self.cluster).drop("range_id")
+        ranged.write.parquet(f"{self.root}/{folder}")
+        return {"folder": folder, "schema": ranged.schema.json()}
+
+    def merge(self, incoming: DataFrame, run_id: int | None = None, source: str = "run") -> int:
+        """Upsert: later runs win over earlier ones, within a run the last arrival wins.
+
+        Returns the run's number.
+        """
+        run_id = self.next_id(source) if run_id is None else run_id
+        entry = self._write(
+            latest_per_key(incoming, self.keys, self.order), f"run={source}-{run_id}"
         )
-        if name not in state["runs"]:
-            state["runs"].append(name)
+        entry |= {"source": source, "id": run_id, "tier": 0}
+        state = self._pointer()
+        runs, known = state["runs"], (source, run_id)
+        places = [i for i, r in enumerate(runs) if (r["source"], r["id"]) == known]
+        if places:
+            runs[places[0]] = entry
+        else:
+            runs.append(entry)
+        state["last"][source] = max(run_id, state["last"].get(source, -1))
         self._point_to(state)
+        return run_id
 
     def read(self) -> DataFrame:
         """One row per key. The base is not shuffled while the runs over it are small."""
@@ -103,20 +128,41 @@ class Ledger:
             if base is None:
                 raise ValueError(f"no ledger below {self.root}")
             return base
-        layers = None
-        for place, name in enumerate(state["runs"]):
-            layer = self._load(name).withColumn("_layer", F.lit(place))
-            layers = layer if layers is None else layers.unionByName(layer)
-        if len(state["runs"]) > 1:
-            layers = latest_per_key(layers, self.keys, ["_layer"])
-        layers = layers.drop("_layer")
+        layers = self._layers(state["runs"])
         if base is None:
             return layers
         kept = base.join(layers.select(*self.keys), self.keys, "left_anti")
         return kept.unionByName(layers)
 
-    def _load(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}")
+    def _layers(self, runs: Sequence[dict]) -> DataFrame:
+        layers = None
+        for place, entry in enumerate(runs):
+            layer = self._load(entry).withColumn("_layer", F.lit(place))
+            layers = layer if layers is None else layers.unionByName(layer)
+        if len(runs) > 1:
+            layers = latest_per_key(layers, self.keys, ["_layer"])
+        return layers.drop("_layer")
+
+    def _load(self, entry: dict) -> DataFrame:
+        schema = StructType.fromJson(json.loads(entry["schema"]))
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{entry['folder']}")
+
+    def fold(self, fan: int = 16) -> None:
+        """Join the newest runs while ``fan`` of them are of one tier.
+
+        Runs joined so rise a tier, so a row is rewritten as often as tiers grow, with the
+        logarithm of the number of runs, and the base is not touched.
+        """
+        while True:
+            state = self._pointer()
+            runs = state["runs"]
+            tail = runs[-fan:]
+            if len(tail) < fan or len({r["tier"] for r in tail}) > 1:
+                return
+            entry = self._write(self._layers(tail), "fold")
+            entry |= {"source": None, "id": None, "tier": tail[0]["tier"] + 1}
+            state["runs"] = [*runs[:-fan], entry]
+            self._point_to(state)
 
     def compact(self) -> None:
         """Fold all runs into a new base folder, clustered by version and report order.
@@ -124,14 +170,9 @@ class Ledger:
         The clustering stands in for an index: row groups of other versions are skipped.
         """
         state = self._pointer()
-        if not state["runs"]:
-            return
-        number = state["compactions"] + 1
-        name = f"base={number}"
-        cluster_by_range(self.read(), self.cluster).drop("range_id").write.mode(
-            "overwrite"
-        ).parquet(f"{self.root}/{name}")
-        self._point_to({"base": name, "runs": [], "compactions": number})
+        if state["runs"]:
+            base = self._write(self.read(), "base")
+            self._point_to(state | {"base": base, "runs": []})
 
     def runs(self) -> int:
         return len(self._pointer()["runs"])

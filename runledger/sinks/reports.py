@@ -151,25 +151,41 @@ def write_text(lines: DataFrame, folders: Sequence[str], target: str) -> None:
     """One folder per report, its lines in order over the sorted part files.
 
     Long reports are spread over several tasks; concatenating a folder's parts in name
-    order gives the report.
+    order gives the report. Reports that ``lines`` does not cover stay as they are.
     """
-    placed = _placed(lines, folders, "line_no")
-    placed.select(*folders, "line").write.mode("overwrite").partitionBy(*folders).text(target)
+    placed = _placed(lines, folders, "line_no").select(*folders, "line")
+    writer = placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(*folders).text(target)
 
 
-def write_csv(rows: DataFrame, folders: Sequence[str], target: str) -> None:
-    placed = _placed(rows, folders, "position").drop("position")
-    (
-        placed.write.mode("overwrite")
-        .partitionBy(*folders)
-        .option("header", True)
-        .option("encoding", K.REPORT_ENCODING)
-        .option("escape", '"')
-        .option("emptyValue", "")
-        .option("ignoreLeadingWhiteSpace", False)
-        .option("ignoreTrailingWhiteSpace", False)
-        .csv(target)
+def csv_lines(
+    rows: DataFrame, folders: Sequence[str], columns: Sequence[str] = K.REPORT_COLUMNS
+) -> DataFrame:
+    """``(folders, line_no, line)``: a heading as line 0 of each report, then its rows.
+
+    Quotes are doubled; an empty text is written as nothing, like a missing one.
+    """
+    options = {
+        "escape": '"',
+        "emptyValue": "",
+        "ignoreLeadingWhiteSpace": "false",
+        "ignoreTrailingWhiteSpace": "false",
+    }
+    head = rows.select(*folders).distinct().select(
+        *folders, F.lit(0).cast("bigint").alias("line_no"), F.lit(",".join(columns)).alias("line")
+    )
+    body = rows.select(
+        *folders,
+        (F.col("position") + 1).cast("bigint").alias("line_no"),
+        F.to_csv(F.struct(*columns), options).alias("line"),
     )
+    return head.unionByName(body)
+
+
+def write_csv(rows: DataFrame, folders: Sequence[str], target: str) -> None:
+    """Reports as CSV: a folder's parts in name order are one file with one heading."""
+    columns = [c for c in rows.columns if c not in (*folders, "position")]
+    write_text(csv_lines(rows, folders, columns), folders, target)
 
 
 def _placed(df: DataFrame, folders: Sequence[str], place: str) -> DataFrame:

@@ -27,14 +27,6 @@ def explode_config(docs: DataFrame) -> DataFrame:
     )
 
 
-def machine_patterns(config: DataFrame, limit: int = 1000) -> list[tuple[str, str]]:
-    """``(machine_name, hostname_pattern)`` in configuration order.
-
-    The configuration is one hand-written document, and its size is checked before any of
-    it reaches the driver.
-    """
-    distinct = config.groupBy("machine_pos", "machine_name", "hostname_pattern").count()
-    rows = distinct.orderBy("machine_pos").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} machine patterns")
-    return [(r["machine_name"], r["hostname_pattern"]) for r in rows]
+def machine_patterns(config: DataFrame) -> DataFrame:
+    """``(machine_pos, machine_name, hostname_pattern)``, each machine once."""
+    return config.select("machine_pos", "machine_name", "hostname_pattern").distinct()

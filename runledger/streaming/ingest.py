@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,19 +42,21 @@ def ingest(
     to_rows: Callable[[DataFrame, int], DataFrame],
     ledger: Ledger,
     checkpoint: str,
-    compact_every: int = 16,
+    fan: int = 16,
+    source: str | None = None,
 ) -> None:
     """Merge everything the stream has now, then stop.
 
-    ``to_rows`` turns a batch and its number into ledger rows. A batch is written under
-    its number, so one that is repeated after a failure replaces itself.
+    ``to_rows`` turns a batch and its number into ledger rows. A batch is merged under its
+    number and ``source``, by default the checkpoint folder, so one that is repeated after
+    a failure replaces itself, and several streams can fill one ledger.
     """
 
     def merge_batch(batch: DataFrame, batch_id: int) -> None:
-        ledger.merge(to_rows(batch, batch_id), batch_id)
-        if ledger.runs() >= compact_every:
-            ledger.compact()
+        ledger.merge(to_rows(batch, batch_id), batch_id, name)
+        ledger.fold(fan)
 
+    name = source or "stream-" + hashlib.md5(checkpoint.encode()).hexdigest()
     query = (
         stream.writeStream.foreachBatch(merge_batch)
         .option("checkpointLocation", checkpoint)

@@ -2,7 +2,8 @@ import __spark_entry__ as contract
 import oracle_check as oc
 import pytest
 
-QUERIES, ORACLE = contract.queries(), contract.oracle_sql()
+from runledger.catalog.oracle import ORACLE
+from runledger.catalog.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -12,6 +13,7 @@ def con(small):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(contract.queries()) and set(ORACLE) <= set(contract.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

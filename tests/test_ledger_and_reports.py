@@ -59,6 +59,62 @@ def test_empty_merge(spark):
     assert rows(ledger) == {("a", "h", 1)}
 
 
+def test_runs_without_number_are_all_kept(spark):
+    ledger = small_ledger(spark)
+    first = ledger.merge(spark.createDataFrame([("a", "h", 1, 1), ("b", "h", 1, 1)], SCHEMA))
+    second = ledger.merge(spark.createDataFrame([("c", "h", 1, 1)], SCHEMA))
+    assert (first, second) == (0, 1) and {r[0] for r in rows(ledger)} == {"a", "b", "c"}
+    ledger.compact()
+    assert ledger.next_id() == 2
+
+
+def test_sources_do_not_take_each_others_place(spark):
+    ledger = small_ledger(spark)
+    for source in ("x", "y"):
+        ledger.merge(spark.createDataFrame([(source, "h", 1, 1)], SCHEMA), 0, source)
+    assert {r[0] for r in rows(ledger)} == {"x", "y"}
+
+
+def test_run_lost_before_the_pointer_changes_nothing(spark, monkeypatch):
+    ledger = small_ledger(spark)
+    ledger.merge(spark.createDataFrame([("a", "h", 1, 1)], SCHEMA), 0)
+    again = spark.createDataFrame([("a", "h", 2, 1), ("b", "h", 2, 1)], SCHEMA)
+    with monkeypatch.context() as m:
+        m.setattr(ledger, "_point_to", lambda state: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            ledger.merge(again, 0)
+    assert rows(ledger) == {("a", "h", 1)}
+    ledger.merge(again, 0)
+    assert rows(ledger) == {("a", "h", 2), ("b", "h", 2)} and ledger.runs() == 1
+
+
+def test_folding_keeps_the_table_and_few_folders(spark):
+    ledger, model = small_ledger(spark), {}
+    for i in range(9):
+        key = f"k{i % 4}"
+        ledger.merge(spark.createDataFrame([(key, "h", i, 1)], SCHEMA))
+        model[key] = i
+        ledger.fold(2)
+    assert {(r[0], r[2]) for r in rows(ledger)} == set(model.items())
+    assert ledger.runs() <= 4
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from runledger import session
+
+    class Conf(dict):
+        def get(self, key, default=None):
+            return super().get(key, default)
+
+    class Fake:
+        conf = Conf({"spark.master": "yarn"})
+
+    with pytest.raises(ValueError):
+        session.scratch_dir(Fake, "x")
+    Fake.conf["spark.checkpoint.dir"] = "hdfs://x/tmp/"
+    assert session.scratch_dir(Fake, "x").startswith("hdfs://x/tmp/x-")
+
+
 def test_history_key():
     assert merge.history_key()[-1] == "branch_hash"
     assert merge.history_key()[:-1] == K.LEDGER_KEY
@@ -128,8 +184,9 @@ def world(spark, tmp_path_factory):
                 log.append((machine, pos, text))
     commits = spark.createDataFrame(log, "machine string, pos int, message string")
     latest = spark.createDataFrame(
-        [(p, f"c{i}", f"2022-01-0{i + 1} 10:00:00 +0000") for i, p in enumerate(paths)],
-        "path string, artifacts_hash string, modified string",
+        [(m, p, f"c{i}", f"2022-01-0{i + 1} 10:00:00 +0000")
+         for i, p in enumerate(paths) for m in ("hera", "jet")],
+        "machine string, path string, artifacts_hash string, modified string",
     )
     branches = spark.createDataFrame([("develop", 0), ("feat", 1)], "branch string, branch_pos int")
     from runledger.operators.history import job_grid, recent_hashes
@@ -232,6 +289,12 @@ def test_older_text_report(spark, tmp_path):
         ["Linux", "hera", "intel", "18", "mpi", "1"],
     ]
     assert lines[0][7:9] == ["5", "0"]
+    feat = commits.withColumn("message", F.replace("message", F.lit("develop"), F.lit("feat")))
+    feat = feat.withColumn("message", F.replace("message", F.lit("v8-g1"), F.lit("v7-g1")))
+    more = reports.withColumn("path", F.replace("path", F.lit("/develop/"), F.lit("/feat/")))
+    write_text_report(more, feat, "feat", str(tmp_path / "out"))
+    assert parts == sorted(glob.glob(str(tmp_path / "out/branch_hash=v8-g1/*.txt")))
+    assert glob.glob(str(tmp_path / "out/branch_hash=v7-g1/*.txt"))
 
 
 def test_first_machine_report_keeps_replaced_rows(spark, world, tmp_path):
@@ -300,17 +363,13 @@ def test_csv_needs_quoting_only_where_it_must(spark, tmp_path):
     df = spark.createDataFrame([("h", i, v, "x") for i, v in enumerate(values)],
                                "folder string, position int, a string, b string")
     R.write_csv(df, ["folder"], str(tmp_path / "csv"))
-    parts = sorted(glob.glob(str(tmp_path / "csv/folder=h/*.csv")))
-    got = []
-    for part in parts:
-        text = open(part, encoding="ISO-8859-1", newline="").read()
-        read = list(csv.reader(io.StringIO(text)))
-        assert read[0] == ["a", "b"]
-        got += read[1:]
-        expected = io.StringIO()
-        csv.writer(expected, lineterminator="\n").writerows(read)
-        assert expected.getvalue() == text
-    assert [r[0] for r in got] == values
+    parts = sorted(glob.glob(str(tmp_path / "csv/folder=h/part-*")))
+    text = "".join(open(part, encoding="utf-8", newline="").read() for part in parts)
+    read = list(csv.reader(io.StringIO(text)))
+    assert read[0] == ["a", "b"] and [r[0] for r in read[1:]] == values
+    expected = io.StringIO()
+    csv.writer(expected, lineterminator="\n").writerows(read)
+    assert expected.getvalue() == text
 
 
 def test_aligned_layout(spark):

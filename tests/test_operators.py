@@ -110,14 +110,20 @@ def test_branch_with_the_dropped_token_never_joins(spark):
 
 def test_latest_commit(spark):
     commits = spark.createDataFrame(
-        [("c1", 0, " 2022-01-02 10:00:00 +0100 "), ("c2", 1, "2022-01-01 10:00:00 +0000")],
-        "commit_hash string, pos int, committed_at string",
+        [("hera", "c1", 50, " 2022-01-02 10:00:00 +0100 "),
+         ("hera", "c2", 51, "2022-01-01 10:00:00 +0000"),
+         ("jet", "c2", 3, "2022-01-01 10:00:00 +0000")],
+        "machine string, commit_hash string, pos int, committed_at string",
     )
     touched = spark.createDataFrame(
         [("c2", "/a"), ("c1", "/a"), ("c2", "/b")], "commit_hash string, path string"
     )
     latest = lookup.latest_commits(touched, commits)
-    files = spark.createDataFrame([("/a",), ("/b",), ("/c",)], "path string")
+    own = {(r.machine, r.path): r.artifacts_hash for r in latest.collect()}
+    assert own == {("hera", "/a"): "c1", ("hera", "/b"): "c2", ("jet", "/a"): "c2", ("jet", "/b"): "c2"}
+    files = spark.createDataFrame(
+        [("hera", "/a"), ("hera", "/b"), ("hera", "/c")], "machine string, path string"
+    )
     rows = lookup.with_latest_commit(files, latest).orderBy("path").collect()
     assert [r.artifacts_hash for r in rows] == ["c1", "c2", ""]
     at = lookup.with_latest_commit(files, latest).select(
