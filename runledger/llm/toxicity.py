@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runledger.llm.hashing import U64, chunks
+from runledger.llm.hashing import chunks
 from runledger.llm.signs import sign_codes
 
 _CHUNK = 1 << 19
@@ -22,6 +22,7 @@ _POWER = 4
 # Words outside these lengths are scored but no landmarks.
 _SHORTEST, _LONGEST = 3, 24
 _GAP, _DROP = 0, 0xFFFF
+_MIXERS = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 # Places of the second and third sign of a subsequence, seen from the first.
 _SHAPES = ((1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4))
 ADDED = ("score", "predicted")
@@ -52,30 +53,32 @@ def sign_stream(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def subsequences(codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
-    """Per shape: where a subsequence of three signs begins, its cell and its weight.
+    """Per shape: the cell of the subsequence from each sign, whether it is one, its weight.
 
     Gaps between words may stand at either end but not inside, so no subsequence crosses
     a word's edge and those at an edge say so.
     """
-    wide = codes.astype(U64)
+    first, second, third = (codes.astype(np.uint32) * m for m in _MIXERS)
     inner = codes != _GAP
+    whole = inner[1:-1]
+    reach = 2
     for a, b in _SHAPES:
         n = max(len(codes) - b, 0)
-        whole = inner[1 : 1 + n].copy()
-        for j in range(2, b):
-            whole &= inner[j : j + n]
-        at = np.flatnonzero(whole)
-        name = (wide[at] << U64(32)) | (wide[at + a] << U64(16)) | wide[at + b]
-        cell = (name * U64(0x9E3779B97F4A7C15)) >> U64(64 - _LOG_CELLS)
-        yield at, cell.astype(np.int64), _DECAY ** (b - 2)
+        if b > reach:
+            whole = whole[:n] & inner[b - 1 : b - 1 + n]
+            reach = b
+        cell = first[:n] + second[a : a + n]
+        cell += third[b : b + n]
+        cell >>= np.uint32(32 - _LOG_CELLS)
+        yield cell, whole[:n], _DECAY ** (b - 2)
 
 
 def kernel_map(word: str) -> dict[int, float]:
     """Weights of the subsequences of ``word``, in which ``^`` and ``$`` are its edges."""
     signs = np.array([ord(" " if c in "^$" else c) for c in word], dtype=np.uint32)
     out: Counter[int] = Counter()
-    for _, cells, weight in subsequences(sign_codes(signs, _GAP, _DROP)):
-        for cell in cells.tolist():
+    for cells, whole, weight in subsequences(sign_codes(signs, _GAP, _DROP)):
+        for cell in cells[whole].tolist():
             out[cell] += weight
     return dict(out)
 
@@ -161,6 +164,7 @@ class LandmarkTable:
         self.start = np.searchsorted(cells, np.arange((1 << _LOG_CELLS) + 1)).astype(np.int32)
         self.most = np.zeros(1 << _LOG_CELLS, dtype=np.float32)
         np.maximum.at(self.most, cells, self.weight.astype(np.float32))
+        self.met = self.most > 0
 
     def nearest(self, texts: Sequence[str | None]) -> np.ndarray:
         """Fourth power of the largest kernel value of a text's words with each landmark.
@@ -169,37 +173,35 @@ class LandmarkTable:
         only words that can reach a half are compared with single landmarks.
         """
         codes, owner = sign_stream(texts)
-        word = np.cumsum(codes == _GAP)
-        hits = []
-        mass = np.zeros(int(word[-1]) + 2)
-        for at, cell, weight in subsequences(codes):
-            met = self.most[cell]
-            real = np.flatnonzero(met)
-            at, cell = at[real], cell[real]
-            inside = word[at + 1]
-            mass += np.bincount(inside, met[real] * weight, len(mass))
-            hits.append((inside, cell, weight))
+        word = np.cumsum(codes == _GAP, dtype=np.int32)
+        found = []
+        for cell, whole, weight in subsequences(codes):
+            cell = cell.astype(np.intp)
+            at = np.flatnonzero(np.take(self.met, cell) & whole)
+            found.append((word[at + 1], cell[at], np.full(len(at), weight, dtype=np.float32)))
+        inside, cell, weight = (np.concatenate(x) for x in zip(*found, strict=True))
+        n_words = int(word[-1]) + 2
+        able = np.bincount(inside, self.most[cell] * weight, n_words) >= _LEAST
         out = np.zeros((len(texts), self.n))
-        able = mass >= _LEAST
         words = np.flatnonzero(able)
         if not len(words):
             return out
-        place = np.zeros(len(mass), dtype=np.int64)
+        place = np.zeros(n_words, dtype=np.int64)
         place[words] = np.arange(len(words))
-        values = np.zeros(len(words) * self.n)
-        for inside, cell, weight in hits:
-            kept = able[inside]
-            inside, cell = place[inside[kept]], cell[kept]
-            first, number = self.start[cell], self.start[cell + 1] - self.start[cell]
-            row = np.repeat(np.arange(len(cell)), number)
-            entry = np.arange(len(row)) - np.repeat(np.cumsum(number) - number, number) + first[row]
-            spot = inside[row] * self.n + self.mark[entry]
-            values += np.bincount(spot, self.weight[entry] * weight, len(values))
-        values = np.minimum(values, 1.0).reshape(len(words), self.n)
-        values = np.where(values < _LEAST, 0.0, values**_POWER)
-        opens = np.zeros(len(mass), dtype=np.int64)
+        kept = np.flatnonzero(able[inside])
+        inside, cell, weight = place[inside[kept]], cell[kept], weight[kept]
+        first = self.start[cell]
+        number = self.start[cell + 1] - first
+        row = np.repeat(np.arange(len(cell)), number)
+        entry = np.arange(len(row)) - np.repeat(np.cumsum(number) - number - first, number)
+        spot = inside[row] * self.n + self.mark[entry]
+        values = np.bincount(spot, self.weight[entry] * weight[row], len(words) * self.n)
+        strong = np.flatnonzero(values >= _LEAST)
+        opens = np.zeros(n_words, dtype=np.int64)
         opens[word] = owner
-        np.maximum.at(out, opens[words], values)
+        text = opens[words[strong // self.n]]
+        raised = np.minimum(values[strong], 1.0) ** _POWER
+        np.maximum.at(out.reshape(-1), text * self.n + strong % self.n, raised)
         return out
 
 
