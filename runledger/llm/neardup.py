@@ -299,7 +299,7 @@ def near_duplicates(
     )
     named_sets = named_sets.select(*digest, F.coalesce("component", "id").alias("component_id"))
     grouped = signed.select("doc_id", *digest).join(named_sets, digest, "left")
-    own = F.coalesce("component_id", "doc_id")
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     kept = F.coalesce(F.col("doc_id") == own, F.lit(True))
     return grouped.select(
         "doc_id", "n_shingles", own.alias("component_id"), kept.alias("kept")

@@ -37,7 +37,9 @@ def choose_pivots(vectors: DataFrame, n: int) -> np.ndarray:
     """Up to ``n`` different vectors, the first of a fixed sample of ``8 n`` by the id's digest."""
     sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(8 * n).collect()
     different = list(dict.fromkeys(tuple(r["vector"]) for r in sample))[:n]
-    return _scaled(np.array(different, dtype=np.float64).reshape(len(different), -1))
+    if not different:
+        return np.zeros((0, 0))
+    return _scaled(np.array(different, dtype=np.float64))
 
 
 def _scaled(matrix: np.ndarray) -> np.ndarray:
