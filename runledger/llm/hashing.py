@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-_CHUNK = 1 << 22
+_CHUNK = 1 << 19
 _GOLDEN = U64(0x9E3779B97F4A7C15)
 _BASE = 0x2545F4914F6CDD1D
 _BLANK = np.zeros(256, dtype=bool)
