@@ -161,3 +161,14 @@ def repeat_documents(mixed: DataFrame) -> DataFrame:
     times = F.explode(F.sequence(F.lit(1), F.col("repeats"))).alias("__time")
     kept = mixed.where(F.col("repeats") > 0)
     return kept.select(*[c for c in mixed.columns if c not in ADDED], times).drop("__time")
+
+
+def mix_documents(docs: DataFrame) -> DataFrame:
+    """``docs`` as often as the mix of its sources takes them, in the columns it has.
+
+    Columns named like those ``mix_sources`` adds, in any case, are carried unchanged.
+    """
+    held = [c for c in docs.columns if c.lower() in ADDED]
+    packed = docs.withColumn("__held", F.struct(*held)) if held else docs
+    out = repeat_documents(mix_sources(packed))
+    return out.select(*[F.col("__held")[c].alias(c) if c in held else c for c in docs.columns])
