@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from runledger.llm.contamination import drop_contaminated
 from runledger.llm.langid import keep_identified
-from runledger.llm.mixing import mix_sources, repeat_documents
+from runledger.llm.mixing import mix_documents
 from runledger.llm.neardup import drop_near_duplicates
 from runledger.llm.sharding import shard_documents
 from runledger.session import scratch_dir
@@ -32,7 +32,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
-    return repeat_documents(mix_sources(docs))
+    return mix_documents(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
