@@ -10,6 +10,7 @@ from runledger.llm.ranking import positions
 from runledger.session import stage
 
 _FULL = r"[^\x20\x09-\x0D]"
+_WORD = r"[^\x20\x09-\x0D]+"
 
 
 def split_lines(text: Column) -> Column:
@@ -17,17 +18,20 @@ def split_lines(text: Column) -> Column:
 
 
 def line_sequence(docs: DataFrame) -> DataFrame:
-    """``(doc_id, at, line_no, line)``: hashes of the lines that are not blank, numbered anew."""
+    """``(doc_id, at, line_no, line, n_words)``: hashes of the lines that are not blank, numbered anew."""
     lines = F.transform(
         split_lines(F.col("text")),
         lambda line, no: F.struct(
-            no.alias("line_no"), F.xxhash64(line).alias("line"), F.rlike(line, F.lit(_FULL)).alias("full")
+            no.alias("line_no"),
+            F.xxhash64(line).alias("line"),
+            F.rlike(line, F.lit(_FULL)).alias("full"),
+            F.regexp_count(line, F.lit(_WORD)).alias("n_words"),
         ),
     )
     full = F.filter(lines, lambda x: x["full"])
     named = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
     rows = named.select(F.col("doc_id").cast("long"), F.posexplode(full).alias("at", "x"))
-    return rows.select("doc_id", "at", "x.line_no", "x.line")
+    return rows.select("doc_id", "at", "x.line_no", "x.line", "x.n_words")
 
 
 def _ranked(keyed: DataFrame, keys: list[str]) -> DataFrame:
@@ -43,16 +47,19 @@ def _ranked(keyed: DataFrame, keys: list[str]) -> DataFrame:
     return stage(ranked, "suffixes")
 
 
-def suffix_ranks(lines: DataFrame, depth: int) -> DataFrame:
+def suffix_ranks(
+    lines: DataFrame, depth: int, ranked: DataFrame | None = None, reach: int = 1
+) -> DataFrame:
     """``(doc_id, at, rank)`` of the suffixes that share their first ``depth`` lines with others.
 
     Prefix doubling: ranks by one line, then by pairs of ranks one apart, two apart and so
     on until ``depth`` lines are told apart; equal ranks are an interval of the suffix
     array whose longest common prefix is at least ``depth``. A suffix alone in its rank
     leaves, as does one that runs into such, so each round joins only what is still tied.
+    ``ranked`` are ranks by ``reach`` lines to go on from.
     """
-    ranked = _ranked(lines, ["line"])
-    reach = 1
+    if ranked is None:
+        ranked, reach = _ranked(lines, ["line"]), 1
     while reach < depth:
         step = min(reach, depth - reach)
         ahead = ranked.select(
@@ -63,7 +70,17 @@ def suffix_ranks(lines: DataFrame, depth: int) -> DataFrame:
     return ranked
 
 
-def repeated_lines(docs: DataFrame, min_lines: int = 3) -> DataFrame:
+def _longer_than(first: DataFrame, lines: DataFrame, depth: int, min_words: int) -> DataFrame:
+    """``first`` for the ranks whose ``depth`` lines have more than ``min_words`` words."""
+    spots = first.select(
+        "rank", "first.doc_id", F.explode(F.sequence("first.at", F.col("first.at") + (depth - 1))).alias("at")
+    )
+    words = spots.join(lines.select("doc_id", "at", "n_words"), ["doc_id", "at"])
+    long = words.groupBy("rank").agg(F.sum("n_words").alias("n")).where(F.col("n") > min_words)
+    return first.join(long.select("rank"), "rank")
+
+
+def repeated_lines(docs: DataFrame, min_lines: int = 3, min_words: int | None = None) -> DataFrame:
     """``(doc_id, removed)``: numbers of the lines that lie in later copies of a run.
 
     A run of at least ``min_lines`` lines that has occurred before, in order of ``doc_id``
@@ -71,26 +88,33 @@ def repeated_lines(docs: DataFrame, min_lines: int = 3) -> DataFrame:
     neighbouring lines. Reads ``doc_id, text``. Lines end at ``\\n``; blank ones count in
     no run and are never removed. Texts without such a run give no row; null texts and rows
     without an id neither. Rows that share an id and text count as one document.
+    With ``min_words`` a shorter run counts as well if its lines have more words than that.
     """
     lines = stage(line_sequence(docs).distinct(), "lines")
-    ranked = suffix_ranks(lines.select("doc_id", "at", "line"), min_lines)
-    first = ranked.groupBy("rank").agg(F.min(F.struct("doc_id", "at")).alias("first"))
-    later = ranked.join(first, "rank").where(F.struct("doc_id", "at") > F.col("first"))
-    inside = later.select(
-        "doc_id", F.explode(F.sequence("at", F.col("at") + (min_lines - 1))).alias("at")
-    )
+    ranked, reach, inside = None, 1, None
+    for depth in [min_lines] if min_words is None else range(1, min_lines + 1):
+        ranked = suffix_ranks(lines.select("doc_id", "at", "line"), depth, ranked, reach)
+        reach = depth
+        first = ranked.groupBy("rank").agg(F.min(F.struct("doc_id", "at")).alias("first"))
+        if depth < min_lines:
+            first = _longer_than(first, lines, depth, min_words)
+        later = ranked.join(first, "rank").where(F.struct("doc_id", "at") > F.col("first"))
+        spots = later.select("doc_id", F.explode(F.sequence("at", F.col("at") + (depth - 1))).alias("at"))
+        inside = spots if inside is None else inside.union(spots)
     gone = inside.distinct().join(lines.select("doc_id", "at", "line_no"), ["doc_id", "at"])
     return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
 
 
-def without_repeated_lines(docs: DataFrame, min_lines: int = 3) -> DataFrame:
+def without_repeated_lines(
+    docs: DataFrame, min_lines: int = 3, min_words: int | None = None
+) -> DataFrame:
     """``docs`` with later copies of repeated runs of lines cut out of ``text``.
 
     Adds ``n_lines`` (0 for null) and ``n_removed``; input columns of these names are
     replaced, others kept. Only documents that lose lines are shuffled with their text.
     """
     columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    gone = stage(repeated_lines(docs, min_lines), "removed")
+    gone = stage(repeated_lines(docs, min_lines, min_words), "removed")
     lines = split_lines(F.col("text"))
     counted = docs.select(*columns, F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"))
     counted = counted.withColumn("n_lines", F.greatest("n_lines", F.lit(0)))

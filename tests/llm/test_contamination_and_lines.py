@@ -79,6 +79,30 @@ def test_line_runs_equal_brute_force(spark):
         assert cut[name] == "\n".join(kept)
 
 
+def test_shorter_runs_count_by_their_words(spark):
+    rng = random.Random(3)
+    blocks = [[f"b{b} l{i}" + " w" * rng.choice([0, 3, 9]) for i in range(rng.randrange(1, 6))] for b in range(8)]
+    rows = []
+    for d in range(60):
+        lines = []
+        for _ in range(rng.randrange(5)):
+            lines += [*rng.choice(blocks), f"own {d} {rng.randrange(9)}", ""]
+        rows.append((d, "\n".join(lines)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want, seen = brute_lines(rows, 4), set()
+    before = sum(len(x) for x in want.values())
+    for name, text in rows:
+        full = [(i, x) for i, x in enumerate(text.split("\n")) if x.strip()]
+        for m in (1, 2, 3):
+            for at in range(len(full) - m + 1):
+                key = tuple(x for _, x in full[at : at + m])
+                if key in seen and sum(len(x.split()) for x in key) > 10:
+                    want.setdefault(name, set()).update(i for i, _ in full[at : at + m])
+                seen.add(key)
+    got = {r.doc_id: set(r.removed) for r in linedup.repeated_lines(df, 4, 10).collect()}
+    assert got == want and sum(len(x) for x in want.values()) > before
+
+
 def test_line_runs_of_odd_documents(spark):
     docs = edge_docs(spark)
     rows = linedup.without_repeated_lines(docs).collect()
