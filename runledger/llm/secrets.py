@@ -36,36 +36,44 @@ FEATURES = (
 
 
 def secret_candidates(docs: DataFrame, path: str = "source") -> DataFrame:
-    """``(doc_id, path, word_no, candidate, word, before, before_far, after)``.
+    """``(doc_id, path, word_no, runs, word, before, before_far, after)``, a row per word.
 
-    A candidate is the first run of at least 16 signs used by keys in a word, if it holds
-    a digit; whole texts are searched. ``before``, ``before_far`` and ``after`` are the
-    neighbouring words.
+    Candidates are the runs of at least 16 signs used by keys that hold a digit; whole
+    texts are searched, and ``runs`` has every one with its place among the word's runs,
+    ``(run_no, candidate)``. ``before``, ``before_far`` and ``after`` are the neighbouring
+    words. They stand once per word, as one without blanks can hold thousands of runs.
     """
     words = F.split(F.col("text"), _BLANKS, -1)
-    found = F.filter(
+
+    def keys(word: Column) -> Column:
+        runs = F.transform(
+            F.regexp_extract_all(word, F.lit(CANDIDATE), F.lit(0)),
+            lambda c, n: F.struct(n.alias("run_no"), c.alias("candidate")),
+        )
+        return F.filter(runs, lambda r: F.rlike(r["candidate"], F.lit("[0-9]")))
+
+    long = F.filter(
         F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))),
-        lambda x: (F.length(x["w"]) >= 16)
-        & F.rlike(x["w"], F.lit(CANDIDATE))
-        & F.rlike(F.regexp_extract(x["w"], CANDIDATE, 0), F.lit("[0-9]")),
+        lambda x: (F.length(x["w"]) >= 16) & F.rlike(x["w"], F.lit(CANDIDATE)),
     )
     near = F.transform(
-        found,
+        long,
         lambda x: F.struct(
             x["i"].alias("word_no"),
-            F.regexp_extract(x["w"], CANDIDATE, 0).alias("candidate"),
+            keys(x["w"]).alias("runs"),
             x["w"].alias("word"),
             F.coalesce(F.get(words, x["i"] - 1), F.lit("")).alias("before"),
             F.coalesce(F.get(words, x["i"] - 2), F.lit("")).alias("before_far"),
             F.coalesce(F.get(words, x["i"] + 1), F.lit("")).alias("after"),
         ),
     )
-    rows = docs.select("doc_id", F.col(path).cast("string").alias("path"), F.explode(near).alias("x"))
+    found = F.filter(near, lambda x: F.size(x["runs"]) > 0)
+    rows = docs.select("doc_id", F.col(path).cast("string").alias("path"), F.explode(found).alias("x"))
     return rows.select("doc_id", "path", "x.*")
 
 
 def common_words(candidates: DataFrame, n: int = 200) -> list[str]:
-    """The ``n`` commonest words of four letters and more next to any candidate."""
+    """The ``n`` commonest words of four letters and more next to any word with candidates."""
     words = candidates.select(F.explode(F.array("before", "before_far", "after")).alias("w"))
     plain = words.select(F.lower(F.regexp_extract("w", "[A-Za-z]{4,}", 0)).alias("w")).where("w <> ''")
     top = plain.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(n)
@@ -81,7 +89,11 @@ def _bucket(text: Column) -> Column:
 
 
 def with_features(candidates: DataFrame, dictionary: list[str]) -> DataFrame:
-    """Length, kinds of signs and switches between them, dictionary cover, path, neighbours."""
+    """A row per run: length, kinds of signs and switches, dictionary cover, path, neighbours.
+
+    What depends on the word is computed before its runs are exploded; ``stated`` is the
+    label of ``assigned_labels``.
+    """
     c = F.col("candidate")
     cover = F.lit(0.0)
     if dictionary:
@@ -91,7 +103,7 @@ def with_features(candidates: DataFrame, dictionary: list[str]) -> DataFrame:
     switch = "(?<=[a-z])(?=[^a-z])|(?<=[A-Z])(?=[^A-Z])|(?<=[0-9])(?=[^0-9])|(?<=[+/_=-])(?=[^+/_=-])"
     path = F.coalesce(F.col("path"), F.lit(""))
     signs = F.array_distinct(F.split(c, ""))
-    values = {
+    own = {
         "f_length": F.length(c).cast("double"),
         "f_digits": _share(c, "[0-9]"),
         "f_upper": _share(c, "[A-Z]"),
@@ -99,6 +111,8 @@ def with_features(candidates: DataFrame, dictionary: list[str]) -> DataFrame:
         "f_switches": F.regexp_count(c, F.lit(switch)) / F.length(c),
         "f_variety": F.size(signs) / F.length(c),
         "f_words": cover,
+    }
+    shared = {
         "f_path": _bucket(path),
         "f_path_length": F.length(path).cast("double"),
         "f_before": _bucket(F.col("before")),
@@ -108,14 +122,22 @@ def with_features(candidates: DataFrame, dictionary: list[str]) -> DataFrame:
         "f_assigned": F.rlike(F.concat(F.col("before"), F.col("word")), F.lit("[=:]")).cast("double"),
         "f_quoted": F.rlike("word", F.lit("[\"'`]")).cast("double"),
     }
-    return candidates.withColumns({k: v.cast("double") for k, v in values.items()})
+    context = F.concat_ws(" ", "before_far", "before")
+    stated = F.rlike(context, F.lit(ANNOUNCING + r"\S*\s*[=:]")) & F.rlike("word", F.lit("[\"'`]"))
+    words = candidates.select(
+        "doc_id",
+        "word_no",
+        "runs",
+        *[v.cast("double").alias(k) for k, v in shared.items()],
+        stated.alias("stated"),
+    )
+    runs = words.select("*", F.inline("runs")).drop("runs")
+    return runs.withColumns({k: v.cast("double") for k, v in own.items()})
 
 
-def assigned_labels(candidates: DataFrame) -> DataFrame:
+def assigned_labels(findings: DataFrame) -> DataFrame:
     """Findings labelled by how they stand: assigned to an announcing name and in quotes or not."""
-    context = F.concat_ws(" ", "before_far", "before")
-    stated = F.rlike(context, F.lit(ANNOUNCING + r"\S*\s*[=:]")) & F.rlike("word", F.lit("[\"'`]"))
-    return candidates.withColumn("label", stated.cast("int"))
+    return findings.withColumn("label", F.col("stated").cast("int"))
 
 
 def train_forest(
@@ -126,12 +148,12 @@ def train_forest(
     Fitted on about ``most`` findings chosen by digest; none, or labels of one kind only,
     give no forest.
     """
-    known = findings.where("label IS NOT NULL").select("candidate", "word_no", "doc_id", "label", *FEATURES)
+    known = findings.where("label IS NOT NULL").select("candidate", "run_no", "word_no", "doc_id", "label", *FEATURES)
     n, kinds = known.agg(F.count("*"), F.countDistinct("label")).first()
     if kinds < 2:
         return None
     share = int(min(1.0, most / n) * (1 << 20))
-    place = F.pmod(F.xxhash64("doc_id", "word_no", "candidate"), F.lit(1 << 20)) < share
+    place = F.pmod(F.xxhash64("doc_id", "word_no", "run_no", "candidate"), F.lit(1 << 20)) < share
     forest = RandomForestClassifier(
         numTrees=trees, maxDepth=depth, seed=seed, labelCol="label", featuresCol="features"
     )
@@ -148,8 +170,9 @@ def scan_secrets(
     """Candidates in ``docs`` with the probability that each is a secret.
 
     Reads ``doc_id, text`` and ``path``. ``findings`` are labelled ones,
-    ``(doc_id, word_no, label)``, 1 for a secret; without them findings are labelled by
-    ``assigned_labels``. Returns ``doc_id, word_no, candidate, probability, is_secret``.
+    ``(doc_id, word_no, run_no, label)``, 1 for a secret; without ``run_no`` they name the
+    first run of the word. With no ``findings`` the labels are those of ``assigned_labels``.
+    Returns ``doc_id, word_no, run_no, candidate, probability, is_secret``.
     All is SQL functions and Spark's own forest; texts are scanned once, and only
     candidates with their neighbours go on. Null and empty texts have no candidate; a null
     path or neighbour counts as empty; repeated rows are found repeatedly. Without labels
@@ -160,10 +183,13 @@ def scan_secrets(
     if findings is None:
         labelled = assigned_labels(featured)
     else:
-        marks = findings.groupBy("doc_id", "word_no").agg(F.max("label").alias("label"))
-        labelled = featured.join(marks, ["doc_id", "word_no"])
+        keys = ["doc_id", "word_no", "run_no"]
+        if "run_no" not in findings.columns:
+            findings = findings.withColumn("run_no", F.lit(0))
+        marks = findings.groupBy(*keys).agg(F.max("label").alias("label"))
+        labelled = featured.join(marks, keys)
     model = train_forest(labelled)
-    names = ["doc_id", "word_no", "candidate"]
+    names = ["doc_id", "word_no", "run_no", "candidate"]
     if model is None:
         none = featured.select(*names, F.lit(None).cast("double").alias("probability"))
         return none.withColumn("is_secret", F.lit(True))

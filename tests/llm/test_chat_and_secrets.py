@@ -75,6 +75,23 @@ def test_secrets_in_odd_documents(spark):
     assert [(r.doc_id, r.word_no, r.probability, r.is_secret) for r in rows] == [(2, 0, None, True)] * 2
 
 
+def test_every_run_of_a_word_is_a_candidate(spark):
+    texts = [
+        '{"authorization_token":"ghp_16C7e42F292c6912E7"}',
+        "a 0123456789abcdef0;fedcba98765432100;only_letters_in_this_run;aaaaaaaaaaaaaaaa1",
+    ]
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    rows = secrets.scan_secrets(df).collect()
+    assert {(r.doc_id, r.word_no, r.run_no, r.candidate) for r in rows} == {
+        (0, 0, 1, "ghp_16C7e42F292c6912E7"), (1, 1, 0, "0123456789abcdef0"),
+        (1, 1, 1, "fedcba98765432100"), (1, 1, 3, "aaaaaaaaaaaaaaaa1"),
+    }
+    assert len(rows) == 4 and all(r.is_secret for r in rows)
+    marks = spark.createDataFrame([(1, 1, 0, 1), (1, 1, 3, 0)], "doc_id long, word_no int, run_no int, label int")
+    chances = {r.run_no: r.probability for r in secrets.scan_secrets(df, marks).collect() if r.doc_id == 1}
+    assert len(chances) == 3 and None not in chances.values()
+
+
 def test_long_text_is_searched_to_its_end(spark):
     df = spark.createDataFrame([(1, LONG + " abcdefghij0123456789", None)], "doc_id long, text string, source string")
     rows = secrets.scan_secrets(df).collect()
