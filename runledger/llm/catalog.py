@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 from runledger.llm.chat import rotate_perspectives
 from runledger.llm.contamination import contained_items
 from runledger.llm.langid import languages_of
+from runledger.llm.lexical import ranked_documents
 from runledger.llm.linedup import without_repeated_lines
 from runledger.llm.mixing import mix_sources
 from runledger.llm.neardup import near_duplicates
+from runledger.llm.negatives import mine_hard_negatives, whole_vectors
 from runledger.llm.neighbours import nearest_neighbours
 from runledger.llm.secrets import scan_secrets
 from runledger.llm.sharding import shard_documents
+from runledger.llm.simhash import near_fingerprints
 from runledger.llm.toxicity import score_toxicity, trained_on
 
 
@@ -73,6 +76,20 @@ def op10_permutation_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whole_vectors(table(spark, sf_dir, "embeddings"))
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_hard_negatives(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+def op12_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op13_shared_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_secrets": op2_secrets,
@@ -84,6 +101,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_runs": op8_line_runs,
     "op9_hilbert_shards": op9_hilbert_shards,
     "op10_permutation_neighbours": op10_permutation_neighbours,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_simhash_groups": op12_simhash_groups,
+    "op13_shared_ranking": op13_shared_ranking,
 }
 
 OP1_SQL = r"""
@@ -270,10 +290,75 @@ SELECT d.doc_id, coalesce(n_lines, 0)::INT AS n_lines, coalesce(n_removed, 0)::I
 FROM documents d LEFT JOIN cut c ON d.doc_id = c.doc_id
 """
 
+OP11_SQL = r"""
+WITH usable AS (
+    SELECT vec_id, embedding,
+        CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), common AS (
+    SELECT len(embedding) AS n FROM usable GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1
+), whole AS MATERIALIZED (
+    SELECT row_number() OVER () AS place, vec_id, label,
+        list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+    FROM usable WHERE len(embedding) = (SELECT n FROM common)
+), scored AS MATERIALIZED (
+    SELECT a.place AS anchor, a.vec_id AS anchor_id, b.vec_id, b.place,
+        a.label = b.label AS alike, list_inner_product(a.v, b.v)::BIGINT AS score
+    FROM whole a JOIN whole b ON a.vec_id % 100 = 0 AND a.place <> b.place
+), positives AS (
+    SELECT anchor, anchor_id, vec_id AS positive_id, place AS positive, score AS positive_score
+    FROM scored WHERE alike
+    QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id) <= 5
+), ranked AS (
+    SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (
+        PARTITION BY p.anchor, p.positive ORDER BY s.score DESC, s.vec_id) AS rank
+    FROM positives p JOIN scored s ON s.anchor = p.anchor AND NOT s.alike
+        AND 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score
+)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score
+FROM ranked WHERE rank <= 10
+"""
+
+OP13_SQL = r"""
+WITH texts AS (
+    SELECT 'd' AS kind, row_number() OVER () AS row, doc_id AS id, text FROM documents
+    UNION ALL SELECT 'i', 0, item_id, text FROM benchmark WHERE item_id IS NOT NULL
+), terms AS MATERIALIZED (
+    SELECT kind, row, id, unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM texts
+), counts AS (
+    SELECT row, id, term, count(*) AS tf FROM terms WHERE kind = 'd' GROUP BY ALL
+), sizes AS (
+    SELECT row, sum(tf)::BIGINT AS n FROM counts GROUP BY row
+), totals AS (
+    SELECT count(*) AS docs, sum(n)::BIGINT AS words FROM sizes
+), weights AS (
+    SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w
+    FROM counts, totals GROUP BY term, docs
+), scores AS (
+    SELECT i.id AS item_id, c.id AS doc_id, c.row,
+        sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // words))))::BIGINT AS score
+    FROM (SELECT DISTINCT id, term FROM terms WHERE kind = 'i') i
+    JOIN counts c ON c.term = i.term JOIN weights w ON w.term = i.term
+    JOIN sizes s ON s.row = c.row, totals
+    GROUP BY ALL
+)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank
+    FROM scores WHERE score > 0 AND doc_id IS NOT NULL)
+WHERE rank <= 50
+"""
+
 ORACLE: dict[str, str] = {
     "op1_mix_sources": OP1_SQL,
     "op4_superminhash_groups": OP4_SQL,
     "op6_perspectives": OP6_SQL,
     "op7_benchmark_containment": OP7_SQL,
     "op8_line_runs": OP8_SQL,
+    "op11_hard_negatives": OP11_SQL,
+    "op13_shared_ranking": OP13_SQL,
 }

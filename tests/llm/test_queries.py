@@ -15,7 +15,7 @@ def test_query_equals_sql(spark, small, name):
 
 
 def test_one_query_per_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_stages_keep_what_they_should(spark, small, tmp_path):
