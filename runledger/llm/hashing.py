@@ -31,7 +31,7 @@ _SIGNS = constants(256, 101)
 _PLACES = constants(64, 202)
 
 
-class _Powers:
+class Powers:
     """Powers of the base and of its inverse, grown on demand."""
 
     up = np.ones(1, dtype=U64)
@@ -77,11 +77,11 @@ def word_hashes(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
     before = np.concatenate([[True], gap[:-1]])
     begin = np.flatnonzero(before & ~gap)
     end = np.flatnonzero(gap & ~before)
-    _Powers.reach(len(data))
+    Powers.reach(len(data))
     sums = np.concatenate(
-        [np.zeros(1, U64), np.cumsum(_SIGNS[data] * _Powers.up[: len(data)], dtype=U64)]
+        [np.zeros(1, U64), np.cumsum(_SIGNS[data] * Powers.up[: len(data)], dtype=U64)]
     )
-    words = mix((sums[end] - sums[begin]) * _Powers.down[begin])
+    words = mix((sums[end] - sums[begin]) * Powers.down[begin])
     upto = np.searchsorted(begin, np.cumsum(sizes))
     return words, np.diff(upto, prepend=0)
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runledger.llm.hashing import chunks
+from runledger.llm.hashing import U64, Powers, chunks, mix
 from runledger.llm.signs import sign_codes
 
 _CHUNK = 1 << 19
@@ -147,10 +147,25 @@ def spread_landmarks(candidates: Sequence[str], n: int) -> tuple[list[str], np.n
     return chosen, kernel**_POWER
 
 
+def words_of(codes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Digest, start, stop and text of every word of a sign stream."""
+    inner = np.concatenate([[False], codes != _GAP, [False]])
+    start = np.flatnonzero(inner[1:-1] & ~inner[:-2])
+    stop = np.flatnonzero(inner[1:-1] & ~inner[2:]) + 1
+    Powers.reach(len(codes) + 1)
+    signs = mix(codes.astype(U64) + U64(_CHUNK)) * Powers.up[: len(codes)]
+    sums = np.concatenate([np.zeros(1, U64), np.cumsum(signs, dtype=U64)])
+    return mix((sums[stop] - sums[start]) * Powers.down[start]), start, stop, owner[start]
+
+
 class LandmarkTable:
-    """Which landmarks a subsequence speaks for, and how much, by cell."""
+    """Which landmarks a subsequence speaks for, and how much, by cell.
 
-    def __init__(self, landmarks: Sequence[str]) -> None:
+    A word's values depend on the word alone, so they are worked out once per word and
+    kept, by a 64-bit digest, until ``held`` words are known; then the table starts anew.
+    """
+
+    def __init__(self, landmarks: Sequence[str], held: int = 1 << 20) -> None:
         entries = []
         for j, word in enumerate(landmarks):
             own = kernel_map(word)
@@ -165,27 +180,33 @@ class LandmarkTable:
         self.most = np.zeros(1 << _LOG_CELLS, dtype=np.float32)
         np.maximum.at(self.most, cells, self.weight.astype(np.float32))
         self.met = self.most > 0
-
-    def nearest(self, texts: Sequence[str | None]) -> np.ndarray:
-        """Fourth power of the largest kernel value of a text's words with each landmark.
-
-        Values below a half count as 0. A word's mass, what its subsequences give any landmark at most, bounds its values;
-        only words that can reach a half are compared with single landmarks.
+        self.held = held
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = np.zeros(0, dtype=U64)
+        # Where the values of a word begin and end; words without values have an empty range.
+        self.spans = np.zeros((0, 2), dtype=np.int64)
+        self.marks = np.zeros(0, dtype=np.int32)
+        self.values = np.zeros(0, dtype=np.float64)
+
+    def _compared(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Word (by its place), landmark and kernel value of at least a half, sorted.
+
+        ``codes`` are words with single gaps around them. A word's mass, what its
+        subsequences give any landmark at most, bounds its values; only words that can
+        reach a half are compared with single landmarks.
         """
-        codes, owner = sign_stream(texts)
-        word = np.cumsum(codes == _GAP, dtype=np.int32)
+        word = np.cumsum(codes == _GAP, dtype=np.int32) - 1
         found = []
         for cell, whole, weight in subsequences(codes):
             cell = cell.astype(np.intp)
             at = np.flatnonzero(np.take(self.met, cell) & whole)
             found.append((word[at + 1], cell[at], np.full(len(at), weight, dtype=np.float32)))
         inside, cell, weight = (np.concatenate(x) for x in zip(*found, strict=True))
-        n_words = int(word[-1]) + 2
+        n_words = int(word[-1]) + 1
         able = np.bincount(inside, self.most[cell] * weight, n_words) >= _LEAST
-        out = np.zeros((len(texts), self.n))
         words = np.flatnonzero(able)
-        if not len(words):
-            return out
         place = np.zeros(n_words, dtype=np.int64)
         place[words] = np.arange(len(words))
         kept = np.flatnonzero(able[inside])
@@ -197,11 +218,54 @@ class LandmarkTable:
         spot = inside[row] * self.n + self.mark[entry]
         values = np.bincount(spot, self.weight[entry] * weight[row], len(words) * self.n)
         strong = np.flatnonzero(values >= _LEAST)
-        opens = np.zeros(n_words, dtype=np.int64)
-        opens[word] = owner
-        text = opens[words[strong // self.n]]
-        raised = np.minimum(values[strong], 1.0) ** _POWER
-        np.maximum.at(out.reshape(-1), text * self.n + strong % self.n, raised)
+        return words[strong // self.n], strong % self.n, np.minimum(values[strong], 1.0)
+
+    def _learn(self, names: np.ndarray, codes: np.ndarray, start: np.ndarray, stop: np.ndarray) -> None:
+        """Work out the values of new words, given sorted by digest."""
+        sizes = stop - start + 1
+        ends = np.cumsum(sizes)
+        stream = np.full(int(ends[-1]) + 1, _GAP, dtype=codes.dtype)
+        letters = sizes - 1
+        at = np.arange(letters.sum()) - np.repeat(np.cumsum(letters) - letters, letters)
+        stream[np.repeat(ends - letters, letters) + at] = codes[np.repeat(start, letters) + at]
+        word, mark, value = self._compared(stream)
+        spans = len(self.marks) + np.searchsorted(word, np.stack([np.arange(len(names)), np.arange(len(names)) + 1], axis=1))
+        self.marks = np.concatenate([self.marks, mark.astype(np.int32)])
+        self.values = np.concatenate([self.values, value**_POWER])
+        places = np.searchsorted(self.known, names)
+        self.known = np.insert(self.known, places, names)
+        self.spans = np.insert(self.spans, places, spans, axis=0)
+
+    def _find(self, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(self.known, names)
+        at[at == len(self.known)] = 0
+        return at, (self.known[at] == names) if len(self.known) else np.zeros(len(names), dtype=bool)
+
+    def nearest(self, texts: Sequence[str | None]) -> np.ndarray:
+        """Fourth power of the largest kernel value of a text's words with each landmark.
+
+        Values below a half count as 0.
+        """
+        out = np.zeros((len(texts), self.n))
+        codes, owner = sign_stream(texts)
+        names, start, stop, text = words_of(codes, owner)
+        if not len(names):
+            return out
+        different, first, inverse = np.unique(names, return_index=True, return_inverse=True)
+        if len(self.known) + len(different) > self.held:
+            self._forget()
+        new = first[~self._find(different)[1]]
+        if len(new):
+            self._learn(names[new], codes, start[new], stop[new])
+        spans = self.spans[self._find(different)[0]]
+        valued = np.flatnonzero((spans[:, 1] > spans[:, 0])[inverse])
+        # Each word that has values once per text.
+        pairs = np.unique(text[valued] * len(different) + inverse[valued])
+        begin, end = spans[pairs % len(different)].T
+        number = end - begin
+        entry = np.arange(number.sum()) - np.repeat(np.cumsum(number) - number - begin, number)
+        row = np.repeat(pairs // len(different), number)
+        np.maximum.at(out.reshape(-1), row * self.n + self.marks[entry], self.values[entry])
         return out
 
 

@@ -36,6 +36,26 @@ def test_nearest_equals_the_kernel():
             assert np.isclose(near[row, column], best**4 if best >= 0.5 else 0.0, atol=1e-6)
 
 
+def test_memory_of_words_changes_nothing():
+    rng = np.random.default_rng(4)
+    pool = ["idiot", "idxiot", "stupd", "moronic", "a", "xyz", "stupid", "i d", "été", "morron"] + [
+        "".join(rng.choice(list("idotmrnsup"), 6)) for _ in range(80)
+    ]
+    texts = [" ".join(rng.choice(pool, rng.integers(0, 30))) for _ in range(200)] + [None, "", "moron"]
+    marks = ["^idiot$", "^moron$", "^stupid$"]
+    whole = toxicity.LandmarkTable(marks).nearest(texts)
+    for held in (1, 20, 1 << 20):
+        table = toxicity.LandmarkTable(marks, held)
+        parts = [table.nearest(texts[i : i + 7]) for i in range(0, len(texts), 7)]
+        assert np.allclose(np.concatenate(parts), whole, atol=1e-9)
+    for row, text in enumerate(texts):
+        codes, _ = toxicity.sign_stream([text])
+        words = "".join(map(chr, codes)).split("\0")
+        for column, mark in enumerate(marks):
+            best = max((min(1.0, direct_kernel(f"^{w}$", mark)) for w in words if w), default=0.0)
+            assert np.isclose(whole[row, column], best**4 if best >= 0.5 else 0.0, atol=1e-6)
+
+
 def test_broken_up_words_come_whole():
     table = toxicity.LandmarkTable(["^idiot$"])
     near = table.nearest(["id-iot", "i d i o t", "I.D.I.O.T", "so i*d*i*o*t", "idi ot"])[:, 0]
