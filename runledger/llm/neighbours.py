@@ -37,9 +37,25 @@ def choose_pivots(vectors: DataFrame, n: int) -> np.ndarray:
     """Up to ``n`` different vectors, the first of a fixed sample of ``8 n`` by the id's digest."""
     sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(8 * n).collect()
     different = list(dict.fromkeys(tuple(r["vector"]) for r in sample))[:n]
-    if not different:
-        return np.zeros((0, 0))
-    return _scaled(np.array(different, dtype=np.float64))
+    return np.array(different, dtype=np.float64) if different else np.zeros((0, 0))
+
+
+def greatest_length(vectors: DataFrame) -> tuple[float, float]:
+    """Greatest component, and greatest length when all are divided by it; no square overflows."""
+    top = vectors.agg(F.max(F.array_max(F.transform("vector", F.abs)))).first()[0] or 1.0
+    squares = F.aggregate("vector", F.lit(0.0), lambda s, x: s + (x / top) * (x / top))
+    return top, float(np.sqrt(vectors.agg(F.max(squares)).first()[0] or 1.0))
+
+
+def lifted(matrix: np.ndarray, reach: tuple[float, float]) -> np.ndarray:
+    """Vectors with one more component, which gives all of them the same length.
+
+    The inner product with a query that has 0 there is as before, so among lifted vectors
+    the largest product is the smallest angle (Bachrach et al. 2014).
+    """
+    short = matrix / reach[0] / reach[1]
+    rest = np.maximum(1.0 - (short * short).sum(axis=1, keepdims=True), 0.0)
+    return np.hstack([short, np.sqrt(rest)])
 
 
 def _scaled(matrix: np.ndarray) -> np.ndarray:
@@ -58,10 +74,10 @@ def _matrix(table: pa.Table, dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class PivotLists:
-    """Inverted files of one block: under each pivot the vectors that rank it high."""
+    """Inverted files of one block of unit vectors: under each pivot those that rank it high."""
 
     def __init__(self, matrix: np.ndarray, pivots: np.ndarray, depth: int) -> None:
-        near = np.argsort(-(_scaled(matrix) @ pivots.T), axis=1, kind="stable")[:, :depth]
+        near = np.argsort(-(matrix @ pivots.T), axis=1, kind="stable")[:, :depth]
         pivot = near.ravel()
         order = np.argsort(pivot, kind="stable")
         self.rows = np.repeat(np.arange(len(near)), near.shape[1])[order]
@@ -95,7 +111,9 @@ def nearest_neighbours(
     ``vec_id``; a query is no neighbour of itself. Other columns are not read, and
     ``usable_vectors`` says which rows take part; none gives an empty result.
 
-    A vector is represented by its ``depth`` nearest pivots in order. Vectors and queries
+    A vector is represented by its ``depth`` nearest pivots in order. For that, vectors and
+    pivots are lifted to equal lengths, so that nearness by angle is nearness by inner
+    product whatever lengths they have. Vectors and queries
     are dealt into blocks of about ``block`` rows which meet in pairs, so a task holds two
     blocks. There the vectors are posted under their pivots, the lists of a query's first
     ``probes`` pivots give footrule distances, and the nearest ``share`` of the block, at
@@ -105,8 +123,9 @@ def nearest_neighbours(
     usable = stage(usable_vectors(vectors), "vectors")
     queries = usable.where(is_query)
     n, n_queries = usable.count(), queries.count()
-    pivots = choose_pivots(usable, n_pivots)
+    pivots, reach = choose_pivots(usable, n_pivots), greatest_length(usable)
     dim = pivots.shape[1]
+    pivots = lifted(pivots, reach)
     v_blocks, q_blocks = max(1, -(-n // block)), max(1, -(-n_queries // block))
 
     def dealt(df: DataFrame, own: str, blocks: int, other: str, others: int) -> DataFrame:
@@ -120,8 +139,9 @@ def nearest_neighbours(
         out: list[tuple[np.ndarray, np.ndarray]] = []
         names: list[np.ndarray] = []
         if len(q_ids) and len(ids):
-            lists = PivotLists(matrix, pivots, depth)
-            ranked = np.argsort(-(_scaled(q_matrix) @ pivots.T), axis=1, kind="stable")
+            lists = PivotLists(lifted(matrix, reach), pivots, depth)
+            flat = np.hstack([_scaled(q_matrix), np.zeros((len(q_matrix), 1))])
+            ranked = np.argsort(-(flat @ pivots.T), axis=1, kind="stable")
             keep = min(len(ids), max(int(np.ceil(share * len(ids))), 4 * k))
             for name, vector, order in zip(q_ids, q_matrix, ranked[:, :probes], strict=True):
                 short = np.argsort(lists.footrule(order), kind="stable")[:keep]

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from runledger.llm.neighbours import nearest_neighbours
@@ -47,6 +48,20 @@ def test_recall_and_exact_scores(spark):
         assert hits / (20 * len(want)) > 0.92
 
 
+@pytest.mark.parametrize("spread", [0.5, 1.0])
+def test_recall_of_differing_lengths(spark, spread):
+    rng = np.random.default_rng(11)
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").collect()
+    longer = np.exp(rng.normal(scale=spread, size=len(rows)))
+    rows = [(r.vec_id, [float(x * f) for x in r.embedding]) for r, f in zip(rows, longer, strict=True)]
+    ids = [r[0] for r in rows]
+    matrix = np.array([r[1] for r in rows], dtype=np.float32).astype(np.float64)
+    want = exact(ids, matrix, [i for i in ids if i % 20 == 0], 20)
+    got = found(frame(spark, rows), F.col("vec_id") % 20 == 0)
+    hits = sum(len({i for i, _ in got[q]} & {i for i, _ in near}) for q, near in want.items())
+    assert hits / (20 * len(want)) > 0.92
+
+
 def test_small_and_odd_tables(spark):
     nan, inf = float("nan"), float("inf")
     rows = [
