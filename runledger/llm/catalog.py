@@ -64,7 +64,7 @@ def op7_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    short = without_repeated_lines(docs)
+    short = without_repeated_lines(docs, 3, 50)
     return short.select("doc_id", "n_lines", "n_removed", F.md5("text").alias("text_md5"))
 
 
@@ -262,21 +262,26 @@ WITH lines AS MATERIALIZED (
         generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no
     FROM documents WHERE text IS NOT NULL
 ), full_lines AS (
-    SELECT doc_id, line_no, line,
+    SELECT doc_id, line_no, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words,
         row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS spot
     FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
 ), runs AS (
-    SELECT doc_id, spot, line || chr(10) || lead(line) OVER doc || chr(10)
-        || lead(line, 2) OVER doc AS run
+    SELECT doc_id, spot, 1 AS depth, line AS run, words FROM full_lines
+    UNION ALL
+    SELECT doc_id, spot, 2, line || chr(10) || lead(line) OVER doc, words + lead(words) OVER doc
+    FROM full_lines WINDOW doc AS (PARTITION BY doc_id ORDER BY spot)
+    UNION ALL
+    SELECT doc_id, spot, 3, line || chr(10) || lead(line) OVER doc || chr(10)
+        || lead(line, 2) OVER doc, 0
     FROM full_lines WINDOW doc AS (PARTITION BY doc_id ORDER BY spot)
 ), later AS (
-    SELECT doc_id, spot FROM (
-        SELECT doc_id, spot, row_number() OVER (PARTITION BY run ORDER BY doc_id, spot) AS n
-        FROM runs WHERE run IS NOT NULL)
+    SELECT doc_id, spot, depth FROM (
+        SELECT *, row_number() OVER (PARTITION BY depth, run ORDER BY doc_id, spot) AS n
+        FROM runs WHERE run IS NOT NULL AND (depth = 3 OR words > 50))
     WHERE n > 1
 ), gone AS (
     SELECT DISTINCT f.doc_id, f.line_no
-    FROM (SELECT doc_id, unnest([spot, spot + 1, spot + 2]) AS spot FROM later) l
+    FROM (SELECT doc_id, unnest(range(spot, spot + depth)) AS spot FROM later) l
     JOIN full_lines f ON f.doc_id = l.doc_id AND f.spot = l.spot
 ), cut AS (
     SELECT l.doc_id, count(*) AS n_lines, count(g.line_no) AS n_removed,

@@ -17,8 +17,16 @@ def split_lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
+# What a line stands in: rows that share an id are one document only if their texts are equal.
+_DOC = ("doc_id", "text_id")
+
+
+def text_id(text: Column) -> Column:
+    return F.xxhash64(text)
+
+
 def line_sequence(docs: DataFrame) -> DataFrame:
-    """``(doc_id, at, line_no, line, n_words)``: hashes of the lines that are not blank, numbered anew."""
+    """``(doc_id, text_id, at, line_no, line, n_words)``: hashes of the lines that are not blank, numbered anew."""
     lines = F.transform(
         split_lines(F.col("text")),
         lambda line, no: F.struct(
@@ -30,8 +38,10 @@ def line_sequence(docs: DataFrame) -> DataFrame:
     )
     full = F.filter(lines, lambda x: x["full"])
     named = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
-    rows = named.select(F.col("doc_id").cast("long"), F.posexplode(full).alias("at", "x"))
-    return rows.select("doc_id", "at", "x.line_no", "x.line", "x.n_words")
+    rows = named.select(
+        F.col("doc_id").cast("long"), text_id(F.col("text")).alias("text_id"), F.posexplode(full).alias("at", "x")
+    )
+    return rows.select(*_DOC, "at", "x.line_no", "x.line", "x.n_words")
 
 
 def _ranked(keyed: DataFrame, keys: list[str]) -> DataFrame:
@@ -43,14 +53,14 @@ def _ranked(keyed: DataFrame, keys: list[str]) -> DataFrame:
     """
     tied = keyed.groupBy(*keys).agg(F.count("*").alias("__n")).where("__n > 1").drop("__n")
     ranks, _ = positions(tied, keys, "place")
-    ranked = keyed.join(ranks, keys).select("doc_id", "at", F.col("place").alias("rank"))
+    ranked = keyed.join(ranks, keys).select(*_DOC, "at", F.col("place").alias("rank"))
     return stage(ranked, "suffixes")
 
 
 def suffix_ranks(
     lines: DataFrame, depth: int, ranked: DataFrame | None = None, reach: int = 1
 ) -> DataFrame:
-    """``(doc_id, at, rank)`` of the suffixes that share their first ``depth`` lines with others.
+    """``(doc_id, text_id, at, rank)`` of the suffixes that share their first ``depth`` lines with others.
 
     Prefix doubling: ranks by one line, then by pairs of ranks one apart, two apart and so
     on until ``depth`` lines are told apart; equal ranks are an interval of the suffix
@@ -63,9 +73,9 @@ def suffix_ranks(
     while reach < depth:
         step = min(reach, depth - reach)
         ahead = ranked.select(
-            "doc_id", (F.col("at") - step).alias("at"), F.col("rank").alias("next")
+            *_DOC, (F.col("at") - step).alias("at"), F.col("rank").alias("next")
         )
-        ranked = _ranked(ranked.join(ahead, ["doc_id", "at"]), ["rank", "next"])
+        ranked = _ranked(ranked.join(ahead, [*_DOC, "at"]), ["rank", "next"])
         reach += step
     return ranked
 
@@ -73,36 +83,39 @@ def suffix_ranks(
 def _longer_than(first: DataFrame, lines: DataFrame, depth: int, min_words: int) -> DataFrame:
     """``first`` for the ranks whose ``depth`` lines have more than ``min_words`` words."""
     spots = first.select(
-        "rank", "first.doc_id", F.explode(F.sequence("first.at", F.col("first.at") + (depth - 1))).alias("at")
+        "rank", *[f"first.{c}" for c in _DOC], F.explode(F.sequence("first.at", F.col("first.at") + (depth - 1))).alias("at")
     )
-    words = spots.join(lines.select("doc_id", "at", "n_words"), ["doc_id", "at"])
+    words = spots.join(lines.select(*_DOC, "at", "n_words"), [*_DOC, "at"])
     long = words.groupBy("rank").agg(F.sum("n_words").alias("n")).where(F.col("n") > min_words)
     return first.join(long.select("rank"), "rank")
 
 
 def repeated_lines(docs: DataFrame, min_lines: int = 3, min_words: int | None = None) -> DataFrame:
-    """``(doc_id, removed)``: numbers of the lines that lie in later copies of a run.
+    """``(doc_id, text_id, removed)``: numbers of the lines that lie in later copies of a run.
 
-    A run of at least ``min_lines`` lines that has occurred before, in order of ``doc_id``
-    and line, is a later copy, in another document or the same; maximal runs come out as
-    neighbouring lines. Reads ``doc_id, text``. Lines end at ``\\n``; blank ones count in
+    A run of at least ``min_lines`` lines that has occurred before, in order of ``doc_id``,
+    text and line, is a later copy, in another document or the same; maximal runs come out
+    as neighbouring lines. Reads ``doc_id, text``. Lines end at ``\\n``; blank ones count in
     no run and are never removed. Texts without such a run give no row; null texts and rows
-    without an id neither. Rows that share an id and text count as one document.
+    without an id neither. Rows that share an id and text count as one document; rows that
+    share an id only are documents of their own, told apart by ``text_id``, a text's hash.
     With ``min_words`` a shorter run counts as well if its lines have more words than that.
     """
     lines = stage(line_sequence(docs).distinct(), "lines")
+    spot = F.struct(*_DOC, "at")
     ranked, reach, inside = None, 1, None
     for depth in [min_lines] if min_words is None else range(1, min_lines + 1):
-        ranked = suffix_ranks(lines.select("doc_id", "at", "line"), depth, ranked, reach)
+        ranked = suffix_ranks(lines.select(*_DOC, "at", "line"), depth, ranked, reach)
         reach = depth
-        first = ranked.groupBy("rank").agg(F.min(F.struct("doc_id", "at")).alias("first"))
+        # Read back, so that the rows of a rank that most suffixes share can be split.
+        first = stage(ranked.groupBy("rank").agg(F.min(spot).alias("first")), "first")
         if depth < min_lines:
-            first = _longer_than(first, lines, depth, min_words)
-        later = ranked.join(first, "rank").where(F.struct("doc_id", "at") > F.col("first"))
-        spots = later.select("doc_id", F.explode(F.sequence("at", F.col("at") + (depth - 1))).alias("at"))
+            first = stage(_longer_than(first, lines, depth, min_words), "first")
+        later = ranked.join(first, "rank").where(spot > F.col("first"))
+        spots = later.select(*_DOC, F.explode(F.sequence("at", F.col("at") + (depth - 1))).alias("at"))
         inside = spots if inside is None else inside.union(spots)
-    gone = inside.distinct().join(lines.select("doc_id", "at", "line_no"), ["doc_id", "at"])
-    return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
+    gone = inside.distinct().join(lines.select(*_DOC, "at", "line_no"), [*_DOC, "at"])
+    return gone.groupBy(*_DOC).agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
 
 
 def without_repeated_lines(
@@ -120,8 +133,9 @@ def without_repeated_lines(
     counted = counted.withColumn("n_lines", F.greatest("n_lines", F.lit(0)))
     touched = F.coalesce(may_be_among(F.col("doc_id").cast("long"), gone, "doc_id"), F.lit(False))
     clear = counted.where(~touched).withColumn("n_removed", F.lit(0))
-    cut = counted.where(touched).withColumn("__id", F.col("doc_id").cast("long"))
-    cut = cut.join(gone.withColumnRenamed("doc_id", "__id"), "__id", "left")
+    keys = {"__id": F.col("doc_id").cast("long"), "__text": text_id(F.col("text"))}
+    gone = gone.withColumnsRenamed({"doc_id": "__id", "text_id": "__text"})
+    cut = counted.where(touched).withColumns(keys).join(gone, list(keys), "left")
     kept = F.filter(lines, lambda line, no: ~F.array_contains("removed", no))
     short = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     cut = cut.withColumns(

@@ -103,6 +103,15 @@ def test_shorter_runs_count_by_their_words(spark):
     assert got == want and sum(len(x) for x in want.values()) > before
 
 
+def test_texts_decide_not_ids(spark):
+    rows = [(1, "a b c d"), (2, "p q r s t"), (2, "a b c z w"), (2, "p q r s t"), (None, "a b c d")]
+    rows = [(i, t.replace(" ", "\n")) for i, t in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = sorted(((r.doc_id, r.text.replace("\n", " "), r.n_removed) for r in linedup.without_repeated_lines(df).collect()), key=repr)
+    # Lines that stand nowhere else stay; of one id's texts only the one with a copy loses lines.
+    assert out == [(1, "a b c d", 0), (2, "p q r s t", 0), (2, "p q r s t", 0), (2, "z w", 3), (None, "a b c d", 0)]
+
+
 def test_line_runs_of_odd_documents(spark):
     docs = edge_docs(spark)
     rows = linedup.without_repeated_lines(docs).collect()
