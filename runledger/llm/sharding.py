@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runledger.llm.ranking import positions
+from runledger.session import stage
 
 BITS = 8
 ADDED = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
@@ -87,57 +88,73 @@ def hilbert_index(cells: Sequence[Column], bits: int = BITS) -> Column:
     return _let(_let(_let(turned, gray), flip), interleave)
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 40) -> DataFrame:
-    """Every row of ``docs`` with its shard and its slot there; law ``rows``.
-
-    Reads ``doc_id, text, lang, source``. Language, source and size are quantised, rows
-    sorted by the cell's place on the Hilbert curve, then digest of the text and id (so
-    equal texts of one cell lie together), and the order is cut into runs whose lengths
-    differ by one at most. Files of a run span few languages, sources and sizes, which
-    is what a reader prunes by. Rows are numbered in ranges; nothing is gathered.
-
-    Returns ``doc_id``, ``size`` (UTF-8 bytes plus 16), ``text_crc32``, ``law``,
-    ``shard``, ``slot`` (from 0), ``grown_shard`` (null, as a new shard moves runs) and
-    the cell. A null text has size 16 and no digest; a null name lies in the first cell;
-    rows equal in all of this may swap slots. Other columns of ``docs`` are not read.
-    """
+def _placed(docs: DataFrame, n_shards: int, carried: Sequence[str]) -> DataFrame:
+    """Rows with the columns named in ``carried`` and those of ``ADDED`` and the cell."""
     size = stored_bytes(F.col("text"))
-    narrow = docs.select(
-        "doc_id",
-        size.alias("size"),
-        F.crc32(F.col("text")).alias("text_crc32"),
-        name_code(F.col("lang")).alias("lang_cell"),
-        name_code(F.col("source")).alias("source_cell"),
-        magnitude_code(size).alias("size_cell"),
-    )
-    cells = [F.col(c) for c in ("lang_cell", "source_cell", "size_cell")]
-    narrow = narrow.withColumn("curve", hilbert_index(cells))
-    placed, total = positions(narrow, ["curve", "text_crc32", "doc_id", "size"], "__place")
-    rows = max(total, 1)
-    shard = F.expr(f"(__place * {n_shards}L) div {rows}L")
-    first = F.expr(f"(__shard * {rows}L + {n_shards - 1}L) div {n_shards}L")
+    cells = {
+        "lang_cell": name_code(F.col("lang")),
+        "source_cell": name_code(F.col("source")),
+        "size_cell": magnitude_code(size),
+    }
+    digest = {"size": size, "text_crc32": F.crc32(F.col("text")), "__text": F.xxhash64("text")}
+    own = docs.select(*[F.col(c).alias(f"__own_{c}") for c in carried], "doc_id", *[
+        c.alias(name) for name, c in (cells | digest).items()
+    ])
+    own = own.withColumn("curve", hilbert_index([F.col(c) for c in cells]))
+    # Only texts that occur repeatedly: their rows go where the first of them on the curve goes.
+    same = own.where("text_crc32 IS NOT NULL").groupBy("size", "__text")
+    same = same.agg(F.min("curve").alias("__curve"), F.count("*").alias("__n")).where("__n > 1")
+    same = stage(same.drop("__n"), "copies")
+    rows = own.join(same, ["size", "__text"], "left")
+    rows = rows.withColumn("curve", F.coalesce("__curve", "curve")).drop("__curve")
+    placed, total = positions(rows, ["curve", "size", "text_crc32", "__text", "doc_id"], "__place")
+    n = max(total, 1)
+    shard = F.expr(f"(__place * {n_shards}L) div {n}L")
+    first = F.expr(f"(__shard * {n}L + {n_shards - 1}L) div {n_shards}L")
     placed = placed.withColumn("__shard", shard).withColumn("__first", first)
     return placed.select(
-        "doc_id",
+        *[F.col(f"__own_{c}").alias(c) for c in carried],
         "size",
         "text_crc32",
         F.lit("rows").alias("law"),
         F.col("__shard").cast("int").alias("shard"),
         (F.col("__place") - F.col("__first")).cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
-        "lang_cell",
-        "source_cell",
-        "size_cell",
+        *cells,
         "curve",
     )
 
 
-def write_shards(docs: DataFrame, sharded: DataFrame, path: str) -> None:
-    """``docs`` as Parquet, one folder per shard, rows in slot order.
+def shard_documents(docs: DataFrame, n_shards: int = 40) -> DataFrame:
+    """Every row of ``docs`` with its shard and its slot there; law ``rows``.
 
-    ``doc_id`` must identify a row of both tables.
+    Reads ``doc_id, text, lang, source``. Language, source and size are quantised, rows
+    sorted by the cell's place on the Hilbert curve, then size and digest of the text and
+    id, and the order is cut into runs whose lengths differ by one at most. Files of a run
+    span few languages, sources and sizes, which is what a reader prunes by. Rows with
+    equal texts all take the first place any of them has on the curve, so they lie
+    together whatever their other columns say, and only a cut can part them. Rows are
+    numbered in ranges; nothing is gathered.
+
+    Returns ``doc_id``, ``size`` (UTF-8 bytes plus 16), ``text_crc32``, ``law``,
+    ``shard``, ``slot`` (from 0), ``grown_shard`` (null, as a new shard moves runs), the
+    cell and the place on the ``curve``. A null text has size 16 and no digest; a null name lies in the first cell;
+    rows equal in all of this may swap slots. Other columns of ``docs`` are not read.
+    """
+    return _placed(docs, n_shards, ["doc_id"])
+
+
+def shard_corpus(docs: DataFrame, n_shards: int = 40) -> DataFrame:
+    """``docs`` whole, with the columns ``shard_documents`` adds.
+
+    Rows carry their own columns through the sort, so rows that share an id, or have
+    none, each keep theirs. Input columns of the added names are replaced.
     """
-    slots = sharded.select("doc_id", "shard", "slot")
-    placed = docs.drop("shard", "slot").join(slots, "doc_id")
-    ordered = placed.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
+    added = (*ADDED, "lang_cell", "source_cell", "size_cell", "curve")
+    return _placed(docs, n_shards, [c for c in docs.columns if c not in added])
+
+
+def write_shards(corpus: DataFrame, path: str) -> None:
+    """What ``shard_corpus`` gives as Parquet, one folder per shard, rows in slot order."""
+    ordered = corpus.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
     ordered.write.partitionBy("shard").parquet(path)

@@ -90,11 +90,37 @@ def test_shards_of_odd_documents(spark):
 
 def test_shards_of_a_table_and_their_files(spark, small, tmp_path):
     docs = spark.read.parquet(f"{small}/documents.parquet")
-    sharded = sharding.shard_documents(docs).cache()
-    rows = sharded.collect()
+    corpus = sharding.shard_corpus(docs).cache()
+    rows = corpus.collect()
     check_rows_law(rows, 40)
     order = [r.curve for r in sorted(rows, key=lambda r: (r.shard, r.slot))]
     assert order == sorted(order)
-    sharding.write_shards(docs, sharded, str(tmp_path / "shards"))
+    digest = sharding.shard_documents(docs)
+    assert digest.exceptAll(corpus.select(digest.columns)).count() == 0
+    sharding.write_shards(corpus, str(tmp_path / "shards"))
     back = spark.read.parquet(str(tmp_path / "shards"))
     assert back.select(docs.columns).exceptAll(docs).count() == 0 and back.count() == docs.count()
+    check_rows_law(back.collect(), 40)
+
+
+def test_equal_texts_lie_together(spark):
+    rows = [(i, f"text {i % 30}", "abcd"[i % 4], f"s{i % 7}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    found = {r.doc_id: r for r in sharding.shard_documents(docs, 40).collect()}
+    check_rows_law(found.values(), 40)
+    at = sorted(found, key=lambda i: (found[i].shard, found[i].slot))
+    runs = [rows[i][1] for i in at]
+    assert sum(x != y for x, y in zip(runs, runs[1:], strict=False)) == 29
+    # Twenty copies over shards of fifteen rows: a group lies on two or three neighbours.
+    for text in set(runs):
+        shards = {found[i].shard for i in found if rows[i][1] == text}
+        assert max(shards) - min(shards) <= 2
+
+
+def test_rows_that_share_an_id_keep_their_columns(spark):
+    rows = [(1, "a b", "x", "p"), (1, "c d", "y", "q"), (None, "e", None, None), (1, "a b", "x", "p"), (2, None, "z", "r")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard string, source string")
+    docs = docs.withColumn("lang", F.lit("en"))
+    out = sharding.shard_corpus(docs, 3).collect()
+    assert sorted(((r.doc_id, r.text, r.source) for r in out), key=repr) == sorted(((r[0], r[1], r[3]) for r in rows), key=repr)
+    check_rows_law(out, 3)

@@ -5,6 +5,7 @@ from fixtures import edge_docs, no_docs, shingles
 from test_neardup import brute
 
 from runledger.llm.catalog import ORACLE, QUERIES
+from runledger.llm.sharding import write_shards
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
@@ -45,7 +46,12 @@ def test_stages_keep_what_they_should(spark, small, tmp_path):
         if name == "mixing":
             assert max(kept.count(i) for i in set(kept)) <= 2
         before = after
-    assert stages["sharding"](spark, before, small).count() == before.count()
+    corpus = stages["sharding"](spark, before, small).cache()
+    assert corpus.select(columns).exceptAll(before).count() == 0 and corpus.count() == before.count()
+    write_shards(corpus, str(tmp_path / "shards"))
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert sorted(map(str, back.select(columns).collect())) == sorted(map(str, before.collect()))
+    assert back.where("text IS NULL").count() == 0
 
 
 def test_odd_documents_pass_all_stages(spark, small):
