@@ -10,7 +10,7 @@ from runledger.llm.contamination import drop_contaminated
 from runledger.llm.langid import keep_identified
 from runledger.llm.mixing import mix_documents
 from runledger.llm.neardup import drop_near_duplicates
-from runledger.llm.sharding import shard_documents
+from runledger.llm.sharding import shard_corpus
 from runledger.session import scratch_dir
 
 
@@ -36,8 +36,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each row goes: shard and slot along the curve."""
-    return shard_documents(docs, 40)
+    """Each row whole, with its shard and slot along the curve; repeats of the mix are rows."""
+    return shard_corpus(docs, 40)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
