@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runledger import constants as K
+from runledger.session import scratch_dir
 
 HOSTS = ("cheyenne", "hera", "orion", "Gaea")
 RUN_MACHINES = ("cheyenne", "gaea", "hera", "jet", "orion")
+TREE_HOSTS = ("cheyenne", "hera", "orion")
+TREE_VERSIONS = tuple(f"v9.{i}.0b1-2-gab{i}" for i in range(4))
 BASE_URL = "https://example.org/artifacts"
 
 
@@ -26,6 +29,7 @@ def _pick(number: str, values: tuple[str, ...]) -> str:
 
 
 BRANCHES = ("develop", "feat_x", "layout_fix")
+EVENT_BRANCHES = (*BRANCHES, "develop_x")
 _HEADER = (
     "concat('Build for = ', compiler, '_', c_version, '_', mpi, '_', o_g, '_', {branch}, "
     f"', mpi version ', m_version, ' on ', host, ' {K.OS_MARK}: ', os)"
@@ -36,7 +40,9 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each report says, one row per order.
 
     Second-priority reports spell their version with other separators: a dot in a token
-    stands for any sign, so untagged tokens still match and the tagged one does not.
+    stands for any sign, so untagged tokens still match and the tagged one does not. The
+    narrow rows are dealt out before anything is rendered from them: a table of one row
+    group would otherwise be rendered and parsed by one task.
     """
     orders = table(spark, sf_dir, "orders").withColumn("k", F.expr("floor(o_orderkey / 60) % 6"))
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
@@ -63,6 +69,7 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         "50L AS nuopc_pass",
         "0L AS nuopc_fail",
     )
+    out = out.repartition(spark.sparkContext.defaultParallelism, "seq")
     return out.selectExpr(
         "*",
         """translate(if(contains(hash, '-g'), concat(hash, '2'), hash), '.',
@@ -160,7 +167,7 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
             "md5(string(event_id)) AS commit_hash",
             "concat(date_format(ts, 'yyyy-MM-dd HH:mm:ss'), ' +0000') AS committed_at",
             f"""concat(if(value < 1.0, concat('merge of main on ', event_type),
-              concat('  update for test of gfortran_8.3.0_mpiuni_O_', {_pick('user_id % 3', BRANCHES)},
+              concat('  update for test of gfortran_8.3.0_mpiuni_O_', {_pick('user_id % 4', EVENT_BRANCHES)},
                 ' with hash ', if(n % 2 = 0, concat('v8.3.0b', n, '-5-g64eb', n),
                   concat('{K.SNAPSHOT_PREFIX}8_3_0_beta_snapshot_', n, '-5-g64eb', n)),
                 ' on ', event_type, ' [ci skip]')),
@@ -174,3 +181,56 @@ def branches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(branch, branch_pos)`` of the report commits, by name."""
     named = cells(spark, sf_dir).select("branch").distinct()
     return named.withColumn("branch_pos", F.col("branch"))
+
+
+def tree(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with a report and a build log per supplier, as files of their own bytes.
+
+    Reports are ISO-8859-1 and name an operating system with a sign beyond ASCII; every
+    seventh lacks its last result, every fifth supplier has no log, and some logs end in
+    another suffix. Lines end in ``\\n``.
+    """
+    root = scratch_dir(spark, "tree")
+    supplier = table(spark, sf_dir, "supplier").select(
+        "s_suppkey",
+        F.expr(_pick("s_nationkey % 3", BRANCHES)).alias("branch"),
+        F.expr(_pick("s_suppkey % 3", TREE_HOSTS)).alias("host"),
+        F.expr(_pick("s_suppkey % 2", ("intel", "nag"))).alias("compiler"),
+        F.lit("18.0").alias("c_version"),
+        F.lit("g").alias("o_g"),
+        F.lit("mpich").alias("mpi"),
+        F.expr("concat('3.', s_suppkey)").alias("m_version"),
+        F.expr(_pick("s_suppkey % 4", TREE_VERSIONS)).alias("version"),
+    )
+    supplier = supplier.withColumn("os", F.lit("Línux"))
+    results = F.expr(
+        """transform(array('unit', 'system', 'example', 'nuopc'), k -> concat(k, ' test results\tPASS ',
+          if(k = 'unit', s_suppkey, 7), '\tFAIL ', if(k = 'system', s_suppkey % 5, 0)))"""
+    )
+    results = F.when(F.col("s_suppkey") % 7 == 0, F.slice(results, 1, 3)).otherwise(results)
+    report = F.concat(F.array(F.expr(_HEADER.format(branch="branch"))), results, F.array(F.lit("---"), "version"))
+    log = F.array(
+        F.lit("café"),
+        F.lit("netcdf LIBRARY version: netCDF 4.7.1"),
+        F.expr("concat('NetCDF Fortran version: ', if(s_suppkey % 4 = 0, '', '4.5.3'))"),
+        F.lit("NetCDF library version: netCDF 9.9.9"),
+        F.expr(f"if(s_suppkey % 6 <> 0, '{K.SUCCESS_MESSAGE}', 'error: stopped')"),
+        F.col("version"),
+    )
+    folders = ["branch", "host", "compiler", "c_version", "o_g", "mpi", "m_version", "dir"]
+    odd = F.when(F.col("s_suppkey") % 8 == 3, "txt").otherwise("log")
+    kinds = (
+        (K.REPORT_FILE, report, "dat", K.REPORT_ENCODING, F.lit("dat"), F.lit(True)),
+        (K.LOG_FILE, log, "log", "UTF-8", odd, F.col("s_suppkey") % 5 != 0),
+        (K.LOG_FILE, log, "txt", "UTF-8", odd, F.col("s_suppkey") % 5 != 0),
+    )
+    for name, lines, suffix, encoding, own, there in kinds:
+        place = F.concat(F.lit("r"), F.col("s_suppkey").cast("string"), F.lit(f"-{name}"))
+        rows = supplier.where(there & (own == suffix)).withColumn("dir", place)
+        rows = rows.select(*folders, F.posexplode(lines).alias("at", "line"))
+        rows = rows.repartition("dir").sortWithinPartitions(*folders, "at").drop("at")
+        # The CSV writer, as it takes a suffix and an encoding; no sign of its own can occur.
+        options = {"extension": suffix, "encoding": encoding, "sep": "\x01", "quote": "\x02", "escape": "\x03",
+                   "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "emptyValue": ""}
+        rows.write.mode("append").partitionBy(*folders).options(**options).csv(root)
+    return root

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from runledger import constants as K
 from runledger.functions.versions import branch_from_log_line, hash_token, sanitize_branch
+from runledger.operators.postings import candidate_pairs
+from runledger.session import stage
 from runledger.sources.commits import commit_lines
 
 _PLAIN = r"\A[A-Za-z0-9_-]*\z"
@@ -52,41 +54,48 @@ def with_branch_pos(branches: DataFrame, at: str = "first_at") -> DataFrame:
 def recent_hashes(
     commits: DataFrame,
     jobs: DataFrame,
-    qty: int,
+    qty: int | None = None,
     patterns: Sequence[str] = K.HASH_PATTERNS,
     exact: bool = False,
 ) -> DataFrame:
-    """The newest ``qty`` distinct versions per job, ``hash_rank`` 1 for the newest.
-
-    A commit line counts for a job when it names the machine and the sanitised branch,
-    read as a regular expression, hits it; ``exact`` demands the branch the line names.
-    Equal lines are folded before the join and every group is cut to ``qty`` in the map
-    tasks before the window, so a machine that holds most of the log costs no more than
-    its distinct lines.
+    """The newest distinct versions per job, ``hash_rank`` 1 for the newest.
+
+    A job gets as many as its own ``qty`` says, or all jobs ``qty`` where that is given;
+    none or less than one gives no version. A commit line counts for a job when it names
+    the machine and the sanitised branch, read as a regular expression, hits it; ``exact``
+    demands the branch the line names. Equal lines are folded first. Lines and branches
+    meet on the machine and on letters the branch requires, so the lines of a machine
+    that holds most of the log spread over its branches. Groups are cut to the largest
+    quantity in the map tasks before they meet.
     """
     lines = commit_lines(commits).withColumn("branch_hash", hash_token(F.col("line"), patterns))
     lines = lines.where((F.col("branch_hash") != "") & F.col("line").contains(F.col("machine")))
     token = sanitize_branch(F.col("branch"))
     keys = ["machine", "branch"]
-    carried = [c for c in jobs.columns if c not in keys]
+    wanted = jobs.withColumn("qty", F.col("qty") if qty is None else F.lit(qty))
+    carried = [c for c in wanted.columns if c not in keys]
+    wanted = wanted.withColumn("_token", token)
     if exact:
-        lines = lines.withColumn("named", branch_from_log_line(F.col("line")))
-        folded = lines.groupBy("machine", "named", "branch_hash").agg(F.min("at").alias("at"))
-        jobs = jobs.withColumn("named", token)
-        joined = folded.join(jobs, ["machine", "named"])
+        lines = lines.withColumn("_token", branch_from_log_line(F.col("line")))
+        folded = lines.groupBy("machine", "_token", "branch_hash").agg(F.min("at").alias("at"))
+        met = stage(folded, "lines")
     else:
         folded = lines.groupBy("machine", "line", "branch_hash").agg(F.min("at").alias("at"))
-        jobs = jobs.withColumnRenamed("machine", "job_machine")
+        # Read back, so that hot keys of the join can be split.
+        pairs = candidate_pairs(stage(folded, "lines"), wanted, "line", "_token", ["machine"])
         # A branch without regular-expression signs is looked for as text, which saves
         # compiling a pattern for every pair.
-        jobs = jobs.withColumns({"_token": token, "_plain": F.regexp_like(token, F.lit(_PLAIN))})
-        named = F.when(F.col("_plain"), F.col("line").contains(F.col("_token"))).otherwise(
-            F.regexp_like(F.col("line"), F.col("_token"))
-        )
-        joined = folded.join(jobs, (F.col("machine") == F.col("job_machine")) & named)
+        named = F.when(
+            F.regexp_like("_token", F.lit(_PLAIN)), F.col("line").contains(F.col("_token"))
+        ).otherwise(F.regexp_like("line", F.col("_token")))
+        met = pairs.where(named).drop("line")
+    joined = met.join(wanted, ["machine", "_token"])
     first = joined.groupBy(*keys, *carried, "branch_hash").agg(F.min("at").alias("first_at"))
+    if qty is None:
+        qty = wanted.agg(F.coalesce(F.max("qty"), F.lit(0))).first()[0]
     rank = F.row_number().over(W.partitionBy(*keys).orderBy("first_at", "branch_hash"))
-    return first.withColumn("hash_rank", rank).where(F.col("hash_rank") <= max(qty, 0))
+    ranked = first.withColumn("hash_rank", rank).where(F.col("hash_rank") <= max(qty, 0))
+    return ranked.where(F.col("hash_rank") <= F.col("qty"))
 
 
 def jobs_without(jobs: DataFrame, results: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from runledger import constants as K
 from runledger.functions.paths import path_attributes
+from runledger.operators.postings import candidate_pairs
+from runledger.session import stage
 
 
 def greatest_by(
@@ -110,16 +112,21 @@ def modified_time(modified: Column) -> Column:
     return F.try_to_timestamp(modified, F.lit("yyyy-MM-dd HH:mm:ss Z"))
 
 
-def first_matching(value: Column, patterns: Sequence[tuple[str, str]]) -> Column:
-    """Name of the first pattern that matches from the start of ``value``, null if none does.
+def first_matching(
+    values: DataFrame, patterns: DataFrame, value: str, name: str, pattern: str, order: str
+) -> DataFrame:
+    """``values`` with the ``name`` of the first pattern that matches ``value`` from its start.
 
-    The patterns are run configuration, so they become one chain of literal tests: each
-    is compiled once, and no join is needed.
+    ``patterns`` is a table, first in ``order``; equal places go by name. A value no
+    pattern matches, or null, gets null. Distinct values meet the patterns by letters
+    these require, so neither side is compared with everything, and the answers come
+    back by value.
     """
-    if not patterns:
-        return F.lit(None).cast("string")
-    (name, pattern), *rest = patterns
-    chain = F.when(F.regexp_like(value, F.lit(f"^(?:{pattern})")), name)
-    for name, pattern in rest:
-        chain = chain.when(F.regexp_like(value, F.lit(f"^(?:{pattern})")), name)
-    return chain
+    asked = stage(values.select(value).where(F.col(value).isNotNull()).distinct(), "values")
+    rules = patterns.select(F.col(pattern).alias("_rule"), F.col(order).alias("_at"), F.col(name).alias("_name"))
+    rules = rules.where(F.col("_rule").isNotNull())
+    pairs = candidate_pairs(asked, rules, value, "_rule")
+    hits = pairs.where(F.regexp_like(value, F.concat(F.lit("^(?:"), "_rule", F.lit(")")))).distinct()
+    first = F.min_by("_name", F.struct("_at", "_name")).alias(name)
+    found = stage(hits.join(rules, "_rule").groupBy(value).agg(first), "first")
+    return values.join(found, value, "left").select(*values.columns, name)

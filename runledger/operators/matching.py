@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,12 +11,14 @@ from pyspark.sql import functions as F
 from runledger.functions.paths import inner_components
 from runledger.functions.text import BLANKS, split_lines, strip
 from runledger.functions.versions import is_tagged, sanitize_branch, version_match
-
-# Block keys are cut to these lengths; the full rule is checked after the join, so the
-# cuts bound the number of shapes and never the result.
-_MAX_HEAD = 256
-_MAX_TAIL = 32
-_MAX_PATTERNS = 1000
+from runledger.operators.postings import candidate_pairs
+from runledger.session import stage
+
+# Untagged tokens whose literal end stands within so many letters meet lines at that place, by
+# so many letters at most; the full rule is checked after the join. The bounds keep the number
+# of shapes fixed, and other tokens are posted by their grams.
+_PLACES = 64
+_LENGTH = 32
 _PLAIN = r"\A[A-Za-z0-9_.-]+\z"
 
 
@@ -24,88 +27,49 @@ def _block(token: Column, literal: bool) -> Column:
 
     ``whole``: a tagged token equals the stripped line. ``part``: of an untagged token
     made of letters, digits, dots, dashes and underscores, everything after the last dot
-    is literal and stands at a fixed place. ``pattern``: any other token.
+    is literal and stands at a fixed place; a ``literal`` one is literal from its start.
+    ``gram``: any other token.
     """
     tail = F.substring_index(F.regexp_replace(token, r"\.+\z", ""), ".", -1)
     at = F.length(F.regexp_replace(token, r"\.+\z", "")) - F.length(tail) + 1
-    whole = F.struct(
-        F.lit("whole").alias("kind"),
-        F.lit(1).alias("at"),
-        F.least(F.length(token), F.lit(_MAX_HEAD)).alias("size"),
-        F.substring(token, 1, _MAX_HEAD).alias("key"),
-    )
-    head = F.struct(
-        F.lit("part").alias("kind"),
-        F.lit(1).alias("at"),
-        F.least(F.length(token), F.lit(_MAX_HEAD)).alias("size"),
-        F.substring(token, 1, _MAX_HEAD).alias("key"),
-    )
+
+    def block(kind: str, at: Column, size: Column, key: Column) -> Column:
+        return F.struct(
+            F.lit(kind).alias("kind"), at.alias("at"), size.alias("size"), key.alias("key")
+        )
+
+    def part(at: Column, piece: Column) -> Column:
+        size = F.least(F.length(piece), F.lit(_LENGTH))
+        return block("part", at, size, F.substring(piece, 1, _LENGTH))
+
+    whole = block("whole", F.lit(0), F.lit(0), token)
     if literal:
-        return F.when(is_tagged(token), whole).otherwise(head)
-    part = F.struct(
-        F.lit("part").alias("kind"),
-        at.alias("at"),
-        F.least(F.length(tail), F.lit(_MAX_TAIL)).alias("size"),
-        F.substring(tail, 1, _MAX_TAIL).alias("key"),
-    )
-    pattern = F.struct(
-        F.lit("pattern").alias("kind"),
-        F.lit(1).alias("at"),
-        F.lit(0).alias("size"),
-        token.alias("key"),
-    )
-    plain = F.regexp_like(token, F.lit(_PLAIN)) & (at <= _MAX_HEAD)
-    return F.when(is_tagged(token), whole).when(plain, part).otherwise(pattern)
+        return F.when(is_tagged(token), whole).otherwise(part(F.lit(1), token))
+    gram = block("gram", F.lit(0), F.lit(0), F.lit(""))
+    plain = F.regexp_like(token, F.lit(_PLAIN)) & (at <= _PLACES)
+    return F.when(is_tagged(token), whole).when(plain, part(at, tail)).otherwise(gram)
 
 
 def _first_letter(line: Column) -> Column:
     return F.substring(F.ltrim(line, F.lit(BLANKS)), 1, 1)
 
 
-def _offered_keys(shapes: Sequence[tuple[str, int, int]], patterns: Sequence[str]) -> Column:
-    """Block keys the line in ``_line`` (stripped in ``_bare``) offers, one per fitting shape."""
-    line, bare = F.col("_line"), F.col("_bare")
-    whole_fits = lambda s: (F.length(bare) == s["size"]) | (
-        (s["size"] == _MAX_HEAD) & (F.length(bare) > _MAX_HEAD)
-    )
+def _offered_keys(shapes: Sequence[tuple[str, int, int]]) -> Column:
+    """Block keys the line in ``_line`` offers: itself stripped, and one per fitting shape."""
+    line = F.col("_line")
 
-    def offer(s: Column, text: Column) -> Column:
-        key = F.substring(text, s["at"], s["size"])
+    def offer(kind: str, at: int, size: int, key: Column) -> Column:
         return F.struct(
-            s["kind"].alias("kind"), s["at"].alias("at"), s["size"].alias("size"), key.alias("key")
+            F.lit(kind).alias("kind"), F.lit(at).alias("at"), F.lit(size).alias("size"), key.alias("key")
         )
 
-    by_shape = F.transform(
-        _literal_shapes([s for s in shapes if s[0] != "pattern"]),
-        lambda s: F.when((s["kind"] == "whole") & whole_fits(s), offer(s, bare)).when(
-            (s["kind"] == "part") & (F.length(line) >= s["at"] + s["size"] - 1), offer(s, line)
-        ),
-    )
-    offers = F.filter(by_shape, lambda o: o.isNotNull())
-    if not patterns:
-        return offers
-    hits = F.filter(
-        F.array(*[F.lit(p) for p in patterns]),
-        lambda p: F.regexp_like(line, F.concat(F.lit("^(?:"), p, F.lit(")"))),
-    )
-    odd = F.transform(
-        hits,
-        lambda p: F.struct(
-            F.lit("pattern").alias("kind"),
-            F.lit(1).alias("at"),
-            F.lit(0).alias("size"),
-            p.alias("key"),
-        ),
-    )
-    return F.concat(offers, odd)
-
-
-def _literal_shapes(shapes: Sequence[tuple[str, int, int]]) -> Column:
-    structs = [
-        F.struct(F.lit(k).alias("kind"), F.lit(a).alias("at"), F.lit(n).alias("size"))
-        for k, a, n in shapes
+    offers = [
+        offer("whole", 0, 0, strip(line))
+        if kind == "whole"
+        else F.when(F.length(line) >= at + size - 1, offer(kind, at, size, F.substring(line, at, size)))
+        for kind, at, size in shapes
     ]
-    return F.array(*structs).cast("array<struct<kind:string,at:int,size:int>>")
+    return F.filter(F.array(*offers), lambda o: o.isNotNull())
 
 
 def match_lines(
@@ -119,38 +83,37 @@ def match_lines(
 
     ``files`` carries an array of lines, which the result drops; ``requests`` has
     ``branch_hash``. A token is a regular expression unless ``literal``. Lines and tokens
-    meet in an equi-join on the block key, so nothing is compared with everything; the
-    few shapes the tokens have (at most 256 whole sizes, 256 x 32 parts) steer which keys
-    a line offers. Only tokens with further regular-expression signs, which no version
-    token has, are tried on every line, and their number is checked.
+    meet in equi-joins, so nothing is compared with everything. Tokens made of plain signs
+    meet them at a fixed place; the few shapes these have (2,048 at most) steer which keys a
+    line offers. Tokens with further regular-expression signs are posted by the letters
+    they require.
     """
     wanted = requests.select("branch_hash").distinct()
-    wanted = wanted.withColumn("_block", _block(F.col("branch_hash"), literal))
-    shapes = wanted.select(
-        "_block.kind", "_block.at", "_block.size", F.substring("branch_hash", 1, 1).alias("first")
-    )
-    shapes = shapes.distinct().collect()
-    patterns: list[str] = []
-    if any(s["kind"] == "pattern" for s in shapes):
-        odd = wanted.where("_block.kind = 'pattern'").select("_block.key").limit(_MAX_PATTERNS + 1)
-        patterns = [r["key"] for r in odd.collect()]
-        if len(patterns) > _MAX_PATTERNS:
-            raise ValueError(
-                f"more than {_MAX_PATTERNS} tokens are general regular expressions; "
-                "pass literal=True to match them as text"
-            )
+    wanted = stage(wanted.withColumn("_block", _block(F.col("branch_hash"), literal)), "tokens")
+    shapes = wanted.select("_block.kind", "_block.at", "_block.size").distinct().collect()
+    shapes = sorted((s["kind"], s["at"], s["size"]) for s in shapes)
     carried = [c for c in files.columns if c != lines]
-    kept = F.col(lines)
-    firsts = {s["first"] for s in shapes}
-    if not patterns and (literal or "." not in firsts):
-        kept = F.filter(kept, lambda line: _first_letter(line).isin(*sorted(firsts)))
-    offered = files.select(*carried, F.explode(F.array_distinct(kept)).alias("_line"))
-    offered = offered.withColumn("_bare", strip(F.col("_line")))
-    keys = _offered_keys(sorted({(s["kind"], s["at"], s["size"]) for s in shapes}), patterns)
-    offered = offered.withColumn("_offer", F.explode(keys))
-    joined = offered.join(wanted, F.col("_offer") == F.col("_block"))
+    offered = files.select(*carried, F.explode(F.array_distinct(lines)).alias("_line"))
     hit = version_match(F.col("_line"), F.col("branch_hash"), literal)
-    return joined.where(hit).select(*carried, "branch_hash").dropDuplicates([*key, "branch_hash"])
+    found = []
+    placed = [s for s in shapes if s[0] != "gram"]
+    if placed:
+        plain = wanted.where("_block.kind <> 'gram'")
+        first = F.substring("branch_hash", 1, 1).alias("first")
+        firsts = {r["first"] for r in plain.select(first).distinct().collect()}
+        mine = offered
+        if literal or "." not in firsts:
+            mine = mine.where(_first_letter(F.col("_line")).isin(*sorted(firsts)))
+        mine = mine.withColumn("_offer", F.explode(_offered_keys(placed)))
+        found.append(mine.join(plain, F.col("_offer") == F.col("_block")))
+    if len(placed) < len(shapes):
+        general = wanted.where("_block.kind = 'gram'")
+        found.append(candidate_pairs(offered, general, "_line", "branch_hash"))
+    if not found:
+        found.append(offered.where(F.lit(False)).withColumn("branch_hash", F.lit("")))
+    hits = [f.where(hit).select(*carried, "branch_hash") for f in found]
+    matched = reduce(DataFrame.unionByName, hits)
+    return matched.dropDuplicates([*key, "branch_hash"])
 
 
 def match_texts(
@@ -167,28 +130,33 @@ def _of_machine(inner: Column, exact: bool) -> Column:
     return F.col("path").contains(F.col("machine"))
 
 
-def paths_of_jobs(paths: DataFrame, jobs: DataFrame, exact: bool = False) -> DataFrame:
+def paths_of_jobs(
+    paths: DataFrame, jobs: DataFrame, exact: bool = False, key_value: bool = False
+) -> DataFrame:
     """Pairs of ``paths(path, ...)`` and ``jobs(machine, branch, ...)``, each pair once.
 
     Joins on the branch component; the machine is tested on the pairs that leaves. It may
-    stand anywhere in the path, with ``exact`` it must be a component too.
+    stand anywhere in the path, with ``exact`` it must be a component too. ``key_value``
+    takes the values of ``name=value`` components.
     """
-    parts = paths.withColumn("_inner", inner_components(F.col("path")))
+    inner = inner_components(F.col("path"))
+    if key_value:
+        inner = F.array_distinct(F.transform(inner, lambda c: F.regexp_replace(c, r"\A[^=]*=", "")))
+    parts = paths.withColumn("_inner", inner)
     parts = parts.withColumn("_part", F.explode("_inner"))
     joined = parts.join(jobs, F.col("_part") == sanitize_branch(F.col("branch")))
     return joined.where(_of_machine(F.col("_inner"), exact)).drop("_part", "_inner")
 
 
-def matches_of_jobs(matches: DataFrame, requests: DataFrame, exact: bool = False) -> DataFrame:
+def matches_of_jobs(matches: DataFrame, owned: DataFrame, requests: DataFrame) -> DataFrame:
     """Files matched to a version, with every job that requests it and owns the path.
 
-    ``requests`` has ``machine``, ``job_branch`` and ``branch_hash``. A version held by
-    most files is a hot key on the file side, which AQE splits.
+    ``owned`` pairs paths with jobs as ``paths_of_jobs`` gives them, ``requests`` has
+    ``machine``, ``job_branch`` and ``branch_hash``. Files meet their jobs by path, which no
+    other file has, so a version that most files hold is no hot key.
     """
-    parts = matches.withColumn("_inner", inner_components(F.col("path")))
-    owned = F.array_contains("_inner", sanitize_branch(F.col("job_branch")))
-    joined = parts.join(requests, "branch_hash")
-    return joined.where(owned & _of_machine(F.col("_inner"), exact)).drop("_inner")
+    jobs = owned.select("path", "machine", F.col("branch").alias("job_branch"))
+    return matches.join(jobs, "path").join(requests, ["machine", "job_branch", "branch_hash"])
 
 
 def lines_matching(df: DataFrame, text: str, pattern: str) -> DataFrame:
@@ -203,20 +171,18 @@ def containing_mark(
 ) -> DataFrame:
     """Files whose text holds ``mark`` followed by a requested ``branch_hash``, each pair once.
 
-    What follows each mark is cut to the lengths the tokens have, no more numbers than the
-    longest token has letters, so this too is an equi-join; the text itself is dropped
-    before it.
+    What follows each mark is cut to the first letters of the tokens, at most 32 of them, so
+    this too is an equi-join and offers a bounded number of cuts per mark whatever lengths
+    the tokens have; the rest of a token is tested on what the join leaves.
     """
-    sizes = [r[0] for r in requests.select(F.length("branch_hash")).distinct().collect()]
-    wanted = requests.withColumn("_head", F.col("branch_hash"))
+    size = F.least(F.length("branch_hash"), F.lit(_LENGTH))
+    sizes = sorted(r[0] for r in requests.select(size).distinct().collect())
+    wanted = requests.withColumn("_head", F.substring("branch_hash", 1, _LENGTH))
     pieces = F.split(F.col(text), rf"\Q{mark}\E", -1)
-    behind = F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
-    lengths = F.array(*[F.lit(n) for n in sorted(sizes)]).cast("array<int>")
-    heads = F.flatten(
-        F.transform(
-            behind,
-            lambda rest: F.transform(lengths, lambda n: F.substring(rest, F.lit(1), n)),
-        )
-    )
-    offered = files.withColumn("_offer", F.explode(F.array_distinct(heads))).drop(text)
-    return offered.join(wanted, F.col("_offer") == F.col("_head")).drop("_offer", "_head")
+    behind = F.array_distinct(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))))
+    marked = files.withColumn("_rest", F.explode(behind)).drop(text)
+    heads = F.array(*[F.substring("_rest", 1, n) for n in sizes]).cast("array<string>")
+    offered = marked.withColumn("_offer", F.explode(F.array_distinct(heads)))
+    joined = offered.join(wanted, F.col("_offer") == F.col("_head"))
+    hits = joined.where(F.startswith("_rest", F.col("branch_hash")))
+    return hits.drop("_offer", "_head", "_rest").distinct()

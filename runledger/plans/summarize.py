@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from runledger import constants as K
@@ -12,11 +13,17 @@ from runledger.functions.formatting import RECORD_COLUMNS
 from runledger.functions.parsing import parse_logs, parse_reports
 from runledger.operators.history import jobs_without
 from runledger.operators.lookup import build_map, with_build_outcome, with_latest_commit
-from runledger.operators.matching import match_texts, matches_of_jobs
+from runledger.operators.matching import (
+    match_lines,
+    match_texts,
+    matches_of_jobs,
+    paths_of_jobs,
+)
 from runledger.operators.merge import ARRIVAL, arrival_seq
 from runledger.session import stage
-from runledger.sinks.ledger import Ledger
+from runledger.sinks.ledger import Ledger, result_counts
 from runledger.sinks.reports import write_reports
+from runledger.sources.lines import fold_logs
 
 SCOPE = ("machine", "job_branch", "branch_hash")
 LEDGER_COLUMNS = (*RECORD_COLUMNS, "source_path", ARRIVAL)
@@ -30,6 +37,7 @@ class Run:
     rejects: DataFrame
     missing: DataFrame
     ledger: Ledger | None = None
+    counts: dict[str, int] | None = None
 
 
 def requests_of(hashes: DataFrame) -> DataFrame:
@@ -44,6 +52,31 @@ def requests_of(hashes: DataFrame) -> DataFrame:
     )
 
 
+def owned_files(
+    files: DataFrame, requests: DataFrame, exact_machine: bool = False, key_value: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """The files whose path some job owns, and the pairs of path and job.
+
+    The pairs come from the paths alone; the files are cut down to them before their
+    texts are looked at, in a broadcast join while the paths are few.
+    """
+    jobs = requests.select("machine", F.col("job_branch").alias("branch")).distinct()
+    pairs = paths_of_jobs(files.select("path").distinct(), jobs, exact_machine, key_value)
+    pairs = stage(pairs.select("path", "machine", "branch").distinct(), "owned")
+    mine = pairs.select("path").distinct()
+    return files.join(mine, "path", "left_semi"), pairs
+
+
+def _matched_outcomes(logs: DataFrame, requests: DataFrame, literal: bool) -> DataFrame:
+    """Outcome of every log with each version it matches, from whole texts or from lines."""
+    if "line" not in logs.columns:
+        texts = logs.select("path", "text", "match_text")
+        return match_texts(parse_logs(texts).drop("text"), requests, literal=literal)
+    lines = logs.select("path", F.array(F.replace("line", F.lit("\ufffd"), F.lit(""))).alias("lines"))
+    matches = match_lines(lines, requests, literal=literal)
+    return matches.join(fold_logs(logs), "path")
+
+
 def summarize(
     reports: DataFrame,
     logs: DataFrame,
@@ -60,15 +93,17 @@ def summarize(
     """``(results, rejects)`` of every job and version at once.
 
     ``reports`` and ``logs`` are ``(path, text, match_text)``, ``hashes`` comes from
-    ``recent_hashes``, ``latest`` from ``latest_commits``. Texts are reduced to records
-    and version lines where they are read; only those reach a shuffle. A build log counts
-    for the job and version it matched itself. ``exact_machine`` wants the machine as a path
-    component instead of anywhere in the path. ``on_incomplete`` sets aside reports that
-    lack a header or a result (``reject``) or fails on them (``fail``).
+    ``recent_hashes``, ``latest`` from ``latest_commits``. Logs may come as lines instead,
+    as ``log_lines`` gives them, which suits logs too long for a row. Paths are tested first: only
+    files some job owns are read and parsed. Texts are reduced to records and version lines
+    where they are read. A build log counts for the job and version it matched itself.
+    ``exact_machine`` wants the machine as a path component instead of anywhere in the path.
+    ``on_incomplete`` sets aside reports that lack a header or a result (``reject``) or
+    fails on them (``fail``).
     """
     requests = stage(requests_of(hashes), "requests") if requests is None else requests
-    records = parse_reports(reports.select("path", "text", "match_text")).drop("text")
-    outcomes = parse_logs(logs.select("path", "text", "match_text")).drop("text")
+    own_reports, pairs = owned_files(reports, requests, exact_machine, key_value)
+    records = parse_reports(own_reports.select("path", "text", "match_text")).drop("text")
     # A record travels as one column, so that dropping duplicates compares path and version only.
     fields = [c for c in records.columns if c not in ("path", "match_text")]
     found = match_texts(
@@ -76,9 +111,9 @@ def summarize(
         requests,
         literal=literal,
     ).select("path", "branch_hash", "record.*")
-    found = stage(matches_of_jobs(found, requests, exact_machine), "found")
-    built = match_texts(outcomes, requests, literal=literal)
-    built = matches_of_jobs(built, requests, exact_machine)
+    found = stage(matches_of_jobs(found, pairs, requests), "found")
+    own_logs, pairs = owned_files(logs, requests, exact_machine, key_value)
+    built = matches_of_jobs(_matched_outcomes(own_logs, requests, literal), pairs, requests)
     if on_incomplete == "fail":
         message = F.concat_ws(" ", F.lit("incomplete report:"), "reject_reason", "path")
         found = found.withColumn(
@@ -108,25 +143,32 @@ def run(
     target: str | None = None,
     run_id: int | None = None,
     source: str = "run",
+    oversized: DataFrame | None = None,
     **options,
 ) -> Run:
     """Summarise, merge into the ledger and write the reports below ``target``.
 
-    Without ``run_id`` the run comes after all earlier ones of its ``source``; with the
-    number of an earlier one it takes that run's place.
+    The run takes its place in the ledger when it starts, after all runs that started
+    before it; with the ``run_id`` of an earlier run of its ``source`` it takes that run's
+    place and replaces its rows. ``counts`` of the run are taken while its results are
+    written. ``oversized`` files, which nothing reads, are among its rejects.
     """
-    run_id = ledger.next_id(source) if run_id is None else run_id
+    run_id = ledger.claim(source, run_id)
     requests = stage(requests_of(hashes), "requests")
     results, rejects = summarize(
         reports, logs, hashes, latest, run_id, requests=requests, **options
     )
-    results = stage(results, "results")
+    counted = Observation(f"run-{uuid.uuid4().hex}")
+    results = stage(results.observe(counted, *[c.alias(n) for n, c in result_counts().items()]), "results")
+    if oversized is not None:
+        unread = oversized.select("path", F.lit("oversized").alias("reject_reason"))
+        rejects = rejects.unionByName(unread, allowMissingColumns=True)
     if target:
         stored = ledger.read() if ledger.exists() else None
         write_reports(results, stored, base_url, target, ledger.keys)
     ledger.merge(results.select(*LEDGER_COLUMNS), run_id, source)
     missing = jobs_without(requests, results, SCOPE)
-    return Run(results, rejects, missing, ledger)
+    return Run(results, rejects, missing, ledger, dict(counted.get))
 
 
 def listing(ledger: DataFrame, token: str | None = None) -> DataFrame:

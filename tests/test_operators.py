@@ -50,11 +50,50 @@ def test_recent_hashes(spark):
     assert history.recent_hashes(_log(spark), jobs, -1).count() == 0
 
 
+def test_each_job_has_its_own_quantity(spark):
+    jobs = spark.createDataFrame(
+        [("cheyenne", "develop", 2), ("cheyenne", "other", 4), ("cheyenne", "dev", 0), ("hera", "develop", 9)],
+        "machine string, branch string, qty int",
+    )
+    rows = history.recent_hashes(_log(spark), jobs).collect()
+    got = {}
+    for r in rows:
+        got.setdefault((r.machine, r.branch), []).append(r.hash_rank)
+    assert {k: sorted(v) for k, v in got.items()} == {
+        ("cheyenne", "develop"): [1, 2], ("cheyenne", "other"): [1, 2, 3, 4],
+    }
+
+
+def test_branch_inside_a_longer_branch(spark):
+    log = [("m", i, f"update of i_g_{b} with hash v1.{i}.0 on m") for i, b in
+           enumerate(["develop", "develop_x", "develop", "x(1)", "develop_x"])]
+    commits = spark.createDataFrame(log, "machine string, pos int, message string")
+    jobs = history.job_grid(
+        spark.createDataFrame([("develop", 0), ("develop/x", 1), ("e.+x", 2), ("x[(]", 3), ("", 4), ("zz", 5)],
+                              "branch string, branch_pos int"), ["m"], 9)
+    got = {}
+    for r in history.recent_hashes(commits, jobs).orderBy("hash_rank").collect():
+        got.setdefault(r.branch, []).append(r.branch_hash[3])
+    assert got == {
+        "develop": ["0", "1", "2", "4"], "develop/x": ["1", "4"], "e.+x": ["1", "3", "4"], "x[(]": ["3"],
+        "": ["0", "1", "2", "3", "4"],
+    }
+    exact = history.recent_hashes(commits, jobs, exact=True).where("branch = 'develop'").orderBy("hash_rank")
+    assert [r.branch_hash[3] for r in exact.collect()] == ["0", "2"]
+
+
 def test_recent_hashes_limits_groups_in_the_map_tasks(spark):
     branches = spark.createDataFrame([("develop", 0)], "branch string, branch_pos int")
     jobs = history.job_grid(branches, ["cheyenne"], 5)
-    plan = history.recent_hashes(_log(spark), jobs, 5)._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = history.recent_hashes(_log(spark), jobs)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    final, partial = plan.index("WindowGroupLimit"), plan.rindex("WindowGroupLimit")
+    assert final < partial and "hashpartitioning(machine" in plan[final:partial]
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
 def test_log_branches_and_missing(spark):
@@ -133,10 +172,16 @@ def test_latest_commit(spark):
 
 
 def test_first_matching(spark):
-    df = spark.createDataFrame([("cheyenne3",), ("hfe03",), ("xhfe",), ("chey",)], "h string")
-    patterns = [("cheyenne", "cheyenne*"), ("hera", "hfe*"), ("late", "c")]
-    rows = df.select(lookup.first_matching(F.col("h"), patterns).alias("m")).collect()
-    assert [r.m for r in rows] == ["cheyenne", "hera", None, "late"]
+    hosts = ["cheyenne3", "hfe03", "xhfe", "chey", None, "", "cheyenne3", "a.b"]
+    df = spark.createDataFrame([(i, h) for i, h in enumerate(hosts)], "i int, h string")
+    rules = [("cheyenne", "cheyenne*", 0), ("hera", "hfe*", 1), ("late", "c", 2), ("cheyenne", "c", 3), ("dot", r"[a-z]\.", 4)]
+    patterns = spark.createDataFrame(rules, "m string, p string, at int")
+    found = lookup.first_matching(df, patterns, "h", "m", "p", "at")
+    assert found.columns == ["i", "h", "m"]
+    got = [r.m for r in found.orderBy("i").collect()]
+    assert got == ["cheyenne", "hera", None, "late", None, None, "cheyenne", "dot"]
+    none = lookup.first_matching(df, patterns.limit(0), "h", "m", "p", "at")
+    assert {r.m for r in none.collect()} == {None} and none.count() == len(hosts)
 
 
 def _rows(spark, values):
