@@ -182,10 +182,21 @@ def csv_lines(
     return head.unionByName(body)
 
 
-def write_csv(rows: DataFrame, folders: Sequence[str], target: str) -> None:
-    """Reports as CSV: a folder's parts in name order are one file with one heading."""
+def write_csv(
+    rows: DataFrame, folders: Sequence[str], target: str, encoding: str = K.REPORT_ENCODING
+) -> None:
+    """Reports as CSV: a folder's parts in name order are one file with one heading.
+
+    The text writer passes bytes on as they are, so lines are handed to it in ``encoding``.
+    In ISO-8859-1 a sign it lacks is written as a question mark.
+    """
     columns = [c for c in rows.columns if c not in (*folders, "position")]
-    write_text(csv_lines(rows, folders, columns), folders, target)
+    lines = csv_lines(rows, folders, columns)
+    text = F.col("line")
+    if encoding == "ISO-8859-1":
+        text = F.regexp_replace(text, r"[^\x00-\xFF]", "?")
+    encoded = text if encoding == "UTF-8" else F.encode(text, encoding).cast("string")
+    write_text(lines.withColumn("line", encoded), folders, target)
 
 
 def _placed(df: DataFrame, folders: Sequence[str], place: str) -> DataFrame:

@@ -20,28 +20,51 @@ from runledger.functions.text import (
 MAX_FILE_BYTES = 256 * 1024 * 1024
 
 
+def _listing(spark: SparkSession, root: str, glob: str | None) -> DataFrame:
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    return reader.load(root)
+
+
 def scan_tree(
     spark: SparkSession,
     root: str,
     needles: Iterable[str] = (),
     ignore: Iterable[str] = (),
     glob: str | None = None,
+    limit: int = MAX_FILE_BYTES,
 ) -> DataFrame:
     """``(path, length, content)`` of the files below ``root`` whose path is selected.
 
     ``glob`` prunes while listing; the path predicates prune before ``content`` is used.
-    Paths are relative to ``root``, so a folder above it never takes part in a match.
+    Files longer than ``limit`` are left out before they are opened, so one of them fails
+    no run; ``oversized`` names them. Spark packs the others into tasks by length. Paths
+    are relative to ``root``, so a folder above it never takes part in a match.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    files = reader.load(root)
+    files = _listing(spark, root, glob).where(F.col("length") <= limit)
     path = relative_to(F.col("path"), root)
     return files.select(path.alias("path"), "length", "content").where(
         path_selected(F.col("path"), needles, ignore)
     )
 
 
+def oversized(
+    spark: SparkSession,
+    root: str,
+    needles: Iterable[str] = (),
+    ignore: Iterable[str] = (),
+    glob: str | None = None,
+    limit: int = MAX_FILE_BYTES,
+) -> DataFrame:
+    """``(path, length)`` of the files ``scan_tree`` leaves out for their length."""
+    files = _listing(spark, root, glob).where(F.col("length") > limit)
+    path = relative_to(F.col("path"), root)
+    return files.select(path.alias("path"), "length").where(
+        path_selected(F.col("path"), needles, ignore)
+    )
+
+
 def reports_of(files: DataFrame) -> DataFrame:
     """Report files as ``(path, text, match_text)``."""
     return files.where(path_selected(F.col("path"), [K.REPORT_FILE], K.REPORT_IGNORE)).select(
@@ -76,11 +99,6 @@ def in_path_order(files: DataFrame) -> DataFrame:
     return files.dropDuplicates(["path"]).orderBy("path")
 
 
-def oversized(files: DataFrame, limit: int = MAX_FILE_BYTES) -> DataFrame:
-    """Files too long to be one row; reads no content."""
-    return files.where(F.col("length") > limit).select("path", "length")
-
-
 def named_files(files: DataFrame, name: str = K.REPORT_FILE) -> DataFrame:
     """Files of that name in any letter case, as the older text report looks for them."""
     return files.where(is_named(F.col("path"), name))
@@ -90,11 +108,10 @@ def pack(files: DataFrame, target: str) -> None:
     """Copy a tree of small files into Parquet ``(path, length, content)``.
 
     A tree of billions of 15 kB files is bound by listing and opening; packed once, every
-    later run reads large splits, and path predicates skip row groups.
+    later run reads large splits. Each task writes the files it was dealt by length, sorted
+    by path: contents are read once and not shuffled.
     """
-    files.repartitionByRange("path").sortWithinPartitions("path").write.mode("overwrite").parquet(
-        target
-    )
+    files.sortWithinPartitions("path").write.mode("overwrite").parquet(target)
 
 
 def packed(spark: SparkSession, target: str) -> DataFrame:

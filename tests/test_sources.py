@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from runledger import constants as K
-from runledger.functions.parsing import parse_logs, parse_reports
-from runledger.sources import commits, config, files
+from runledger.functions.parsing import parse_logs, parse_reports, tail_build_passed
+from runledger.operators.matching import match_lines, match_texts
+from runledger.sources import commits, config, files, lines
 
 HEAD = f"Build for = intel_18_mpi_g_develop, mpi version 1 on hera {K.OS_MARK}: Linux\n"
 RESULTS = "".join(f"{k} test results\tPASS 1\tFAIL 0\n" for k in ("unit", "system", "example", "nuopc"))
@@ -59,7 +60,63 @@ def test_path_predicates_and_names(spark, tree):
     assert len(named) == 5
     twice = found.unionByName(found)
     assert files.in_path_order(twice).count() == 1
-    assert files.oversized(files.scan_tree(spark, tree), 50).count() > 0
+
+
+def test_a_file_too_long_for_a_row_fails_no_run(spark, tmp_path):
+    with open(tmp_path / "summary.dat", "wb") as f:
+        f.truncate(3 * 1024**3)
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a/summary.dat").write_bytes(b"short")
+    root = str(tmp_path)
+    assert [r.path for r in files.report_tree(spark, root).collect()] == ["/a/summary.dat"]
+    files.pack(files.scan_tree(spark, root), str(tmp_path / "packed"))
+    assert files.packed(spark, str(tmp_path / "packed")).count() == 1
+    left = files.oversized(spark, root, ["summary"]).collect()
+    assert [(r.path, r.length) for r in left] == [("/summary.dat", 3 * 1024**3)]
+
+
+def test_packing_reads_contents_once(spark, tree):
+    plan = files.scan_tree(spark, tree).sortWithinPartitions("path")._jdf.queryExecution()
+    text = plan.executedPlan().toString()
+    assert "Exchange" not in text and text.count("FileScan") == 1
+
+
+@pytest.mark.parametrize("split", ["40b", "128m"])
+def test_lines_equal_whole_texts(spark, tmp_path, split):
+    import random
+
+    rng = random.Random(12)
+    pieces = [
+        "NetCDF library version: 4.7.2", "x netcdf LIBRARY version:", "NetCDF Fortran version: netCDF 1.22.3 9.9.9",
+        K.SUCCESS_MESSAGE, "café", "", "line", "v8.1.0-g1", "  v8.1.0-g12 ", "a" * 90,
+    ]
+    for i in range(25):
+        leaf = tmp_path / f"d+{i} é"
+        leaf.mkdir()
+        ends = [rng.choice(["\n", "\n", "\r\n", "\r"]) for _ in range(rng.randint(0, 40))]
+        text = "".join(rng.choice(pieces) + e for e in ends) + rng.choice(["", "tail"])
+        (leaf / "build.log").write_bytes(text.encode() + (b"\xff\n" if i % 5 == 0 else b""))
+    (tmp_path / "build.log.swp").write_bytes(b"x")
+    root, before = str(tmp_path), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    whole = files.log_tree(spark, root).where("length(text) > 0")
+    columns = ["path", "build_passed", "netcdf_c", "netcdf_f"]
+    tail = tail_build_passed(F.col("text"), 7).alias("tail_passed")
+    want = sorted(map(tuple, parse_logs(whole).select(*columns, tail).collect()))
+    requests = spark.createDataFrame([("v8.1.0-g1",), ("v8..+g1",)], "branch_hash string")
+    pairs = sorted((r.path, r.branch_hash) for r in match_texts(whole, requests).collect())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        found = lines.log_lines(spark, root)
+        got = sorted(map(tuple, lines.fold_logs(found, 7).select(*columns, "tail_passed").collect()))
+        blocks = found.select("path", "block").distinct().count()
+        lined = match_lines(found.select("path", F.array("line").alias("lines")), requests)
+        hits = sorted((r.path, r.branch_hash) for r in lined.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == want and hits == pairs and pairs
+    assert (blocks > len(want)) == (split == "40b")
 
 
 def test_pack_keeps_every_byte(spark, tree, tmp_path):
