@@ -178,16 +178,23 @@ _TOKEN = f"""CASE WHEN user_id % 20 % 2 = 0
 EVENT_COMMITS = f"""
 event_commits AS (
   SELECT event_id, event_type AS machine, {_TOKEN} AS token, user_id,
-    ['develop', 'feat_x', 'layout_fix'][CAST(user_id % 3 AS INT) + 1] AS branch,
+    ['develop', 'feat_x', 'layout_fix', 'develop_x'][CAST(user_id % 4 AS INT) + 1] AS branch,
     value >= 1.0 AS versioned
   FROM events
 )"""
-RECENT = f"""WITH {EVENT_COMMITS}
+
+
+def _recent(named: str) -> str:
+    return f"""WITH {EVENT_COMMITS},
+jobs AS (
+  SELECT DISTINCT branch, length(branch) - 4 AS qty FROM event_commits WHERE versioned
+)
 SELECT machine, branch, token AS branch_hash, hash_rank FROM (
   SELECT *, row_number() OVER (PARTITION BY machine, branch ORDER BY newest DESC) AS hash_rank FROM (
-    SELECT machine, branch, token, max(event_id) AS newest FROM event_commits
-    WHERE versioned GROUP BY ALL))
-WHERE hash_rank <= 5"""
+    SELECT c.machine, j.branch, j.qty, c.token, max(c.event_id) AS newest
+    FROM event_commits c JOIN jobs j ON {named} WHERE c.versioned GROUP BY ALL))
+WHERE hash_rank <= qty"""
+
 
 DOC_LINES = """
 doc_lines AS (
@@ -281,7 +288,41 @@ _LINE_ORDER = ", ".join(
     )
 )
 
+TREE = """
+tree AS (
+  SELECT s_suppkey AS seq, ['develop', 'feat_x', 'layout_fix'][CAST(s_nationkey % 3 AS INT) + 1] AS branch,
+    ['cheyenne', 'hera', 'orion'][CAST(s_suppkey % 3 AS INT) + 1] AS host,
+    ['intel', 'nag'][CAST(s_suppkey % 2 AS INT) + 1] AS compiler, '18.0' AS c_version, 'mpich' AS mpi,
+    '3.' || s_suppkey AS m_version, 'g' AS o_g, 'Línux' AS os,
+    'v9.' || s_suppkey % 4 || '.0b1-2-gab' || s_suppkey % 4 AS hash,
+    s_suppkey % 5 <> 0 AND s_suppkey % 8 <> 3 AS logged, s_suppkey % 6 <> 0 AS build_passed,
+    '4.7.1' AS netcdf_c, CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE '4.5.3' END AS netcdf_f,
+    s_suppkey % 7 <> 0 AS whole
+  FROM supplier
+)"""
+_TREE_LOGS = f"""WITH {TREE}
+SELECT seq, {KEY.replace(", os", "")}, build_passed, netcdf_c, netcdf_f FROM tree WHERE logged"""
+
 ORACLE: dict[str, str] = {
+    "tree_reports": f"""WITH {TREE}
+SELECT seq, {KEY}, seq AS unit_pass, 0::BIGINT AS unit_fail, 'ok' AS unit_status,
+  7::BIGINT AS system_pass, seq % 5 AS system_fail, 'ok' AS system_status,
+  7::BIGINT AS example_pass, 0::BIGINT AS example_fail, 'ok' AS example_status,
+  CASE WHEN whole THEN 7::BIGINT END AS nuopc_pass, CASE WHEN whole THEN 0::BIGINT END AS nuopc_fail,
+  CASE WHEN whole THEN 'ok' END AS nuopc_status,
+  CASE WHEN whole THEN 'whole' ELSE 'missing_kind' END AS reject_reason
+FROM tree""",
+    "tree_logs": _TREE_LOGS,
+    "tree_logs_by_line": _TREE_LOGS,
+    "tree_run": f"""WITH {TREE}
+SELECT host AS machine, branch AS job_branch, seq, host, hash AS branch_hash, seq AS unit_pass,
+  logged AND build_passed AS build_passed, CASE WHEN logged THEN netcdf_c ELSE 'unknown' END AS netcdf_c,
+  CASE WHEN NOT logged THEN 'unknown' WHEN netcdf_f = '' THEN 'N/A' ELSE netcdf_f END AS netcdf_f
+FROM tree WHERE whole""",
+    "lookup_missing_attribute": f"""WITH {CELLS},
+{LOGS.replace("logs AS (", "logs AS ( SELECT * REPLACE (CASE WHEN mpi = 'mpiuni' THEN 'none' ELSE m_version END AS m_version, CASE WHEN mpi = 'mpiuni' THEN replace(path, '/4.0.' || seq % 3 || '-A/', '/None/') ELSE path END AS path) FROM (", 1)[:-1]})), {BUILT}
+SELECT seq, {OUTCOME} FROM (SELECT * REPLACE (CASE WHEN mpi = 'mpiuni' THEN 'none' ELSE m_version END AS m_version) FROM cells) c
+LEFT JOIN built b ON {ON_KEY}""",
     "file_scan": """
 SELECT doc_id, CAST(len(string_split(body, chr(10))) AS BIGINT) AS n_lines, md5(body) AS digest,
   true AS valid
@@ -303,9 +344,15 @@ FROM supplier, (VALUES (0), (1)) v(i)""",
     "line_match": f"""WITH {DOC_LINES}
 SELECT doc_id, line_no, line FROM doc_lines
 WHERE regexp_matches(line, '^(?:The|E.u|Ist? [a-m])')""",
-    "hash_match_rules": f"""WITH {CELLS}
+    "hash_match_rules": f"""WITH {CELLS},
+hashes AS (
+  SELECT hash FROM cells
+  UNION SELECT replace(hash, 'v8', 'v+8') FROM cells
+  UNION SELECT replace(hash, '60a38e', '[6].+') FROM cells
+  UNION SELECT replace(hash, '5-g60a38e', '(5|6)-g6') FROM cells
+)
 SELECT c.folder || 'summary.dat' AS path, h.hash AS branch_hash
-FROM cells c, (SELECT DISTINCT hash FROM cells) h WHERE {REGEX_HIT}""",
+FROM cells c, hashes h WHERE {REGEX_HIT}""",
     "hash_match_literal": f"""WITH {CELLS}
 SELECT c.folder || 'summary.dat' AS path, h.hash AS branch_hash
 FROM cells c, (SELECT DISTINCT hash FROM cells) h WHERE {LITERAL_HIT}""",
@@ -338,8 +385,8 @@ FROM event_commits""",
 SELECT branch, -max(event_id) AS first_pos FROM event_commits WHERE versioned GROUP BY branch""",
     "ordered_unique": """
 SELECT user_id, event_type, min(event_id) AS first_event FROM events GROUP BY ALL""",
-    "recent_n_unique": RECENT,
-    "recent_n_exact": RECENT,
+    "recent_n_unique": _recent("regexp_matches(c.branch, j.branch)"),
+    "recent_n_exact": _recent("c.branch = j.branch"),
     "job_grid": f"""
 SELECT CAST(i AS BIGINT) AS machine_pos, machine, branch, 2::BIGINT AS qty
 FROM (VALUES {", ".join(f"({i}, '{m}')" for i, m in enumerate(K.MACHINES))}) m(i, machine),

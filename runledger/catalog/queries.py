@@ -18,7 +18,8 @@ from runledger.sinks import reports as R
 from runledger.sinks.ledger import Ledger, run_counts
 from runledger.sources import commits as C
 from runledger.sources import config as cfg
-from runledger.sources.files import scan_tree
+from runledger.sources.files import in_path_order, logs_of, reports_of, scan_tree
+from runledger.sources.lines import fold_logs, log_lines
 from runledger.streaming.ingest import ingest, stream_packed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,6 +67,59 @@ def file_scan(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query
+def tree_reports(spark: SparkSession, d: str) -> DataFrame:
+    """Reports found in a tree of files, read as ISO-8859-1 and parsed, in path order."""
+    found = in_path_order(reports_of(scan_tree(spark, S.tree(spark, d))))
+    parsed = parsing.parse_reports(found)
+    return parsed.select(
+        F.regexp_extract("path", r"/dir=r(\d+)-", 1).cast("bigint").alias("seq"),
+        *_attributes(),
+        *_numbers(),
+        F.coalesce("reject_reason", F.lit("whole")).alias("reject_reason"),
+    )
+
+
+def _tree_logs(logs: DataFrame) -> DataFrame:
+    return logs.select(
+        F.regexp_extract("path", r"/dir=r(\d+)-", 1).cast("bigint").alias("seq"),
+        *[c.alias(n) for n, c in paths.path_attributes(F.col("path"), None, True).items()],
+        "build_passed",
+        "netcdf_c",
+        "netcdf_f",
+    )
+
+
+@query
+def tree_logs(spark: SparkSession, d: str) -> DataFrame:
+    """Build logs found in a tree of files, each read whole; other suffixes are left out."""
+    return _tree_logs(parsing.parse_logs(logs_of(scan_tree(spark, S.tree(spark, d)))))
+
+
+@query
+def tree_logs_by_line(spark: SparkSession, d: str) -> DataFrame:
+    """The same logs, read line by line."""
+    return _tree_logs(fold_logs(log_lines(spark, S.tree(spark, d))))
+
+
+@query
+def tree_run(spark: SparkSession, d: str) -> DataFrame:
+    """All jobs of a run over a tree of files, logs read line by line."""
+    root = S.tree(spark, d)
+    branches = spark.createDataFrame([(b, i) for i, b in enumerate(S.BRANCHES)], "branch string, branch_pos int")
+    tokens = F.explode(F.array(*[F.lit(t) for t in S.TREE_VERSIONS]))
+    requests = history.job_grid(branches, S.TREE_HOSTS).withColumns({"hash_rank": F.lit(1), "branch_hash": tokens})
+    latest = spark.createDataFrame([], "machine string, path string, artifacts_hash string, modified string")
+    results, _ = plan.summarize(
+        reports_of(scan_tree(spark, root)), log_lines(spark, root), requests, latest,
+        strip_token=None, key_value=True,
+    )
+    return results.select(
+        "machine", "job_branch", F.regexp_extract("source_path", r"/dir=r(\d+)-", 1).cast("bigint").alias("seq"),
+        "host", "branch_hash", "unit_pass", "build_passed", "netcdf_c", "netcdf_f",
+    )
+
+
 @query
 def path_filter(spark: SparkSession, d: str) -> DataFrame:
     pages = S.table(spark, d, "pages").select("page_id", "url")
@@ -129,8 +183,17 @@ def _versions(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def hash_match_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Versions as they are, and as general regular expressions."""
     files = S.reports(spark, d).select("path", "match_text")
-    return matching.match_texts(files, _versions(spark, d))
+    token = F.col("branch_hash")
+    forms = [
+        token,
+        F.replace(token, F.lit("v8"), F.lit("v+8")),
+        F.replace(token, F.lit("60a38e"), F.lit("[6].+")),
+        F.replace(token, F.lit("5-g60a38e"), F.lit("(5|6)-g6")),
+    ]
+    tokens = _versions(spark, d).select(F.explode(F.array(*forms)).alias("branch_hash")).distinct()
+    return matching.match_texts(files, tokens)
 
 
 @query
@@ -224,8 +287,10 @@ def ordered_unique(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _event_jobs(spark: SparkSession, d: str) -> DataFrame:
+    """Every machine with every branch of the log; longer names ask for more versions."""
     found = history.with_branch_pos(history.log_branches(S.commits(spark, d)))
-    return history.job_grid(found, EVENT_MACHINES, qty=5)
+    jobs = history.job_grid(found, EVENT_MACHINES)
+    return jobs.withColumn("qty", F.length("branch") - 4)
 
 
 def _ranked(hashes: DataFrame) -> DataFrame:
@@ -236,13 +301,12 @@ def _ranked(hashes: DataFrame) -> DataFrame:
 
 @query
 def recent_n_unique(spark: SparkSession, d: str) -> DataFrame:
-    return _ranked(history.recent_hashes(S.commits(spark, d), _event_jobs(spark, d), 5))
+    return _ranked(history.recent_hashes(S.commits(spark, d), _event_jobs(spark, d)))
 
 
 @query
 def recent_n_exact(spark: SparkSession, d: str) -> DataFrame:
-    jobs = _event_jobs(spark, d)
-    return _ranked(history.recent_hashes(S.commits(spark, d), jobs, 5, exact=True))
+    return _ranked(history.recent_hashes(S.commits(spark, d), _event_jobs(spark, d), exact=True))
 
 
 @query
@@ -294,6 +358,21 @@ def lookup_default(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query
+def lookup_missing_attribute(spark: SparkSession, d: str) -> DataFrame:
+    """Reports without an mpi version meet the logs kept under ``none``."""
+    cells = S.cells(spark, d)
+    unnamed = F.col("mpi") == "mpiuni"
+    records = cells.select("seq", *_attributes()).withColumn("m_version", F.when(~unnamed, F.col("m_version")))
+    named = F.when(unnamed, F.replace("path", F.concat(F.lit("/"), "m_version", F.lit("/")), F.lit("/None/")))
+    logs = S.logs(spark, d).join(cells.select("seq", "mpi", "m_version"), "seq")
+    logs = logs.withColumn("path", F.coalesce(named, "path"))
+    builds = lookup.build_map(parsing.parse_logs(logs))
+    return lookup.with_build_outcome(records, builds).select(
+        "seq", "build_passed", "netcdf_c", "netcdf_f"
+    )
+
+
 @query
 def latest_commit_per_file(spark: SparkSession, d: str) -> DataFrame:
     """Places rise from machine to machine, against the order of time between machines."""
@@ -306,9 +385,24 @@ def latest_commit_per_file(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def regex_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Hosts of pages by the patterns of a configuration written as JSON."""
+    machine = F.struct(
+        F.col("name").alias("machine_name"),
+        F.col("pattern").alias("hostname_pattern"),
+        F.array().cast("array<string>").alias("update_paths"),
+    )
+    rules = [(i, *rule) for i, rule in enumerate(HOST_PATTERNS)]
+    rules = spark.createDataFrame(rules, "at int, name string, pattern string").select("at", machine.alias("m"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("at", "m"))), lambda r: r["m"])
+    root = scratch_dir(spark, "config")
+    rules.agg(F.to_json(F.struct(listed.alias("machines")))).write.text(root)
+    patterns = cfg.machine_patterns(cfg.read_config(spark, root))
     host = F.regexp_extract("url", "https?://([^/]+)", 1)
     pages = S.table(spark, d, "pages").select("page_id", host.alias("host"))
-    return pages.withColumn("machine", lookup.first_matching(F.col("host"), HOST_PATTERNS))
+    found = lookup.first_matching(
+        pages, patterns, "host", "machine_name", "hostname_pattern", "machine_pos"
+    )
+    return found.withColumnRenamed("machine_name", "machine")
 
 
 # --- ledger --------------------------------------------------------------------------
@@ -375,15 +469,12 @@ def upsert_history(spark: SparkSession, d: str) -> DataFrame:
 @query
 def ledger_all(spark: SparkSession, d: str) -> DataFrame:
     ledger = _stored_ledger(spark, d)
-    ledger.compact()
-    return _flat(plan.listing(ledger.read()))
+    return _flat(plan.listing(ledger.snapshot(scratch_dir(spark, "snapshot"))))
 
 
 @query
 def ledger_by_hash(spark: SparkSession, d: str) -> DataFrame:
-    ledger = _stored_ledger(spark, d)
-    ledger.compact()
-    return _archive(ledger.by_hash("v8.5.0"))
+    return _archive(_stored_ledger(spark, d).by_hash("v8.5.0"))
 
 
 @query
@@ -413,7 +504,7 @@ def incremental_equals_batch(spark: SparkSession, d: str) -> DataFrame:
     for (arrived,) in status.select("status").distinct().orderBy("status").collect():
         rows.where(F.col("status") == arrived).drop("status").write.mode("append").parquet(source)
         stream = stream_packed(spark, source, rows.drop("status").schema)
-        ingest(stream, with_run, ledger, offsets, fan=2)
+        ingest(stream, with_run, ledger, offsets)
     return _flat(ledger.read())
 
 
@@ -422,8 +513,7 @@ def incremental_equals_batch(spark: SparkSession, d: str) -> DataFrame:
 
 def _report_ledger(spark: SparkSession, d: str) -> DataFrame:
     ledger = _stored_ledger(spark, d, keep_history=True)
-    ledger.compact()
-    return ledger.read()
+    return ledger.snapshot(scratch_dir(spark, "snapshot"))
 
 
 @query
@@ -476,6 +566,7 @@ def _csv_back(spark: SparkSession, root: str, folders: list[str]) -> DataFrame:
     """Rows of CSV reports read from their files, parts joined, one heading each."""
     schema = ", ".join(f"{c} string" for c in ("value", *folders))
     lines = spark.read.schema(schema).text(root)
+    lines = lines.withColumn("value", F.decode(F.col("value").cast("binary"), K.REPORT_ENCODING))
     heading = ",".join(K.REPORT_COLUMNS)
     columns = ", ".join(f"{c} string" for c in K.REPORT_COLUMNS)
     body = lines.where(F.col("value") != heading)
@@ -554,12 +645,13 @@ def reports_as_written(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def two_runs_ledger(spark: SparkSession, d: str) -> DataFrame:
-    """Two runs with default arguments over different machines, kept by one ledger."""
+    """Two runs over different machines that overlap: both start before either is merged."""
     reports, logs, hashes, latest = _run_inputs(spark, d)
     ledger = Ledger(spark, scratch_dir(spark, "ledger"), keep_history=True)
     hashes = stage(hashes, "hashes")
-    for half in ("machine < 'gb'", "machine >= 'gb'"):
-        plan.run(reports, logs, hashes.where(half), latest, ledger, S.BASE_URL)
+    started = [ledger.claim() for _ in range(2)]
+    for run_id, half in zip(started, ("machine < 'gb'", "machine >= 'gb'"), strict=True):
+        plan.run(reports, logs, hashes.where(half), latest, ledger, S.BASE_URL, run_id=run_id)
     return _flat(ledger.read())
 
 

@@ -2,34 +2,33 @@
 
 from __future__ import annotations
 
-import json
+import random
 import uuid
 from collections.abc import Sequence
+from urllib.parse import quote, unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from runledger import constants as K
 from runledger.operators.merge import ARRIVAL, history_key, latest_per_key
-from runledger.operators.ordering import cluster_by_range
 
-_POINTER = "_CURRENT.json"
+_SOURCE, _RUN, _PLACE = "_source", "_run", "_place"
+_BLOOM = "parquet.bloom.filter.enabled#branch_hash"
 
 
 class Ledger:
-    """Runs below one folder, and a pointer that says which folders make up the table.
-
-    A merge writes the run's own rows, last per key, to a folder no other run has; it
-    never reads or rewrites what is stored, so its cost follows the run and not the
-    ledger. Readers lay later folders over earlier ones. ``fold`` joins many small runs,
-    ``compact`` folds all into one base folder. Folders are complete before the pointer
-    names them, and the pointer is replaced by a rename, so a lost job leaves the table as
-    it was.
-
-    A run is known by its source and number. Without a number it gets the next one of
-    its source; with the number of an earlier run of that source it takes that run's
-    place, so a job that is repeated after a failure changes nothing.
+    """Plain Parquet below ``rows``, one partition for each source and run.
+
+    A merge writes the run's own rows, last per key, into the run's partition; it never
+    reads or rewrites what other runs stored, so its cost follows the run and not the
+    ledger, and runs may overlap in time. Reading keeps, per key, the row of the run whose
+    place is last.
+
+    A run is known by its source and number. Its place among all runs is fixed when it is
+    first claimed, by an empty file below ``runs``; so a run that is repeated, however
+    late, replaces its own rows and stays where it was. Without a number a run claims one
+    that no other run of its source has.
     """
 
     def __init__(
@@ -49,148 +48,146 @@ class Ledger:
         self.order = list(order)
 
     def _path(self, name: str):
-        jvm = self.spark._jvm
-        return jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-
-    def _file_system(self, path):
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def _pointer(self) -> dict:
-        path = self._path(_POINTER)
-        fs = self._file_system(path)
-        if not fs.exists(path):
-            return {"base": None, "runs": [], "last": {}}
-        stream = fs.open(path)
-        try:
-            raw = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-        return json.loads(raw)
-
-    def _point_to(self, state: dict) -> None:
-        """Write the pointer beside the old one and rename it over."""
-        new, current = self._path(f"{_POINTER}.new"), self._path(_POINTER)
-        fs = self._file_system(new)
-        stream = fs.create(new, True)
-        try:
-            stream.write(bytearray(json.dumps(state).encode()))
-        finally:
-            stream.close()
-        rename = self.spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        options = self.spark._sc._gateway.new_array(
-            self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 1
-        )
-        options[0] = rename
-        context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(
-            current.toUri(), self.spark._jsc.hadoopConfiguration()
-        )
-        context.rename(new, current, options)
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+
+    def _names(self, folder: str) -> list[str]:
+        path = self._path(folder)
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+
+    def _create(self, name: str) -> None:
+        path = self._path(name)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(path, True).close()
+
+    def _take(self, source: str, number: int) -> bool:
+        """Whether no other run wants this number.
+
+        Everyone writes a file of their own, then looks; of two, the later one to write
+        sees the other, so at most one keeps the number, whatever the store's renames and
+        creations guarantee.
+        """
+        wanted = f"{quote(source, safe='')}.{number}."
+        own = wanted + uuid.uuid4().hex
+        self._create(f"runs/taken/{own}")
+        return [n for n in self._names("runs/taken") if n.startswith(wanted)] == [own]
+
+    def _places(self) -> dict[tuple[str, int], int]:
+        """Place of every claimed run; the first place counts where a run has several."""
+        out: dict[tuple[str, int], int] = {}
+        for name in sorted(self._names("runs/places"), reverse=True):
+            place, rest = name.split(".", 1)
+            source, number = rest.rsplit(".", 1)
+            out[unquote(source), int(number)] = int(place)
+        return out
+
+    def claim(self, source: str = "run", run_id: int | None = None) -> int:
+        """Give a run its place after all claimed ones, unless it has one; returns its number.
+
+        Runs that start at the same time get different numbers; one may then be left out.
+        """
+        places = self._places()
+        if run_id is None:
+            run_id = max((n for s, n in places if s == source), default=-1) + 1
+            while not self._take(source, run_id):
+                run_id += random.randint(1, 4)
+        if (source, run_id) not in places:
+            place = max(places.values(), default=-1) + 1
+            self._create(f"runs/places/{place:012d}.{quote(source, safe='')}.{run_id}")
+        return run_id
 
     def exists(self) -> bool:
-        state = self._pointer()
-        return bool(state["base"] or state["runs"])
+        return any(name.startswith(f"{_SOURCE}=") for name in self._names("rows"))
 
-    def next_id(self, source: str = "run") -> int:
-        return self._pointer()["last"].get(source, -1) + 1
+    def runs(self) -> int:
+        """Runs that have rows, or had none to write."""
+        return sum(
+            len([n for n in self._names(f"rows/{name}") if n.startswith(f"{_RUN}=")])
+            for name in self._names("rows")
+            if name.startswith(f"{_SOURCE}=")
+        )
 
-    def _write(self, df: DataFrame, name: str) -> dict:
-        folder = f"{name}-{uuid.uuid4().hex}"
-        ranged = cluster_by_range(df, self.cluster).drop("range_id")
-        ranged.write.parquet(f"{self.root}/{folder}")
-        return {"folder": folder, "schema": ranged.schema.json()}
+    def _clustered(self, df: DataFrame) -> DataFrame:
+        """Sorted ranges, so that row groups hold few versions each; stands in for an index."""
+        fixed = [c for c in (_SOURCE, _RUN) if c in df.columns]
+        return df.repartitionByRange(*self.cluster).sortWithinPartitions(*fixed, *self.cluster)
 
     def merge(self, incoming: DataFrame, run_id: int | None = None, source: str = "run") -> int:
-        """Upsert: later runs win over earlier ones, within a run the last arrival wins.
+        """Store a run's rows in place of those it stored before; returns the run's number.
 
-        Returns the run's number.
+        Later places win over earlier ones, within a run the last arrival wins. A lost job
+        leaves what was stored: the partition is replaced when the write commits.
         """
-        run_id = self.next_id(source) if run_id is None else run_id
-        entry = self._write(
-            latest_per_key(incoming, self.keys, self.order), f"run={source}-{run_id}"
-        )
-        entry |= {"source": source, "id": run_id, "tier": 0}
-        state = self._pointer()
-        runs, known = state["runs"], (source, run_id)
-        places = [i for i, r in enumerate(runs) if (r["source"], r["id"]) == known]
-        if places:
-            runs[places[0]] = entry
-        else:
-            runs.append(entry)
-        state["last"][source] = max(run_id, state["last"].get(source, -1))
-        self._point_to(state)
+        run_id = self.claim(source, run_id)
+        place = self._places()[source, run_id]
+        rows = latest_per_key(incoming, self.keys, self.order).withColumn(_PLACE, F.lit(place))
+        written = Observation(f"merge-{uuid.uuid4().hex}")
+        counted = rows.observe(written, F.count(F.lit(1)).alias("rows"))
+        counted = counted.withColumns({_SOURCE: F.lit(source), _RUN: F.lit(run_id)})
+        self._clustered(counted).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic"
+        ).option(_BLOOM, "true").partitionBy(_SOURCE, _RUN).parquet(f"{self.root}/rows")
+        if not written.get["rows"]:
+            # No row names the partition, so it is emptied by its path.
+            folder = f"{self.root}/rows/{_SOURCE}={quote(source, safe=' ')}/{_RUN}={run_id}"
+            rows.limit(0).write.mode("overwrite").parquet(folder)
         return run_id
 
+    def _rows(self) -> DataFrame:
+        if not self.exists():
+            raise ValueError(f"no ledger below {self.root}")
+        return self.spark.read.parquet(f"{self.root}/rows")
+
+    def _latest(self, rows: DataFrame) -> DataFrame:
+        # Partition values are read back with guessed types.
+        named = rows.withColumn(_SOURCE, F.col(_SOURCE).cast("string"))
+        return latest_per_key(named, self.keys, [_PLACE, _SOURCE, _RUN]).drop(_PLACE, _SOURCE, _RUN)
+
     def read(self) -> DataFrame:
-        """One row per key. The base is not shuffled while the runs over it are small."""
-        state = self._pointer()
-        base = self._load(state["base"]) if state["base"] else None
-        if not state["runs"]:
-            if base is None:
-                raise ValueError(f"no ledger below {self.root}")
-            return base
-        layers = self._layers(state["runs"])
-        if base is None:
-            return layers
-        kept = base.join(layers.select(*self.keys), self.keys, "left_anti")
-        return kept.unionByName(layers)
-
-    def _layers(self, runs: Sequence[dict]) -> DataFrame:
-        layers = None
-        for place, entry in enumerate(runs):
-            layer = self._load(entry).withColumn("_layer", F.lit(place))
-            layers = layer if layers is None else layers.unionByName(layer)
-        if len(runs) > 1:
-            layers = latest_per_key(layers, self.keys, ["_layer"])
-        return layers.drop("_layer")
-
-    def _load(self, entry: dict) -> DataFrame:
-        schema = StructType.fromJson(json.loads(entry["schema"]))
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{entry['folder']}")
-
-    def fold(self, fan: int = 16) -> None:
-        """Join the newest runs while ``fan`` of them are of one tier.
-
-        Runs joined so rise a tier, so a row is rewritten as often as tiers grow, with the
-        logarithm of the number of runs, and the base is not touched.
-        """
-        while True:
-            state = self._pointer()
-            runs = state["runs"]
-            tail = runs[-fan:]
-            if len(tail) < fan or len({r["tier"] for r in tail}) > 1:
-                return
-            entry = self._write(self._layers(tail), "fold")
-            entry |= {"source": None, "id": None, "tier": tail[0]["tier"] + 1}
-            state["runs"] = [*runs[:-fan], entry]
-            self._point_to(state)
-
-    def compact(self) -> None:
-        """Fold all runs into a new base folder, clustered by version and report order.
-
-        The clustering stands in for an index: row groups of other versions are skipped.
-        """
-        state = self._pointer()
-        if state["runs"]:
-            base = self._write(self.read(), "base")
-            self._point_to(state | {"base": base, "runs": []})
+        """One row per key."""
+        return self._latest(self._rows())
 
-    def runs(self) -> int:
-        return len(self._pointer()["runs"])
+    def _where(self, name: str, value: str) -> DataFrame:
+        """Current rows with ``value`` in ``name``.
+
+        The condition reaches the scan. Where ``name`` is no part of the key, a row may have
+        been replaced by one with another value, so all rows of the keys found are ranked;
+        other rows are left out before anything is shuffled while those keys are few.
+        """
+        rows, wanted = self._rows(), F.col(name) == value
+        near = rows.where(wanted)
+        if name in self.keys:
+            return self._latest(near)
+        same = rows.join(near.select(*self.keys).distinct(), self.keys, "left_semi")
+        return self._latest(same).where(wanted)
 
     def by_hash(self, token: str) -> DataFrame:
-        return self.read().where(F.col("branch_hash") == token)
+        return self._where("branch_hash", token)
 
     def by_branch(self, branch: str) -> DataFrame:
-        return self.read().where(F.col("branch") == branch)
+        return self._where("branch", branch)
 
     def hashes_of_branch(self, branch: str) -> DataFrame:
         return self.by_branch(branch).select("branch_hash").distinct()
 
+    def snapshot(self, target: str) -> DataFrame:
+        """The table as it stands, written to ``target`` with one row per key, and read back.
+
+        For readers that ask often: clustered by version, with Bloom filters on it. The
+        ledger itself stays as it is.
+        """
+        self._clustered(self.read()).write.mode("overwrite").option(_BLOOM, "true").parquet(target)
+        return self.spark.read.parquet(target)
+
+
+def result_counts() -> dict[str, Column]:
+    """Reports, those whose build passed, and those without a build log."""
+    return {
+        "reports": F.count("*"),
+        "builds_passed": F.count_if(F.col("build_passed")),
+        "without_log": F.count_if(F.col("netcdf_c") == K.UNKNOWN),
+    }
+
 
 def run_counts(results: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Reports, and those without a build log, per group."""
-    return results.groupBy(*keys).agg(
-        F.count("*").alias("reports"),
-        F.count_if(F.col("build_passed")).alias("builds_passed"),
-        F.count_if(F.col("netcdf_c") == K.UNKNOWN).alias("without_log"),
-    )
+    """``result_counts`` per group."""
+    return results.groupBy(*keys).agg(*[c.alias(n) for n, c in result_counts().items()])

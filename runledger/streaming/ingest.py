@@ -42,7 +42,6 @@ def ingest(
     to_rows: Callable[[DataFrame, int], DataFrame],
     ledger: Ledger,
     checkpoint: str,
-    fan: int = 16,
     source: str | None = None,
 ) -> None:
     """Merge everything the stream has now, then stop.
@@ -54,7 +53,6 @@ def ingest(
 
     def merge_batch(batch: DataFrame, batch_id: int) -> None:
         ledger.merge(to_rows(batch, batch_id), batch_id, name)
-        ledger.fold(fan)
 
     name = source or "stream-" + hashlib.md5(checkpoint.encode()).hexdigest()
     query = (

@@ -7,12 +7,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from runledger import constants as K
+from runledger.functions.parsing import parse_reports
 from runledger.operators import merge
 from runledger.plans import summarize as plan
 from runledger.session import scratch_dir
 from runledger.sinks import reports as R
 from runledger.sinks.ledger import Ledger, run_counts
 from runledger.sources.files import log_tree, report_tree
+from runledger.sources.lines import log_lines
 from runledger.streaming.ingest import ingest, stream_packed, stream_tree
 
 SCHEMA = "k string, branch_hash string, v int, s int"
@@ -27,76 +29,107 @@ def rows(ledger):
     return {(r.k, r.branch_hash, r.v) for r in ledger.read().collect()}
 
 
+def frame(spark, *values):
+    return spark.createDataFrame(list(values), SCHEMA)
+
+
 def test_merge_replaces_and_adds(spark):
     ledger = small_ledger(spark)
-    assert not ledger.exists()
+    assert not ledger.exists() and ledger.runs() == 0
     with pytest.raises(ValueError):
         ledger.read()
-    ledger.merge(spark.createDataFrame([("a", "h1", 1, 1), ("b", "h1", 1, 1)], SCHEMA), 0)
-    newer = spark.createDataFrame([("a", "h2", 3, 2), ("a", "h2", 2, 1), ("c", "h2", 1, 1)], SCHEMA)
+    ledger.merge(frame(spark, ("a", "h1", 1, 1), ("b", "h1", 1, 1)), 0)
+    newer = frame(spark, ("a", "h2", 3, 2), ("a", "h2", 2, 1), ("c", "h2", 1, 1))
     ledger.merge(newer, 1)
     expected = {("a", "h2", 3), ("b", "h1", 1), ("c", "h2", 1)}
     assert rows(ledger) == expected
     ledger.merge(newer, 1)
     assert rows(ledger) == expected and ledger.runs() == 2
     before = ledger.read()
-    ledger.compact()
-    assert ledger.runs() == 0 and rows(ledger) == expected
-    ledger.merge(spark.createDataFrame([("b", "h3", 9, 1)], SCHEMA), 2)
+    ledger.merge(frame(spark, ("b", "h3", 9, 1)), 2)
     assert rows(ledger) == {("a", "h2", 3), ("b", "h3", 9), ("c", "h2", 1)}
     # A reader of the earlier state is not disturbed by what came after.
     assert {(r.k, r.branch_hash, r.v) for r in before.collect()} == expected
     reopened = Ledger(spark, ledger.root, keys=["k"])
     assert rows(reopened) == rows(ledger)
     assert {r.k for r in ledger.by_hash("h2").collect()} == {"a", "c"}
+    # Replaced by another version, so no longer found under the old one.
+    assert ledger.by_hash("h1").count() == 0
 
 
 def test_empty_merge(spark):
     ledger = small_ledger(spark)
-    ledger.merge(spark.createDataFrame([], SCHEMA), 0)
-    ledger.merge(spark.createDataFrame([("a", "h", 1, 1)], SCHEMA), 1)
-    ledger.compact()
+    ledger.merge(frame(spark), 0)
+    assert rows(ledger) == set() and ledger.runs() == 1
+    ledger.merge(frame(spark, ("a", "h", 1, 1)), 1)
     assert rows(ledger) == {("a", "h", 1)}
+    # A run repeated without rows takes back what it stored.
+    ledger.merge(frame(spark), 1)
+    assert rows(ledger) == set()
 
 
 def test_runs_without_number_are_all_kept(spark):
     ledger = small_ledger(spark)
-    first = ledger.merge(spark.createDataFrame([("a", "h", 1, 1), ("b", "h", 1, 1)], SCHEMA))
-    second = ledger.merge(spark.createDataFrame([("c", "h", 1, 1)], SCHEMA))
+    first = ledger.merge(frame(spark, ("a", "h", 1, 1), ("b", "h", 1, 1)))
+    second = ledger.merge(frame(spark, ("c", "h", 1, 1)))
     assert (first, second) == (0, 1) and {r[0] for r in rows(ledger)} == {"a", "b", "c"}
-    ledger.compact()
-    assert ledger.next_id() == 2
+    assert ledger.claim() == 2 and Ledger(spark, ledger.root, keys=["k"]).claim() == 3
+
 
+def test_overlapping_runs_keep_their_rows(spark):
+    one = small_ledger(spark)
+    other = Ledger(spark, one.root, keys=["k"], cluster=["branch_hash", "k"], order=["s"])
+    ids = [one.claim(), other.claim()]
+    assert ids == [0, 1]
+    # The run that started later is merged first, and still wins.
+    other.merge(frame(spark, ("k", "h", 2, 1), ("b", "h", 2, 1)), ids[1])
+    one.merge(frame(spark, ("k", "h", 1, 1), ("a", "h", 1, 1)), ids[0])
+    assert rows(one) == {("k", "h", 2), ("a", "h", 1), ("b", "h", 2)}
+
+
+def test_claims_at_the_same_time_differ(spark):
+    from concurrent.futures import ThreadPoolExecutor
 
-def test_sources_do_not_take_each_others_place(spark):
     ledger = small_ledger(spark)
-    for source in ("x", "y"):
-        ledger.merge(spark.createDataFrame([(source, "h", 1, 1)], SCHEMA), 0, source)
-    assert {r[0] for r in rows(ledger)} == {"x", "y"}
+    with ThreadPoolExecutor(4) as pool:
+        ids = list(pool.map(lambda _: ledger.claim("a.b/c 1"), range(8)))
+    assert len(set(ids)) == 8 and set(ids) == {n for _, n in ledger._places()}
+    assert {s for s, _ in ledger._places()} == {"a.b/c 1"}
 
 
-def test_run_lost_before_the_pointer_changes_nothing(spark, monkeypatch):
+def test_old_run_repeated_late_stays_old(spark):
     ledger = small_ledger(spark)
-    ledger.merge(spark.createDataFrame([("a", "h", 1, 1)], SCHEMA), 0)
-    again = spark.createDataFrame([("a", "h", 2, 1), ("b", "h", 2, 1)], SCHEMA)
-    with monkeypatch.context() as m:
-        m.setattr(ledger, "_point_to", lambda state: (_ for _ in ()).throw(OSError("lost")))
-        with pytest.raises(OSError):
-            ledger.merge(again, 0)
-    assert rows(ledger) == {("a", "h", 1)}
-    ledger.merge(again, 0)
-    assert rows(ledger) == {("a", "h", 2), ("b", "h", 2)} and ledger.runs() == 1
+    ledger.merge(frame(spark, ("k", "h", 1, 1)), 0)
+    ledger.merge(frame(spark, ("k", "h", 2, 1)), 1)
+    copy = ledger.snapshot(scratch_dir(spark, "snapshot"))
+    ledger.merge(frame(spark, ("k", "h", 7, 1), ("n", "h", 7, 1)), 0)
+    assert rows(ledger) == {("k", "h", 2), ("n", "h", 7)} and ledger.runs() == 2
+    assert [r.v for r in copy.collect()] == [2]
 
 
-def test_folding_keeps_the_table_and_few_folders(spark):
+def test_sources_interleave_by_arrival(spark):
     ledger, model = small_ledger(spark), {}
-    for i in range(9):
-        key = f"k{i % 4}"
-        ledger.merge(spark.createDataFrame([(key, "h", i, 1)], SCHEMA))
-        model[key] = i
-        ledger.fold(2)
+    steps = [("x", 0), ("x", 1), ("y", 0), ("x", 2), ("y", 1), ("x", 3), ("2022-01-01", 0)]
+    for v, (source, run_id) in enumerate(steps):
+        key = f"k{v % 3}"
+        ledger.merge(frame(spark, (key, "h", v, 1), (source, "h", v, 1)), run_id, source)
+        model |= {key: v, source: v}
+    assert {(r[0], r[2]) for r in rows(ledger)} == set(model.items())
+    # A batch of a stream that is repeated leaves what other sources wrote since.
+    ledger.merge(frame(spark, ("k1", "h", 99, 1), ("x", "h", 99, 1)), 1, "x")
     assert {(r[0], r[2]) for r in rows(ledger)} == set(model.items())
-    assert ledger.runs() <= 4
+
+
+def test_run_lost_before_its_commit_changes_nothing(spark):
+    ledger = small_ledger(spark)
+    ledger.merge(frame(spark, ("a", "h", 1, 1)), 0)
+    again = frame(spark, ("a", "h", 2, 1), ("b", "h", 2, 1))
+    broken = again.withColumn("v", F.when(F.col("k") == "b", F.raise_error(F.lit("lost")).cast("int")).otherwise(F.col("v")))
+    with pytest.raises(Exception, match="lost"):
+        ledger.merge(broken, 0)
+    assert rows(ledger) == {("a", "h", 1)}
+    ledger.merge(again, 0)
+    assert rows(ledger) == {("a", "h", 2), ("b", "h", 2)} and ledger.runs() == 1
 
 
 def test_scratch_needs_a_shared_folder_on_a_cluster():
@@ -120,13 +153,40 @@ def test_history_key():
     assert merge.history_key()[:-1] == K.LEDGER_KEY
 
 
-def test_version_filter_reaches_the_scan(spark):
-    ledger = small_ledger(spark)
-    ledger.merge(spark.createDataFrame([("a", "h", 1, 1)], SCHEMA), 0)
-    ledger.compact()
-    plan_ = ledger.by_hash("h").select("k")._jdf.queryExecution().executedPlan().toString()
-    assert "EqualTo(branch_hash,h)" in plan_
-    assert plan_.split("ReadSchema: ")[1].startswith("struct<k:string,branch_hash:string>")
+def _scanned(df):
+    """Rows that the scans of an executed plan gave, after row groups were left out."""
+    total = 0
+    nodes = [df._jdf.queryExecution().executedPlan()]
+    while nodes:
+        node = nodes.pop()
+        if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            nodes.append(node.executedPlan())
+        elif node.getClass().getSimpleName().endswith("QueryStageExec"):
+            nodes.append(node.plan())
+        elif node.getClass().getSimpleName() == "FileSourceScanExec":
+            total += node.metrics().apply("numOutputRows").value()
+        children = node.children()
+        nodes += [children.apply(i) for i in range(children.size())]
+    return total
+
+
+def test_version_lookup_skips_row_groups(spark):
+    ledger = small_ledger(spark, keys=["k", "branch_hash"])
+    many = spark.range(40_000).selectExpr(
+        "string(id) AS k", "concat('h', lpad(string(id % 400), 4, '0')) AS branch_hash", "int(id) AS v", "1 AS s"
+    )
+    ledger.merge(many, 0)
+    found = ledger.by_hash("h0007").select("v")
+    assert found.count() == 100
+    found.collect()
+    assert 100 <= _scanned(found) <= 20_000
+    # Within the range of a row group, but in none of them: the Bloom filter or dictionary says so.
+    unknown = ledger.by_hash("h0007x")
+    assert unknown.collect() == [] and _scanned(unknown) == 0
+    plan_ = found._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(branch_hash,h0007)" in plan_
+    copy = ledger.snapshot(scratch_dir(spark, "snapshot")).where("branch_hash = 'h0399'")
+    assert len(copy.collect()) == 100 and _scanned(copy) <= 20_000
 
 
 def test_streamed_batches_equal_one_batch(spark, tmp_path):
@@ -140,9 +200,9 @@ def test_streamed_batches_equal_one_batch(spark, tmp_path):
     for part in parts:
         df = spark.createDataFrame(part, SCHEMA)
         df.write.mode("append").parquet(source)
-        ingest(stream_packed(spark, source, df.schema), lambda b, i: b, ledger, offsets, 2)
+        ingest(stream_packed(spark, source, df.schema), lambda b, i: b, ledger, offsets)
     state = rows(ledger)
-    ingest(stream_packed(spark, source, df.schema), lambda b, i: b, ledger, offsets, 2)
+    ingest(stream_packed(spark, source, df.schema), lambda b, i: b, ledger, offsets)
     everything = spark.createDataFrame([r for p in parts for r in p], SCHEMA)
     once = merge.latest_per_key(everything, ["k"], ["s"])
     assert rows(ledger) == state == {(r.k, r.branch_hash, r.v) for r in once.collect()}
@@ -228,6 +288,7 @@ def test_run_over_a_tree(spark, world, tmp_path):
     assert (row.build_passed, row.netcdf_c) == (False, "unknown")
     assert stored["develop", "jet", "intel"].build_passed
     assert stored["develop", "jet", "intel"].netcdf_f == "N/A"
+    assert out.counts == {"reports": 5, "builds_passed": 4, "without_log": 1}
     counts = {tuple(r) for r in run_counts(out.results, ["machine"]).collect()}
     assert counts == {("hera", 3, 2, 1), ("jet", 2, 2, 0)}
 
@@ -252,6 +313,27 @@ def test_run_over_a_tree(spark, world, tmp_path):
     assert not os.path.exists(os.path.join(target, "markdown", "report_branch=develop", "report_hash=v8.0.0"))
 
 
+def test_paths_are_tested_before_texts_are_parsed(spark, world, tmp_path):
+    root, _, hashes, _ = world
+    requests = plan.requests_of(hashes)
+    mine, pairs = plan.owned_files(report_tree(spark, root), requests)
+    tree = parse_reports(mine)._jdf.queryExecution().optimizedPlan().toString()
+    assert tree.index("reject_reason") < tree.index("LeftSemi") < tree.index("content")
+    assert {r.path for r in pairs.collect()} == {r.path for r in mine.collect()}
+    too_long = spark.createDataFrame([("/big/summary.dat", 9)], "path string, length long")
+    out = do_run(spark, world, oversized=too_long)
+    assert ("/big/summary.dat", "oversized") in {(r.path, r.reject_reason) for r in out.rejects.collect()}
+
+
+def test_logs_as_lines_give_the_same_run(spark, world):
+    root, _, hashes, latest = world
+    runs = [
+        plan.summarize(report_tree(spark, root), logs, hashes, latest)[0]
+        for logs in (log_tree(spark, root), log_lines(spark, root))
+    ]
+    assert sorted(map(str, runs[0].collect())) == sorted(map(str, runs[1].collect()))
+
+
 def test_reports_of_a_branch_from_the_ledger(spark, world, tmp_path):
     out = do_run(spark, world, keep_history=True)
     R.write_branch_reports(out.ledger.read(), "develop", "https://example.org/x", str(tmp_path))
@@ -359,14 +441,14 @@ def test_markdown_layout(spark):
 
 
 def test_csv_needs_quoting_only_where_it_must(spark, tmp_path):
-    values = ["plain", "with, comma", 'with "quotes"', " blanks ", "", "café"]
+    values = ["plain", "with, comma", 'with "quotes"', " blanks ", "", "café", "5 €"]
     df = spark.createDataFrame([("h", i, v, "x") for i, v in enumerate(values)],
                                "folder string, position int, a string, b string")
     R.write_csv(df, ["folder"], str(tmp_path / "csv"))
     parts = sorted(glob.glob(str(tmp_path / "csv/folder=h/part-*")))
-    text = "".join(open(part, encoding="utf-8", newline="").read() for part in parts)
+    text = "".join(open(part, encoding="iso-8859-1", newline="").read() for part in parts)
     read = list(csv.reader(io.StringIO(text)))
-    assert read[0] == ["a", "b"] and [r[0] for r in read[1:]] == values
+    assert read[0] == ["a", "b"] and [r[0] for r in read[1:]] == [*values[:-1], "5 ?"]
     expected = io.StringIO()
     csv.writer(expected, lineterminator="\n").writerows(read)
     assert expected.getvalue() == text
