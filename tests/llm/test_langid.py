@@ -38,6 +38,10 @@ def kneser_ney(texts):
     return p
 
 
+def loaded(table, **options):
+    return langid.LanguageModels(table.langs, langid.LanguageModels.parts_of(table.rows.toArrow()), **options)
+
+
 def test_models_equal_the_formula(spark):
     texts = {"a": ["banana bandana", "ananas, Anna!"], "b": ["otto tot", "motto"]}
     rows = [(i, lang, t) for lang, ts in texts.items() for i, t in enumerate(ts)]
@@ -47,7 +51,9 @@ def test_models_equal_the_formula(spark):
     tried = ["banana", "toto Anna", "xyz", "b", ""]
     packed, numbers, letters = langid.grams(tried)
     assert letters.tolist() == [6, 8, 3, 1, 0]
-    bits = models.cross_entropy(packed, numbers)
+    bits = loaded(models).cross_entropy(packed, numbers)
+    # Whether rows are kept or worked out anew makes no difference.
+    assert np.array_equal(bits, loaded(models, held=1).cross_entropy(packed, numbers))
     for column, lang in enumerate(models.langs):
         p = kneser_ney(texts[lang])
         for row, text in enumerate(tried):
@@ -56,6 +62,54 @@ def test_models_equal_the_formula(spark):
                 assert math.isclose(bits[row, column], sum(need) / len(need), rel_tol=1e-4)
 
 
+def test_every_row_counts_and_probabilities_sum_to_one(spark):
+    rng = np.random.default_rng(6)
+    texts = [" ".join("".join(rng.choice(list("abcdefgh"), rng.integers(1, 7))) for _ in range(40)) for _ in range(64)]
+    rows = [(i, "xy"[i % 2], t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    models = langid.train_language_models(df)
+    assert models.limits
+    # Rows that set the limits are in the counts, too.
+    whole = Counter((lang, g) for _, lang, t in rows for g in runs(t))
+    entries = models.rows.where("kind = 8").count()
+    assert entries == len(whole)
+    m = loaded(models)
+    signs = [0, *(ord(c) for c in "abcdefgh")]
+    for head in ("   ", " ab", "abc", "zzz", "h g"):
+        packed = sum((0 if c == " " else ord(c)) << s for c, s in zip(head, (48, 32, 16), strict=True))
+        names = np.array([packed | s for s in signs], dtype=np.uint64)
+        known = np.exp(m.log_probability(4, names).astype(np.float64)).sum(axis=0)
+        other = np.exp(m.log_probability(4, np.array([packed | 0x3B1], dtype=np.uint64))[0].astype(np.float64))
+        assert np.allclose(known + other * (65536 - len(signs)), 1.0, atol=1e-4)
+
+
+def test_models_too_large_to_send_give_the_same(spark):
+    docs = edge_docs(spark).unionByName(edge_docs(spark))
+    learned = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    models = langid.train_language_models(learned)
+    sent = langid.identify_languages(docs, models)
+    for size in (200, 1 << 20):
+        joined = langid.identify_languages(docs, models, most=0, size=size)
+        assert joined.schema == sent.schema
+        assert sorted(map(str, joined.collect())) == sorted(map(str, sent.collect()))
+    none = langid.identify_languages(no_docs(spark), models, most=0)
+    assert none.collect() == []
+
+
+def test_many_languages(spark):
+    rng = np.random.default_rng(7)
+    letters = [list("abcdefghijklmnopqrstuvwxyz")[i % 20 : i % 20 + 6] for i in range(120)]
+    rows = [
+        (120 * j + i, f"l{i:03d}", " ".join(f"{''.join(rng.permutation(own))}{i}q" for _ in range(6)))
+        for j in range(3) for i, own in enumerate(letters)
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    models = langid.train_language_models(df)
+    assert len(models.langs) == 120 and models.entries < 120 * 4 * 2 * 150
+    found = langid.identify_languages(df, models).where("lang_pred = lang").count()
+    assert found > 0.8 * len(rows)
+
+
 def test_runs_of_signs():
     packed, numbers, _ = langid.grams(["Ab  c", None, "1", "é"])
     assert numbers.tolist() == [5, 0, 0, 2]
