@@ -54,17 +54,37 @@ def sign_documents(docs: DataFrame, k: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, schema)
 
 
-def texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """One text per document in ``pairs``, and few others, without a shuffle of all texts."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+def texts_of(docs: DataFrame, nodes: DataFrame, sets: DataFrame, k: int) -> DataFrame:
+    """One text ``(node, text)`` per set in ``nodes(node)``, without a shuffle of all texts.
+
+    Documents are sought by the id a set was kept under, then held to the set's digest, as
+    an id can stand over several texts; texts with the same digest have the same set.
+    """
+    wanted = stage(nodes.distinct().join(sets.select("node", "id"), "node"), "nodes")
     kept = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL")
-    kept = kept.where(may_be_among(F.col("doc_id"), ids, "doc_id"))
-    return stage(kept.groupBy("doc_id").agg(F.first("text").alias("text")), "texts")
+    kept = kept.where(may_be_among(F.col("doc_id"), wanted, "id"))
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in chunks(batch):
+                ones = [set_digest(np.unique(s))[0] for s in shingle_hashes(texts, k)]
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, pa.array(ones, pa.int64())], names=["id", "text", "node"]
+                )
+
+    named = kept.mapInArrow(digest, "id long, text string, node long").join(wanted, ["node", "id"])
+    return stage(named.groupBy("node").agg(F.first("text").alias("text")), "texts")
+
+
+def _nodes_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node"))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, k: int, part: tuple[int, int]) -> DataFrame:
-    """Of ``pairs(a, b)`` those whose full sets of shingles are similar enough."""
-    texts = texts_of(docs, pairs)
+def verified(
+    pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, part: tuple[int, int]
+) -> DataFrame:
+    """Of ``pairs(a, b)`` of sets those that are similar enough, taken whole from their texts."""
+    texts = texts_of(docs, _nodes_of(pairs), sets, k)
     num, den = part
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,24 +106,25 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, part: tuple[int, int]) -
                 keep.append(den * both >= num * (len(sets[0]) + len(sets[1]) - both) and both > 0)
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    b_side = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text"))
-    a_side = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text"))
+    b_side = texts.select(F.col("node").alias("b"), F.col("text").alias("b_text"))
+    a_side = texts.select(F.col("node").alias("a"), F.col("text").alias("a_text"))
     met = pairs.join(b_side, "b").join(a_side, "a").select("a", "b", "a_text", "b_text")
     return stage(met.mapInArrow(similar, "a long, b long").distinct(), "links")
 
 
-def _small_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """Sorted 32-bit hashes of the shingles of the documents in ``ids(a, b)``."""
+def _small_sets(docs: DataFrame, nodes: DataFrame, sets: DataFrame, k: int) -> DataFrame:
+    """Sorted 32-bit hashes of the shingles of each set in ``nodes(node)``."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in chunks(batch):
-                sets = [np.unique(s.astype(np.uint32)).tobytes() for s in shingle_hashes(texts, k)]
+                small = [np.unique(s.astype(np.uint32)).tobytes() for s in shingle_hashes(texts, k)]
                 yield pa.record_batch(
-                    [part.column("doc_id"), pa.array(sets, pa.binary())], names=["id", "members"]
+                    [part.column("node"), pa.array(small, pa.binary())], names=["node", "members"]
                 )
 
-    return stage(texts_of(docs, ids).mapInArrow(build, "id long, members binary"), "members")
+    texts = texts_of(docs, nodes, sets, k)
+    return stage(texts.mapInArrow(build, "node long, members binary"), "members")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -150,11 +171,13 @@ def _agreement(signs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _meet(rows: pa.Table, part: tuple[int, int]) -> list[tuple[int, int]]:
     """Links within one pair of blocks that join components, found on 32-bit sets.
 
-    A pair counts as linked with two shingles to spare for colliding hashes; only pairs
-    linked beyond doubt join components for the pairs after them.
+    A pair counts as linked with shingles to spare for colliding hashes, two and four
+    times as many as its sizes let expect; only pairs linked beyond doubt join components
+    for the pairs after them. Pairs whose signatures agree far less than linked ones do
+    are left (see ``near_duplicates``).
     """
     num, den = part
-    ids = rows.column("id").to_numpy()
+    ids = rows.column("node").to_numpy()
     group = rows.column("component").to_numpy()
     own = rows.column("own").to_numpy()
     band = rows.column("band")[0].as_py()
@@ -165,7 +188,8 @@ def _meet(rows: pa.Table, part: tuple[int, int]) -> list[tuple[int, int]]:
     agree, first = _agreement(signs)
     least = int((num / den - _SLACK) * signs.shape[1])
     near = (agree >= least) & (first == band) & (group[:, None] != group[None, :])
-    near &= den * (np.minimum.outer(size, size) + 2) >= num * np.maximum.outer(size, size)
+    spare = 2 + 4 * np.ceil(np.multiply.outer(size, size) / 2.0**32).astype(np.int64)
+    near &= den * (np.minimum.outer(size, size) + spare) >= num * np.maximum.outer(size, size)
     if rows.column("i")[0].as_py() != rows.column("j")[0].as_py():
         near &= own[:, None] != own[None, :]
     root: dict[int, int] = {}
@@ -184,9 +208,10 @@ def _meet(rows: pa.Table, part: tuple[int, int]) -> list[tuple[int, int]]:
         at = np.searchsorted(members[x], members[y])
         at[at == size[x]] = 0
         shared = int((members[x][at] == members[y]).sum())
-        if den * (shared + 2) >= num * (size[x] + size[y] - shared - 2):
+        more, both = int(spare[x, y]), int(size[x] + size[y])
+        if den * (shared + more) >= num * (both - shared - more):
             found.append((int(min(ids[x], ids[y])), int(max(ids[x], ids[y]))))
-        if den * (shared - 2) >= num * (size[x] + size[y] - shared + 2):
+        if den * (shared - more) >= num * (both - shared + more):
             root[max(a, b)] = min(a, b)
     return found
 
@@ -201,24 +226,35 @@ def _rest(
 ) -> DataFrame:
     """Pairs that share a band and link different components.
 
-    Only buckets that still span components are looked at. Their members are dealt into
-    blocks and blocks meet in pairs, so a task holds two blocks however large the bucket,
-    and compares a pair in the first band it shares. Pairs are compared where they meet;
-    only links come out.
+    Only buckets that still span components are looked at. The sets of a bucket's largest
+    component and the others are dealt into blocks apart; blocks of others meet all blocks,
+    those of the largest component do not meet each other, so a large component with a
+    few strangers costs one copy of it per block of strangers. A task holds two blocks
+    however large the bucket, and compares a pair in the first band it shares. Pairs are
+    compared where they meet; only links come out.
     """
-    placed = banded.join(groups.withColumnRenamed("node", "id"), "id", "left")
-    placed = stage(placed.withColumn("component", F.coalesce("component", "id")), "placed")
-    spans = placed.groupBy("band", "key").agg(
-        F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")
+    placed = banded.join(groups, "node", "left")
+    placed = stage(placed.withColumn("component", F.coalesce("component", "node")), "placed")
+    shares = placed.groupBy("band", "key", "component").agg(F.count("*").alias("n"))
+    spans = shares.groupBy("band", "key").agg(
+        F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("main"), F.count("*").alias("kinds")
+    )
+    spans = spans.where("kinds > 1").select(
+        "band",
+        "key",
+        F.col("main.component").alias("main"),
+        F.ceil((F.col("n") - F.col("main.n")) / _BLOCK).cast("int").alias("others"),
+        F.ceil(F.col("main.n") / _BLOCK).cast("int").alias("mains"),
     )
-    spans = spans.where("low < high").withColumn("blocks", F.ceil(F.col("n") / _BLOCK).cast("int"))
-    open_rows = placed.join(spans.select("band", "key", "blocks"), ["band", "key"])
-    open_rows = stage(open_rows, "open")
-    ids = open_rows.select(F.col("id").alias("a"), F.col("id").alias("b")).distinct()
-    members = sets.select("id", "signature").join(_small_sets(docs, ids, k), "id")
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = open_rows.withColumn("own", own).withColumn("other", other)
+    # Read back, so that the rows of a hot bucket can be split over tasks.
+    open_rows = stage(placed.join(stage(spans, "spans"), ["band", "key"]), "open")
+    nodes = open_rows.select("node").distinct()
+    members = sets.select("node", "signature").join(_small_sets(docs, nodes, sets, k), "node")
+    inner, place = F.col("component") == F.col("main"), F.xxhash64("node")
+    own = F.when(inner, F.col("others") + F.pmod(place, "mains")).otherwise(F.pmod(place, "others"))
+    last = F.when(inner, F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1
+    dealt = open_rows.withColumn("own", own.cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
     keys = ["band", "key", "i", "j"]
     dealt = dealt.select(
         "band",
@@ -226,10 +262,10 @@ def _rest(
         F.least("own", "other").alias("i"),
         F.greatest("own", "other").alias("j"),
         "own",
-        "id",
+        "node",
         "component",
     )
-    met = dealt.join(members, "id").repartition(*keys).sortWithinPartitions(*keys)
+    met = dealt.join(stage(members, "signatures"), "node").repartition(*keys).sortWithinPartitions(*keys)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _runs(batches, keys):
@@ -255,13 +291,15 @@ def near_duplicates(
     ``kept`` (that is its own), a row for each row. Other columns are not read.
 
     Documents with equal sets are folded to the least id first. Signatures of 120 values
-    are cut into 24 bands of 5; each member of a bucket is verified against the bucket's
-    least id, and where a bucket still spans components its members meet in blocks, so no
-    link that shares a band is lost: one at 0.85 is missed with probability 8e-7, one at
-    0.8 with 8e-5. Verification compares full sets.
+    are cut into 24 bands of 5; each set of a bucket is verified against the bucket's
+    least one, and where a bucket still spans components its sets meet in blocks.
+    Verification compares full sets. What banding misses has probability 8e-7 for a pair
+    at 0.85 and 8e-5 at 0.8; of the pairs met in blocks those whose signatures agree in
+    under the threshold less 0.15 are left, which befalls a pair at the threshold with
+    probability below 2e-5 (independent values; those of SuperMinHash vary less).
 
     A text without words, or null, has no shingle, is linked with nothing and kept. Rows
-    that share an id count as one document, and are kept or not together. A row without
+    that share an id each follow their own text. A row without
     an id cannot be named: its component is null and it is kept. An empty table gives an
     empty result.
     """
@@ -272,7 +310,7 @@ def near_duplicates(
     sets = named.groupBy(*digest).agg(
         F.min("doc_id").alias("id"), F.first("signature").alias("signature")
     )
-    sets = stage(sets, "sets")
+    sets = stage(sets.withColumn("node", F.col("d1")), "sets")
     width = 2 * ROWS
     keys = F.posexplode(
         F.transform(
@@ -280,24 +318,22 @@ def near_duplicates(
             lambda i: F.xxhash64(i, F.substring(F.col("signature"), i * width + 1, F.lit(width))),
         )
     ).alias("band", "key")
-    banded = sets.select("id", keys)
-    buckets = banded.groupBy("band", "key").agg(F.min("id").alias("a"), F.count("*").alias("n"))
-    shared = stage(
-        banded.join(buckets.where("n > 1"), ["band", "key"]).select("band", "key", "a", "id"),
-        "buckets",
-    )
-    star = shared.where("a < id").select("a", F.col("id").alias("b")).distinct()
+    banded = sets.select("node", keys)
+    buckets = banded.groupBy("band", "key").agg(F.min("node").alias("a"), F.count("*").alias("n"))
+    buckets = stage(buckets.where("n > 1").drop("n"), "buckets")
+    shared = stage(banded.join(buckets, ["band", "key"]).select("band", "key", "a", "node"), "shared")
+    star = shared.where("a < node").select("a", F.col("node").alias("b")).distinct()
     star = stage(star, "pairs")
-    links = verified(star, docs, k, part)
+    links = verified(star, docs, sets, k, part)
     groups = stage(connected_components(links), "groups")
     rest = _rest(shared.drop("a"), sets, groups, docs, k, part)
     if rest.limit(1).count():
-        links = links.union(verified(rest, docs, k, part))
+        links = links.union(verified(rest, docs, sets, k, part))
         groups = stage(connected_components(links), "groups")
-    named_sets = sets.drop("signature").join(
-        groups.withColumnRenamed("node", "id"), "id", "left"
-    )
-    named_sets = named_sets.select(*digest, F.coalesce("component", "id").alias("component_id"))
+    held = sets.drop("signature").join(groups, "node", "left")
+    held = stage(held.withColumn("component", F.coalesce("component", "node")), "held")
+    names = stage(held.groupBy("component").agg(F.min("id").alias("component_id")), "names")
+    named_sets = stage(held.join(names, "component").select(*digest, "component_id"), "named")
     grouped = signed.select("doc_id", *digest).join(named_sets, digest, "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     kept = F.coalesce(F.col("doc_id") == own, F.lit(True))
@@ -307,6 +343,19 @@ def near_duplicates(
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, part: tuple[int, int] = (4, 5)) -> DataFrame:
-    """``docs`` with one document of each group, the one with the least id."""
-    grouped = near_duplicates(docs, k, part)
-    return without_ids(docs, grouped.where("NOT kept").select("doc_id"))
+    """``docs`` with one row of each group, one with the least id.
+
+    Rows are grouped as rows, whatever their ids: of rows repeated under one id one stays,
+    an id over several texts loses only those that are copies, and a row without an id
+    stays if its group has no other or only such, the first written of them. Texts
+    without words are copies of nothing.
+    """
+    rows = stage(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    grouped = near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"), k, part)
+    grouped = grouped.where("n_shingles > 0").select(F.col("doc_id").alias("__row"), "component_id")
+    ids = rows.select("__row", F.col("doc_id").cast("long").alias("__id"))
+    met = stage(grouped.join(ids, "__row"), "grouped")
+    least = F.min(F.struct(F.col("__id").isNull().alias("unnamed"), "__id", "__row")).alias("first")
+    first = stage(met.groupBy("component_id").agg(least), "first")
+    copies = met.join(first, "component_id").where("__row <> first.__row").select("__row")
+    return without_ids(rows, copies, "__row").select(docs.columns)

@@ -69,6 +69,35 @@ def test_large_bucket_is_dealt_into_blocks(spark, monkeypatch):
     assert result(df, 3, (17, 20)) == brute(rows, 3, 17, 20)
 
 
+def test_large_component_and_strangers(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "_BLOCK", 8)
+    rng = random.Random(12)
+    rows = copies(5, 90, 100, 3)
+    # Texts that share bands with the large group and reach each other only, or nothing.
+    for i in range(25):
+        own = rows[0][1].split()
+        for at in rng.sample(range(100), 7):
+            own[at] = f"s{i // 3}"
+        rows.append((i, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(df, 3, (17, 20)) == brute(rows, 3, 17, 20)
+
+
+def test_texts_decide_not_ids(spark):
+    base = [f"w{i}" for i in range(60)]
+    other = [f"u{i}" for i in range(60)]
+    rows = [(1, " ".join(base)), (2, " ".join([*base[:-1], "x"])), (2, " ".join(other)), (3, " ".join([*other[:-1], "y"]))]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string").coalesce(1)
+        got = {(r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(df).collect()}
+        assert got == {(1, 1, True), (2, 1, False), (2, 2, True), (3, 2, False)}
+        left = neardup.drop_near_duplicates(df).collect()
+        assert sorted((r.doc_id, r.text) for r in left) == sorted([rows[0], rows[2]])
+    unnamed = spark.createDataFrame([(None, rows[0][1]), (None, rows[0][1]), (5, rows[2][1]), (None, rows[2][1])], "doc_id long, text string")
+    left = [(r.doc_id, r.text) for r in neardup.drop_near_duplicates(unnamed).collect()]
+    assert sorted(left, key=repr) == sorted([(None, rows[0][1]), (5, rows[2][1])], key=repr)
+
+
 def test_odd_documents(spark):
     for k, part in ((3, (17, 20)), (5, (4, 5))):
         rows = neardup.near_duplicates(edge_docs(spark), k, part).collect()
@@ -83,8 +112,9 @@ def test_odd_documents(spark):
     left = neardup.drop_near_duplicates(edge_docs(spark))
     assert left.columns == edge_docs(spark).columns
     ids = sorted(str(r.doc_id) for r in left.collect())
-    assert ids == sorted(str(r[0]) for r in edge_rows() if r[0] is None or brute(
-        [(x[0], x[1]) for x in edge_rows()], 5, 4, 5)[r[0]][1] == r[0])
+    # Of the copies under 1, 2, 2 and no id one row stays; the row without id and text stays.
+    named = brute([(x[0], x[1]) for x in edge_rows()], 5, 4, 5)
+    assert ids == sorted(["None", *(str(i) for i, (_, c) in named.items() if i == c)])
     assert neardup.near_duplicates(no_docs(spark)).count() == 0
     assert neardup.drop_near_duplicates(no_docs(spark)).count() == 0
 
