@@ -9,6 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from runledger.functions.text import bind
 from runledger.session import stage
 
 CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
@@ -43,8 +44,6 @@ def secret_candidates(docs: DataFrame, path: str = "source") -> DataFrame:
     ``(run_no, candidate)``. ``before``, ``before_far`` and ``after`` are the neighbouring
     words. They stand once per word, as one without blanks can hold thousands of runs.
     """
-    words = F.split(F.col("text"), _BLANKS, -1)
-
     def keys(word: Column) -> Column:
         runs = F.transform(
             F.regexp_extract_all(word, F.lit(CANDIDATE), F.lit(0)),
@@ -52,23 +51,27 @@ def secret_candidates(docs: DataFrame, path: str = "source") -> DataFrame:
         )
         return F.filter(runs, lambda r: F.rlike(r["candidate"], F.lit("[0-9]")))
 
-    long = F.filter(
-        F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))),
-        lambda x: (F.length(x["w"]) >= 16) & F.rlike(x["w"], F.lit(CANDIDATE)),
-    )
-    near = F.transform(
-        long,
-        lambda x: F.struct(
-            x["i"].alias("word_no"),
-            keys(x["w"]).alias("runs"),
-            x["w"].alias("word"),
-            F.coalesce(F.get(words, x["i"] - 1), F.lit("")).alias("before"),
-            F.coalesce(F.get(words, x["i"] - 2), F.lit("")).alias("before_far"),
-            F.coalesce(F.get(words, x["i"] + 1), F.lit("")).alias("after"),
-        ),
-    )
-    found = F.filter(near, lambda x: F.size(x["runs"]) > 0)
-    rows = docs.select("doc_id", F.col(path).cast("string").alias("path"), F.explode(found).alias("x"))
+    def found(words: Column) -> Column:
+        long = F.filter(
+            F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))),
+            lambda x: (F.length(x["w"]) >= 16) & F.rlike(x["w"], F.lit(CANDIDATE)),
+        )
+        near = F.transform(
+            long,
+            lambda x: F.struct(
+                x["i"].alias("word_no"),
+                keys(x["w"]).alias("runs"),
+                x["w"].alias("word"),
+                F.coalesce(F.get(words, x["i"] - 1), F.lit("")).alias("before"),
+                F.coalesce(F.get(words, x["i"] - 2), F.lit("")).alias("before_far"),
+                F.coalesce(F.get(words, x["i"] + 1), F.lit("")).alias("after"),
+            ),
+        )
+        return F.filter(near, lambda x: F.size(x["runs"]) > 0)
+
+    # Bound, so that a text is split once and not again for every neighbour.
+    words = bind(F.split(F.col("text"), _BLANKS, -1), found)
+    rows = docs.select("doc_id", F.col(path).cast("string").alias("path"), F.explode(words).alias("x"))
     return rows.select("doc_id", "path", "x.*")
 
 
@@ -145,23 +148,23 @@ def train_forest(
 ) -> PipelineModel | None:
     """A random forest on ``findings`` with features and ``label`` (1: secret).
 
-    Fitted on about ``most`` findings chosen by digest; none, or labels of one kind only,
-    give no forest.
+    Fitted on at most about ``most`` findings, half of them of each label where there are
+    more, chosen by digest; none, or labels of one kind only, give no forest.
     """
     known = findings.where("label IS NOT NULL").select("candidate", "run_no", "word_no", "doc_id", "label", *FEATURES)
-    n, kinds = known.agg(F.count("*"), F.countDistinct("label")).first()
-    if kinds < 2:
+    counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    if len(counts) < 2:
         return None
-    share = int(min(1.0, most / n) * (1 << 20))
-    place = F.pmod(F.xxhash64("doc_id", "word_no", "run_no", "candidate"), F.lit(1 << 20)) < share
+    place = F.pmod(F.xxhash64("doc_id", "word_no", "run_no", "candidate"), F.lit(1 << 20))
+    chosen = F.lit(False)
+    for label, n in counts.items():
+        share = int(min(1.0, most / len(counts) / n) * (1 << 20))
+        chosen = chosen | ((F.col("label") == label) & (place < share))
     forest = RandomForestClassifier(
         numTrees=trees, maxDepth=depth, seed=seed, labelCol="label", featuresCol="features"
     )
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    chosen = known.where(place)
-    if chosen.select("label").distinct().count() < 2:
-        chosen = known
-    return Pipeline(stages=[assembler, forest]).fit(chosen)
+    return Pipeline(stages=[assembler, forest]).fit(known.where(chosen))
 
 
 def scan_secrets(
