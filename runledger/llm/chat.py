@@ -33,11 +33,34 @@ def _running(df: DataFrame, groups: list[str], place: str, value: str, name: str
     return joined.withColumn(name, summed).drop("__stretch", "__from", "__within")
 
 
+def escaped(text: Column) -> Column:
+    """``text`` with a backslash in every ``<|``, so that it opens no mark of the format."""
+    return F.replace(text, F.lit("<|"), F.lit("<\\|"))
+
+
 def _head(role: Column, name: Column) -> Column:
-    named = F.when(name.isNull(), F.lit("")).otherwise(F.concat(F.lit(" name="), name))
+    one_line = F.regexp_replace(escaped(name), r"[\r\n]+", " ")
+    named = F.when(name.isNull(), F.lit("")).otherwise(F.concat(F.lit(" name="), one_line))
     return F.concat(F.lit("<|im_start|>"), role, named, F.lit("\n"))
 
 
+def rendered_dialogues(messages: DataFrame) -> DataFrame:
+    """``(conv_id, perspective, rendered, spans)``: whole dialogues with their training spans.
+
+    ``messages`` is what ``rotate_perspectives`` gives. One row holds a dialogue, so this is
+    for dialogues that fit a row.
+    """
+    parts = F.sort_array(F.collect_list(F.struct("place", "rendered", "train_start", "train_stop")))
+    spans = F.filter("parts", lambda p: p["train_start"].isNotNull())
+    whole = messages.groupBy("conv_id", "perspective").agg(parts.alias("parts"))
+    return whole.select(
+        "conv_id",
+        "perspective",
+        F.array_join(F.transform("parts", lambda p: p["rendered"]), "").alias("rendered"),
+        F.transform(spans, lambda p: F.struct(p["train_start"].alias("start"), p["train_stop"].alias("stop"))).alias("spans"),
+    )
+
+
 def rotate_perspectives(conversations: DataFrame) -> DataFrame:
     """Every dialogue once per participant, a row per message, with what to learn from.
 
@@ -50,6 +73,9 @@ def rotate_perspectives(conversations: DataFrame) -> DataFrame:
     in the rendered dialogue in signs, and the mask ``train_start, train_stop``: text and
     end mark of the assistant's messages, null elsewhere and where there is no text.
 
+    Texts and names cannot forge a mark: every ``<|`` in them is rendered as ``<\\|``, and
+    a line break in a name as a blank. ``rendered_dialogues`` joins the rows to texts.
+
     A dialogue is the rows of one key in order of ``place``, so one that holds much of the
     table is never gathered. A null text is empty. Repeated messages stay. Rows without
     ``conv_id``, and dialogues without a participant, give no row. Other columns are not
@@ -60,18 +86,19 @@ def rotate_perspectives(conversations: DataFrame) -> DataFrame:
         "conv_id",
         "turn",
         speaker.alias("speaker"),
-        F.coalesce("text", F.lit("")).alias("text"),
+        escaped(F.coalesce("text", F.lit(""))).alias("text"),
         F.md5(F.coalesce("text", F.lit(""))).alias("__digest"),
     )
     placed, _ = positions(turns, ["conv_id", "turn", "speaker", "__digest"], "__spot")
     placed = stage(placed.drop("__digest"), "turns")
-    first = placed.groupBy("conv_id").agg(F.min("__spot").alias("__first"))
+    # Read back, so that the rows of a hot dialogue can be split over tasks.
+    first = stage(placed.groupBy("conv_id").agg(F.min("__spot").alias("__first")), "first")
     placed = placed.join(first, "conv_id")
     placed = placed.withColumn("place", F.col("__spot") - F.col("__first")).drop("__spot", "__first")
     people = placed.where(F.col("speaker") != SYSTEM).select(
         "conv_id", F.col("speaker").alias("perspective")
     )
-    seen = placed.join(people.distinct(), "conv_id")
+    seen = placed.join(stage(people.distinct(), "people"), "conv_id")
     own = F.col("speaker") == F.col("perspective")
     role = F.when(F.col("speaker") == SYSTEM, SYSTEM).when(own, "assistant").otherwise("user")
     seen = seen.withColumn("role", role)
