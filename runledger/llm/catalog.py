@@ -202,13 +202,19 @@ WITH texts AS (
         translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
         '[^\x20\x09-\x0D]+') AS w
     FROM texts
+), short AS (
+    SELECT DISTINCT len(w) AS n FROM words WHERE kind = 'i' AND len(w) BETWEEN 1 AND 4
 ), shingles AS MATERIALIZED (
     SELECT DISTINCT kind, id, shingle FROM (
         SELECT kind, id, unnest(
             CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3),
                 lambda i: array_to_string(w[i:i + 4], ' '))
             WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle
-        FROM words)
+        FROM words
+        UNION ALL
+        SELECT kind, id, unnest(list_transform(range(1, len(w) - n + 2),
+            lambda i: array_to_string(w[i:i + n - 1], ' ')))
+        FROM words, short WHERE kind = 'd' AND len(w) >= n)
 ), sizes AS (
     SELECT id, count(*) AS n FROM shingles WHERE kind = 'i' GROUP BY id
 ), shared AS (
@@ -223,11 +229,11 @@ FROM shared JOIN sizes ON sizes.id = item_id WHERE 5 * n_shared >= 4 * n
 OP6_SQL = r"""
 WITH turns AS (
     SELECT conv_id, turn, coalesce(nullif(role, ''), 'unknown') AS speaker,
-        coalesce(text, '') AS text
+        replace(coalesce(text, ''), '<|', '<\|') AS text, md5(coalesce(text, '')) AS digest
     FROM conversations WHERE conv_id IS NOT NULL
 ), placed AS (
-    SELECT *, row_number() OVER (PARTITION BY conv_id
-        ORDER BY turn NULLS FIRST, speaker, md5(text)) - 1 AS place
+    SELECT * EXCLUDE (digest), row_number() OVER (PARTITION BY conv_id
+        ORDER BY turn NULLS FIRST, speaker, digest) - 1 AS place
     FROM turns
 ), people AS (
     SELECT DISTINCT conv_id, speaker AS perspective FROM placed WHERE speaker <> 'system'
@@ -238,7 +244,8 @@ WITH turns AS (
     FROM placed t JOIN people p ON t.conv_id = p.conv_id
 ), headed AS (
     SELECT *, CASE WHEN role = 'user' THEN speaker END AS name,
-        '<|im_start|>' || role || CASE WHEN role = 'user' THEN ' name=' || speaker ELSE '' END
+        '<|im_start|>' || role || CASE WHEN role = 'user'
+        THEN ' name=' || regexp_replace(replace(speaker, '<|', '<\|'), '[\r\n]+', ' ', 'g') ELSE '' END
         || chr(10) AS head
     FROM seen
 ), rendered AS (

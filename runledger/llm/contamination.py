@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runledger.llm.bloom import bloom_bits, might_hold, without_ids
-from runledger.llm.hashing import U64, chunks, mix, shingle_hashes
+from runledger.llm.hashing import U64, chunks, mix, shingle_hashes, short_run_hashes
 from runledger.session import stage
 
+_WORD = r"[^\x20\x09-\x0D]+"
 _ORDER = U64(0xA0761D6478BD642F)
 
 
@@ -64,12 +65,15 @@ def contained_items(
     pair that can qualify; candidates are then verified by counting shared shingles.
     Shingles are compared by 64-bit hashes of lower-cased words.
 
-    A text of fewer than ``k`` words is one shingle, so a shorter item is found only in
-    an equal text. Texts without words, rows without an id, and repeated rows (counted
+    An item of fewer than ``k`` words is one shingle, its whole sequence of words; it is
+    found wherever a document has these words in a row. Texts without words, rows without an id, and repeated rows (counted
     once) add nothing; several texts under one ``item_id`` count as one item of all
     their shingles, searched by all their sketches. Other columns are not read.
     """
     num, den = part
+    length = F.regexp_count("text", F.lit(_WORD))
+    # At most k - 1 numbers.
+    short = sorted(r[0] for r in items.select(length).where(length.between(1, k - 1)).distinct().collect())
     sketched = stage(item_sketches(items, k, part), "items")
     shared = docs.sparkSession.sparkContext.broadcast(bloom_bits(sketched, F.col("hash")))
 
@@ -78,7 +82,9 @@ def contained_items(
         for batch in batches:
             for chunk, texts in chunks(batch):
                 names = chunk.column("doc_id").to_numpy(zero_copy_only=False)
-                held = [np.unique(s[might_hold(bitmap, s)]) for s in shingle_hashes(texts, k)]
+                runs = [shingle_hashes(texts, k), *(short_run_hashes(texts, n) for n in short)]
+                own = [np.concatenate(r) for r in zip(*runs, strict=True)]
+                held = [np.unique(s[might_hold(bitmap, s)]) for s in own]
                 yield pa.record_batch(
                     [
                         pa.array(np.repeat(names, [len(h) for h in held]), pa.int64()),
@@ -91,10 +97,12 @@ def contained_items(
     hits = stage(named.mapInArrow(probe, "doc_id long, hash long").distinct(), "hits")
     sketches = sketched.where("sketched").select("item_id", "hash")
     candidates = hits.join(sketches, "hash").select("doc_id", "item_id").distinct()
-    common = hits.join(sketched.select("item_id", "hash"), "hash")
+    # Only shingles of candidate pairs are counted, not all pairs that share a common one.
+    pairs = stage(candidates, "candidates").join(hits, "doc_id")
+    common = pairs.join(sketched.select("item_id", "hash"), ["item_id", "hash"])
     counted = common.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"))
-    sizes = sketched.groupBy("item_id").agg(F.count("*").alias("n_shingles"))
-    found = candidates.join(counted, ["doc_id", "item_id"]).join(sizes, "item_id")
+    sizes = stage(sketched.groupBy("item_id").agg(F.count("*").alias("n_shingles")), "sizes")
+    found = counted.join(sizes, "item_id")
     enough = found.where(F.col("n_shared") * den >= F.col("n_shingles") * num)
     return enough.select("doc_id", "item_id", "n_shingles", "n_shared")
 

@@ -109,6 +109,17 @@ def shingle_hashes(texts: Sequence[str | None], k: int) -> list[np.ndarray]:
     return out
 
 
+def short_run_hashes(texts: Sequence[str | None], n: int) -> list[np.ndarray]:
+    """Hashes of each text's runs of ``n`` words, as ``shingle_hashes`` has texts of just ``n`` words."""
+    words, counts = word_hashes(texts)
+    runs = np.full(max(len(words) - n + 1, 0), _PLACES[-n], dtype=U64)
+    for j in range(n):
+        runs += words[j : j + len(runs)] * _PLACES[j]
+    runs = mix(runs)
+    ends = np.cumsum(counts)
+    return [runs[max(e - c, 0) : max(e - n + 1, e - c)] for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
+
+
 def set_digest(distinct: np.ndarray) -> tuple[int, int]:
     """128 bits that stand for a set of hashes, as two signed numbers."""
     one = mix(distinct ^ U64(0x5851F42D4C957F2D)).sum(dtype=U64)

@@ -16,11 +16,12 @@ def test_containment_equals_brute_force(spark):
         own[len(own) // 2 : len(own) // 2] = part[cut:]
         docs.append((d, " ".join(own)))
     docs.append((120, items[0][1].upper()))
+    docs.append((121, "v1 " + items[0][1] + " v2 v3"))
     want = set()
     for d, text in docs:
-        own = shingles(text, 5)
         for i, item in items:
             need = shingles(item, 5)
+            own = shingles(text, min(5, len(item.split())))
             if need and 5 * len(need & own) >= 4 * len(need):
                 want.add((d, i, len(need), len(need & own)))
     df = spark.createDataFrame(docs, "doc_id long, text string")
@@ -38,6 +39,10 @@ def test_containment_of_odd_rows(spark):
     docs = edge_docs(spark)
     got = {(r.doc_id, r.item_id) for r in contamination.contained_items(docs, items).collect()}
     assert got == {(7, 3), (8, 4), (1, 5), (2, 5), (3, 5)}
+    short = spark.createDataFrame([(6, "Fox jumps"), (7, "fox  over"), (8, "c d a"), (9, "b"), (10, "worte")],
+                                  "item_id long, text string")
+    found = {tuple(r) for r in contamination.contained_items(docs, short).collect()}
+    assert found == {(1, 6, 1, 1), (2, 6, 1, 1), (3, 6, 1, 1), (11, 8, 1, 1), (11, 9, 1, 1), (10, 10, 1, 1)}
     left = contamination.drop_contaminated(docs, items)
     assert left.columns == docs.columns and left.count() == docs.count() - 6
     assert contamination.contained_items(no_docs(spark), items).count() == 0
