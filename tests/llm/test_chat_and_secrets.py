@@ -137,6 +137,57 @@ def test_forest_sample_holds_both_labels(spark):
     assert secrets.train_forest(labelled, most=20) is not None
 
 
+def brute_candidates(text):
+    import re
+
+    words = re.split(r"[\x20\x09-\x0D]+", text or "")
+    for i, w in enumerate(words):
+        near = [words[j] if 0 <= j < len(words) else "" for j in (i - 1, i - 2, i + 1)]
+        for n, run in enumerate(re.findall(secrets.CANDIDATE, w)):
+            if re.search("[0-9]", run):
+                yield (i, n, run, *near, w)
+
+
+def kind(sign):
+    return "a" if sign.islower() else "A" if sign.isupper() else "0" if sign.isdigit() else "-"
+
+
+def test_candidates_and_features_equal_brute_force(spark, small):
+    import re
+    import zlib
+
+    table = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "source")
+    odd = edge_docs(spark).select("doc_id", "text", "source").where("doc_id IS NOT NULL").distinct()
+    odd = odd.withColumn("doc_id", F.col("doc_id") + 10**6)
+    more = [(2 * 10**6 + i, f'  api_key="{hash_(i)}";x={hash_(i + 1)}/A_b-9 \u00e9\tend', None) for i in range(20)]
+    docs = table.unionByName(odd).unionByName(spark.createDataFrame(more, table.schema))
+    found = secrets.secret_candidates(docs)
+    rows = secrets.with_features(found, ["text", "order"]).collect()
+    got = {(r.doc_id, r.word_no, r.run_no): r for r in rows}
+    assert len(got) == len(rows)
+    want = {}
+    for d in docs.collect():
+        for i, n, run, before, far, after, word in brute_candidates(d.text):
+            want[d.doc_id, i, n] = (run, before, far, after, word, d.source or "")
+    assert set(got) == set(want) and len(want) > 40
+    bucket = lambda t: zlib.crc32(t.lower().encode()) % 32
+    for key, (run, before, far, after, word, path) in want.items():
+        r, n = got[key], len(run)
+        assert r.candidate == run and r.f_length == n
+        assert abs(r.f_digits - sum(c.isdigit() for c in run) / n) < 1e-9
+        assert abs(r.f_upper - sum(c.isupper() for c in run) / n) < 1e-9
+        assert abs(r.f_hex - sum(c in "0123456789abcdefABCDEF" for c in run) / n) < 1e-9
+        switches = sum(kind(a) != kind(b) for a, b in zip(run, run[1:], strict=False))
+        assert abs(r.f_switches - switches / n) < 1e-9
+        assert abs(r.f_variety - len(set(run)) / n) < 1e-9
+        assert abs(r.f_words - (1 - len(re.sub("order|text", "", run.lower())) / n)) < 1e-9
+        assert (r.f_before, r.f_before_far, r.f_after) == (bucket(before), bucket(far), bucket(after))
+        assert (r.f_path, r.f_path_length) == (bucket(path), len(path))
+        named = re.search(secrets.ANNOUNCING, f"{far} {before} {word}") is not None
+        assert (r.f_announced, r.f_assigned) == (named, re.search("[=:]", before + word) is not None)
+        assert r.f_quoted == (re.search("[\"'`]", word) is not None)
+
+
 def test_native_plans(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     plan = secrets.secret_candidates(docs)._jdf.queryExecution().toString()

@@ -103,6 +103,57 @@ def test_shards_of_a_table_and_their_files(spark, small, tmp_path):
     check_rows_law(back.collect(), 40)
 
 
+def curve_place(cells, bits):
+    """Hilbert index of a cell, from the definition of the transposed index."""
+    x, n = list(cells), len(cells)
+    q = 1 << (bits - 1)
+    while q > 1:
+        for i in range(n):
+            if x[i] & q:
+                x[0] ^= q - 1
+            else:
+                t = (x[0] ^ x[i]) & (q - 1)
+                x[0] ^= t
+                x[i] ^= t
+        q >>= 1
+    for i in range(1, n):
+        x[i] ^= x[i - 1]
+    t, q = 0, 1 << (bits - 1)
+    while q > 1:
+        if x[n - 1] & q:
+            t ^= q - 1
+        q >>= 1
+    x = [v ^ t for v in x]
+    return int("".join(str(v >> b & 1) for b in range(bits - 1, -1, -1) for v in x), 2)
+
+
+def test_query_equals_brute_force(spark, small):
+    import zlib
+
+    from xxhash import xxh64_intdigest
+
+    from runledger.llm.catalog import QUERIES
+
+    rows = []
+    for r in spark.read.parquet(f"{small}/documents.parquet").collect():
+        data = (r.text or "").encode()
+        size, steps = len(data) + 16, sharding.BITS and (1 << sharding.BITS) // 32
+        names = [zlib.crc32(v.encode()) % 256 if v is not None else 0 for v in (r.lang, r.source)]
+        cell = (*names, min(int(np.floor(np.log2(max(size, 1)) * steps)), 255))
+        digest = xxh64_intdigest(data, 42)
+        rows.append((curve_place(cell, 8), size, zlib.crc32(data), digest - (digest >> 63 << 64), r.doc_id, cell))
+    least = {}
+    for r in rows:
+        least[r[1], r[3]] = min(least.get((r[1], r[3]), r[0]), r[0])
+    order = sorted((least[r[1], r[3]], *r[1:]) for r in rows)
+    want, n = [], len(order)
+    for place, (curve, size, crc, _, doc_id, cell) in enumerate(order):
+        shard = place * 40 // n
+        want.append((doc_id, size, crc, "rows", shard, place - -(-shard * n // 40), None, *cell, curve))
+    got = [tuple(r) for r in QUERIES["op9_hilbert_shards"](spark, small).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_equal_texts_lie_together(spark):
     rows = [(i, f"text {i % 30}", "abcd"[i % 4], f"s{i % 7}") for i in range(600)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
