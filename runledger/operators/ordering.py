@@ -26,24 +26,23 @@ def ordered_positions(
 ) -> DataFrame:
     """Number the rows of each group in ``order`` from 0.
 
-    The rows are range-partitioned on group and order and written once; a range then
-    holds a bounded stretch of a group, however large the group is. A row's number is its
-    number within its stretch plus the lengths of the stretches before. ``groups`` with
-    ``order`` must identify a row.
+    The rows are range-partitioned on group and order, sorted and written once; a range
+    then holds a bounded stretch of a group, however large the group is. A row's number is
+    its distance from the first row of its stretch, which needs no further sort, plus the
+    lengths of the stretches before. ``groups`` with ``order`` must identify a row.
     """
-    placed = stage(cluster_by_range(df, [*groups, *order]), "ranges")
+    ranged = cluster_by_range(df, [*groups, *order])
+    placed = stage(ranged.withColumn("_at", F.monotonically_increasing_id()), "ranges")
     before = W.partitionBy(*groups).orderBy("range_id").rowsBetween(W.unboundedPreceding, -1)
-    stretches = placed.groupBy(*groups, "range_id").agg(F.count("*").alias("_n"))
-    stretches = stretches.select(
-        *groups, "range_id", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
+    stretches = placed.groupBy(*groups, "range_id").agg(
+        F.count("*").alias("_n"), F.min("_at").alias("_first")
     )
-    within = W.partitionBy(*groups, "range_id").orderBy(*order)
-    numbered = placed.withColumn("_within", F.row_number().over(within) - 1)
-    return (
-        numbered.join(stretches, [*groups, "range_id"])
-        .withColumn(name, F.col("_before") + F.col("_within"))
-        .drop("range_id", "_before", "_within")
+    stretches = stretches.select(
+        *groups, "range_id", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
     )
+    place = (F.col("_before") + F.col("_at") - F.col("_first")).cast("bigint")
+    numbered = placed.join(stretches, [*groups, "range_id"]).withColumn(name, place)
+    return numbered.drop("range_id", "_at", "_first", "_before")
 
 
 def report_order(df: DataFrame, columns: Sequence[str], tie: str = "os") -> DataFrame:
