@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -17,23 +20,25 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
 ANNOUNCING = r"(?i)(token|secret|passw|api_?key|auth|credential)"
 _BLANKS = r"[\x20\x09-\x0D]+"
 _BUCKETS = 32
-FEATURES = (
+_LONGEST = 32
+_SIGNS = "abcdefghijklmnopqrstuvwxyz0123456789"
+_KINDS = len(_SIGNS) + 1
+# What a candidate is like by itself and where its document comes from.
+OWN_FEATURES = (
     "f_length",
     "f_digits",
     "f_upper",
     "f_hex",
     "f_switches",
     "f_variety",
+    "f_transitions",
     "f_words",
     "f_path",
     "f_path_length",
-    "f_before",
-    "f_before_far",
-    "f_after",
-    "f_announced",
-    "f_assigned",
-    "f_quoted",
 )
+# What stands around it.
+NEAR_FEATURES = ("f_before", "f_before_far", "f_after", "f_announced", "f_assigned", "f_quoted")
+FEATURES = OWN_FEATURES + NEAR_FEATURES
 
 
 def secret_candidates(docs: DataFrame, path: str = "source") -> DataFrame:
@@ -75,12 +80,40 @@ def secret_candidates(docs: DataFrame, path: str = "source") -> DataFrame:
     return rows.select("doc_id", "path", "x.*")
 
 
-def common_words(candidates: DataFrame, n: int = 200) -> list[str]:
-    """The ``n`` commonest words of four letters and more next to any word with candidates."""
-    words = candidates.select(F.explode(F.array("before", "before_far", "after")).alias("w"))
-    plain = words.select(F.lower(F.regexp_extract("w", "[A-Za-z]{4,}", 0)).alias("w")).where("w <> ''")
-    top = plain.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(n)
-    return [r["w"] for r in top.collect()]
+def word_counts(docs: DataFrame) -> DataFrame:
+    """``(word, n)``: how often each run of letters and digits stands in the texts, lower-cased."""
+    runs = F.regexp_extract_all(F.lower(F.col("text")), F.lit("[a-z0-9]+"), F.lit(0))
+    words = docs.select(F.explode(F.filter(runs, lambda w: F.length(w).between(2, _LONGEST))).alias("word"))
+    return words.groupBy("word").agg(F.count("*").alias("n"))
+
+
+def dictionary_of(counts: DataFrame, n: int = 500) -> list[str]:
+    """The ``n`` commonest words of four letters and more."""
+    plain = counts.where(F.rlike("word", F.lit("^[a-z]{4,}$")))
+    return [r["word"] for r in plain.orderBy(F.desc("n"), "word").limit(n).collect()]
+
+
+def _sign(text: Column, place: Column | int) -> Column:
+    """The kind of a sign: one of 26 letters, ten digits, and the rest."""
+    return F.instr(F.lit(_SIGNS), F.substring(text, place, F.lit(1)))
+
+
+def transition_model(counts: DataFrame) -> list[float]:
+    """Log-probability of each kind of sign after each other, over all words of the corpus.
+
+    A row of ``len(_SIGNS) + 1`` numbers per first sign, one after the other; one is added to every count, so nothing is
+    impossible. What stands in no word has the lowest value of its row.
+    """
+    places = F.sequence(F.lit(1), F.length("word") - 1)
+    pairs = F.transform(places, lambda i: _sign(F.col("word"), i) * _KINDS + _sign(F.col("word"), i + 1))
+    seen = counts.select("n", F.explode(pairs).alias("pair")).groupBy("pair").agg(F.sum("n").alias("n"))
+    # At most _KINDS * _KINDS rows.
+    found = {r["pair"]: r["n"] for r in seen.collect()}
+    out = []
+    for first in range(_KINDS):
+        row = [found.get(first * _KINDS + second, 0) + 1 for second in range(_KINDS)]
+        out += [math.log(n / sum(row)) for n in row]
+    return out
 
 
 def _share(text: Column, pattern: str) -> Column:
@@ -91,8 +124,13 @@ def _bucket(text: Column) -> Column:
     return F.pmod(F.crc32(F.lower(text)), F.lit(_BUCKETS)).cast("double")
 
 
-def with_features(candidates: DataFrame, dictionary: list[str]) -> DataFrame:
-    """A row per run: length, kinds of signs and switches, dictionary cover, path, neighbours.
+def with_features(
+    candidates: DataFrame, dictionary: list[str], transitions: list[float] | None = None
+) -> DataFrame:
+    """A row per run: length, kinds of signs, transitions, dictionary cover, path, neighbours.
+
+    ``f_transitions`` is the mean log-probability of the run's signs, each after the one
+    before, under ``transition_model``: low for keys, high for words.
 
     What depends on the word is computed before its runs are exploded; ``stated`` is the
     label of ``assigned_labels``.
@@ -104,6 +142,13 @@ def with_features(candidates: DataFrame, dictionary: list[str]) -> DataFrame:
         rest = F.regexp_replace(F.lower(c), "|".join(longest), "")
         cover = 1 - F.length(rest) / F.length(c)
     switch = "(?<=[a-z])(?=[^a-z])|(?<=[A-Z])(?=[^A-Z])|(?<=[0-9])(?=[^0-9])|(?<=[+/_=-])(?=[^+/_=-])"
+    low = F.lower(c)
+    logs = F.array(*[F.lit(x) for x in transitions or [0.0] * _KINDS * _KINDS])
+    steps = F.transform(
+        F.sequence(F.lit(1), F.length(c) - 1),
+        lambda i: F.get(logs, _sign(low, i) * _KINDS + _sign(low, i + 1)),
+    )
+    likely = F.aggregate(steps, F.lit(0.0), lambda total, x: total + x) / (F.length(c) - 1)
     path = F.coalesce(F.col("path"), F.lit(""))
     signs = F.array_distinct(F.split(c, ""))
     own = {
@@ -113,6 +158,7 @@ def with_features(candidates: DataFrame, dictionary: list[str]) -> DataFrame:
         "f_hex": _share(c, "[0-9a-fA-F]"),
         "f_switches": F.regexp_count(c, F.lit(switch)) / F.length(c),
         "f_variety": F.size(signs) / F.length(c),
+        "f_transitions": likely,
         "f_words": cover,
     }
     shared = {
@@ -144,9 +190,14 @@ def assigned_labels(findings: DataFrame) -> DataFrame:
 
 
 def train_forest(
-    findings: DataFrame, most: int = 20_000, trees: int = 20, depth: int = 6, seed: int = 11
+    findings: DataFrame,
+    most: int = 20_000,
+    trees: int = 20,
+    depth: int = 6,
+    seed: int = 11,
+    features: Sequence[str] = FEATURES,
 ) -> PipelineModel | None:
-    """A random forest on ``findings`` with features and ``label`` (1: secret).
+    """A random forest on ``findings`` with ``features`` and ``label`` (1: secret).
 
     Fitted on at most about ``most`` findings, half of them of each label where there are
     more, chosen by digest; none, or labels of one kind only, give no forest.
@@ -163,7 +214,7 @@ def train_forest(
     forest = RandomForestClassifier(
         numTrees=trees, maxDepth=depth, seed=seed, labelCol="label", featuresCol="features"
     )
-    assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
+    assembler = VectorAssembler(inputCols=list(features), outputCol="features")
     return Pipeline(stages=[assembler, forest]).fit(known.where(chosen))
 
 
@@ -174,24 +225,30 @@ def scan_secrets(
 
     Reads ``doc_id, text`` and ``path``. ``findings`` are labelled ones,
     ``(doc_id, word_no, run_no, label)``, 1 for a secret; without ``run_no`` they name the
-    first run of the word. With no ``findings`` the labels are those of ``assigned_labels``.
+    first run of the word. With no ``findings`` the labels are those of ``assigned_labels``,
+    which come from what stands around a candidate; the forest then sees only what the
+    candidate is like by itself, so it does not repeat the rule but tells by form what the
+    rule's findings have in common, wherever it stands. Transitions and dictionary are
+    counted over all texts.
     Returns ``doc_id, word_no, run_no, candidate, probability, is_secret``.
-    All is SQL functions and Spark's own forest; texts are scanned once, and only
-    candidates with their neighbours go on. Null and empty texts have no candidate; a null
+    All is SQL functions and Spark's own forest; texts are scanned for words and for
+    candidates, and only word counts and candidates with their neighbours go on. Null and empty texts have no candidate; a null
     path or neighbour counts as empty; repeated rows are found repeatedly. Without labels
     of both kinds the probability is null and nothing is dropped (``is_secret`` true).
     """
     found = stage(secret_candidates(docs, path), "candidates")
-    featured = stage(with_features(found, common_words(found)), "findings")
+    counts = stage(word_counts(docs), "words")
+    features, dictionary = FEATURES, dictionary_of(counts)
+    featured = stage(with_features(found, dictionary, transition_model(counts)), "findings")
     if findings is None:
-        labelled = assigned_labels(featured)
+        labelled, features = assigned_labels(featured), OWN_FEATURES
     else:
         keys = ["doc_id", "word_no", "run_no"]
         if "run_no" not in findings.columns:
             findings = findings.withColumn("run_no", F.lit(0))
         marks = findings.groupBy(*keys).agg(F.max("label").alias("label"))
         labelled = featured.join(marks, keys)
-    model = train_forest(labelled)
+    model = train_forest(labelled, features=features)
     names = ["doc_id", "word_no", "run_no", "candidate"]
     if model is None:
         none = featured.select(*names, F.lit(None).cast("double").alias("probability"))

@@ -1,3 +1,6 @@
+import math
+from collections import Counter
+
 from fixtures import LONG, edge_docs, no_docs
 from pyspark.sql import functions as F
 
@@ -162,7 +165,28 @@ def test_candidates_and_features_equal_brute_force(spark, small):
     more = [(2 * 10**6 + i, f'  api_key="{hash_(i)}";x={hash_(i + 1)}/A_b-9 \u00e9\tend', None) for i in range(20)]
     docs = table.unionByName(odd).unionByName(spark.createDataFrame(more, table.schema))
     found = secrets.secret_candidates(docs)
-    rows = secrets.with_features(found, ["text", "order"]).collect()
+    counts = secrets.word_counts(docs)
+    model = secrets.transition_model(counts)
+    rows = secrets.with_features(found, ["text", "order"], model).collect()
+    seen, pairs = Counter(), Counter()
+    for d in docs.collect():
+        seen.update(w for w in re.findall("[a-z0-9]+", (d.text or "").lower()) if 2 <= len(w) <= 32)
+    assert {(r.word, r.n) for r in counts.collect()} == set(seen.items())
+    for w, n in seen.items():
+        for a, b in zip(w, w[1:], strict=False):
+            pairs[a, b] += n
+    plain = sorted((-n, w) for w, n in seen.items() if len(w) > 3 and w.isalpha())
+    assert secrets.dictionary_of(counts, 20) == [w for _, w in plain[:20]]
+
+    def likely(run):
+        signs = [c if c in secrets._SIGNS else "" for c in run.lower()]
+        every = [*secrets._SIGNS, ""]
+        total = sum(
+            math.log((pairs[a, b] + 1) / sum(pairs[a, x] + 1 for x in every))
+            for a, b in zip(signs, signs[1:], strict=False)
+        )
+        return total / (len(run) - 1)
+
     got = {(r.doc_id, r.word_no, r.run_no): r for r in rows}
     assert len(got) == len(rows)
     want = {}
@@ -180,6 +204,7 @@ def test_candidates_and_features_equal_brute_force(spark, small):
         switches = sum(kind(a) != kind(b) for a, b in zip(run, run[1:], strict=False))
         assert abs(r.f_switches - switches / n) < 1e-9
         assert abs(r.f_variety - len(set(run)) / n) < 1e-9
+        assert abs(r.f_transitions - likely(run)) < 1e-6
         assert abs(r.f_words - (1 - len(re.sub("order|text", "", run.lower())) / n)) < 1e-9
         assert (r.f_before, r.f_before_far, r.f_after) == (bucket(before), bucket(far), bucket(after))
         assert (r.f_path, r.f_path_length) == (bucket(path), len(path))
