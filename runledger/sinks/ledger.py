@@ -138,6 +138,9 @@ class Ledger:
         return self.spark.read.parquet(f"{self.root}/rows")
 
     def _latest(self, rows: DataFrame) -> DataFrame:
+        if self.runs() < 2:
+            # A run stores one row per key.
+            return rows.drop(_PLACE, _SOURCE, _RUN)
         # Partition values are read back with guessed types.
         named = rows.withColumn(_SOURCE, F.col(_SOURCE).cast("string"))
         return latest_per_key(named, self.keys, [_PLACE, _SOURCE, _RUN]).drop(_PLACE, _SOURCE, _RUN)
