@@ -101,10 +101,10 @@ def _placed(docs: DataFrame, n_shards: int, carried: Sequence[str]) -> DataFrame
         c.alias(name) for name, c in (cells | digest).items()
     ])
     own = own.withColumn("curve", hilbert_index([F.col(c) for c in cells]))
-    # Only texts that occur repeatedly: their rows go where the first of them on the curve goes.
+    # Only texts whose rows lie apart: these go where the first of them on the curve goes.
     same = own.where("text_crc32 IS NOT NULL").groupBy("size", "__text")
-    same = same.agg(F.min("curve").alias("__curve"), F.count("*").alias("__n")).where("__n > 1")
-    same = stage(same.drop("__n"), "copies")
+    same = same.agg(F.min("curve").alias("__curve"), F.max("curve").alias("__last"))
+    same = stage(same.where("__curve < __last").drop("__last"), "copies")
     rows = own.join(same, ["size", "__text"], "left")
     rows = rows.withColumn("curve", F.coalesce("__curve", "curve")).drop("__curve")
     placed, total = positions(rows, ["curve", "size", "text_crc32", "__text", "doc_id"], "__place")
