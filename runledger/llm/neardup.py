@@ -5,17 +5,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runledger.llm.bloom import may_be_among, without_ids
+from runledger.llm.bloom import may_be_among
 from runledger.llm.graph import connected_components
 from runledger.llm.hashing import chunks, mix, set_digest, shingle_hashes
 from runledger.llm.minhash import short_signature, superminhash
 from runledger.session import stage
 
 BANDS, ROWS = 24, 5
+_DIGEST = ["n_shingles", "d1", "d2"]
 _BLOCK = 256
 _SLACK = 0.15
 
@@ -280,34 +282,12 @@ def _rest(
     return stage(met.mapInArrow(meet, "a long, b long").distinct(), "rest")
 
 
-def near_duplicates(
-    docs: DataFrame, k: int = 5, part: tuple[int, int] = (4, 5)
-) -> DataFrame:
-    """The group of near copies each row of ``docs`` belongs to.
-
-    Two documents are linked when ``den * |A & B| >= num * |A | B|`` holds for their sets
-    of ``k``-word shingles (``part = (num, den)``). Reads ``doc_id, text``; returns
-    ``doc_id, n_shingles, component_id`` (least ``doc_id`` reachable over links) and
-    ``kept`` (that is its own), a row for each row. Other columns are not read.
-
-    Documents with equal sets are folded to the least id first. Signatures of 120 values
-    are cut into 24 bands of 5; each set of a bucket is verified against the bucket's
-    least one, and where a bucket still spans components its sets meet in blocks.
-    Verification compares full sets. What banding misses has probability 8e-7 for a pair
-    at 0.85 and 8e-5 at 0.8; of the pairs met in blocks those whose signatures agree in
-    under the threshold less 0.15 are left, which befalls a pair at the threshold with
-    probability below 2e-5 (independent values; those of SuperMinHash vary less).
-
-    A text without words, or null, has no shingle, is linked with nothing and kept. Rows
-    that share an id each follow their own text. A row without
-    an id cannot be named: its component is null and it is kept. An empty table gives an
-    empty result.
-    """
+def _grouped(docs: DataFrame, k: int, part: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    """Signed rows, and every set's digest with its component and the least id under it."""
     docs = docs.select("doc_id", "text")
     signed = stage(sign_documents(docs, k), "signed")
     named = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    digest = ["n_shingles", "d1", "d2"]
-    sets = named.groupBy(*digest).agg(
+    sets = named.groupBy(*_DIGEST).agg(
         F.min("doc_id").alias("id"), F.first("signature").alias("signature")
     )
     sets = stage(sets.withColumn("node", F.col("d1")), "sets")
@@ -331,10 +311,36 @@ def near_duplicates(
         links = links.union(verified(rest, docs, sets, k, part))
         groups = stage(connected_components(links), "groups")
     held = sets.drop("signature").join(groups, "node", "left")
-    held = stage(held.withColumn("component", F.coalesce("component", "node")), "held")
+    return signed, stage(held.withColumn("component", F.coalesce("component", "node")), "held")
+
+
+def near_duplicates(
+    docs: DataFrame, k: int = 5, part: tuple[int, int] = (4, 5)
+) -> DataFrame:
+    """The group of near copies each row of ``docs`` belongs to.
+
+    Two documents are linked when ``den * |A & B| >= num * |A | B|`` holds for their sets
+    of ``k``-word shingles (``part = (num, den)``). Reads ``doc_id, text``; returns
+    ``doc_id, n_shingles, component_id`` (least ``doc_id`` reachable over links) and
+    ``kept`` (that is its own), a row for each row. Other columns are not read.
+
+    Documents with equal sets are folded to the least id first. Signatures of 120 values
+    are cut into 24 bands of 5; each set of a bucket is verified against the bucket's
+    least one, and where a bucket still spans components its sets meet in blocks.
+    Verification compares full sets. What banding misses has probability 8e-7 for a pair
+    at 0.85 and 8e-5 at 0.8; of the pairs met in blocks those whose signatures agree in
+    under the threshold less 0.15 are left, which befalls a pair at the threshold with
+    probability below 2e-5 (independent values; those of SuperMinHash vary less).
+
+    A text without words, or null, has no shingle, is linked with nothing and kept. Rows
+    that share an id each follow their own text. A row without
+    an id cannot be named: its component is null and it is kept. An empty table gives an
+    empty result.
+    """
+    signed, held = _grouped(docs, k, part)
     names = stage(held.groupBy("component").agg(F.min("id").alias("component_id")), "names")
-    named_sets = stage(held.join(names, "component").select(*digest, "component_id"), "named")
-    grouped = signed.select("doc_id", *digest).join(named_sets, digest, "left")
+    named_sets = stage(held.join(names, "component").select(*_DIGEST, "component_id"), "named")
+    grouped = signed.select("doc_id", *_DIGEST).join(named_sets, _DIGEST, "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     kept = F.coalesce(F.col("doc_id") == own, F.lit(True))
     return grouped.select(
@@ -345,17 +351,45 @@ def near_duplicates(
 def drop_near_duplicates(docs: DataFrame, k: int = 5, part: tuple[int, int] = (4, 5)) -> DataFrame:
     """``docs`` with one row of each group, one with the least id.
 
-    Rows are grouped as rows, whatever their ids: of rows repeated under one id one stays,
-    an id over several texts loses only those that are copies, and a row without an id
-    stays if its group has no other or only such, the first written of them. Texts
-    without words are copies of nothing.
+    Rows are dropped by id and set of shingles: an id over several texts loses only those
+    that are copies, and of rows repeated under one id with one set a single one stays. A
+    row without an id stays if no row with an id has its set, one for each set. Texts
+    without words are copies of nothing. Only rows that may go are shuffled.
     """
-    rows = stage(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    grouped = near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"), k, part)
-    grouped = grouped.where("n_shingles > 0").select(F.col("doc_id").alias("__row"), "component_id")
-    ids = rows.select("__row", F.col("doc_id").cast("long").alias("__id"))
-    met = stage(grouped.join(ids, "__row"), "grouped")
-    least = F.min(F.struct(F.col("__id").isNull().alias("unnamed"), "__id", "__row")).alias("first")
-    first = stage(met.groupBy("component_id").agg(least), "first")
-    copies = met.join(first, "component_id").where("__row <> first.__row").select("__row")
-    return without_ids(rows, copies, "__row").select(docs.columns)
+    signed, held = _grouped(docs, k, part)
+    first = stage(held.groupBy("component").agg(F.min(F.struct("id", "node")).alias("first")), "first")
+    best = held.join(first, "component").select(
+        *_DIGEST, F.when(F.col("first.node") == F.col("node"), F.col("id")).alias("keeper")
+    )
+    counts = signed.where("n_shingles > 0").groupBy("doc_id", *_DIGEST).agg(F.count("*").alias("n"))
+    met = counts.join(stage(best.withColumn("known", F.lit(True)), "best"), _DIGEST, "left")
+    stays = F.when(F.col("known"), F.coalesce(F.col("doc_id") == F.col("keeper"), F.lit(False))).otherwise(True)
+    decided = met.select("doc_id", "d1", "n", stays.alias("stays"))
+    decided = stage(decided.where("NOT stays OR n > 1 OR doc_id IS NULL"), "decided")
+    name = F.col("doc_id").cast("long")
+    suspect = name.isNull() | may_be_among(name, decided.where("doc_id IS NOT NULL"), "doc_id")
+    keys = {"__id": name, "__set": _set_number(k)(F.col("text"))}
+    rows = docs.where(suspect).withColumns(keys)
+    verdict = decided.select(
+        F.col("doc_id").alias("__doc"), F.col("d1").alias("__d1"), F.col("stays").alias("__stays")
+    )
+    on = F.col("__id").eqNullSafe(F.col("__doc")) & (F.col("__set") == F.col("__d1"))
+    judged = rows.join(verdict, on, "left")
+    clear = judged.where("__stays IS NULL").select(docs.columns)
+    single = judged.where("__stays").dropDuplicates(["__id", "__set"]).select(docs.columns)
+    return docs.where(~suspect).union(clear).union(single)
+
+
+def _set_number(k: int):
+    """The first number of the digest of a text's set of shingles, null without words."""
+
+    @F.pandas_udf("long")
+    def number(texts: pd.Series) -> pd.Series:
+        batch = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})
+        out = []
+        for _, part in chunks(batch):
+            sets = [np.unique(s) for s in shingle_hashes(part, k)]
+            out += [set_digest(s)[0] if len(s) else None for s in sets]
+        return pd.Series(out, dtype="Int64")
+
+    return number
