@@ -153,7 +153,7 @@ class LanguageModels:
     are, then the memory starts anew.
     """
 
-    def __init__(self, langs: Sequence[str], parts: dict[int, tuple[np.ndarray, ...]], held: int = 1 << 22) -> None:
+    def __init__(self, langs: Sequence[str], parts: dict[int, tuple[np.ndarray, ...]], held: int = 1 << 20) -> None:
         self.langs, self.parts = list(langs), parts
         self.held = max(held // max(len(self.langs), 1), 1)
         self._forget()

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runledger.llm.bloom import may_be_among
+from runledger.llm.bloom import bloom_bits, might_hold
 from runledger.llm.graph import connected_components
 from runledger.llm.hashing import chunks, mix, set_digest, shingle_hashes
 from runledger.llm.minhash import short_signature, superminhash
@@ -63,12 +63,15 @@ def texts_of(docs: DataFrame, nodes: DataFrame, sets: DataFrame, k: int) -> Data
     an id can stand over several texts; texts with the same digest have the same set.
     """
     wanted = stage(nodes.distinct().join(sets.select("node", "id"), "node"), "nodes")
-    kept = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL")
-    kept = kept.where(may_be_among(F.col("doc_id"), wanted, "id"))
+    shared = docs.sparkSession.sparkContext.broadcast(bloom_bits(wanted, F.xxhash64("id")))
+    name = F.col("doc_id").cast("long")
+    kept = docs.where("doc_id IS NOT NULL").select(name.alias("id"), "text", F.xxhash64(name).alias("hash"))
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = shared.value
         for batch in batches:
-            for part, texts in chunks(batch):
+            sought = might_hold(bitmap, batch.column("hash").to_numpy().view(np.uint64))
+            for part, texts in chunks(batch.filter(pa.array(sought)).select(["id", "text"])):
                 ones = [set_digest(np.unique(s))[0] for s in shingle_hashes(texts, k)]
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(ones, pa.int64())], names=["id", "text", "node"]
@@ -367,29 +370,35 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, part: tuple[int, int] = (4
     decided = met.select("doc_id", "d1", "n", stays.alias("stays"))
     decided = stage(decided.where("NOT stays OR n > 1 OR doc_id IS NULL"), "decided")
     name = F.col("doc_id").cast("long")
-    suspect = name.isNull() | may_be_among(name, decided.where("doc_id IS NOT NULL"), "doc_id")
-    keys = {"__id": name, "__set": _set_number(k)(F.col("text"))}
-    rows = docs.where(suspect).withColumns(keys)
+    number = _set_number(k, decided.where("doc_id IS NOT NULL"))
+    rows = docs.withColumn("__set", number(F.xxhash64(name), name.isNull(), F.col("text")))
+    suspects = stage(rows.where("__set IS NOT NULL").withColumn("__id", name), "suspects")
     verdict = decided.select(
         F.col("doc_id").alias("__doc"), F.col("d1").alias("__d1"), F.col("stays").alias("__stays")
     )
     on = F.col("__id").eqNullSafe(F.col("__doc")) & (F.col("__set") == F.col("__d1"))
-    judged = rows.join(verdict, on, "left")
+    judged = suspects.join(verdict, on, "left")
     clear = judged.where("__stays IS NULL").select(docs.columns)
     single = judged.where("__stays").dropDuplicates(["__id", "__set"]).select(docs.columns)
-    return docs.where(~suspect).union(clear).union(single)
+    return rows.where("__set IS NULL").select(docs.columns).union(clear).union(single)
 
 
-def _set_number(k: int):
-    """The first number of the digest of a text's set of shingles, null without words."""
+def _set_number(k: int, ids: DataFrame):
+    """The first number of the digest of a text's set of shingles, where it may be needed.
+
+    Null for a text without words, and for most rows whose id, given by its hash, is not
+    among ``ids``; a row without an id always has it.
+    """
+    shared = ids.sparkSession.sparkContext.broadcast(bloom_bits(ids, F.xxhash64("doc_id")))
 
     @F.pandas_udf("long")
-    def number(texts: pd.Series) -> pd.Series:
-        batch = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})
-        out = []
-        for _, part in chunks(batch):
-            sets = [np.unique(s) for s in shingle_hashes(part, k)]
-            out += [set_digest(s)[0] if len(s) else None for s in sets]
+    def number(hashes: pd.Series, unnamed: pd.Series, texts: pd.Series) -> pd.Series:
+        held = might_hold(shared.value, hashes.to_numpy(np.int64).view(np.uint64))
+        sought = np.flatnonzero(held | unnamed.to_numpy(bool))
+        out = np.full(len(texts), None, dtype=object)
+        for at in sought.tolist():
+            own = np.unique(shingle_hashes([texts.iloc[at]], k)[0])
+            out[at] = set_digest(own)[0] if len(own) else None
         return pd.Series(out, dtype="Int64")
 
     return number
