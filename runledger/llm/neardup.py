@@ -5,12 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runledger.llm.bloom import bloom_bits, might_hold
+from runledger.llm.bloom import bloom_bits, may_be_among, might_hold
 from runledger.llm.graph import connected_components
 from runledger.llm.hashing import chunks, mix, set_digest, shingle_hashes
 from runledger.llm.minhash import short_signature, superminhash
@@ -370,9 +369,11 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, part: tuple[int, int] = (4
     decided = met.select("doc_id", "d1", "n", stays.alias("stays"))
     decided = stage(decided.where("NOT stays OR n > 1 OR doc_id IS NULL"), "decided")
     name = F.col("doc_id").cast("long")
-    number = _set_number(k, decided.where("doc_id IS NOT NULL"))
-    rows = docs.withColumn("__set", number(F.xxhash64(name), name.isNull(), F.col("text")))
-    suspects = stage(rows.where("__set IS NOT NULL").withColumn("__id", name), "suspects")
+    # Null ids are suspect; for others a filter on the id decides before any text is looked at.
+    known = may_be_among(name, decided.where("doc_id IS NOT NULL"), "doc_id")
+    suspect = name.isNull() | F.coalesce(known, F.lit(True))
+    suspects = stage(docs.where(suspect).withColumn("__id", name), "suspects")
+    suspects = suspects.withColumn("__set", _set_number(k)(F.col("text")))
     verdict = decided.select(
         F.col("doc_id").alias("__doc"), F.col("d1").alias("__d1"), F.col("stays").alias("__stays")
     )
@@ -380,25 +381,18 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, part: tuple[int, int] = (4
     judged = suspects.join(verdict, on, "left")
     clear = judged.where("__stays IS NULL").select(docs.columns)
     single = judged.where("__stays").dropDuplicates(["__id", "__set"]).select(docs.columns)
-    return rows.where("__set IS NULL").select(docs.columns).union(clear).union(single)
+    return docs.where(~suspect).union(clear).union(single)
 
 
-def _set_number(k: int, ids: DataFrame):
-    """The first number of the digest of a text's set of shingles, where it may be needed.
+def _set_number(k: int):
+    """The first number of the digest of a text's set of shingles, null without words."""
 
-    Null for a text without words, and for most rows whose id, given by its hash, is not
-    among ``ids``; a row without an id always has it.
-    """
-    shared = ids.sparkSession.sparkContext.broadcast(bloom_bits(ids, F.xxhash64("doc_id")))
-
-    @F.pandas_udf("long")
-    def number(hashes: pd.Series, unnamed: pd.Series, texts: pd.Series) -> pd.Series:
-        held = might_hold(shared.value, hashes.to_numpy(np.int64).view(np.uint64))
-        sought = np.flatnonzero(held | unnamed.to_numpy(bool))
-        out = np.full(len(texts), None, dtype=object)
-        for at in sought.tolist():
-            own = np.unique(shingle_hashes([texts.iloc[at]], k)[0])
-            out[at] = set_digest(own)[0] if len(own) else None
-        return pd.Series(out, dtype="Int64")
+    @F.arrow_udf("long")
+    def number(texts: pa.Array) -> pa.Array:
+        out: list[int | None] = []
+        for _, part in chunks(pa.RecordBatch.from_arrays([texts], names=["text"])):
+            sets = [np.unique(s) for s in shingle_hashes(part, k)]
+            out += [set_digest(s)[0] if len(s) else None for s in sets]
+        return pa.array(out, pa.int64())
 
     return number
