@@ -116,15 +116,15 @@ def verified(
     return stage(met.mapInArrow(similar, "a long, b long").distinct(), "links")
 
 
-def _small_sets(docs: DataFrame, nodes: DataFrame, sets: DataFrame, k: int) -> DataFrame:
-    """Sorted 32-bit hashes of the shingles of each set in ``nodes(node)``."""
+def _whole_sets(docs: DataFrame, nodes: DataFrame, sets: DataFrame, k: int) -> DataFrame:
+    """Sorted hashes of the shingles of each set in ``nodes(node)``."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in chunks(batch):
-                small = [np.unique(s.astype(np.uint32)).tobytes() for s in shingle_hashes(texts, k)]
+                whole = [np.unique(s).tobytes() for s in shingle_hashes(texts, k)]
                 yield pa.record_batch(
-                    [part.column("node"), pa.array(small, pa.binary())], names=["node", "members"]
+                    [part.column("node"), pa.array(whole, pa.binary())], names=["node", "members"]
                 )
 
     texts = texts_of(docs, nodes, sets, k)
@@ -173,12 +173,11 @@ def _agreement(signs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _meet(rows: pa.Table, part: tuple[int, int]) -> list[tuple[int, int]]:
-    """Links within one pair of blocks that join components, found on 32-bit sets.
+    """Links within one pair of blocks that join components, found on whole sets.
 
-    A pair counts as linked with shingles to spare for colliding hashes, two and four
-    times as many as its sizes let expect; only pairs linked beyond doubt join components
-    for the pairs after them. Pairs whose signatures agree far less than linked ones do
-    are left (see ``near_duplicates``).
+    A link joins its components for the pairs after it, so fewer links come out than there
+    are rows, however many pairs are similar. Pairs whose signatures agree far less than
+    linked ones do are left (see ``near_duplicates``).
     """
     num, den = part
     ids = rows.column("node").to_numpy()
@@ -187,13 +186,12 @@ def _meet(rows: pa.Table, part: tuple[int, int]) -> list[tuple[int, int]]:
     band = rows.column("band")[0].as_py()
     blobs = rows.column("signature").to_pylist()
     signs = np.frombuffer(b"".join(blobs), dtype=np.uint16).reshape(len(ids), -1)
-    members = [np.frombuffer(x, dtype=np.uint32) for x in rows.column("members").to_pylist()]
+    members = [np.frombuffer(x, dtype=np.uint64) for x in rows.column("members").to_pylist()]
     size = np.array([len(x) for x in members])
     agree, first = _agreement(signs)
     least = int((num / den - _SLACK) * signs.shape[1])
     near = (agree >= least) & (first == band) & (group[:, None] != group[None, :])
-    spare = 2 + 4 * np.ceil(np.multiply.outer(size, size) / 2.0**32).astype(np.int64)
-    near &= den * (np.minimum.outer(size, size) + spare) >= num * np.maximum.outer(size, size)
+    near &= den * np.minimum.outer(size, size) >= num * np.maximum.outer(size, size)
     if rows.column("i")[0].as_py() != rows.column("j")[0].as_py():
         near &= own[:, None] != own[None, :]
     root: dict[int, int] = {}
@@ -212,10 +210,8 @@ def _meet(rows: pa.Table, part: tuple[int, int]) -> list[tuple[int, int]]:
         at = np.searchsorted(members[x], members[y])
         at[at == size[x]] = 0
         shared = int((members[x][at] == members[y]).sum())
-        more, both = int(spare[x, y]), int(size[x] + size[y])
-        if den * (shared + more) >= num * (both - shared - more):
+        if den * shared >= num * (int(size[x] + size[y]) - shared) and shared > 0:
             found.append((int(min(ids[x], ids[y])), int(max(ids[x], ids[y]))))
-        if den * (shared - more) >= num * (both - shared + more):
             root[max(a, b)] = min(a, b)
     return found
 
@@ -228,14 +224,14 @@ def _rest(
     k: int,
     part: tuple[int, int],
 ) -> DataFrame:
-    """Pairs that share a band and link different components.
+    """Links between sets that share a band and lie in different components.
 
     Only buckets that still span components are looked at. The sets of a bucket's largest
     component and the others are dealt into blocks apart; blocks of others meet all blocks,
     those of the largest component do not meet each other, so a large component with a
     few strangers costs one copy of it per block of strangers. A task holds two blocks
-    however large the bucket, and compares a pair in the first band it shares. Pairs are
-    compared where they meet; only links come out.
+    however large the bucket, and compares a pair in the first band it shares. Whole sets
+    are compared where they meet, so what comes out needs no second look at the texts.
     """
     placed = banded.join(groups, "node", "left")
     placed = stage(placed.withColumn("component", F.coalesce("component", "node")), "placed")
@@ -253,7 +249,7 @@ def _rest(
     # Read back, so that the rows of a hot bucket can be split over tasks.
     open_rows = stage(placed.join(stage(spans, "spans"), ["band", "key"]), "open")
     nodes = open_rows.select("node").distinct()
-    members = sets.select("node", "signature").join(_small_sets(docs, nodes, sets, k), "node")
+    members = sets.select("node", "signature").join(_whole_sets(docs, nodes, sets, k), "node")
     inner, place = F.col("component") == F.col("main"), F.xxhash64("node")
     own = F.when(inner, F.col("others") + F.pmod(place, "mains")).otherwise(F.pmod(place, "others"))
     last = F.when(inner, F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1
@@ -310,8 +306,7 @@ def _grouped(docs: DataFrame, k: int, part: tuple[int, int]) -> tuple[DataFrame,
     groups = stage(connected_components(links), "groups")
     rest = _rest(shared.drop("a"), sets, groups, docs, k, part)
     if rest.limit(1).count():
-        links = links.union(verified(rest, docs, sets, k, part))
-        groups = stage(connected_components(links), "groups")
+        groups = stage(connected_components(links.union(rest)), "groups")
     held = sets.drop("signature").join(groups, "node", "left")
     return signed, stage(held.withColumn("component", F.coalesce("component", "node")), "held")
 

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from fixtures import edge_docs, edge_rows, no_docs, shingles
 from pyspark.sql import functions as F
 
@@ -164,3 +165,36 @@ def test_components_equal_union_find(spark):
     linked = {x for e in edges if e[0] != e[1] for x in e}
     assert got == {x: top(x) for x in linked}
     assert connected_components(df.where(F.lit(False))).count() == 0
+
+
+def test_similar_sets_below_the_threshold_make_no_pairs():
+    n, common = 40, np.arange(1, 25, dtype=np.uint64)
+    sets = [np.concatenate([common, np.arange(6, dtype=np.uint64) + np.uint64(100 * (i + 1))]) for i in range(n)]
+    sets.append(np.concatenate([sets[0][:-1], [np.uint64(9)]]))
+    rows = pa.table(
+        {
+            "node": pa.array(range(n + 1), pa.int64()),
+            "component": pa.array(range(n + 1), pa.int64()),
+            "own": pa.array([0] * (n + 1), pa.int32()),
+            "band": pa.array([0] * (n + 1), pa.int32()),
+            "i": pa.array([0] * (n + 1), pa.int32()),
+            "j": pa.array([0] * (n + 1), pa.int32()),
+            "signature": [np.zeros(120, np.uint16).tobytes()] * (n + 1),
+            "members": [np.unique(s).tobytes() for s in sets],
+        }
+    )
+    assert neardup._meet(rows, (4, 5)) == [(0, n)]
+
+
+def test_copies_of_one_block_make_a_forest():
+    n = 30
+    rows = pa.table(
+        {
+            "node": pa.array(range(n), pa.int64()),
+            "component": pa.array(range(n), pa.int64()),
+            **{c: pa.array([0] * n, pa.int32()) for c in ("own", "band", "i", "j")},
+            "signature": [np.zeros(120, np.uint16).tobytes()] * n,
+            "members": [np.array([*range(1, 40), 100 + i], np.uint64).tobytes() for i in range(n)],
+        }
+    )
+    assert len(neardup._meet(rows, (4, 5))) == n - 1
