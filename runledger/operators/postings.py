@@ -11,6 +11,8 @@ from runledger.functions.text import bind
 from runledger.session import stage
 
 GRAM = 3
+# So many grams are each looked for in a line; of more, the line's own grams are looked up.
+_FEW = 128
 _GAP = "\x01"
 _NESTING = 8
 _ESCAPE = (
@@ -79,6 +81,21 @@ def piece_grams(pieces: Column) -> Column:
     return F.array_distinct(grams)
 
 
+def _offered(lines: DataFrame, line: str, posted: DataFrame) -> DataFrame:
+    """``lines`` with every gram they hold as ``_gram``; of few posted grams only these."""
+    few = [r[0] for r in posted.select("_gram").distinct().limit(_FEW + 1).collect()]
+    if 0 < len(few) <= _FEW:
+        listed = F.array(*[F.lit(g) for g in sorted(few)])
+        held = F.filter(listed, lambda g: F.contains(F.col(line), g))
+        return lines.withColumn("_gram", F.explode(held))
+    # At most GRAM + 1 numbers.
+    sizes = sorted(r[0] for r in posted.select(F.length("_gram")).distinct().collect())
+    grams = F.array().cast("array<string>")
+    if sizes:
+        grams = F.array_distinct(F.flatten(F.array(*[_grams_of(F.col(line), n) for n in sizes])))
+    return lines.withColumn("_gram", F.explode(grams))
+
+
 def candidate_pairs(
     lines: DataFrame,
     patterns: DataFrame,
@@ -91,7 +108,8 @@ def candidate_pairs(
     ``patterns`` has ``pattern`` and the ``scope`` columns, on which both sides must agree.
     Every alternative of a pattern is posted under the gram of its required pieces that the
     fewest lines hold, and lines meet patterns in an equi-join on the grams they hold, so
-    only patterns without a single required letter are tried on every line. A pattern one
+    only patterns without a single required letter are tried on every line. Where few grams
+    are posted, a line is not cut into its own: it is searched for those. A pattern one
     of whose grams no line holds is out. No pattern is missed; a pair can come twice, once
     for each alternative, and the caller tests the whole pattern.
     """
@@ -100,16 +118,10 @@ def candidate_pairs(
     posted = wanted.select("*", F.posexplode(required_pieces(F.col(pattern))).alias("_alt", "_pieces"))
     posted = posted.select(*scope, pattern, "_alt", F.explode(piece_grams(F.col("_pieces"))).alias("_gram"))
     posted = stage(posted, "grams")
-    # At most GRAM + 1 numbers.
-    sizes = sorted(r[0] for r in posted.select(F.length("_gram")).distinct().collect())
-    grams = F.array().cast("array<string>")
-    if sizes:
-        grams = F.array_distinct(F.flatten(F.array(*[_grams_of(F.col(line), n) for n in sizes])))
-    offered = lines.withColumn("_gram", F.explode(grams))
-    counts = offered.select(*keys).join(posted.select(*keys).distinct(), keys, "left_semi")
+    counts = _offered(lines, line, posted).select(*keys).join(posted.select(*keys).distinct(), keys, "left_semi")
     counts = counts.groupBy(*keys).agg(F.count("*").alias("_n"))
     rated = posted.join(counts, keys, "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
     rarest = F.min_by(F.struct("_n", "_gram"), F.struct("_n", "_gram")).alias("_rarest")
     chosen = rated.groupBy(*scope, pattern, "_alt").agg(rarest).where("_rarest._n > 0")
     chosen = stage(chosen.select(*scope, pattern, F.col("_rarest._gram").alias("_gram")).distinct(), "posted")
-    return offered.join(chosen, keys).drop("_gram")
+    return _offered(lines, line, chosen).join(chosen, keys).drop("_gram")

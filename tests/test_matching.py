@@ -166,3 +166,21 @@ def test_plan_has_no_nested_loop(spark):
     plan = matching.match_texts(files, requests)._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert files.select(split_lines(F.col("match_text"))).first()[0] == ["v8.5.0"]
+
+
+def test_few_patterns_do_not_cut_lines_into_grams(spark, monkeypatch):
+    from runledger.operators import postings
+
+    rng = random.Random(5)
+    lines = ["".join(rng.choice("abc.") for _ in range(rng.randrange(9))) for _ in range(300)] + [None, ""]
+    lines = spark.createDataFrame([(x,) for x in lines], "line string")
+    rules = spark.createDataFrame([(x,) for x in ("ab+c", "(a|b)ca", "abc|ccc", ".a.b", "b?", "aab")], "pattern string")
+
+    def hits():
+        pairs = postings.candidate_pairs(lines, rules).where(F.regexp_like("line", F.col("pattern")))
+        return pairs.distinct(), sorted(tuple(r) for r in pairs.distinct().collect())
+
+    near, few = hits()
+    assert few and "sequence(" not in near._jdf.queryExecution().toString()
+    monkeypatch.setattr(postings, "_FEW", 0)
+    assert hits()[1] == few
