@@ -13,7 +13,7 @@ from runledger.functions import formatting, parsing, paths, text, versions
 from runledger.operators import history, lookup, matching, merge, ordering
 from runledger.plans import summarize as plan
 from runledger.plans.textreport import text_report
-from runledger.session import scratch_dir, stage
+from runledger.session import TASKS_MOVE_FILES, file_tasks, scratch_dir, stage
 from runledger.sinks import reports as R
 from runledger.sinks.ledger import Ledger, run_counts
 from runledger.sources import commits as C
@@ -56,7 +56,9 @@ def file_scan(spark: SparkSession, d: str) -> DataFrame:
     root = scratch_dir(spark, "documents")
     docs = S.table(spark, d, "documents").select("lang", "source", "doc_id", "text")
     docs = docs.withColumn("text", F.regexp_replace("text", r"\n\z", ""))
-    docs.write.partitionBy("lang", "source", "doc_id").text(root)
+    folders = ["lang", "source", "doc_id"]
+    docs = docs.repartition(file_tasks(spark), *folders)
+    docs.write.options(**TASKS_MOVE_FILES).partitionBy(*folders).text(root)
     files = scan_tree(spark, root, ["/source=src", "doc_id="], ["/lang=de/", "/source=src3/"])
     content = text.utf8_text(F.col("content"))
     return files.select(

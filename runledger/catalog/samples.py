@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runledger import constants as K
-from runledger.session import scratch_dir
+from runledger.session import TASKS_MOVE_FILES, file_tasks, scratch_dir
 
 HOSTS = ("cheyenne", "hera", "orion", "Gaea")
 RUN_MACHINES = ("cheyenne", "gaea", "hera", "jet", "orion")
@@ -228,9 +228,9 @@ def tree(spark: SparkSession, sf_dir: str) -> str:
         place = F.concat(F.lit("r"), F.col("s_suppkey").cast("string"), F.lit(f"-{name}"))
         rows = supplier.where(there & (own == suffix)).withColumn("dir", place)
         rows = rows.select(*folders, F.posexplode(lines).alias("at", "line"))
-        rows = rows.repartition("dir").sortWithinPartitions(*folders, "at").drop("at")
+        rows = rows.repartition(file_tasks(spark), "dir").sortWithinPartitions(*folders, "at").drop("at")
         # The CSV writer, as it takes a suffix and an encoding; no sign of its own can occur.
         options = {"extension": suffix, "encoding": encoding, "sep": "\x01", "quote": "\x02", "escape": "\x03",
                    "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "emptyValue": ""}
-        rows.write.mode("append").partitionBy(*folders).options(**options).csv(root)
+        rows.write.mode("append").partitionBy(*folders).options(**options, **TASKS_MOVE_FILES).csv(root)
     return root

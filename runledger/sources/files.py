@@ -16,6 +16,7 @@ from runledger.functions.text import (
     utf8_text_dropping,
     valid_utf8,
 )
+from runledger.session import listing_in_few_tasks
 
 MAX_FILE_BYTES = 256 * 1024 * 1024
 
@@ -24,7 +25,8 @@ def _listing(spark: SparkSession, root: str, glob: str | None) -> DataFrame:
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.load(root)
+    with listing_in_few_tasks(spark):
+        return reader.load(root)
 
 
 def scan_tree(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from runledger import constants as K
 from runledger.functions.paths import has_suffix, relative_to
 from runledger.functions.text import path_selected
+from runledger.session import listing_in_few_tasks
 
 
 def scan_lines(
@@ -32,7 +33,9 @@ def scan_lines(
         reader = reader.option("pathGlobFilter", glob)
     # Written as a URI; a plus sign stands for itself there.
     named = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    lines = reader.text(root).select(
+    with listing_in_few_tasks(spark):
+        lines = reader.text(root)
+    lines = lines.select(
         relative_to(named, root).alias("path"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("place"),

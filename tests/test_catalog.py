@@ -34,3 +34,14 @@ def test_entry(spark):
     df = contract.entry(spark)
     assert df.count() > 0
     assert df.columns[:3] == ["branch", "host", "compiler"]
+
+
+def test_files_of_a_tree_are_dealt_to_many_tasks(spark, small, monkeypatch):
+    from runledger.catalog import samples
+    from runledger.session import file_tasks
+
+    frame, seen = type(spark.range(1)), []
+    old = frame.repartition
+    monkeypatch.setattr(frame, "repartition", lambda self, *a: seen.append(a[0]) or old(self, *a))
+    samples.tree(spark, small)
+    assert seen == [file_tasks(spark)] * 3

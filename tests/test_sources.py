@@ -156,3 +156,24 @@ def test_config(spark, tmp_path):
 def test_path_filter_prunes_before_content(spark, tree):
     plan = files.scan_tree(spark, tree).select("path").where(F.col("path") != "")
     assert "content" not in plan._jdf.queryExecution().optimizedPlan().toString().split("Relation")[0]
+
+
+def test_many_folders_are_listed_by_few_tasks(spark, tmp_path):
+    from runledger.session import file_tasks
+
+    n = 3 * file_tasks(spark)
+    for i in range(n):
+        (tmp_path / f"m{i}").mkdir()
+        (tmp_path / f"m{i}" / "summary.dat").write_bytes(b"x")
+    context, found = spark.sparkContext, {}
+    before = spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")
+    for name, scan in (("files", files.scan_tree), ("lines", lines.scan_lines)):
+        context.setJobGroup(f"listing-{name}", "")
+        found[name] = scan(spark, str(tmp_path))
+        jobs = context.statusTracker().getJobIdsForGroup(f"listing-{name}")
+        stages = [s for j in jobs for s in context.statusTracker().getJobInfo(j).stageIds]
+        tasks = [context.statusTracker().getStageInfo(s).numTasks for s in stages]
+        assert tasks and max(tasks) <= file_tasks(spark)
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert found["files"].count() == found["lines"].count() == n
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == before
