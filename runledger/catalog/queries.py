@@ -367,7 +367,7 @@ def lookup_missing_attribute(spark: SparkSession, d: str) -> DataFrame:
     unnamed = F.col("mpi") == "mpiuni"
     records = cells.select("seq", *_attributes()).withColumn("m_version", F.when(~unnamed, F.col("m_version")))
     named = F.when(unnamed, F.replace("path", F.concat(F.lit("/"), "m_version", F.lit("/")), F.lit("/None/")))
-    logs = S.logs(spark, d).join(cells.select("seq", "mpi", "m_version"), "seq")
+    logs = S.logs(spark, d, "mpi", "m_version")
     logs = logs.withColumn("path", F.coalesce(named, "path"))
     builds = lookup.build_map(parsing.parse_logs(logs))
     return lookup.with_build_outcome(records, builds).select(

@@ -42,7 +42,8 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     Second-priority reports spell their version with other separators: a dot in a token
     stands for any sign, so untagged tokens still match and the tagged one does not. The
     narrow rows are dealt out before anything is rendered from them: a table of one row
-    group would otherwise be rendered and parsed by one task.
+    group would otherwise be rendered and parsed by one task. How many parts that takes
+    follows their size, so that no task's share grows with the table.
     """
     orders = table(spark, sf_dir, "orders").withColumn("k", F.expr("floor(o_orderkey / 60) % 6"))
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
@@ -69,7 +70,7 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         "50L AS nuopc_pass",
         "0L AS nuopc_fail",
     )
-    out = out.repartition(spark.sparkContext.defaultParallelism, "seq")
+    out = out.hint("rebalance", "seq")
     return out.selectExpr(
         "*",
         """translate(if(contains(hash, '-g'), concat(hash, '2'), hash), '.',
@@ -124,13 +125,17 @@ def damaged_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports(spark, sf_dir).withColumn("text", damage)
 
 
-def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(seq, path, text, match_text)`` of the build logs; pending orders have none."""
+def logs(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """``(seq, path, text, match_text)`` of the build logs; pending orders have none.
+
+    ``more`` names columns of ``cells`` to keep.
+    """
     return (
         cells(spark, sf_dir)
         .where("status <> 'P'")
         .selectExpr(
             "seq",
+            *more,
             f"concat(folder, '{K.LOG_FILE}') AS path",
             f"""concat_ws('\\n', version_line,
               concat('netcdf LIBRARY version: netCDF 4.', seq % 9, '.2 of build'),

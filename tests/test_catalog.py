@@ -36,6 +36,23 @@ def test_entry(spark):
     assert df.columns[:3] == ["branch", "host", "compiler"]
 
 
+def test_parts_follow_the_size_of_the_rows(spark, small):
+    from runledger.catalog import samples
+
+    plan = samples.cells(spark, small)._jdf.queryExecution().toString()
+    assert "RebalancePartitions" in plan and "REPARTITION_BY_NUM" not in plan
+
+
+def test_logs_carry_further_columns_without_a_join(spark, small):
+    from runledger.catalog import samples
+
+    logs = samples.logs(spark, small, "mpi", "m_version")
+    assert {"mpi", "m_version", "text", "path"} <= set(logs.columns)
+    plan = QUERIES["lookup_missing_attribute"](spark, small)._jdf.queryExecution().toString()
+    # Customers are joined once for records and once for logs, and outcomes once.
+    assert plan.split("== Physical")[0].split("Optimized")[-1].count("Join ") == 3
+
+
 def test_files_of_a_tree_are_dealt_to_many_tasks(spark, small, monkeypatch):
     from runledger.catalog import samples
     from runledger.session import file_tasks
