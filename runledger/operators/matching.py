@@ -93,7 +93,7 @@ def match_lines(
     shapes = wanted.select("_block.kind", "_block.at", "_block.size").distinct().collect()
     shapes = sorted((s["kind"], s["at"], s["size"]) for s in shapes)
     carried = [c for c in files.columns if c != lines]
-    offered = files.select(*carried, F.explode(F.array_distinct(lines)).alias("_line"))
+    distinct = F.array_distinct(lines)
     hit = version_match(F.col("_line"), F.col("branch_hash"), literal)
     found = []
     placed = [s for s in shapes if s[0] != "gram"]
@@ -101,16 +101,19 @@ def match_lines(
         plain = wanted.where("_block.kind <> 'gram'")
         first = F.substring("branch_hash", 1, 1).alias("first")
         firsts = {r["first"] for r in plain.select(first).distinct().collect()}
-        mine = offered
+        near = distinct
         if literal or "." not in firsts:
-            mine = mine.where(_first_letter(F.col("_line")).isin(*sorted(firsts)))
+            near = F.filter(distinct, lambda line: _first_letter(line).isin(*sorted(firsts)))
+        mine = files.select(*carried, F.explode(near).alias("_line"))
         mine = mine.withColumn("_offer", F.explode(_offered_keys(placed)))
         found.append(mine.join(plain, F.col("_offer") == F.col("_block")))
     if len(placed) < len(shapes):
         general = wanted.where("_block.kind = 'gram'")
-        found.append(candidate_pairs(offered, general, "_line", "branch_hash"))
+        every = files.select(*carried, F.explode(distinct).alias("_line"))
+        found.append(candidate_pairs(every, general, "_line", "branch_hash"))
     if not found:
-        found.append(offered.where(F.lit(False)).withColumn("branch_hash", F.lit("")))
+        none = files.select(*carried, F.explode(distinct).alias("_line"))
+        found.append(none.where(F.lit(False)).withColumn("branch_hash", F.lit("")))
     hits = [f.where(hit).select(*carried, "branch_hash") for f in found]
     matched = reduce(DataFrame.unionByName, hits)
     return matched.dropDuplicates([*key, "branch_hash"])
