@@ -41,13 +41,14 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Second-priority reports spell their version with other separators: a dot in a token
     stands for any sign, so untagged tokens still match and the tagged one does not. The
-    narrow rows are dealt out before anything is rendered from them: a table of one row
-    group would otherwise be rendered and parsed by one task. How many parts that takes
-    follows their size, so that no task's share grows with the table.
+    rows are dealt out as the tables hold them, before any text is made of them: a table of
+    one row group would otherwise be rendered and parsed by one task. How many parts that
+    takes follows their size, so that no task's share grows with the table.
     """
-    orders = table(spark, sf_dir, "orders").withColumn("k", F.expr("floor(o_orderkey / 60) % 6"))
+    orders = table(spark, sf_dir, "orders")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    out = orders.join(customer, orders.o_custkey == customer.c_custkey).selectExpr(
+    dealt = orders.join(customer, orders.o_custkey == customer.c_custkey).hint("rebalance", "o_orderkey")
+    out = dealt.withColumn("k", F.expr("floor(o_orderkey / 60) % 6")).selectExpr(
         "o_orderkey AS seq",
         "o_orderstatus AS status",
         "o_orderpriority AS priority",
@@ -70,7 +71,6 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         "50L AS nuopc_pass",
         "0L AS nuopc_fail",
     )
-    out = out.hint("rebalance", "seq")
     return out.selectExpr(
         "*",
         """translate(if(contains(hash, '-g'), concat(hash, '2'), hash), '.',

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runledger import constants as K
-from runledger.functions.text import after_first, bind, split_lines, strip
+from runledger.functions.text import after_first, bind, newlined, split_lines, strip
 
 _RESULT_KIND = r"\A[^\S\t]*(\S+)[^\t]*\t"
 _TWO_NUMBERS = r"\A([+-]?[0-9]+)\s+([+-]?[0-9]+)\z"
@@ -23,29 +23,28 @@ def header_parts(line: Column) -> Column:
     comma, the last of which keeps its underscores, and seven words right of it.
     """
 
-    def cut(rest: Column) -> Column:
-        return F.struct(
-            F.split(strip(F.substring_index(rest, ",", 1)), "_", 5).alias("left"),
-            F.split(strip(after_first(rest, ",")), " ").alias("right"),
-            rest.contains(",").alias("comma"),
-        )
+    return bind(
+        line,
+        lambda whole: bind(
+            bind(after_first(whole, "="), _cut_header), lambda p: _checked_header(whole, p)
+        ),
+    )
 
-    def checked(line: Column) -> Column:
-        return bind(
-            bind(after_first(line, "="), cut),
-            lambda p: F.struct(
-                p["left"].alias("left"),
-                p["right"].alias("right"),
-                (
-                    line.contains("=")
-                    & p["comma"]
-                    & (F.size(p["left"]) == 5)
-                    & (F.size(p["right"]) == 7)
-                ).alias("valid"),
-            ),
-        )
 
-    return bind(line, checked)
+def _cut_header(rest: Column) -> Column:
+    # Without a comma ``instr`` is 0 and the whole text stays, as it does in ``after_first``.
+    behind = F.substring(rest, F.instr(rest, ",") + 1, F.length(rest))
+    return F.struct(
+        F.split(strip(F.substring_index(rest, ",", 1)), "_", 5).alias("left"),
+        F.split(strip(behind), " ").alias("right"),
+        rest.contains(",").alias("comma"),
+    )
+
+
+def _checked_header(line: Column, parts: Column) -> Column:
+    valid = line.contains("=") & parts["comma"]
+    valid = valid & (F.size(parts["left"]) == 5) & (F.size(parts["right"]) == 7)
+    return F.struct(parts["left"].alias("left"), parts["right"].alias("right"), valid.alias("valid"))
 
 
 def header_fields(parts: Column) -> dict[str, Column]:
@@ -76,7 +75,8 @@ def result_kind(line: Column) -> Column:
 
 def result_value(line: Column) -> Column:
     """Text after the first tab without its PASS and FAIL words."""
-    value = F.replace(after_first(line, "\t"), F.lit("PASS"), F.lit(""))
+    value = F.substring(line, F.instr(line, "\t") + 1, F.length(line))
+    value = F.replace(value, F.lit("PASS"), F.lit(""))
     return strip(F.replace(value, F.lit("FAIL"), F.lit("")))
 
 
@@ -89,20 +89,6 @@ def _last_of_kind(results: Column, kind: str) -> Column:
     return F.try_element_at(F.filter(results, lambda r: r["kind"] == kind), F.lit(-1))
 
 
-def _from_last_header(marked: Column) -> Column:
-    """The marked lines from the last header on, all of them when there is no header.
-
-    Found by position, not by comparing inside a lambda: what a lambda captures from
-    another column may be inlined into it and run once per line.
-    """
-    is_header = F.transform(marked, lambda line: line.contains(K.HEADER_MARK))
-    from_end = F.array_position(F.reverse(is_header), True).cast("int")
-    return bind(
-        from_end,
-        lambda n: F.when(n > 0, F.slice(marked, F.size(marked) - n + 1, n)).otherwise(marked),
-    )
-
-
 def _bad_header(line: Column) -> Column:
     return line.contains(K.HEADER_MARK) & ~header_parts(line)["valid"]
 
@@ -121,38 +107,46 @@ def parse_reports(df: DataFrame, text: str = "text") -> DataFrame:
     A later header discards what came before it, the last line of a kind wins, and a
     result that is not two numbers is a failed one, with null numbers and status ``fail``.
     """
-    marked = F.filter(
-        split_lines(F.col(text)),
-        lambda line: line.contains(K.HEADER_MARK) | line.contains(K.RESULT_MARK),
-    )
-    df = df.withColumn("_marked", marked)
-    df = df.withColumn("_current", bind(F.col("_marked"), _from_last_header))
-    header = F.filter(F.slice("_current", 1, 1), lambda line: line.contains(K.HEADER_MARK))
-    header = F.try_element_at(header, F.lit(1))
-    results = F.transform(
-        F.filter("_current", lambda line: line.contains(K.RESULT_MARK)),
-        lambda line: F.struct(result_kind(line).alias("kind"), result_value(line).alias("value")),
-    )
+    # Texts are cut at the marks before they are cut into lines, and only lines that hold a
+    # result run through a lambda: lambdas are interpreted, all else is compiled.
+    df = df.withColumn("_text", newlined(F.col(text)))
+    behind = F.substring_index("_text", K.HEADER_MARK, -1)
+    df = df.withColumns({"_headed": F.col("_text").contains(K.HEADER_MARK), "_behind": behind})
+    before = F.substring(F.col("_text"), F.lit(1), F.length("_text") - F.length("_behind"))
+    df = df.withColumn("_start", F.when(F.col("_headed"), F.substring_index(before, "\n", -1)).otherwise(""))
+    df = df.withColumn("_current", F.concat("_start", "_behind"))
+    header = F.when(F.col("_headed"), F.substring_index("_current", "\n", 1))
+    df = df.withColumns({"_header": header, "_lines": F.split("_current", "\n")})
     results = F.transform(
-        results,
-        lambda r: F.struct(
-            r["kind"].alias("kind"),
-            result_number(r["value"], 1).alias("passed"),
-            result_number(r["value"], 2).alias("failed"),
-        ),
+        F.filter("_lines", lambda line: line.contains(K.RESULT_MARK)),
+        lambda line: F.struct(result_kind(line).alias("kind"), line.alias("line")),
     )
-    earlier = F.slice("_marked", 1, F.size("_marked") - F.size("_current"))
+    earlier = F.substring(F.col("_text"), F.lit(1), F.length("_text") - F.length("_current"))
+    several = earlier.contains(K.HEADER_MARK) | earlier.contains(K.RESULT_MARK)
     df = df.withColumns(
-        {"_parts": header_parts(header), "_results": results, "_earlier": earlier}
+        {
+            "_rest": F.substring(F.col("_header"), F.instr("_header", "=") + 1, F.length("_header")),
+            "_results": results,
+            "_earlier": F.when(several, F.split(earlier, "\n")).otherwise(F.array().cast("array<string>")),
+        }
     )
     df = df.withColumns({f"_{kind}": _last_of_kind(F.col("_results"), kind) for kind in K.KINDS})
+    df = df.withColumn("_cut", _cut_header(F.col("_rest")))
+    df = df.withColumn("_parts", _checked_header(F.col("_header"), F.col("_cut")))
+    df = df.withColumns({f"_value_{kind}": result_value(F.col(f"_{kind}.line")) for kind in K.KINDS})
+    numbers = {
+        f"_{side}_{kind}": result_number(F.col(f"_value_{kind}"), group)
+        for kind in K.KINDS
+        for group, side in enumerate(("pass", "fail"), start=1)
+    }
+    df = df.withColumns(numbers)
     columns = header_fields(F.col("_parts"))
     missing = F.lit(False)
     for kind in K.KINDS:
-        last = F.col(f"_{kind}")
-        ok = last["passed"].isNotNull() & last["failed"].isNotNull()
-        columns[f"{kind}_pass"] = F.when(ok, last["passed"])
-        columns[f"{kind}_fail"] = F.when(ok, last["failed"])
+        last, passed, failed = F.col(f"_{kind}"), F.col(f"_pass_{kind}"), F.col(f"_fail_{kind}")
+        ok = passed.isNotNull() & failed.isNotNull()
+        columns[f"{kind}_pass"] = F.when(ok, passed)
+        columns[f"{kind}_fail"] = F.when(ok, failed)
         columns[f"{kind}_status"] = F.when(last.isNotNull(), F.when(ok, "ok").otherwise("fail"))
         missing = missing | last.isNull()
     known = list(K.KINDS)
@@ -166,8 +160,10 @@ def parse_reports(df: DataFrame, text: str = "text") -> DataFrame:
         .when(F.exists("_results", lambda r: ~r["kind"].isin(known)), "unknown_kind")
         .when(missing, "missing_kind")
     )
-    scratch = ["_marked", "_current", "_parts", "_results", "_earlier"]
-    return df.withColumns(columns).drop(*scratch, *[f"_{kind}" for kind in K.KINDS])
+    scratch = ["_text", "_headed", "_behind", "_start", "_current", "_header", "_lines", "_rest"]
+    scratch += ["_results", "_earlier", "_cut", "_parts", *numbers]
+    scratch += [f"{name}_{kind}" for kind in K.KINDS for name in ("", "_value")]
+    return df.withColumns(columns).drop(*scratch)
 
 
 def _topmost_version(text: Column, mark: str) -> Column:

@@ -41,16 +41,18 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.try_element_at(F.transform(F.array(value), body), F.lit(1))
 
 
+def newlined(text: Column) -> Column:
+    """Text under universal newlines; only one that holds a carriage return is rewritten."""
+    return F.when(text.contains("\r"), F.regexp_replace(text, r"\r\n?", "\n")).otherwise(text)
+
+
 def _lines(text: Column) -> Column:
     def cut(body: Column) -> Column:
         ended = F.endswith(body, F.lit("\n"))
         body = F.when(ended, F.substring(body, F.lit(1), F.length(body) - 1)).otherwise(body)
         return F.split(body, "\n")
 
-    newlined = F.when(
-        text.contains("\r"), F.regexp_replace(text, r"\r\n?", "\n")
-    ).otherwise(text)
-    lines = bind(newlined, cut)
+    lines = bind(newlined(text), cut)
     return F.when(text == "", F.array().cast("array<string>")).otherwise(lines)
 
 
