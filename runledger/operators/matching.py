@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runledger.functions.paths import inner_components
-from runledger.functions.text import BLANKS, split_lines, strip
+from runledger.functions.text import BLANKS, newlined, split_lines, strip
 from runledger.functions.versions import is_tagged, sanitize_branch, version_match
 from runledger.operators.postings import candidate_pairs
 from runledger.session import stage
@@ -20,6 +20,9 @@ from runledger.session import stage
 _PLACES = 64
 _LENGTH = 32
 _PLAIN = r"\A[A-Za-z0-9_.-]+\z"
+# So many branches and jobs are tested where a path is read; more meet the paths in a join.
+_FEW_BRANCHES = 128
+_FEW_JOBS = 4096
 
 
 def _block(token: Column, literal: bool) -> Column:
@@ -54,6 +57,17 @@ def _first_letter(line: Column) -> Column:
     return F.substring(F.ltrim(line, F.lit(BLANKS)), 1, 1)
 
 
+def _lines_opening(text: Column, firsts: Sequence[str]) -> Column:
+    """Distinct lines whose first letter behind blanks is one of ``firsts``.
+
+    Found in the undivided text, so that the many lines of a log that cannot match are never
+    made into values of their own.
+    """
+    letters = "".join(rf"\x{{{ord(f):x}}}" for f in firsts)
+    opening = rf"(?dm)^[ \t\x0b\x0c]*+[{letters}].*"
+    return F.array_distinct(F.regexp_extract_all(newlined(text), F.lit(opening), F.lit(0)))
+
+
 def _offered_keys(shapes: Sequence[tuple[str, int, int]]) -> Column:
     """Block keys the line in ``_line`` offers: itself stripped, and one per fitting shape."""
     line = F.col("_line")
@@ -78,11 +92,14 @@ def match_lines(
     lines: str = "lines",
     key: Sequence[str] = ("path",),
     literal: bool = False,
+    text: str | None = None,
+    once: bool = True,
 ) -> DataFrame:
     """Files with every requested ``branch_hash`` one of their lines stands for, each once.
 
-    ``files`` carries an array of lines, which the result drops; ``requests`` has
-    ``branch_hash``. A token is a regular expression unless ``literal``. Lines and tokens
+    ``files`` carries an array of lines, or an undivided ``text``, which the result drops;
+    ``requests`` has ``branch_hash``. Without ``once`` a file may come more than once with a
+    version, which spares callers that fold files the shuffle. A token is a regular expression unless ``literal``. Lines and tokens
     meet in equi-joins, so nothing is compared with everything. Tokens made of plain signs
     meet them at a fixed place; the few shapes these have (2,048 at most) steer which keys a
     line offers. Tokens with further regular-expression signs are posted by the letters
@@ -92,8 +109,9 @@ def match_lines(
     wanted = stage(wanted.withColumn("_block", _block(F.col("branch_hash"), literal)), "tokens")
     shapes = wanted.select("_block.kind", "_block.at", "_block.size").distinct().collect()
     shapes = sorted((s["kind"], s["at"], s["size"]) for s in shapes)
-    carried = [c for c in files.columns if c != lines]
-    distinct = F.array_distinct(lines)
+    carried = [c for c in files.columns if c != (text or lines)]
+    listed = split_lines(F.col(text)) if text else F.col(lines)
+    distinct = F.array_distinct(listed)
     hit = version_match(F.col("_line"), F.col("branch_hash"), literal)
     found = []
     placed = [s for s in shapes if s[0] != "gram"]
@@ -103,7 +121,11 @@ def match_lines(
         firsts = {r["first"] for r in plain.select(first).distinct().collect()}
         near = distinct
         if literal or "." not in firsts:
-            near = F.filter(distinct, lambda line: _first_letter(line).isin(*sorted(firsts)))
+            if text and firsts.isdisjoint({"", None}):
+                near = _lines_opening(F.col(text), sorted(firsts))
+            else:
+                near = F.filter(listed, lambda line: _first_letter(line).isin(*sorted(firsts)))
+                near = F.array_distinct(near)
         mine = files.select(*carried, F.explode(near).alias("_line"))
         mine = mine.withColumn("_offer", F.explode(_offered_keys(placed)))
         found.append(mine.join(plain, F.col("_offer") == F.col("_block")))
@@ -116,15 +138,18 @@ def match_lines(
         found.append(none.where(F.lit(False)).withColumn("branch_hash", F.lit("")))
     hits = [f.where(hit).select(*carried, "branch_hash") for f in found]
     matched = reduce(DataFrame.unionByName, hits)
-    return matched.dropDuplicates([*key, "branch_hash"])
+    return matched.dropDuplicates([*key, "branch_hash"]) if once else matched
 
 
 def match_texts(
-    files: DataFrame, requests: DataFrame, text: str = "match_text", literal: bool = False
+    files: DataFrame,
+    requests: DataFrame,
+    text: str = "match_text",
+    literal: bool = False,
+    once: bool = True,
 ) -> DataFrame:
     """``match_lines`` for files ``(path, ...)`` that carry their undivided text."""
-    lined = files.withColumn("_lines", split_lines(F.col(text))).drop(text)
-    return match_lines(lined, requests, "_lines", literal=literal)
+    return match_lines(files, requests, literal=literal, text=text, once=once)
 
 
 def _of_machine(inner: Column, exact: bool) -> Column:
@@ -133,6 +158,46 @@ def _of_machine(inner: Column, exact: bool) -> Column:
     return F.col("path").contains(F.col("machine"))
 
 
+def _inner(key_value: bool) -> Column:
+    inner = inner_components(F.col("path"))
+    if key_value:
+        inner = F.array_distinct(F.transform(inner, lambda c: F.regexp_replace(c, r"\A[^=]*=", "")))
+    return inner
+
+
+def few_jobs(requests: DataFrame) -> dict[str, frozenset[str]] | None:
+    """Machines per branch component of a path, None where there are too many to list."""
+    jobs = requests.select("machine", sanitize_branch(F.col("job_branch")).alias("part"))
+    jobs = jobs.where("machine IS NOT NULL AND part IS NOT NULL").distinct()
+    rows = jobs.limit(_FEW_JOBS + 1).collect()
+    branches = {part for _, part in rows}
+    if len(rows) > _FEW_JOBS or len(branches) > _FEW_BRANCHES:
+        return None
+    return {b: frozenset(m for m, part in rows if part == b) for b in sorted(branches)}
+
+
+def _literals(values) -> Column:
+    return F.array(*[F.lit(v) for v in sorted(values)]).cast("array<string>")
+
+
+def owned_by(jobs: dict[str, frozenset[str]], exact: bool = False, key_value: bool = False) -> Column:
+    """Whether ``path`` names a branch and a machine of ``few_jobs``, tested in its own row.
+
+    True for every path some job owns, and for hardly another; ``matches_of_few_jobs``
+    applies the whole rule to what is found. The path is named as few times as can be, as
+    a filter may carry it down to where it is put together, once for each time it is named.
+    """
+    machines = frozenset().union(*jobs.values())
+    parts = F.split(F.col("path"), "/")
+    if key_value:
+        parts = F.transform(parts, lambda c: F.regexp_replace(c, r"\A[^=]*=", ""))
+    branches = F.arrays_overlap(parts, _literals(jobs))
+    if exact:
+        return branches & F.arrays_overlap(parts, _literals(machines))
+    quoted = ["".join(rf"\x{{{ord(c):x}}}" for c in m) for m in sorted(machines)]
+    return branches & F.regexp_like("path", F.lit("|".join(quoted)))
+
+
 def paths_of_jobs(
     paths: DataFrame, jobs: DataFrame, exact: bool = False, key_value: bool = False
 ) -> DataFrame:
@@ -142,10 +207,7 @@ def paths_of_jobs(
     stand anywhere in the path, with ``exact`` it must be a component too. ``key_value``
     takes the values of ``name=value`` components.
     """
-    inner = inner_components(F.col("path"))
-    if key_value:
-        inner = F.array_distinct(F.transform(inner, lambda c: F.regexp_replace(c, r"\A[^=]*=", "")))
-    parts = paths.withColumn("_inner", inner)
+    parts = paths.withColumn("_inner", _inner(key_value))
     parts = parts.withColumn("_part", F.explode("_inner"))
     joined = parts.join(jobs, F.col("_part") == sanitize_branch(F.col("branch")))
     return joined.where(_of_machine(F.col("_inner"), exact)).drop("_part", "_inner")
@@ -162,6 +224,21 @@ def matches_of_jobs(matches: DataFrame, owned: DataFrame, requests: DataFrame) -
     return matches.join(jobs, "path").join(requests, ["machine", "job_branch", "branch_hash"])
 
 
+def matches_of_few_jobs(
+    matches: DataFrame,
+    jobs: dict[str, frozenset[str]],
+    requests: DataFrame,
+    exact: bool = False,
+    key_value: bool = False,
+) -> DataFrame:
+    """``matches_of_jobs`` from the paths themselves; requests of ``few_jobs`` are few rows."""
+    named = matches.withColumn("_inner", _inner(key_value))
+    named = named.withColumn("_part", F.explode(F.array_intersect("_inner", _literals(jobs))))
+    wanted = requests.withColumn("_part", sanitize_branch(F.col("job_branch")))
+    joined = named.join(wanted, ["_part", "branch_hash"])
+    return joined.where(_of_machine(F.col("_inner"), exact)).drop("_part", "_inner")
+
+
 def lines_matching(df: DataFrame, text: str, pattern: str) -> DataFrame:
     """Lines that match ``pattern`` from their start, with their number."""
     carried = [c for c in df.columns if c != text]

@@ -14,9 +14,12 @@ from runledger.functions.parsing import parse_logs, parse_reports
 from runledger.operators.history import jobs_without
 from runledger.operators.lookup import build_map, with_build_outcome, with_latest_commit
 from runledger.operators.matching import (
+    few_jobs,
     match_lines,
     match_texts,
+    matches_of_few_jobs,
     matches_of_jobs,
+    owned_by,
     paths_of_jobs,
 )
 from runledger.operators.merge import ARRIVAL, arrival_seq
@@ -71,7 +74,8 @@ def _matched_outcomes(logs: DataFrame, requests: DataFrame, literal: bool) -> Da
     """Outcome of every log with each version it matches, from whole texts or from lines."""
     if "line" not in logs.columns:
         texts = logs.select("path", "text", "match_text")
-        return match_texts(parse_logs(texts).drop("text"), requests, literal=literal)
+        # Of equal paths one outcome is kept afterwards, so none is dropped here.
+        return match_texts(parse_logs(texts).drop("text"), requests, literal=literal, once=False)
     lines = logs.select("path", F.array(F.replace("line", F.lit("\ufffd"), F.lit(""))).alias("lines"))
     matches = match_lines(lines, requests, literal=literal)
     return matches.join(fold_logs(logs), "path")
@@ -95,14 +99,27 @@ def summarize(
     ``reports`` and ``logs`` are ``(path, text, match_text)``, ``hashes`` comes from
     ``recent_hashes``, ``latest`` from ``latest_commits``. Logs may come as lines instead,
     as ``log_lines`` gives them, which suits logs too long for a row. Paths are tested first: only
-    files some job owns are read and parsed. Texts are reduced to records and version lines
+    files some job owns are read and parsed. Against few jobs a path is tested in its own row, so
+    that no text is shuffled; many jobs meet the paths in a join. Texts are reduced to records and version lines
     where they are read. A build log counts for the job and version it matched itself.
     ``exact_machine`` wants the machine as a path component instead of anywhere in the path.
     ``on_incomplete`` sets aside reports that lack a header or a result (``reject``) or
     fails on them (``fail``).
     """
     requests = stage(requests_of(hashes), "requests") if requests is None else requests
-    own_reports, pairs = owned_files(reports, requests, exact_machine, key_value)
+    jobs, rules = few_jobs(requests), (exact_machine, key_value)
+
+    def owned(files: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        if jobs is None:
+            return owned_files(files, requests, *rules)
+        return files.where(owned_by(jobs, *rules)), None
+
+    def of_jobs(matches: DataFrame, pairs: DataFrame | None) -> DataFrame:
+        if jobs is None:
+            return matches_of_jobs(matches, pairs, requests)
+        return matches_of_few_jobs(matches, jobs, requests, *rules)
+
+    own_reports, pairs = owned(reports)
     records = parse_reports(own_reports.select("path", "text", "match_text")).drop("text")
     # A record travels as one column, so that dropping duplicates compares path and version only.
     fields = [c for c in records.columns if c not in ("path", "match_text")]
@@ -111,9 +128,9 @@ def summarize(
         requests,
         literal=literal,
     ).select("path", "branch_hash", "record.*")
-    found = stage(matches_of_jobs(found, pairs, requests), "found")
-    own_logs, pairs = owned_files(logs, requests, exact_machine, key_value)
-    built = matches_of_jobs(_matched_outcomes(own_logs, requests, literal), pairs, requests)
+    found = stage(of_jobs(found, pairs), "found")
+    own_logs, pairs = owned(logs)
+    built = of_jobs(_matched_outcomes(own_logs, requests, literal), pairs)
     if on_incomplete == "fail":
         message = F.concat_ws(" ", F.lit("incomplete report:"), "reject_reason", "path")
         found = found.withColumn(
@@ -129,8 +146,8 @@ def summarize(
     builds = stage(build_map(built, SCOPE, strip_token, key_value), "builds")
     results = with_latest_commit(with_build_outcome(whole, builds, SCOPE), latest)
     results = results.withColumns({ARRIVAL: arrival_seq(run_id), "source_path": F.col("path")})
-    jobs = ("machine", "machine_pos", "job_branch", "branch_pos", "hash_rank")
-    return results.select(*jobs, *LEDGER_COLUMNS), rejects
+    job = ("machine", "machine_pos", "job_branch", "branch_pos", "hash_rank")
+    return results.select(*job, *LEDGER_COLUMNS), rejects
 
 
 def run(
