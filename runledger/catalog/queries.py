@@ -410,17 +410,20 @@ def regex_lookup(spark: SparkSession, d: str) -> DataFrame:
 # --- ledger --------------------------------------------------------------------------
 
 
-def _ledger_rows(spark: SparkSession, d: str) -> DataFrame:
+def _latest(spark: SparkSession, d: str) -> DataFrame:
+    commits = S.report_commits(spark, d)
+    return lookup.latest_commits(commits.select("commit_hash", "path"), commits)
+
+
+def _ledger_rows(spark: SparkSession, d: str, latest: DataFrame | None = None) -> DataFrame:
     """One ledger row per report, all of one job, arriving in order of ``seq``."""
     token = F.regexp_extract("text", r"git hash = (\S+)", 1)
     machine = {"branch_hash": token, "machine": F.lower("host")}
     records = parsing.parse_reports(S.reports(spark, d)).withColumns(machine)
-    builds = lookup.build_map(parsing.parse_logs(S.logs(spark, d)))
+    # Read back, it has a known size, and no test on its keys is carried down to the logs.
+    builds = stage(lookup.build_map(parsing.parse_logs(S.logs(spark, d))), "builds")
     rows = lookup.with_build_outcome(records.drop("text", "match_text"), builds)
-    commits = S.report_commits(spark, d)
-    rows = lookup.with_latest_commit(
-        rows, lookup.latest_commits(commits.select("commit_hash", "path"), commits)
-    )
+    rows = lookup.with_latest_commit(rows, _latest(spark, d) if latest is None else latest)
     return rows.withColumns(
         {
             "source_path": F.col("path"),
@@ -432,9 +435,11 @@ def _ledger_rows(spark: SparkSession, d: str) -> DataFrame:
     ).withColumn(merge.ARRIVAL, merge.arrival_seq(0))
 
 
-def _stored_ledger(spark: SparkSession, d: str, keep_history: bool = False) -> Ledger:
+def _stored_ledger(
+    spark: SparkSession, d: str, keep_history: bool = False, latest: DataFrame | None = None
+) -> Ledger:
     ledger = Ledger(spark, scratch_dir(spark, "ledger"), keep_history)
-    ledger.merge(_ledger_rows(spark, d).select(*plan.LEDGER_COLUMNS), 0)
+    ledger.merge(_ledger_rows(spark, d, latest).select(*plan.LEDGER_COLUMNS), 0)
     return ledger
 
 
@@ -596,15 +601,14 @@ def aligned_report(spark: SparkSession, d: str) -> DataFrame:
 # --- whole runs ----------------------------------------------------------------------
 
 
-def _run_inputs(spark: SparkSession, d: str):
-    commits = S.report_commits(spark, d)
-    latest = lookup.latest_commits(commits.select("commit_hash", "path"), commits)
+def _run_inputs(spark: SparkSession, d: str, latest: DataFrame | None = None):
+    latest = _latest(spark, d) if latest is None else latest
     return S.reports(spark, d), S.logs(spark, d), _run_hashes(spark, d), latest
 
 
-def _full_run(spark: SparkSession, d: str) -> plan.Run:
+def _full_run(spark: SparkSession, d: str, latest: DataFrame | None = None) -> plan.Run:
     ledger = Ledger(spark, scratch_dir(spark, "ledger"))
-    return plan.run(*_run_inputs(spark, d), ledger, S.BASE_URL)
+    return plan.run(*_run_inputs(spark, d, latest), ledger, S.BASE_URL)
 
 
 @query
@@ -636,8 +640,9 @@ def report_targets(spark: SparkSession, d: str) -> DataFrame:
 @query
 def reports_as_written(spark: SparkSession, d: str) -> DataFrame:
     """Rows of every report and latest report, with the run merged over an older ledger."""
-    older = _stored_ledger(spark, d).read()
-    results = _full_run(spark, d).results
+    latest = stage(_latest(spark, d), "latest")
+    older = _stored_ledger(spark, d, latest=latest).read()
+    results = _full_run(spark, d, latest).results
     versions = stage(R.row_versions(results, older, K.LEDGER_KEY), "versions")
     shown = R.report_contents(versions, R.report_targets(results)).withColumn("kind", F.lit("each"))
     latest = R.report_contents(versions, R.latest_targets(results))
@@ -650,7 +655,7 @@ def two_runs_ledger(spark: SparkSession, d: str) -> DataFrame:
     """Two runs over different machines that overlap: both start before either is merged."""
     reports, logs, hashes, latest = _run_inputs(spark, d)
     ledger = Ledger(spark, scratch_dir(spark, "ledger"), keep_history=True)
-    hashes = stage(hashes, "hashes")
+    hashes, latest = stage(hashes, "hashes"), stage(latest, "latest")
     started = [ledger.claim() for _ in range(2)]
     for run_id, half in zip(started, ("machine < 'gb'", "machine >= 'gb'"), strict=True):
         plan.run(reports, logs, hashes.where(half), latest, ledger, S.BASE_URL, run_id=run_id)
@@ -663,7 +668,7 @@ def two_runs_reports(spark: SparkSession, d: str) -> DataFrame:
     reports, logs, hashes, latest = _run_inputs(spark, d)
     ledger = Ledger(spark, scratch_dir(spark, "ledger"))
     target = scratch_dir(spark, "reports")
-    hashes = stage(hashes, "hashes")
+    hashes, latest = stage(hashes, "hashes"), stage(latest, "latest")
     for half in ("branch = 'develop'", "branch <> 'develop'"):
         plan.run(reports, logs, hashes.where(half), latest, ledger, S.BASE_URL, target)
     return _csv_back(spark, f"{target}/csv", ["report_branch", "report_hash"])

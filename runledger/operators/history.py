@@ -51,6 +51,18 @@ def with_branch_pos(branches: DataFrame, at: str = "first_at") -> DataFrame:
     return branches.select("branch", F.col(at).alias("branch_pos"))
 
 
+def _folded_lines(commits: DataFrame) -> DataFrame:
+    """Equal lines of a machine's log as one, with their first place ``at``.
+
+    The place is folded as a number first, which hashes in the map tasks; only what that
+    leaves is compared as a whole place. A missing place comes first, as in an ordering.
+    """
+    lines = commit_lines(commits).where(F.col("line").contains(F.col("machine")))
+    keys = ["machine", "line", F.col("at.line_no").alias("line_no"), F.col("at.pos").isNull().alias("_none")]
+    folded = lines.groupBy(*keys).agg(F.min("at.pos").alias("pos"))
+    return folded.groupBy("machine", "line").agg(F.min(F.struct("pos", "line_no")).alias("at"))
+
+
 def recent_hashes(
     commits: DataFrame,
     jobs: DataFrame,
@@ -68,8 +80,8 @@ def recent_hashes(
     that holds most of the log spread over its branches. Groups are cut to the largest
     quantity in the map tasks before they meet.
     """
-    lines = commit_lines(commits).withColumn("branch_hash", hash_token(F.col("line"), patterns))
-    lines = lines.where((F.col("branch_hash") != "") & F.col("line").contains(F.col("machine")))
+    lines = _folded_lines(commits).withColumn("branch_hash", hash_token(F.col("line"), patterns))
+    lines = lines.where(F.col("branch_hash") != "")
     token = sanitize_branch(F.col("branch"))
     keys = ["machine", "branch"]
     wanted = jobs.withColumn("qty", F.col("qty") if qty is None else F.lit(qty))
@@ -80,9 +92,8 @@ def recent_hashes(
         folded = lines.groupBy("machine", "_token", "branch_hash").agg(F.min("at").alias("at"))
         met = stage(folded, "lines")
     else:
-        folded = lines.groupBy("machine", "line", "branch_hash").agg(F.min("at").alias("at"))
         # Read back, so that hot keys of the join can be split.
-        pairs = candidate_pairs(stage(folded, "lines"), wanted, "line", "_token", ["machine"])
+        pairs = candidate_pairs(stage(lines, "lines"), wanted, "line", "_token", ["machine"])
         # A branch without regular-expression signs is looked for as text, which saves
         # compiling a pattern for every pair.
         named = F.when(

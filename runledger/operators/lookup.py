@@ -90,7 +90,9 @@ def latest_commits(commit_files: DataFrame, commits: DataFrame) -> DataFrame:
     compared, and a commit that stands in several logs counts in each.
     """
     placed = commits.select("machine", "commit_hash", "pos", "committed_at")
-    touched = commit_files.select("commit_hash", "path").distinct().join(placed, "commit_hash")
+    # Dealt by commit alone, which serves both dropping repeats and the join.
+    files = commit_files.select("commit_hash", "path").repartition("commit_hash").distinct()
+    touched = files.join(placed, "commit_hash")
     keys = ["machine", "path"]
     newest = least_by(touched, keys, ["pos", "commit_hash"], ["commit_hash", "committed_at"])
     return newest.select(
