@@ -72,7 +72,8 @@ def file_scan(spark: SparkSession, d: str) -> DataFrame:
 @query
 def tree_reports(spark: SparkSession, d: str) -> DataFrame:
     """Reports found in a tree of files, read as ISO-8859-1 and parsed, in path order."""
-    found = in_path_order(reports_of(scan_tree(spark, S.tree(spark, d))))
+    files = scan_tree(spark, S.tree(spark, d), [K.REPORT_FILE], K.REPORT_IGNORE)
+    found = in_path_order(reports_of(files))
     parsed = parsing.parse_reports(found)
     return parsed.select(
         F.regexp_extract("path", r"/dir=r(\d+)-", 1).cast("bigint").alias("seq"),
@@ -95,7 +96,8 @@ def _tree_logs(logs: DataFrame) -> DataFrame:
 @query
 def tree_logs(spark: SparkSession, d: str) -> DataFrame:
     """Build logs found in a tree of files, each read whole; other suffixes are left out."""
-    return _tree_logs(parsing.parse_logs(logs_of(scan_tree(spark, S.tree(spark, d)))))
+    files = scan_tree(spark, S.tree(spark, d), [K.LOG_FILE], K.LOG_IGNORE, glob="*.log")
+    return _tree_logs(parsing.parse_logs(logs_of(files)))
 
 
 @query
@@ -113,7 +115,8 @@ def tree_run(spark: SparkSession, d: str) -> DataFrame:
     requests = history.job_grid(branches, S.TREE_HOSTS).withColumns({"hash_rank": F.lit(1), "branch_hash": tokens})
     latest = spark.createDataFrame([], "machine string, path string, artifacts_hash string, modified string")
     results, _ = plan.summarize(
-        reports_of(scan_tree(spark, root)), log_lines(spark, root), requests, latest,
+        reports_of(scan_tree(spark, root, [K.REPORT_FILE], K.REPORT_IGNORE)),
+        log_lines(spark, root), requests, latest,
         strip_token=None, key_value=True,
     )
     return results.select(

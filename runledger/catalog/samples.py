@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runledger import constants as K
-from runledger.session import TASKS_MOVE_FILES, file_tasks, scratch_dir
+from runledger.session import TASKS_MOVE_FILES, file_tasks, local_path, scratch_dir
+from runledger.sources.files import write_files
 
 HOSTS = ("cheyenne", "hera", "orion", "Gaea")
 RUN_MACHINES = ("cheyenne", "gaea", "hera", "jet", "orion")
@@ -196,6 +197,7 @@ def tree(spark: SparkSession, sf_dir: str) -> str:
     another suffix. Lines end in ``\\n``.
     """
     root = scratch_dir(spark, "tree")
+    disk = local_path(spark, root)
     supplier = table(spark, sf_dir, "supplier").select(
         "s_suppkey",
         F.expr(_pick("s_nationkey % 3", BRANCHES)).alias("branch"),
@@ -232,8 +234,19 @@ def tree(spark: SparkSession, sf_dir: str) -> str:
     for name, lines, suffix, encoding, own, there in kinds:
         place = F.concat(F.lit("r"), F.col("s_suppkey").cast("string"), F.lit(f"-{name}"))
         rows = supplier.where(there & (own == suffix)).withColumn("dir", place)
-        rows = rows.select(*folders, F.posexplode(lines).alias("at", "line"))
-        rows = rows.repartition(file_tasks(spark), "dir").sortWithinPartitions(*folders, "at").drop("at")
+        rows = rows.select(*folders, lines.alias("lines")).repartition(file_tasks(spark), "dir")
+        if disk:
+            # Named as ``partitionBy`` names folders; no value has a letter that it would escape.
+            named = [F.concat(F.lit(f"{c}="), F.coalesce(c, F.lit("__HIVE_DEFAULT_PARTITION__"))) for c in folders]
+            body = F.concat(F.array_join("lines", "\n"), F.lit("\n"))
+            rows = rows.select(
+                F.concat_ws("/", *named, F.lit(f"lines.{suffix}")).alias("path"),
+                F.encode(body, encoding).alias("content"),
+            )
+            write_files(rows.sortWithinPartitions("path"), disk)
+            continue
+        rows = rows.select(*folders, F.posexplode("lines").alias("at", "line"))
+        rows = rows.sortWithinPartitions(*folders, "at").drop("at")
         # The CSV writer, as it takes a suffix and an encoding; no sign of its own can occur.
         options = {"extension": suffix, "encoding": encoding, "sep": "\x01", "quote": "\x02", "escape": "\x03",
                    "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "emptyValue": ""}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
 from functools import reduce
 
@@ -93,6 +94,15 @@ def path_selected(path: Column, needles: Iterable[str], ignore: Iterable[str]) -
     return contains_all(path, needles) & ~contains_any(path, ignore)
 
 
+def may_hold(location: Column, needles: Iterable[str]) -> Column:
+    """False only for a URI whose path lacks a needle.
+
+    Needles with letters that a URI may write otherwise are not tested. One comparison of
+    bytes a needle: Spark tests it where files are listed, one by one, before any is opened.
+    """
+    return contains_all(location, [n for n in needles if re.fullmatch(r"[A-Za-z0-9._-]+", n)])
+
+
 def words(value: Column) -> Column:
     """Words between runs of white space, without an empty first one."""
     return F.split(strip(value), r"\s+")

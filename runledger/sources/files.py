@@ -2,31 +2,42 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
-from pyspark.sql import DataFrame, SparkSession
+import os
+import uuid
+from collections.abc import Iterable, Iterator
+from itertools import groupby
+from operator import itemgetter
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runledger import constants as K
 from runledger.functions.paths import has_suffix, is_named, relative_to
 from runledger.functions.text import (
     latin1_text,
+    may_hold,
     path_selected,
     utf8_text,
     utf8_text_dropping,
     valid_utf8,
 )
-from runledger.session import listing_in_few_tasks
+from runledger.session import in_few_tasks, listing_in_few_tasks
 
 MAX_FILE_BYTES = 256 * 1024 * 1024
 
 
-def _listing(spark: SparkSession, root: str, glob: str | None) -> DataFrame:
+def _listing(
+    spark: SparkSession, root: str, needles: Iterable[str], glob: str | None, length: Column
+) -> DataFrame:
+    """Files of that length whose path may hold all ``needles``; others are not opened."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     with listing_in_few_tasks(spark):
-        return reader.load(root)
+        listed = reader.load(root)
+    files = listed.where(length & may_hold(F.col("_metadata.file_path"), needles))
+    return in_few_tasks(files, listed)
 
 
 def scan_tree(
@@ -39,12 +50,13 @@ def scan_tree(
 ) -> DataFrame:
     """``(path, length, content)`` of the files below ``root`` whose path is selected.
 
-    ``glob`` prunes while listing; the path predicates prune before ``content`` is used.
+    ``glob`` and ``needles`` prune while listing; ``ignore`` prunes before ``content`` is used.
     Files longer than ``limit`` are left out before they are opened, so one of them fails
-    no run; ``oversized`` names them. Spark packs the others into tasks by length. Paths
+    no run; ``oversized`` names them. The others are dealt to tasks by length. Paths
     are relative to ``root``, so a folder above it never takes part in a match.
     """
-    files = _listing(spark, root, glob).where(F.col("length") <= limit)
+    needles = list(needles)
+    files = _listing(spark, root, needles, glob, F.col("length") <= limit)
     path = relative_to(F.col("path"), root)
     return files.select(path.alias("path"), "length", "content").where(
         path_selected(F.col("path"), needles, ignore)
@@ -60,7 +72,8 @@ def oversized(
     limit: int = MAX_FILE_BYTES,
 ) -> DataFrame:
     """``(path, length)`` of the files ``scan_tree`` leaves out for their length."""
-    files = _listing(spark, root, glob).where(F.col("length") > limit)
+    needles = list(needles)
+    files = _listing(spark, root, needles, glob, F.col("length") > limit)
     path = relative_to(F.col("path"), root)
     return files.select(path.alias("path"), "length").where(
         path_selected(F.col("path"), needles, ignore)
@@ -118,3 +131,29 @@ def pack(files: DataFrame, target: str) -> None:
 
 def packed(spark: SparkSession, target: str) -> DataFrame:
     return spark.read.parquet(target).select("path", "length", "content")
+
+
+def write_files(files: DataFrame, folder: str) -> None:
+    """Write ``(path, content)`` as files below ``folder`` of a local or mounted disk, one a path.
+
+    Hadoop starts a process for every file it makes there, to set its permissions, and adds a
+    file of check sums; here tasks make the files themselves. Rows of one path stand together
+    in one task and follow one another in its file. A file gets its name when it is whole, so
+    a task that is repeated leaves the same files.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for b in batches for row in zip(*(b[c].to_pylist() for c in ("path", "content"))))
+        done = 0
+        for path, own in groupby(rows, itemgetter(0)):
+            place = os.path.join(folder, path)
+            unfinished = os.path.join(os.path.dirname(place), f".{uuid.uuid4().hex}")
+            os.makedirs(os.path.dirname(place), exist_ok=True)
+            with open(unfinished, "wb") as f:
+                f.writelines(content for _, content in own)
+            os.replace(unfinished, place)
+            done += 1
+        yield pa.record_batch({"files": pa.array([done], pa.int64())})
+
+    rows = files.select("path", "content")
+    rows.mapInArrow(write, "files long").write.format("noop").mode("overwrite").save()

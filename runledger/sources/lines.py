@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from runledger import constants as K
 from runledger.functions.paths import has_suffix, relative_to
-from runledger.functions.text import path_selected
-from runledger.session import listing_in_few_tasks
+from runledger.functions.text import may_hold, path_selected
+from runledger.session import in_few_tasks, listing_in_few_tasks
 
 
 def scan_lines(
@@ -34,19 +34,26 @@ def scan_lines(
     # Written as a URI; a plus sign stands for itself there.
     named = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     with listing_in_few_tasks(spark):
-        lines = reader.text(root)
-    lines = lines.select(
+        listed = reader.text(root)
+    # Before lines are counted, as no filter is carried below that: other files are not opened.
+    needles = list(needles)
+    lines = listed.where(may_hold(F.col("_metadata.file_path"), needles)).select(
         relative_to(named, root).alias("path"),
         F.col("_metadata.file_block_start").alias("block"),
+        "value",
+    )
+    lines = in_few_tasks(lines.where(path_selected(F.col("path"), needles, ignore)), listed)
+    return lines.select(
+        "path",
+        "block",
         F.monotonically_increasing_id().alias("place"),
         F.make_valid_utf8("value").alias("line"),
     )
-    return lines.where(path_selected(F.col("path"), needles, ignore))
 
 
 def log_lines(spark: SparkSession, root: str) -> DataFrame:
     """Lines of the build logs below ``root``; other suffixes are left out."""
-    lines = scan_lines(spark, root, [K.LOG_FILE], K.LOG_IGNORE)
+    lines = scan_lines(spark, root, [K.LOG_FILE], K.LOG_IGNORE, glob="*.log")
     return lines.where(has_suffix(F.col("path")))
 
 

@@ -177,3 +177,65 @@ def test_many_folders_are_listed_by_few_tasks(spark, tmp_path):
     context.setLocalProperty("spark.jobGroup.id", None)
     assert found["files"].count() == found["lines"].count() == n
     assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == before
+
+
+def _tree_bytes(root):
+    found = {}
+    for folder, _, names in os.walk(root):
+        for name in names:
+            if not name.startswith("_"):
+                with open(f"{folder}/{name}", "rb") as f:
+                    found[os.path.relpath(folder, root), name.rsplit(".", 1)[1]] = f.read()
+    return found
+
+
+def test_files_made_by_tasks_are_those_of_sparks_writer(spark, tmp_path, monkeypatch):
+    from runledger.catalog import samples
+
+    keys = [(1, 0), (1, 0), (1, 1), (2, None), (3, 5), (7, 2), (None, 1), (None, None), (11, 2), (35, 4)]
+    rows = spark.createDataFrame(keys, "s_suppkey long, s_nationkey int")
+    rows.write.parquet(str(tmp_path / "supplier.parquet"))
+    own = _tree_bytes(samples.tree(spark, str(tmp_path)))
+    # One file a report or log: no check sums beside them, nothing left unfinished.
+    assert {suffix for _, suffix in own} == {"dat", "log", "txt"} and len(own) == 15
+    monkeypatch.setattr(samples, "local_path", lambda *a: None)
+    theirs = _tree_bytes(samples.tree(spark, str(tmp_path)))
+    assert own == {k: v for k, v in theirs.items() if k[1] != "crc"}
+
+
+def test_rows_of_one_path_follow_one_another_in_its_file(spark, tmp_path):
+    rows = spark.createDataFrame([("a/b", b"1"), ("a/b", b"2"), ("c", b"\xff\n")], "path string, content binary")
+    files.write_files(rows.coalesce(1).sortWithinPartitions("path", "content"), str(tmp_path / "out"))
+    assert (tmp_path / "out/a/b").read_bytes() == b"12" and (tmp_path / "out/c").read_bytes() == b"\xff\n"
+    assert sorted(os.listdir(tmp_path / "out")) == ["a", "c"] and os.listdir(tmp_path / "out/a") == ["b"]
+
+
+def test_files_of_other_paths_are_not_opened(spark, tmp_path):
+    (tmp_path / "a é").mkdir()
+    (tmp_path / "a é/summary.dat").write_bytes(b"x")
+    (tmp_path / "a é/build.log").write_bytes(b"y\n")
+    (tmp_path / "other").write_bytes(b"z")
+    root = str(tmp_path)
+    reports, logs = files.scan_tree(spark, root, ["summary", "é"]), lines.log_lines(spark, root)
+    os.remove(tmp_path / "other")
+    assert [r.path for r in reports.collect()] == ["/a é/summary.dat"]
+    assert [(r.path, r.line) for r in logs.collect()] == [("/a é/build.log", "y")]
+
+
+def test_many_short_files_are_read_in_few_tasks(spark, tmp_path):
+    from runledger.session import file_tasks
+
+    n = 2 * file_tasks(spark)
+    for i in range(n):
+        (tmp_path / f"{i}-build.log").write_bytes(b"x\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    try:
+        for found in (files.scan_tree(spark, str(tmp_path)), lines.log_lines(spark, str(tmp_path))):
+            assert found.rdd.getNumPartitions() <= file_tasks(spark) and found.count() == n
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1b")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        assert files.scan_tree(spark, str(tmp_path)).rdd.getNumPartitions() == n
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
