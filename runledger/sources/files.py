@@ -27,15 +27,17 @@ from runledger.session import in_few_tasks, listing_in_few_tasks
 MAX_FILE_BYTES = 256 * 1024 * 1024
 
 
-def _listing(
-    spark: SparkSession, root: str, needles: Iterable[str], glob: str | None, length: Column
-) -> DataFrame:
-    """Files of that length whose path may hold all ``needles``; others are not opened."""
+def list_tree(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
+    """The files below ``root``, listed once for all scans that are given them as ``listed``."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     with listing_in_few_tasks(spark):
-        listed = reader.load(root)
+        return reader.load(root)
+
+
+def _selected(listed: DataFrame, needles: Iterable[str], length: Column) -> DataFrame:
+    """Files of that length whose path may hold all ``needles``; others are not opened."""
     files = listed.where(length & may_hold(F.col("_metadata.file_path"), needles))
     return in_few_tasks(files, listed)
 
@@ -47,6 +49,7 @@ def scan_tree(
     ignore: Iterable[str] = (),
     glob: str | None = None,
     limit: int = MAX_FILE_BYTES,
+    listed: DataFrame | None = None,
 ) -> DataFrame:
     """``(path, length, content)`` of the files below ``root`` whose path is selected.
 
@@ -56,7 +59,8 @@ def scan_tree(
     are relative to ``root``, so a folder above it never takes part in a match.
     """
     needles = list(needles)
-    files = _listing(spark, root, needles, glob, F.col("length") <= limit)
+    listed = list_tree(spark, root, glob) if listed is None else listed
+    files = _selected(listed, needles, F.col("length") <= limit)
     path = relative_to(F.col("path"), root)
     return files.select(path.alias("path"), "length", "content").where(
         path_selected(F.col("path"), needles, ignore)
@@ -73,7 +77,7 @@ def oversized(
 ) -> DataFrame:
     """``(path, length)`` of the files ``scan_tree`` leaves out for their length."""
     needles = list(needles)
-    files = _listing(spark, root, needles, glob, F.col("length") > limit)
+    files = _selected(list_tree(spark, root, glob), needles, F.col("length") > limit)
     path = relative_to(F.col("path"), root)
     return files.select(path.alias("path"), "length").where(
         path_selected(F.col("path"), needles, ignore)

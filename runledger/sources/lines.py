@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 
 from runledger import constants as K
 from runledger.functions.paths import has_suffix, relative_to
-from runledger.functions.text import may_hold, path_selected
-from runledger.session import in_few_tasks, listing_in_few_tasks
+from runledger.functions.text import bind, may_hold, path_selected, split_lines, utf8_text
+from runledger.session import in_few_tasks, listing_in_few_tasks, part_bytes
+from runledger.sources.files import list_tree, scan_tree
+
+# A log up to this long is read whole and cut into lines; longer ones are read in blocks.
+SHORT_BYTES = 1024 * 1024
 
 
 def scan_lines(
@@ -20,13 +24,15 @@ def scan_lines(
     needles: Iterable[str] = (),
     ignore: Iterable[str] = (),
     glob: str | None = None,
+    above: int = 0,
 ) -> DataFrame:
     """``(path, block, place, line)`` of the files below ``root`` whose path is selected.
 
     A long file is read in blocks by several tasks. ``block`` is where a block starts in
     its file and ``place`` counts up within it, so both together order a file's lines;
     ``place`` has no meaning beyond its block. Lines end as universal newlines do; invalid
-    UTF-8 becomes U+FFFD. Paths are relative to ``root``.
+    UTF-8 becomes U+FFFD. Paths are relative to ``root``. Files of up to ``above`` bytes are
+    left out.
     """
     reader = spark.read.option("recursiveFileLookup", "true")
     if glob:
@@ -37,7 +43,8 @@ def scan_lines(
         listed = reader.text(root)
     # Before lines are counted, as no filter is carried below that: other files are not opened.
     needles = list(needles)
-    lines = listed.where(may_hold(F.col("_metadata.file_path"), needles)).select(
+    wanted = (F.col("_metadata.file_size") > above) & may_hold(F.col("_metadata.file_path"), needles)
+    lines = listed.where(wanted).select(
         relative_to(named, root).alias("path"),
         F.col("_metadata.file_block_start").alias("block"),
         "value",
@@ -51,10 +58,28 @@ def scan_lines(
     )
 
 
-def log_lines(spark: SparkSession, root: str) -> DataFrame:
-    """Lines of the build logs below ``root``; other suffixes are left out."""
-    lines = scan_lines(spark, root, [K.LOG_FILE], K.LOG_IGNORE, glob="*.log")
-    return lines.where(has_suffix(F.col("path")))
+def log_lines(spark: SparkSession, root: str, listed: DataFrame | None = None) -> DataFrame:
+    """Lines of the build logs below ``root``, as ``scan_lines`` gives them; other suffixes are left out.
+
+    Hadoop's reader of lines is set up anew for every file, at many times the cost of a short
+    file's lines, so short logs are read whole. ``listed`` spares a listing.
+    """
+    listed = list_tree(spark, root) if listed is None else listed
+    short = min(SHORT_BYTES, part_bytes(spark))
+    wanted = ([K.LOG_FILE], K.LOG_IGNORE)
+    named = has_suffix(F.col("_metadata.file_path"))
+    logs = scan_tree(spark, root, *wanted, limit=short, listed=listed.where(named))
+    # A byte order mark is no part of the first line.
+    text = bind(utf8_text(F.col("content")), lambda t: F.regexp_replace(t, r"\A\x{feff}", ""))
+    lines = logs.where(has_suffix(F.col("path"))).select(
+        "path", F.lit(0).cast("bigint").alias("block"), F.posexplode(split_lines(text)).alias("place", "line")
+    )
+    lines = lines.withColumn("place", F.col("place").cast("bigint"))
+    long = listed.where(named & (F.col("_metadata.file_size") > short))
+    if long.select("length").isEmpty():
+        return lines
+    long = scan_lines(spark, root, *wanted, glob="*.log", above=short)
+    return lines.unionByName(long.where(has_suffix(F.col("path"))))
 
 
 def _topmost(mark: str) -> Column:

@@ -239,3 +239,38 @@ def test_many_short_files_are_read_in_few_tasks(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_short_logs_are_cut_from_whole_texts_and_long_ones_read_in_blocks(spark, tmp_path, monkeypatch):
+    bodies = [b"\xef\xbb\xbfv8.1\r\nx\ry\n\n", b"\xef\xbb\xbf", b"\n", b"\xff\xe2\x82\nb", b"a\x0bb\xc2\x85c\nv", b"", b"q\n" * 70]
+    for i, body in enumerate(bodies):
+        (tmp_path / f"{i}-build.log").write_bytes(body)
+    (tmp_path / "build.log.txt").write_bytes(b"other suffix\n")
+    root = str(tmp_path)
+
+    def rows(found):
+        kept = found.orderBy("path", "block", "place").collect()
+        return [(r.path, r.line) for r in kept]
+
+    want = rows(lines.scan_lines(spark, root, ["build.log"], glob="*.log"))
+    found = lines.log_lines(spark, root)
+    assert len(want) > 75 and rows(found) == want
+    # Hadoop's reader of lines costs a set-up for every file.
+    assert "Format: Text" not in found._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(lines, "SHORT_BYTES", 64)
+    found = lines.log_lines(spark, root)
+    assert rows(found) == want
+    assert "Format: Text" in found._jdf.queryExecution().executedPlan().toString()
+    assert "Union" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_tree_is_listed_once_for_several_scans(spark, tmp_path):
+    (tmp_path / "summary.dat").write_bytes(b"x")
+    (tmp_path / "build.log").write_bytes(b"y\n")
+    root = str(tmp_path)
+    listed = files.list_tree(spark, root)
+    (tmp_path / "later-build.log").write_bytes(b"z\n")
+    (tmp_path / "later-summary.dat").write_bytes(b"z")
+    assert [r.path for r in files.scan_tree(spark, root, ["summary"], listed=listed).collect()] == ["/summary.dat"]
+    assert [r.line for r in lines.log_lines(spark, root, listed).collect()] == ["y"]
+    assert lines.log_lines(spark, root).count() == 2
