@@ -18,7 +18,7 @@ from runledger.sinks import reports as R
 from runledger.sinks.ledger import Ledger, run_counts
 from runledger.sources import commits as C
 from runledger.sources import config as cfg
-from runledger.sources.files import in_path_order, logs_of, reports_of, scan_tree
+from runledger.sources.files import in_path_order, list_tree, logs_of, reports_of, scan_tree
 from runledger.sources.lines import fold_logs, log_lines
 from runledger.streaming.ingest import ingest, stream_packed
 
@@ -114,9 +114,10 @@ def tree_run(spark: SparkSession, d: str) -> DataFrame:
     tokens = F.explode(F.array(*[F.lit(t) for t in S.TREE_VERSIONS]))
     requests = history.job_grid(branches, S.TREE_HOSTS).withColumns({"hash_rank": F.lit(1), "branch_hash": tokens})
     latest = spark.createDataFrame([], "machine string, path string, artifacts_hash string, modified string")
+    listed = list_tree(spark, root)
     results, _ = plan.summarize(
-        reports_of(scan_tree(spark, root, [K.REPORT_FILE], K.REPORT_IGNORE)),
-        log_lines(spark, root), requests, latest,
+        reports_of(scan_tree(spark, root, [K.REPORT_FILE], K.REPORT_IGNORE, listed=listed)),
+        log_lines(spark, root, listed), requests, latest,
         strip_token=None, key_value=True,
     )
     return results.select(
